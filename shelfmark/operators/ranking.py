@@ -108,8 +108,8 @@ def fair_budget(groups: DataFrame, total: int, per_group: int, ordinal: int) ->
 
     At most ``total`` units exist, so a top-k of ``total`` rows is enough.
     """
-    n = groups.count()
     numbered = with_position(groups.select("grp").distinct(), [F.col("grp")], name="slot")
+    n = numbered.count()
     rotated = F.pmod(F.col("slot") - 1 - F.lit(ordinal), F.lit(max(n, 1)))
     units = numbered.withColumn("turn", rotated).withColumn("unit", F.explode(F.sequence(F.lit(1), F.lit(per_group))))
     given = units.orderBy("unit", "turn").limit(total).groupBy("grp").agg(F.count("*").alias("units"))
