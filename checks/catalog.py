@@ -1,4 +1,4 @@
 """Imports every module of checks so that their registrations are complete."""
 
-from checks import columns, identity_checks, journal_checks, ordering, records, state_checks  # noqa: F401
+from checks import columns, identity_checks, journal_checks, ordering, records, source_checks, state_checks  # noqa: F401
 from checks.registry import ORACLES, QUERIES  # noqa: F401
