@@ -9,6 +9,7 @@ from checks import (  # noqa: F401
     records,
     source_checks,
     state_checks,
+    stream_checks,
 )
 from checks.plan_checks import flagship  # noqa: F401
 from checks.registry import ORACLES, QUERIES  # noqa: F401

@@ -63,60 +63,75 @@ def _key(keys: list[str]) -> Column:
     return F.concat_ws(SEP, *[F.col(k).cast("string") for k in keys]) if keys else F.lit("")
 
 
-def compatible_counts(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-    """How many ``right`` records share ``keys`` with each ``left`` record.
-
-    ``n_all`` counts them all, ``n_ok`` those without an author conflict and
-    ``n_same`` those with a compatible author on both sides; ``match_id`` is the
-    least id among ``n_ok``.  Authors are compatible when their name words are
-    equal, or the surname is and the first initials do not differ.  The overlap
-    of the two ways is counted once and taken off.
+class Route:
+    """Records that share ``keys``, with the weight of each count in the sum."""
+
+    def __init__(self, keys: list[str], every: int = 0, ok: int = 0, same: int = 0) -> None:
+        self.keys, self.every, self.ok, self.same = keys, every, ok, same
+
+
+def class_counts(left: DataFrame, right: DataFrame, routes: list[Route]) -> DataFrame:
+    """Weighted sums over ``routes`` of how many ``right`` records meet each ``left`` one.
+
+    Per route, ``n_all`` counts the records that share the keys, ``n_ok`` those
+    without an author conflict and ``n_same`` those with a compatible author on
+    both sides; ``match_id`` is the least id among ``n_ok``.  Authors are
+    compatible when their name words are equal, or the surname is and the first
+    initials do not differ; the overlap of the two ways is counted once and taken
+    off.  Right records are counted per author class, so one join on the class
+    serves all routes and its size does not depend on how many records share a key.
     """
-    present = F.lit(True)
-    for k in keys:
-        present = present & F.col(k).isNotNull()
     words, surname, initial = F.col("name_words"), F.col("surname"), F.col("initial")
     known = surname.isNotNull()
-
-    def named(kind: str, *parts: Column) -> Column:
-        return _joined(F.lit(kind), _key(keys), *parts)
-
-    offered = F.array_compact(F.array(
-        named("all"),
-        F.when(~known, named("none")),
-        F.when(known, named("words", words)),
-        F.when(known, named("surname", surname)),
-        F.when(known, named("initial", surname, initial)),
-        F.when(known, named("words+surname", words, surname)),
-        F.when(known, named("words+initial", words, surname, initial)),
-    ))
+    full, bare = known & (initial != ""), known & (initial == "")
+    offered, asked = [], []
+    for number, route in enumerate(routes):
+        present = F.lit(True)
+        for k in route.keys:
+            present = present & F.col(k).isNotNull()
+
+        def named(kind: str, *parts: Column, number=number, route=route) -> Column:
+            return _joined(F.lit(f"{number}{kind}"), _key(route.keys), *parts)
+
+        def ask(probe: Column, every: int, ok: int, same: int, route=route) -> Column:
+            return F.struct(
+                probe.alias("probe"), F.lit(every * route.every).alias("a"), F.lit(ok * route.ok).alias("o"),
+                F.lit(same * route.same).alias("s"), F.lit(ok > 0 and route.ok > 0).alias("m"),
+            )
+
+        by_author = bool(route.ok or route.same)
+        if route.every or route.ok:
+            offered.append(F.when(present, named("all")))
+            asked.append(F.when(present & known, ask(named("all"), 1, 0, 0)).when(present, ask(named("all"), 1, 1, 0)))
+        if route.ok:
+            offered.append(F.when(present & ~known, named("none")))
+            asked.append(F.when(present & known, ask(named("none"), 0, 1, 0)))
+        if by_author:
+            there = present & known
+            offered += [
+                F.when(there, named("words", words)), F.when(there, named("surname", surname)),
+                F.when(there, named("initial", surname, initial)), F.when(there, named("words+surname", words, surname)),
+                F.when(there, named("words+initial", words, surname, initial)),
+            ]
+            asked += [
+                F.when(there, ask(named("words", words), 0, 1, 1)),
+                F.when(present & full, ask(named("initial", surname, initial), 0, 1, 1)),
+                F.when(present & full, ask(named("initial", surname, F.lit("")), 0, 1, 1)),
+                F.when(present & full, ask(named("words+initial", words, surname, initial), 0, -1, -1)),
+                F.when(present & full, ask(named("words+initial", words, surname, F.lit("")), 0, -1, -1)),
+                F.when(present & bare, ask(named("surname", surname), 0, 1, 1)),
+                F.when(present & bare, ask(named("words+surname", words, surname), 0, -1, -1)),
+            ]
     classes = (
-        right.filter(present).select("record_id", F.explode(offered).alias("probe"))
+        right.select("record_id", F.explode(F.array_compact(F.array(*offered))).alias("probe"))
         .groupBy("probe").agg(F.count("*").alias("n"), F.min("record_id").alias("least_id"))
     )
-
-    def ask(probe: Column, all_: int, ok: int, same: int) -> Column:
-        return F.struct(probe.alias("probe"), F.lit(all_).alias("a"), F.lit(ok).alias("o"), F.lit(same).alias("s"))
-
-    full = known & (initial != "")
-    bare = known & (initial == "")
-    asked = F.array_compact(F.array(
-        F.when(known, ask(named("all"), 1, 0, 0)).otherwise(ask(named("all"), 1, 1, 0)),
-        F.when(known, ask(named("none"), 0, 1, 0)),
-        F.when(known, ask(named("words", words), 0, 1, 1)),
-        F.when(full, ask(named("initial", surname, initial), 0, 1, 1)),
-        F.when(full, ask(named("initial", surname, F.lit("")), 0, 1, 1)),
-        F.when(full, ask(named("words+initial", words, surname, initial), 0, -1, -1)),
-        F.when(full, ask(named("words+initial", words, surname, F.lit("")), 0, -1, -1)),
-        F.when(bare, ask(named("surname", surname), 0, 1, 1)),
-        F.when(bare, ask(named("words+surname", words, surname), 0, -1, -1)),
-    ))
-    asks = left.filter(present).select("record_id", F.explode(asked).alias("q")).select("record_id", "q.*")
+    asks = left.select("record_id", F.explode(F.array_compact(F.array(*asked))).alias("q")).select("record_id", "q.*")
     return asks.join(classes, "probe").groupBy("record_id").agg(
         F.sum(F.col("a") * F.col("n")).alias("n_all"),
         F.sum(F.col("o") * F.col("n")).alias("n_ok"),
         F.sum(F.col("s") * F.col("n")).alias("n_same"),
-        F.min(F.when(F.col("o") > 0, F.col("least_id"))).alias("match_id"),
+        F.min(F.when(F.col("m"), F.col("least_id"))).alias("match_id"),
     )
 
 
@@ -135,22 +150,13 @@ def block_counts(left: DataFrame, right: DataFrame) -> DataFrame:
 
 def exact_matches(left: DataFrame, right: DataFrame) -> DataFrame:
     """Counts over pairs that share a DOI or a folded title: ``n_equivalent``, ``n_review``."""
-    empty = left.select("record_id")
-    parts = [(["doi"], 1), (["title_fold"], 1), (["doi", "title_fold"], -1)]
-    rows = None
-    for keys, sign in parts:
-        counted = compatible_counts(left, right, keys).select(
-            "record_id", (F.col("n_ok") * sign).alias("ok"), (F.col("n_all") * sign).alias("every"), "match_id"
-        )
-        rows = counted if rows is None else rows.unionByName(counted)
-    summed = rows.groupBy("record_id").agg(
-        F.sum("ok").alias("n_equivalent"), (F.sum("every") - F.sum("ok")).alias("n_review"),
-        F.min("match_id").alias("match_id"),
-    )
+    summed = class_counts(left, right, [
+        Route(["doi"], every=1, ok=1), Route(["title_fold"], every=1, ok=1), Route(["doi", "title_fold"], every=-1, ok=-1),
+    ])
     zero = F.lit(0)
-    return empty.join(summed, "record_id", "left").select(
-        "record_id", F.coalesce("n_equivalent", zero).alias("n_equivalent"),
-        F.coalesce("n_review", zero).alias("n_review"), "match_id",
+    return left.select("record_id").join(summed, "record_id", "left").select(
+        "record_id", F.coalesce("n_ok", zero).alias("n_equivalent"),
+        (F.coalesce("n_all", zero) - F.coalesce("n_ok", zero)).alias("n_review"), "match_id",
     )
 
 
@@ -301,6 +307,7 @@ def identity_counts(left: DataFrame, right: DataFrame, use_sequence: bool = True
     Near pairs are summed per left profile.  Those that also share the record's
     DOI were counted by the exact route and are taken off.
     """
+    left, right = cut(left), cut(right)  # folded once, read by every route
     near = cut(near_pairs(left, right, use_sequence).select("left_profile", "right_profile", "level"))
     totals = right.groupBy(F.col("profile").alias("right_profile")).agg(
         F.count("*").alias("n"), F.min("record_id").alias("least_id")
@@ -357,7 +364,7 @@ def doi_lookup(candidates: DataFrame, works: DataFrame) -> DataFrame:
 
 def title_lookup(left: DataFrame, right: DataFrame) -> DataFrame:
     """Outcome of looking candidates up by equal folded title, judged by author."""
-    counts = compatible_counts(left, right, ["title_fold"])
+    counts = class_counts(left, right, [Route(["title_fold"], every=1, ok=1)])
     n_all, n_ok = F.coalesce("n_all", F.lit(0)), F.coalesce("n_ok", F.lit(0))
     return left.select("record_id").join(counts, "record_id", "left").select(
         "record_id", n_all.alias("n_same_title"), n_ok.alias("n_equivalent"),
@@ -376,30 +383,17 @@ def dedupe_decisions(works: DataFrame) -> DataFrame:
     inclusion and exclusion over the shared keys.  Needs ``source_id`` and a
     non-null ``work_type``.
     """
-    def union_size(conditions: list[tuple[list[str], bool]], value: str) -> DataFrame:
-        rows = None
-        for size in range(1, len(conditions) + 1):
-            for chosen in combinations(conditions, size):
-                keys = sorted({k for ks, _ in chosen for k in ks})
-                column = value if not any(same for _, same in chosen) else "n_same"
-                part = compatible_counts(works, works, keys).select(
-                    "record_id", (F.col(column) * (1 if size % 2 else -1)).alias("n"), "match_id"
-                )
-                rows = part if rows is None else rows.unionByName(part)
-        return rows.groupBy("record_id").agg(F.sum("n").alias("n"))
-
-    source = (["source_id"], False)
-    merged = [
-        (compatible_counts(works, works, ["source_id"]), "n_all", 1),
-        (compatible_counts(works, works, ["doi", "work_type"]), "n_ok", 1),
-        (compatible_counts(works, works, ["doi", "work_type", "source_id"]), "n_ok", -1),
-    ]
-    rows = None
-    for part, column, sign in merged:
-        one = part.select("record_id", (F.col(column) * sign).alias("n"))
-        rows = one if rows is None else rows.unionByName(one)
-    automatic = rows.groupBy("record_id").agg(F.sum("n").alias("n_auto"))
-    every = union_size([source, (["doi"], False), (["title_fold"], False), ([], True)], "n_all").withColumnRenamed("n", "n_any")
+    automatic = class_counts(works, works, [
+        Route(["source_id"], every=1), Route(["doi", "work_type"], ok=1), Route(["doi", "work_type", "source_id"], ok=-1),
+    ]).select("record_id", (F.col("n_all") + F.col("n_ok")).alias("n_auto"))
+    conditions = [(["source_id"], False), (["doi"], False), (["title_fold"], False), ([], True)]
+    routes = []
+    for size in range(1, len(conditions) + 1):
+        for chosen in combinations(conditions, size):
+            keys = sorted({k for ks, _ in chosen for k in ks})
+            sign = 1 if size % 2 else -1
+            routes.append(Route(keys, same=sign) if any(same for _, same in chosen) else Route(keys, every=sign))
+    every = class_counts(works, works, routes).select("record_id", (F.col("n_all") + F.col("n_same")).alias("n_any"))
     zero = F.lit(0)
     self_auto = (F.col("source_id").isNotNull() | F.col("doi").isNotNull()).cast("int")
     self_any = (

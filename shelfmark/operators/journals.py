@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from shelfmark.functions import normalise as N
 from shelfmark.operators import identity
 from shelfmark.operators.gates import within
+from shelfmark.session import cut
 
 
 def title_digest(column: Column) -> Column:
@@ -176,11 +177,11 @@ def article_hits(articles: DataFrame, external: DataFrame, use_sequence: bool =
     an equivalent with a known author whose venue, year and issue agree.
     """
     place = ["venue", "year", "issue"]
+    articles, external = cut(articles), cut(external)
     counts = identity.identity_counts(articles, external, use_sequence)
-    hits = None
-    for keys in (["title_fold"], ["doi"]):
-        part = identity.compatible_counts(articles, external, keys + place).filter("n_same > 0").select("record_id")
-        hits = part if hits is None else hits.unionByName(part)
+    hits = identity.class_counts(articles, external, [
+        identity.Route(["title_fold", *place], same=1), identity.Route(["doi", *place], same=1)
+    ]).filter("n_same > 0").select("record_id")
     near = identity.near_pairs(articles, external, use_sequence).filter("level = 'equivalent'")
     wanted = articles.select("record_id", F.col("profile").alias("left_profile"), *place)
     offered = external.select(F.col("profile").alias("right_profile"), *place).distinct()

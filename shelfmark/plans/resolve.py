@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from shelfmark.functions import normalise as N
 from shelfmark.operators import gates, identity, types
+from shelfmark.session import cut
 
 
 def candidate_identities(candidates: DataFrame) -> DataFrame:
@@ -63,13 +64,14 @@ def resolve_records(
     did not finish.
     """
     start, end = window
+    candidates = cut(candidates)  # read by both look-ups and by the evidence
     one = best_works(candidates, first, use_sequence).select(
         "record_url", F.col("outcome").alias("first_outcome"), F.col("n_review").alias("first_review"), F.col("work").alias("w1")
     )
     two = best_works(candidates, second, use_sequence).select(
         "record_url", F.col("outcome").alias("second_outcome"), F.col("n_review").alias("second_review"), F.col("work").alias("w2")
     )
-    base = candidates.join(one, "record_url").join(two, "record_url")
+    base = cut(candidates.join(one, "record_url").join(two, "record_url"))
     # the second source only counts where the first gives no exact dated event
     settled = F.col("w1.event").isNotNull() & F.col("w1.precision").isin("day", "second")
     base = base.withColumn("w2", F.when(~F.coalesce(settled, F.lit(False)), F.col("w2"))).withColumn(
