@@ -21,6 +21,8 @@ ASCII_ONLY = r"^[\x00-\x7F]*$"
 
 @pandas_udf(StringType())
 def _compatible_lower(values: pd.Series) -> pd.Series:
+    if values.isna().all():
+        return values
     return values.map(lambda v: unicodedata.normalize("NFKC", v).casefold(), na_action="ignore")
 
 
@@ -31,6 +33,8 @@ def _without_marks(values: pd.Series) -> pd.Series:
         bare = "".join(c for c in parts if not unicodedata.combining(c))
         return unicodedata.normalize("NFKC", bare).casefold()
 
+    if values.isna().all():
+        return values
     return values.map(strip, na_action="ignore")
 
 
@@ -320,9 +324,12 @@ def issue_no(column: Column) -> Column:
     return F.when(bare == "", F.lit("0")).otherwise(bare)
 
 
+def venue_key(venue: Column) -> Column:
+    return F.regexp_replace(casefold(venue), r"(?U)\s+", "")
+
+
 def issue_key(venue: Column, year: Column, issue: Column) -> Column:
-    name = F.regexp_replace(casefold(venue), r"(?U)\s+", "")
-    return F.sha2(F.concat_ws("|", name, year.cast("string"), issue), 256)
+    return F.sha2(F.concat_ws("|", venue_key(venue), year.cast("string"), issue), 256)
 
 
 def work_id(doi: Column, provider_id: Column, url: Column) -> Column:

@@ -108,33 +108,33 @@ def cross_check(records: DataFrame, others: DataFrame) -> DataFrame:
         return test
 
     theirs = prepared(others, F.col("record_id").alias("other_id")).filter("_title IS NOT NULL")
-    offered = F.array_compact(F.array(*[F.when(holds(s), key(s, known)) for s in subsets]))
+    any_of_title = F.concat_ws("\x1f", F.col("_title"), F.lit("*"))
+    offered = F.array_compact(F.array(any_of_title, *[F.when(holds(s), key(s, known)) for s in subsets]))
     index = theirs.select("other_id", F.explode(offered).alias("probe")).groupBy("probe").agg(F.min("other_id").alias("other_id"))
-    titles = theirs.select("_title").distinct().withColumn("_met", F.lit(True))
-    ours = prepared(records, F.col("url").alias("url")).filter("_title IS NOT NULL")
-    asks = []
+    ours = prepared(records, F.col("url").alias("url"))
+    asks = [F.struct(any_of_title.alias("probe"), F.lit(2).alias("rank"))]
     for has in subsets:  # the fields a counterpart may know
         shared = F.lit(None).cast("string")
         for s in subsets:
             if set(s) <= set(has):
-                rest = [f for f in has if f not in s]
                 exact = holds(s)
-                for f in rest:
-                    exact = exact & F.col(f).isNull()
+                for f in has:
+                    if f not in s:
+                        exact = exact & F.col(f).isNull()
                 shared = F.when(exact, key(s, F.lit(",".join(has)))).otherwise(shared)
         complete = F.lit(len(has) == len(CHECK_FIELDS)) & holds(CHECK_FIELDS)
         asks.append(F.struct(shared.alias("probe"), F.when(complete, 0).otherwise(1).alias("rank")))
     best = (
-        ours.select("url", F.explode(F.array(*asks)).alias("q")).select("url", "q.*")
-        .join(index, "probe").groupBy("url").agg(F.min(F.struct("rank", "other_id")).alias("b"))
-    )
-    every = records.select("url", F.when(N.compact(F.col("title")) != "", N.compact(F.col("title"))).alias("_title"))
-    status = (
-        F.when(F.col("b.rank") == 0, "corroborated").when(F.col("b.rank") == 1, "partial")
-        .when(F.col("_met"), "conflict").otherwise("unverified")
+        ours.filter("_title IS NOT NULL").select("url", F.explode(F.array(*asks)).alias("q")).select("url", "q.*")
+        .join(index, "probe").groupBy("url").agg(
+            F.min("rank").alias("rank"), F.min(F.when(F.col("rank") == 0, F.col("other_id"))).alias("exact_id"),
+            F.min(F.when(F.col("rank") == 1, F.col("other_id"))).alias("partial_id"),
+        )
     )
-    return every.join(best, "url", "left").join(titles, "_title", "left").select(
-        "url", status.alias("status"), F.col("b.other_id").alias("other_id")
+    rank = F.col("rank")
+    status = F.when(rank == 0, "corroborated").when(rank == 1, "partial").when(rank == 2, "conflict").otherwise("unverified")
+    return records.select("url").join(best, "url", "left").select(
+        "url", status.alias("status"), F.coalesce("exact_id", "partial_id").alias("other_id")
     )
 
 

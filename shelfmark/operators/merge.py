@@ -114,18 +114,18 @@ def enrich_with_changes(candidates: DataFrame, latest: DataFrame) -> DataFrame:
 
 def group_issues(records: DataFrame) -> DataFrame:
     """Journal records -> issues; the label month stands only if all labels agree."""
-    complete = records.filter("issue <> '' AND venue <> '' AND year IS NOT NULL")
-    low, high = F.min("label_month"), F.max("label_month")
-    return (
-        complete.withColumn("issue_key", N.issue_key(F.col("venue"), F.col("year"), F.col("issue")))
-        .groupBy("issue_key").agg(
-            F.min("venue").alias("venue"), F.min("year").alias("year"), F.min("issue").alias("issue"),
-            F.when(low == high, low).alias("label_month"),
-            F.coalesce(low != high, F.lit(False)).alias("label_conflict"),
-            F.count_distinct("url").alias("n_records"),
-            _set("query").alias("queries"),
-        )
+    issue = ["_venue", "year", "issue"]
+    keyed = records.filter("issue <> '' AND venue <> '' AND year IS NOT NULL").withColumn("_venue", N.venue_key(F.col("venue")))
+    # records first, so that counts keep to fixed-width hash aggregation
+    low, high = F.min("low"), F.max("high")
+    counts = keyed.groupBy(*issue, "url").agg(F.min("label_month").alias("low"), F.max("label_month").alias("high")).groupBy(*issue).agg(
+        F.when(low == high, low).alias("label_month"), F.coalesce(low != high, F.lit(False)).alias("label_conflict"),
+        F.count("*").alias("n_records"),
     )
+    queries = keyed.select(*issue, "venue", "query").distinct().groupBy(*issue).agg(F.min("venue").alias("venue"), _set("query").alias("queries"))
+    return counts.join(queries, issue).withColumn(
+        "issue_key", F.sha2(F.concat_ws("|", "_venue", F.col("year").cast("string"), "issue"), 256)
+    ).drop("_venue")
 
 
 def merge_work(works: DataFrame, evidence: DataFrame | None = None) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfmark.operators.gates import instant
-from shelfmark.session import cut, small_or_plain
+from shelfmark.session import cut_in_order, small_or_plain
 
 
 def with_position(df: DataFrame, order: list[Column], groups: list[str] | None = None, name: str = "position") -> DataFrame:
@@ -17,7 +17,7 @@ def with_position(df: DataFrame, order: list[Column], groups: list[str] | None =
     """
     groups = groups or []
     ordered = df.orderBy(*[F.col(g) for g in groups], *order)
-    placed = cut(
+    placed = cut_in_order(
         ordered.withColumn("_part", F.spark_partition_id()).withColumn("_seq", F.monotonically_increasing_id())
     )
     sizes = placed.groupBy("_part", *groups).agg(F.count("*").alias("_n"), F.min("_seq").alias("_first"))

@@ -14,7 +14,10 @@ RUNTIME_SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # sets have small fixed domains here, so more groups fit in memory before sorting
+    "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "32768",
 }
 
 
@@ -60,7 +63,18 @@ def shared_path(spark: SparkSession, name: str) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: a reliable lineage cut."""
+    """Write ``df`` to the shared folder and read it back.
+
+    Lost executors then cost no earlier work, and the written table has column
+    pruning and true sizes for the planner.
+    """
+    path = shared_path(df.sparkSession, "cut")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def cut_in_order(df: DataFrame) -> DataFrame:
+    """A reliable checkpoint: keeps the partitions of ``df`` and the order inside them."""
     checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
