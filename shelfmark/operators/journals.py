@@ -57,14 +57,27 @@ def _same(left: str, right: str) -> Column:
     return F.coalesce(N.same_text(N.compact(F.col(left)), N.compact(F.col(right))), F.lit(False))
 
 
+def _names(df: DataFrame, column: str) -> Column:
+    """Compact author names of a text or an array column, in order; NULL if there are none."""
+    value = F.col(column)
+    if dict(df.dtypes)[column] == "string":
+        value = F.array(value)
+    # folded as one text: a Python function cannot run inside an array transform
+    folded = F.split(N.casefold(F.array_join(value, "\x1f")), "\x1f")
+    names = F.filter(F.transform(folded, lambda v: F.regexp_replace(v, r"[^\p{L}\p{N}]", "")), lambda v: v != "")
+    return F.when(F.size(names) > 0, names)
+
+
 def corroborate(records: DataFrame, evidence: DataFrame) -> DataFrame:
     """Field-by-field comparison with the reviewed evidence of the same URL."""
-    e = evidence.select("url", *[F.col(c).alias(f"e_{c}") for c in ("title", "authors", "venue", "year", "issue")])
-    joined = records.join(e, "url")
+    e = evidence.select(
+        "url", *[F.col(c).alias(f"e_{c}") for c in ("title", "venue", "year", "issue")], _names(evidence, "authors").alias("e_names")
+    )
+    joined = records.withColumn("_names", _names(records, "authors")).join(e, "url")
     known = F.col("year").isNotNull() & F.col("issue").isNotNull()
     conflicts = F.array_compact(F.array(
         F.when(~_same("title", "e_title"), "title"),
-        F.when(~_same("authors", "e_authors"), "authors"),
+        F.when(~F.coalesce(F.col("_names") == F.col("e_names"), F.lit(False)), "authors"),
         F.when(~_same("venue", "e_venue"), "venue"),
         F.when(F.col("year") != F.col("e_year"), "year"),
         F.when(N.issue_no(F.col("issue")) != N.issue_no(F.col("e_issue")), "issue"),
@@ -84,7 +97,8 @@ def cross_check(records: DataFrame, others: DataFrame) -> DataFrame:
     something unknown) beats ``conflict``; no record of the title is
     ``unverified``, which never means absent.  Rows of a title are matched by
     equal keys over the fields both sides know, so a title borne by many records
-    (every issue's editorial) yields no pairs.
+    (every issue's editorial) yields no pairs.  Authors agree when the other
+    record's list begins with this one's: it offers a key per prefix of its list.
     """
     def prepared(df, keep):
         compacted = df.withColumn("_title", N.compact(F.col("title"))).withColumn("_v_venue", N.compact(F.col("venue")))
@@ -92,7 +106,7 @@ def cross_check(records: DataFrame, others: DataFrame) -> DataFrame:
             keep, F.when(F.col("_title") != "", F.col("_title")).alias("_title"),
             F.when(F.col("_v_venue") != "", F.col("_v_venue")).alias("venue"), F.col("year").cast("string").alias("year"),
             N.issue_no(F.when(F.col("issue") != "", F.col("issue"))).alias("issue"),
-            F.when(N.compact(F.col("authors")) != "", N.compact(F.col("authors"))).alias("authors"),
+            _names(df, "authors").alias("names"),
         )
 
     known = F.array_join(F.array_compact(F.array(*[F.when(F.col(f).isNotNull(), F.lit(f)) for f in CHECK_FIELDS])), ",")
@@ -107,11 +121,18 @@ def cross_check(records: DataFrame, others: DataFrame) -> DataFrame:
             test = test & F.col(f).isNotNull()
         return test
 
-    theirs = prepared(others, F.col("record_id").alias("other_id")).filter("_title IS NOT NULL")
+    listed = prepared(others, F.col("record_id").alias("other_id")).filter("_title IS NOT NULL")
+    lengths = F.sequence(F.lit(1), F.size("names"))
+    theirs = listed.select("*", F.posexplode_outer(F.when(F.col("names").isNotNull(), lengths)).alias("_place", "_length")).withColumn(
+        "authors", F.array_join(F.slice("names", F.lit(1), F.col("_length")), "\x1e")
+    )
+    once = F.coalesce(F.col("_place"), F.lit(0)) == 0
     any_of_title = F.concat_ws("\x1f", F.col("_title"), F.lit("*"))
-    offered = F.array_compact(F.array(any_of_title, *[F.when(holds(s), key(s, known)) for s in subsets]))
+    offered = F.array_compact(F.array(F.when(once, any_of_title), *[
+        F.when(holds(s) if "authors" in s else holds(s) & once, key(s, known)) for s in subsets
+    ]))
     index = theirs.select("other_id", F.explode(offered).alias("probe")).groupBy("probe").agg(F.min("other_id").alias("other_id"))
-    ours = prepared(records, F.col("url").alias("url"))
+    ours = prepared(records, F.col("url").alias("url")).withColumn("authors", F.array_join("names", "\x1e"))
     asks = [F.struct(any_of_title.alias("probe"), F.lit(2).alias("rank"))]
     for has in subsets:  # the fields a counterpart may know
         shared = F.lit(None).cast("string")

@@ -281,3 +281,18 @@ def test_transition_rules(spark):
         "u1": ("blocked", "2024-02-01 00:00:00"), "u2": ("reviewed", "None"), "u3": ("blocked", "2024-01-01 00:00:00"),
     }
     assert {r.url: r.refusal for r in refused.collect()} == {"u2": "reviewed_is_final", "u9": "unknown_link"}
+
+
+def test_cross_check_takes_longer_author_lists(spark):
+    shape = "title string, authors array<string>, venue string, year int, issue string"
+    ours = spark.createDataFrame([
+        ("u1", "A Title", ["Ann Lee"], "V", 2020, "01"), ("u2", "A Title", ["Ann Lee", "Bo Reid"], "V", 2020, "2"), ("u3", "Else", None, "V", 2020, "1"),
+        ("u4", "A title", ["Bo Reid"], "V", 2020, "1"), ("u5", "A title", ["ann lee"], None, 2020, "1"), ("u6", "Gone", ["X"], "V", 2020, "1"),
+    ], "url string, " + shape)
+    others = spark.createDataFrame([
+        (1, "a title", ["Ann LEE", "Cy"], "v", 2020, "1"), (2, "A Title", ["Ann Lee", "Bo Reid", "Cy"], "V", 2020, "02"), (3, "else", ["Z"], "V", None, "1"),
+    ], "record_id long, " + shape)
+    got = {r.url: (r.status, r.other_id) for r in journals.cross_check(ours, others).collect()}
+    assert got == {
+        "u1": ("corroborated", 1), "u2": ("corroborated", 2), "u3": ("partial", 3), "u4": ("conflict", None), "u5": ("partial", 1), "u6": ("unverified", None),
+    }
