@@ -8,6 +8,7 @@ from checks.registry import check
 from checks.views import Tables, cat, pick
 from shelfmark.functions import normalise as N
 from shelfmark.operators import graph, identity, merge, reviews, types
+from shelfmark.session import cut
 
 TOKENS = (
     "list_sort(list_distinct(list_filter(string_split(title_fold, ' '), lambda x: x <> '' AND NOT list_contains("
@@ -66,7 +67,7 @@ def ident_records(t: Tables):
 
 
 def sides(t: Tables):
-    every = identity.identities(ident_records(t))
+    every = cut(identity.identities(ident_records(t)))
     return every.filter("record_id % 2 = 0"), every.filter("record_id % 2 = 1")
 
 

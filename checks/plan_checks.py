@@ -179,27 +179,41 @@ def _(t):
 def search_inputs(t: Tables):
     groups = t.spark.createDataFrame([("g1", "click"), ("g1", "view"), ("g2", "purchase")], "root_id string, category_id string")
     excluded = t.spark.createDataFrame([("error",)], "category_id string")
-    reviewed = t.v_unresolved.filter("attempts = 1").select(cat(F.col("record_url"), "-5").alias("record_url"), F.lit(2022).alias("publication_year"))
+    n = F.regexp_extract("title", r"(\d+)", 1)
+    reviewed = t.v_unresolved.filter("attempts = 1").select(
+        cat(F.col("record_url"), "-5/").alias("record_url"), cat("RECORD ", n, "!").alias("source_title"), F.lit("Lee, A.").alias("source_author"),
+        cat("Verified ", n).alias("verified_title"), F.lit("Ann Lee").alias("verified_author"), F.lit(None).cast("string").alias("review_doi"),
+        F.lit(2022).alias("review_year"),
+    )
     return groups, excluded, reviewed
 
 
 def search(t: Tables):
     groups, excluded, reviewed = search_inputs(t)
+    rare = (F.col("category_id") == "error") & (F.col("event_id") % 50 != 0)
+    shown = sparse(t).withColumn("title", cat("Lee, Ann: ", F.col("title"))).withColumn(
+        "category_id", F.when(rare, "view").otherwise(F.col("category_id"))
+    )
     return runs.paper_search(
-        sparse(t), second_works(t), groups, 2, excluded, reviewed, mode="any", years=(2015, 2023), use_sequence=False
+        shown, second_works(t), groups, 2, excluded, reviewed, mode="any", years=(2015, 2023), use_sequence=False
     )
 
 
+RARE_ERRORS = _sparse_sql().replace(
+    "AS record_url) FROM v_feed_entries)",
+    "AS record_url, CASE WHEN category_id = 'error' AND event_id % 50 <> 0 THEN 'view' ELSE category_id END AS category_id) FROM v_feed_entries)",
+)
 SEARCH = f"""
-    WITH m AS (SELECT *, CAST(split_part(title, ' ', 2) AS INTEGER) AS u FROM ({_sparse_sql()})),
+    WITH m AS (SELECT *, CAST(split_part(title, ' ', 2) AS INTEGER) AS u FROM ({RARE_ERRORS})),
     rv AS (SELECT record_url || '-5' AS record_url, 2022 AS y FROM v_unresolved WHERE attempts = 1),
-    g AS (SELECT m.*, rv.y, len(years) > 0 OR rv.y IS NOT NULL AS pass FROM m LEFT JOIN rv USING (record_url)),
-    k AS (SELECT *, u % 15 = 0 AS unclear, u % 3 = 0 AS has FROM g WHERE pass),
+    v AS (SELECT m.*, CASE WHEN n_dois = 0 AND (len(years) = 0 OR list_contains(years, 2022)) THEN rv.y END AS y FROM m LEFT JOIN rv USING (record_url)),
+    g AS (SELECT *, len(years) > 0 OR y IS NOT NULL AS pass FROM v),
+    k AS (SELECT *, u % 15 = 0 OR (y IS NOT NULL AND u % 3 = 0 AND u // 3 % 3 < 2) AS unclear, u % 3 = 0 AS has FROM g WHERE pass),
     ev AS (SELECT record_url AS id, 'feed-description' AS provider, unnest(types) AS raw_type FROM k
       UNION ALL SELECT record_url, 'openalex', CASE u // 3 % 4 WHEN 1 THEN 'preprint' WHEN 3 THEN 'book' ELSE 'article' END FROM k WHERE has AND NOT unclear),
     ty AS ({resolved_types('FROM ev')}),
     it AS (SELECT k.record_url, coalesce(ty.work_type, 'unknown') AS kind, cats, CASE WHEN has THEN 'W' || u WHEN doi IS NOT NULL THEN doi ELSE k.record_url END AS gid,
-        coalesce(CASE WHEN has THEN CASE u // 3 % 3 WHEN 0 THEN 2024 WHEN 1 THEN 2020 END END, y) AS year, CASE WHEN has AND u % 2 = 0 THEN u % 11 END AS citations
+        coalesce(y, CASE WHEN has THEN CASE u // 3 % 3 WHEN 0 THEN 2024 WHEN 1 THEN 2020 END END) AS year, CASE WHEN has AND u % 2 = 0 THEN u % 11 END AS citations
       FROM k LEFT JOIN ty ON ty.id = k.record_url WHERE NOT unclear),
     gr AS (SELECT min(record_url) AS record_url, count(*) AS n_records, CASE WHEN count(DISTINCT kind) = 1 THEN min(kind) ELSE 'conflict' END AS kind,
         CASE WHEN count(DISTINCT year) = 1 THEN min(year) END AS year, CASE WHEN count(DISTINCT citations) = 1 THEN min(citations) END AS citations, list_distinct(flatten(list(cats))) AS cats FROM it GROUP BY gid),

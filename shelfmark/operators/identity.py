@@ -305,9 +305,9 @@ def identity_counts(left: DataFrame, right: DataFrame, use_sequence: bool = True
     """Equivalent and review-required right records of each left record, over all routes.
 
     Near pairs are summed per left profile.  Those that also share the record's
-    DOI were counted by the exact route and are taken off.
+    DOI were counted by the exact route and are taken off.  Both sides are read
+    by every route, so pass them written out (``session.cut``).
     """
-    left, right = cut(left), cut(right)  # folded once, read by every route
     near = cut(near_pairs(left, right, use_sequence).select("left_profile", "right_profile", "level"))
     totals = right.groupBy(F.col("profile").alias("right_profile")).agg(
         F.count("*").alias("n"), F.min("record_id").alias("least_id")

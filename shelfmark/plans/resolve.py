@@ -25,9 +25,12 @@ def work_identities(works: DataFrame) -> DataFrame:
     ))
 
 
-def best_works(candidates: DataFrame, works: DataFrame, use_sequence: bool = True) -> DataFrame:
-    """``record_url`` with outcome and the fields of its unique equivalent work."""
-    counts = identity.identity_counts(candidate_identities(candidates), work_identities(works), use_sequence)
+def best_works(wanted: DataFrame, works: DataFrame, use_sequence: bool = True) -> DataFrame:
+    """``record_url`` with outcome and the fields of its unique equivalent work.
+
+    ``wanted`` are candidate identities, written out.
+    """
+    counts = identity.identity_counts(wanted, cut(work_identities(works)), use_sequence)
     picked = identity.pick_unique(counts)
     fields = ["work_key", "doi", "title", "authors", "raw_type", "value", "precision", "event"]
     found = works.select(F.col("work_key").alias("match_id"), F.struct(*fields).alias("work"))
@@ -50,9 +53,19 @@ def type_evidence(candidates: DataFrame, matched: dict[str, DataFrame]) -> DataF
     return rows.withColumnRenamed("record_url", "record_id")
 
 
+def reviewed_types(candidates: DataFrame, evidence: DataFrame, reviews: DataFrame | None) -> DataFrame:
+    """``record_id, work_type, type_status`` after document inspections, if any."""
+    resolved = types.resolve_type(evidence)
+    if reviews is None:
+        return resolved.select("record_id", "work_type", "type_status")
+    shown = N.split_display(F.col("title"))
+    titles = candidates.select(F.col("record_url").alias("record_id"), N.title_norm(shown["title"]).alias("title_norm"))
+    return types.apply_type_reviews(evidence, resolved, titles, reviews)
+
+
 def resolve_records(
     candidates: DataFrame, first: DataFrame, second: DataFrame, window: tuple, lookup_failed: DataFrame | None = None,
-    held: DataFrame | None = None, use_sequence: bool = True,
+    held: DataFrame | None = None, type_reviews: DataFrame | None = None, use_sequence: bool = True,
 ) -> DataFrame:
     """One row per candidate: a resolved work or a reason code.
 
@@ -61,14 +74,16 @@ def resolve_records(
     review, failed look-up, DOI conflict, type failure, dated publication (first
     source, then second), and last the feed's own arrival evidence.  ``held``
     lists records with open identity pairs, ``lookup_failed`` those whose look-up
-    did not finish.
+    did not finish; ``type_reviews`` are document inspections (see
+    ``types.apply_type_reviews``).
     """
     start, end = window
     candidates = cut(candidates)  # read by both look-ups and by the evidence
-    one = best_works(candidates, first, use_sequence).select(
+    wanted = cut(candidate_identities(candidates))
+    one = best_works(wanted, first, use_sequence).select(
         "record_url", F.col("outcome").alias("first_outcome"), F.col("n_review").alias("first_review"), F.col("work").alias("w1")
     )
-    two = best_works(candidates, second, use_sequence).select(
+    two = best_works(wanted, second, use_sequence).select(
         "record_url", F.col("outcome").alias("second_outcome"), F.col("n_review").alias("second_review"), F.col("work").alias("w2")
     )
     base = cut(candidates.join(one, "record_url").join(two, "record_url"))
@@ -81,7 +96,7 @@ def resolve_records(
         "crossref": base.select("record_url", F.col("first_outcome").alias("outcome"), F.col("w1").alias("work")),
         "openalex": base.select("record_url", F.col("second_outcome").alias("outcome"), F.col("w2").alias("work")),
     })
-    resolved = types.resolve_type(evidence).withColumnRenamed("record_id", "record_url").select("record_url", "work_type", "type_status")
+    resolved = reviewed_types(candidates, evidence, type_reviews).withColumnRenamed("record_id", "record_url")
     base = types.with_default_type(base, resolved, key="record_url")
     for name, rows in (("_failed", lookup_failed), ("_held", held)):
         if rows is None:

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.functions import normalise as N
-from shelfmark.operators import gates, graph, merge, ranking, state, taxonomy, types
-from shelfmark.plans.resolve import resolve_records, type_evidence, best_works
+from shelfmark.operators import gates, graph, merge, ranking, reviews, state, taxonomy, types
+from shelfmark.plans.resolve import best_works, candidate_identities, resolve_records, reviewed_types, type_evidence
 from shelfmark.session import cut
 from shelfmark.sources import tables
 
@@ -37,7 +37,7 @@ def works_with_categories(resolved: DataFrame) -> DataFrame:
 def weekly_run(
     entries: DataFrame, changes: DataFrame, first: DataFrame, second: DataFrame, profile: DataFrame, window: tuple,
     seen: DataFrame, unresolved: DataFrame, notified: DataFrame, max_attempts: int = 5, retry_days: int = 7,
-    use_sequence: bool = True,
+    held: DataFrame | None = None, type_reviews: DataFrame | None = None, use_sequence: bool = True,
 ) -> dict[str, DataFrame]:
     """All tables of one weekly run: report, notifications and the next state.
 
@@ -53,7 +53,9 @@ def weekly_run(
     due = state.due_retries(unresolved, end, max_attempts)
     chosen = state.candidates_to_process(fresh, due, current).select("record_url")
     candidates = current.join(chosen, "record_url", "left_semi")
-    resolved = cut(resolve_records(candidates, first, second, window, use_sequence=use_sequence))
+    resolved = cut(resolve_records(
+        candidates, first, second, window, held=held, type_reviews=type_reviews, use_sequence=use_sequence
+    ))
     works = works_with_categories(resolved)
     decided = cut(taxonomy.match_works(works, profile, notified))
     matches = decided.filter("decision = 'notify'").select("work_id", F.lit("weekly_new_papers").alias("kind"), F.col("observed_at").alias("matched_at"))
@@ -106,34 +108,41 @@ def on_demand(
 def paper_search(
     entries: DataFrame, works: DataFrame, groups: DataFrame, n_groups: int, excluded: DataFrame, bibliography: DataFrame,
     mode: str = "any", work_types: list[str] | None = None, years: tuple[int | None, int | None] = (None, None),
-    use_sequence: bool = True,
+    type_reviews: DataFrame | None = None, use_sequence: bool = True,
 ) -> tuple[DataFrame, DataFrame]:
     """All matching records (to be ranked and paged), and the records set aside with a reason.
 
-    Steps: year gate before any look-up, identity, grouping by shared
-    identifiers, then the filters in their order.
+    Steps: reviewed corrections (``bibliography``, see
+    ``reviews.apply_bibliographic_reviews``), year gate before any look-up,
+    identity, grouping by shared identifiers, then the filters in their order.
     """
-    bound = years != (None, None)
-    merged = merge.merge_feeds(entries)
-    if bound:
-        gated = gates.year_hint_gate(merged, bibliography)
-    else:
-        gated = merged.withColumn("gate", F.lit("pass")).withColumn("reviewed_year", F.lit(None).cast("int"))
-    gated = cut(gated)
+    shown = N.split_display(F.col("title"))
+    merged = cut(merge.merge_feeds(entries))
+    facts = merged.select("record_url", shown["title"].alias("title"), shown["author"].alias("author"), "doi", "n_dois", "year_hints")
+    corrected = reviews.apply_bibliographic_reviews(facts, bibliography).select(
+        "record_url", F.col("title").alias("shown_title"), F.col("doi").alias("shown_doi"), "reviewed", "reviewed_year"
+    )
+    passes = (F.size("year_hints") > 0) | F.col("reviewed_year").isNotNull()
+    bound = F.lit(years != (None, None))
+    gated = cut(merged.join(corrected, "record_url").withColumn(
+        "gate", F.when(~bound | passes, "pass").otherwise("year_review_pending")
+    ))
     candidates = gated.filter("gate = 'pass'").withColumn("change_type", F.lit(None).cast("string"))
-    matched = cut(best_works(candidates, works, use_sequence))
+    matched = cut(best_works(cut(candidate_identities(candidates)), works, use_sequence))
     known = candidates.join(matched, "record_url")
-    unclear = (F.col("outcome") == "ambiguous") | (F.col("n_dois") > 1) | (F.col("n_review") > 0)
+    work_year = F.left("work.value", F.lit(4)).cast("int")
+    other_year = F.col("reviewed") & F.coalesce(work_year != F.col("reviewed_year"), F.lit(False))
+    unclear = (F.col("outcome") == "ambiguous") | (F.col("n_dois") > 1) | (F.col("n_review") > 0) | other_year
     identified = known.filter(~unclear)
-    resolved = types.resolve_type(type_evidence(candidates, {"openalex": matched})).select("record_id", "work_type", "type_status")
-    shown = N.split_display(F.col("title"))
+    resolved = reviewed_types(candidates, type_evidence(candidates, {"openalex": matched}), type_reviews)
     citations = works.select(F.col("work_key").alias("_key"), "citations")
     items = (
         identified.join(citations, F.col("work.work_key") == F.col("_key"), "left")
         .select(
-            F.col("record_url").alias("record_id"), "record_url", F.coalesce("work.title", shown["title"]).alias("title"),
-            F.coalesce("work.doi", F.when(F.col("work").isNull(), F.col("doi"))).alias("doi"), F.col("work.work_key").alias("provider_id"),
-            F.coalesce(F.left("work.value", F.lit(4)).cast("int"), "reviewed_year").alias("year"), "citations", "category_ids",
+            F.col("record_url").alias("record_id"), "record_url",
+            F.when(F.col("reviewed"), F.col("shown_title")).otherwise(F.coalesce("work.title", "shown_title")).alias("title"),
+            F.coalesce("work.doi", F.when(F.col("work").isNull(), F.col("shown_doi"))).alias("doi"), F.col("work.work_key").alias("provider_id"),
+            F.coalesce(F.when(F.col("reviewed"), F.col("reviewed_year")), work_year).alias("year"), "citations", "category_ids",
         )
     )
     items = cut(types.with_default_type(items, resolved, "unknown"))
