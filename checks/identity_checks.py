@@ -254,7 +254,7 @@ def _(t):
     two = base.filter(d % 18 == 0).select(
         "record_id", "title_norm", F.lit("editorial").alias("work_type"), F.array("fingerprint").alias("fingerprints")
     )
-    return types.apply_type_reviews(t.v_type_evidence, resolved, titles, one.unionByName(two))
+    return types.apply_type_reviews(resolved, titles, one.unionByName(two))
 
 
 @check("d13_apply_bibliographic_reviews", """

@@ -89,14 +89,15 @@ def resolved_sql(candidates: str, failed: str = "record_url LIKE '%-7'") -> str:
       CASE WHEN reason_code IS NULL THEN kind END AS work_type,
       CASE WHEN reason_code IS NULL THEN CASE WHEN fresh <> 'uncertain' THEN fresh WHEN stale THEN 'newly_indexed_old_work' ELSE 'confirmed_source_arrival' END END AS freshness,
       CASE WHEN reason_code IS NULL THEN CASE WHEN fresh <> 'uncertain' THEN event WHEN stale THEN 'newly_indexed_old_work' WHEN changed_at IS NOT NULL THEN 'recently_changed' ELSE 'recently_arrived' END END AS freshness_event,
-      CASE WHEN reason_code IS NULL THEN value END AS publication_date, cats, title FROM z"""
+      CASE WHEN reason_code IS NULL THEN value END AS publication_date, cats, title,
+      (SELECT list({{'p': ev.provider, 'r': ev.raw_type}}) FROM ev WHERE ev.id = z.record_url) AS evl FROM z"""
 
 
-@check("f08_resolve_records", f"SELECT * EXCLUDE (cats, title) FROM ({resolved_sql(SPARSE_ENRICHED)})")
+@check("f08_resolve_records", f"SELECT * EXCLUDE (cats, title, evl) FROM ({resolved_sql(SPARSE_ENRICHED)})")
 def _(t):
     candidates = sparse_enriched(t)
     failed = candidates.filter("record_url LIKE '%-7'").select("record_url")
-    out = resolve_records(candidates, first_works(t), second_works(t), WINDOW, lookup_failed=failed, use_sequence=False)
+    out, _evidence = resolve_records(candidates, first_works(t), second_works(t), WINDOW, lookup_failed=failed, use_sequence=False)
     return out.select("record_url", "reason_code", "work_id", "work_type", "freshness", "freshness_event", "publication_date")
 
 
@@ -113,10 +114,10 @@ IN_WINDOW = SPARSE_ENRICHED.replace(
 
 def matched_sql(resolved: str) -> str:
     return f"""
-    WITH r AS ({resolved}), m AS (
+    WITH r AS ({resolved}), ev2 AS (SELECT work_id AS id, e.p AS provider, e.r AS raw_type FROM (SELECT work_id, unnest(evl) AS e FROM r WHERE work_id IS NOT NULL)), m AS (
       SELECT work_id, CASE WHEN count(DISTINCT freshness) = 1 AND count(DISTINCT freshness_event) = 1 AND count(DISTINCT coalesce(publication_date, '')) = 1 THEN min(freshness) ELSE 'uncertain' END AS freshness,
-        CASE WHEN min(work_type) = max(work_type) THEN min(work_type) ELSE 'conflict' END AS work_type, list_distinct(flatten(list(cats))) AS cats
-      FROM r WHERE work_id IS NOT NULL GROUP BY work_id)
+        CASE WHEN count(*) = 1 THEN min(work_type) ELSE coalesce(min(ty2.again), min(work_type)) END AS work_type, list_distinct(flatten(list(cats))) AS cats
+      FROM r LEFT JOIN (SELECT id, work_type AS again FROM ({resolved_types('FROM ev2')})) ty2 ON ty2.id = work_id WHERE work_id IS NOT NULL GROUP BY work_id)
     SELECT work_id, freshness, CASE WHEN work_type NOT IN ({sql_list(vocab.SUPPORTED_TYPES)}) THEN 'unsupported_work_type' WHEN freshness NOT IN ('confirmed_new', 'confirmed_source_arrival') THEN 'not_confirmed_new'
       WHEN list_contains(cats, 'error') THEN 'excluded_category_match' WHEN NOT (list_contains(cats, 'click') OR list_contains(cats, 'view')) THEN 'no_category_overlap' ELSE 'notify' END AS decision FROM m"""
 
@@ -211,12 +212,12 @@ SEARCH = f"""
     k AS (SELECT *, u % 15 = 0 OR (y IS NOT NULL AND u % 3 = 0 AND u // 3 % 3 < 2) AS unclear, u % 3 = 0 AS has FROM g WHERE pass),
     ev AS (SELECT record_url AS id, 'feed-description' AS provider, unnest(types) AS raw_type FROM k
       UNION ALL SELECT record_url, 'openalex', CASE u // 3 % 4 WHEN 1 THEN 'preprint' WHEN 3 THEN 'book' ELSE 'article' END FROM k WHERE has AND NOT unclear),
-    ty AS ({resolved_types('FROM ev')}),
-    it AS (SELECT k.record_url, coalesce(ty.work_type, 'unknown') AS kind, cats, CASE WHEN has THEN 'W' || u WHEN doi IS NOT NULL THEN doi ELSE k.record_url END AS gid,
+    it AS (SELECT k.record_url, cats, CASE WHEN has THEN 'W' || u WHEN doi IS NOT NULL THEN doi ELSE k.record_url END AS gid,
         coalesce(y, CASE WHEN has THEN CASE u // 3 % 3 WHEN 0 THEN 2024 WHEN 1 THEN 2020 END END) AS year, CASE WHEN has AND u % 2 = 0 THEN u % 11 END AS citations
-      FROM k LEFT JOIN ty ON ty.id = k.record_url WHERE NOT unclear),
-    gr AS (SELECT min(record_url) AS record_url, count(*) AS n_records, CASE WHEN count(DISTINCT kind) = 1 THEN min(kind) ELSE 'conflict' END AS kind,
-        CASE WHEN count(DISTINCT year) = 1 THEN min(year) END AS year, CASE WHEN count(DISTINCT citations) = 1 THEN min(citations) END AS citations, list_distinct(flatten(list(cats))) AS cats FROM it GROUP BY gid),
+      FROM k WHERE NOT unclear),
+    ev3 AS (SELECT gid AS id, provider, raw_type FROM ev JOIN it ON it.record_url = ev.id), ty AS ({resolved_types('FROM ev3')}),
+    gr AS (SELECT min(record_url) AS record_url, count(*) AS n_records, coalesce(min(ty.work_type), 'unknown') AS kind,
+        CASE WHEN count(DISTINCT year) = 1 THEN min(year) END AS year, CASE WHEN count(DISTINCT citations) = 1 THEN min(citations) END AS citations, list_distinct(flatten(list(cats))) AS cats FROM it LEFT JOIN ty ON ty.id = gid GROUP BY gid),
     f AS (SELECT *, CASE WHEN list_contains(cats, 'error') THEN 'excluded_category' WHEN NOT list_has_any(cats, ['click', 'view', 'purchase']) THEN 'filtered_out'
         WHEN kind IN ('unknown', 'conflict') THEN 'type_unverified' WHEN kind NOT IN ({sql_list(vocab.SUPPORTED_TYPES)}) THEN 'unsupported_type' WHEN year IS NULL THEN 'year_unknown'
         WHEN year < 2015 OR year > 2023 THEN 'filtered_out' END AS drop_reason FROM gr)"""

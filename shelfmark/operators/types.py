@@ -17,8 +17,11 @@ def resolve_type(evidence: DataFrame, key: str = "record_id") -> DataFrame:
     labels conflict; ``other`` gives way to a supported label.  Distinct evidence
     is aggregated first, so the sets stay as small as the vocabulary.
     """
-    mapped = N.with_canonical_type(evidence).withColumn("safe_type", F.coalesce("safe_type", F.lit("unrecognized")))
-    return resolve_mapped(mapped, key)
+    return resolve_mapped(mapped_evidence(evidence), key)
+
+
+def mapped_evidence(evidence: DataFrame) -> DataFrame:
+    return N.with_canonical_type(evidence).withColumn("safe_type", F.coalesce("safe_type", F.lit("unrecognized")))
 
 
 def resolve_mapped(mapped: DataFrame, key: str = "record_id") -> DataFrame:
@@ -73,19 +76,23 @@ def with_default_type(records: DataFrame, resolved: DataFrame, default: str = "a
     )
 
 
-def apply_type_reviews(evidence: DataFrame, resolved: DataFrame, titles: DataFrame, reviews: DataFrame) -> DataFrame:
-    """Add document inspections whose fingerprint still equals the evidence, and resolve again.
+def applicable_reviews(resolved: DataFrame, titles: DataFrame, reviews: DataFrame) -> DataFrame:
+    """``record_id, work_type`` of document inspections whose fingerprint still equals
+    the evidence; records whose applicable reviews disagree are left out.
 
     ``titles`` holds ``(record_id, title_norm)``; ``reviews`` holds ``record_id,
-    title_norm, work_type, fingerprints``.  Records whose applicable reviews
-    disagree keep their resolution.
+    title_norm, work_type, fingerprints``.
     """
     current = resolved.join(titles, "record_id").filter("type_status <> 'reviewed'")
     r = reviews.select("record_id", "title_norm", F.col("work_type").alias("reviewed_type"), F.explode("fingerprints").alias("fingerprint"))
-    applicable = current.join(r, ["record_id", "title_norm", "fingerprint"]).groupBy("record_id").agg(
-        F.min("reviewed_type").alias("low"), F.max("reviewed_type").alias("high")
-    ).filter("low = high")
-    settled = applicable.select("record_id", F.col("low").alias("work_type"), F.lit("reviewed").alias("type_status"))
+    return current.join(r, ["record_id", "title_norm", "fingerprint"]).groupBy("record_id").agg(
+        F.min("reviewed_type").alias("work_type"), F.max("reviewed_type").alias("_high")
+    ).filter("work_type = _high").drop("_high")
+
+
+def apply_type_reviews(resolved: DataFrame, titles: DataFrame, reviews: DataFrame) -> DataFrame:
+    """Resolutions after the applicable inspections."""
+    settled = applicable_reviews(resolved, titles, reviews).withColumn("type_status", F.lit("reviewed"))
     untouched = resolved.join(settled.select("record_id"), "record_id", "left_anti").select("record_id", "work_type", "type_status")
     return untouched.unionByName(settled)
 

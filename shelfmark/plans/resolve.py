@@ -53,21 +53,34 @@ def type_evidence(candidates: DataFrame, matched: dict[str, DataFrame]) -> DataF
     return rows.withColumnRenamed("record_url", "record_id")
 
 
-def reviewed_types(candidates: DataFrame, evidence: DataFrame, reviews: DataFrame | None) -> DataFrame:
-    """``record_id, work_type, type_status`` after document inspections, if any."""
-    resolved = types.resolve_type(evidence)
+def weighed_evidence(candidates: DataFrame, matched: dict[str, DataFrame], reviews: DataFrame | None) -> DataFrame:
+    """Mapped evidence rows of each candidate, with its applicable document inspections."""
+    columns = ["record_id", "provider", "safe_type", "canonical_type", "method"]
+    mapped = types.mapped_evidence(type_evidence(candidates, matched)).select(*columns)
     if reviews is None:
-        return resolved.select("record_id", "work_type", "type_status")
+        return mapped
     shown = N.split_display(F.col("title"))
     titles = candidates.select(F.col("record_url").alias("record_id"), N.title_norm(shown["title"]).alias("title_norm"))
-    return types.apply_type_reviews(evidence, resolved, titles, reviews)
+    settled = types.applicable_reviews(types.resolve_mapped(mapped), titles, reviews)
+    return mapped.unionByName(settled.select(
+        "record_id", F.lit("document-review").alias("provider"), F.col("work_type").alias("safe_type"),
+        F.col("work_type").alias("canonical_type"), F.lit("document-inspection").alias("method"),
+    ))
+
+
+def types_of_groups(evidence: DataFrame, members: DataFrame, group: str) -> DataFrame:
+    """``group, work_type`` resolved again from the evidence of all members.
+
+    ``members`` holds ``(record_id, group)``.
+    """
+    return types.resolve_mapped(evidence.join(members, "record_id").drop("record_id"), group).select(group, "work_type")
 
 
 def resolve_records(
     candidates: DataFrame, first: DataFrame, second: DataFrame, window: tuple, lookup_failed: DataFrame | None = None,
     held: DataFrame | None = None, type_reviews: DataFrame | None = None, use_sequence: bool = True,
-) -> DataFrame:
-    """One row per candidate: a resolved work or a reason code.
+) -> tuple[DataFrame, DataFrame]:
+    """One row per candidate, a resolved work or a reason code, and the type evidence.
 
     ``first`` and ``second`` are the two bibliographies in order of precedence.
     Evidence is weighed in a fixed order: explicit review label, open identity
@@ -92,11 +105,11 @@ def resolve_records(
     base = base.withColumn("w2", F.when(~F.coalesce(settled, F.lit(False)), F.col("w2"))).withColumn(
         "second_review", F.when(F.coalesce(settled, F.lit(False)), 0).otherwise(F.col("second_review"))
     ).withColumn("second_outcome", F.when(F.coalesce(settled, F.lit(False)), "none").otherwise(F.col("second_outcome")))
-    evidence = type_evidence(candidates, {
+    evidence = weighed_evidence(candidates, {
         "crossref": base.select("record_url", F.col("first_outcome").alias("outcome"), F.col("w1").alias("work")),
         "openalex": base.select("record_url", F.col("second_outcome").alias("outcome"), F.col("w2").alias("work")),
-    })
-    resolved = reviewed_types(candidates, evidence, type_reviews).withColumnRenamed("record_id", "record_url")
+    }, type_reviews)
+    resolved = types.resolve_mapped(evidence).select(F.col("record_id").alias("record_url"), "work_type", "type_status")
     base = types.with_default_type(base, resolved, key="record_url")
     for name, rows in (("_failed", lookup_failed), ("_held", held)):
         if rows is None:
@@ -139,7 +152,7 @@ def resolve_records(
     )
     doi = F.coalesce("w1.doi", F.when(F.col("w1").isNull(), F.col("w2.doi")))
     ok = F.col("reason_code").isNull()
-    return fresh.select(
+    outcome = fresh.select(
         "record_url", "reason_code",
         F.when(ok, F.when(F.col("explicit"), N.work_id(F.lit(None).cast("string"), F.lit(None).cast("string"), F.col("record_url")))
                .otherwise(N.work_id(doi, F.col("w2.work_key"), F.col("record_url")))).alias("work_id"),
@@ -152,3 +165,4 @@ def resolve_records(
         F.when(ok, F.coalesce("changed_at", "first_feed_date", "observed_at")).alias("availability_at"),
         "observed_at", "category_ids",
     )
+    return outcome, evidence

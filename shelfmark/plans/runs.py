@@ -8,29 +8,32 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.functions import normalise as N
-from shelfmark.operators import gates, graph, merge, ranking, reviews, state, taxonomy, types
-from shelfmark.plans.resolve import best_works, candidate_identities, resolve_records, reviewed_types, type_evidence
+from shelfmark.operators import gates, graph, merge, ranking, reviews, state, taxonomy
+from shelfmark.plans.resolve import best_works, candidate_identities, resolve_records, types_of_groups, weighed_evidence
 from shelfmark.session import cut
 from shelfmark.sources import tables
 
 
-def works_with_categories(resolved: DataFrame) -> DataFrame:
+def works_with_categories(resolved: DataFrame, evidence: DataFrame) -> DataFrame:
     """Resolved rows merged per work id, with the union of their categories.
 
-    Every row of one id must agree on its document type.
+    The type of a work with several rows is resolved again from all their evidence.
     """
     works = resolved.filter("work_id IS NOT NULL")
     merged = merge.merge_work(works)
     extra = works.groupBy("work_id").agg(
-        F.min("work_type").alias("_low"), F.max("work_type").alias("_high"), F.min("availability_at").alias("availability_at")
+        F.min("work_type").alias("_own"), F.min("availability_at").alias("availability_at")
     )
+    again = types_of_groups(
+        evidence, works.select(F.col("record_url").alias("record_id"), "work_id"), "work_id"
+    ).withColumnRenamed("work_type", "_again")
     members = works.select("work_id", F.explode("category_ids").alias("category_id")).distinct().groupBy("work_id").agg(
         F.array_sort(F.collect_set("category_id")).alias("category_ids")
     )
     return (
-        merged.join(extra, "work_id").join(members, "work_id", "left")
-        .withColumn("work_type", F.when(F.col("_low") == F.col("_high"), F.col("_low")).otherwise("conflict"))
-        .withColumn("category_ids", F.coalesce("category_ids", F.array().cast("array<string>"))).drop("_low", "_high")
+        merged.join(extra, "work_id").join(again, "work_id", "left").join(members, "work_id", "left")
+        .withColumn("work_type", F.when(F.col("n_rows") == 1, F.col("_own")).otherwise(F.coalesce("_again", "_own")))
+        .withColumn("category_ids", F.coalesce("category_ids", F.array().cast("array<string>"))).drop("_own", "_again")
     )
 
 
@@ -53,10 +56,11 @@ def weekly_run(
     due = state.due_retries(unresolved, end, max_attempts)
     chosen = state.candidates_to_process(fresh, due, current).select("record_url")
     candidates = current.join(chosen, "record_url", "left_semi")
-    resolved = cut(resolve_records(
+    outcome, evidence = resolve_records(
         candidates, first, second, window, held=held, type_reviews=type_reviews, use_sequence=use_sequence
-    ))
-    works = works_with_categories(resolved)
+    )
+    resolved = cut(outcome)
+    works = works_with_categories(resolved, evidence)
     decided = cut(taxonomy.match_works(works, profile, notified))
     matches = decided.filter("decision = 'notify'").select("work_id", F.lit("weekly_new_papers").alias("kind"), F.col("observed_at").alias("matched_at"))
     notifications = state.notify_once(matches, notified)
@@ -95,8 +99,9 @@ def on_demand(
     tried = attempts if attempts is not None else kept.select("record_url", F.col("observed_at").alias("attempted_at")).limit(0)
     picked = cut(ranking.pick_for_lookup(active, tried, budget))
     candidates = picked.filter("lookup <> 'deferred'")
-    resolved = cut(resolve_records(candidates, first, second, window, use_sequence=use_sequence))
-    decided = taxonomy.match_works(works_with_categories(resolved), profile)
+    outcome, evidence = resolve_records(candidates, first, second, window, use_sequence=use_sequence)
+    resolved = cut(outcome)
+    decided = taxonomy.match_works(works_with_categories(resolved, evidence), profile)
     stages = (
         marked.filter("undated").select("record_url", F.lit("quarantined").alias("stage"))
         .unionByName(picked.filter("lookup = 'deferred'").select("record_url", F.lit("deferred").alias("stage")))
@@ -134,7 +139,7 @@ def paper_search(
     other_year = F.col("reviewed") & F.coalesce(work_year != F.col("reviewed_year"), F.lit(False))
     unclear = (F.col("outcome") == "ambiguous") | (F.col("n_dois") > 1) | (F.col("n_review") > 0) | other_year
     identified = known.filter(~unclear)
-    resolved = reviewed_types(candidates, type_evidence(candidates, {"openalex": matched}), type_reviews)
+    evidence = weighed_evidence(candidates, {"openalex": matched}, type_reviews)
     citations = works.select(F.col("work_key").alias("_key"), "citations")
     items = (
         identified.join(citations, F.col("work.work_key") == F.col("_key"), "left")
@@ -145,15 +150,16 @@ def paper_search(
             F.coalesce(F.when(F.col("reviewed"), F.col("reviewed_year")), work_year).alias("year"), "citations", "category_ids",
         )
     )
-    items = cut(types.with_default_type(items, resolved, "unknown"))
+    items = cut(items)
     grouped = graph.connected_records(items, ["doi", "provider_id", "record_url"])
     one = items.join(grouped, "record_id")
     merged_items = one.groupBy("group_id").agg(
         F.count("*").alias("n_records"), F.min("title").alias("title"), F.min("record_url").alias("record_url"), F.min("doi").alias("doi"),
         F.when(F.min("year") == F.max("year"), F.min("year")).alias("year"),
         F.when(F.min("citations") == F.max("citations"), F.min("citations")).alias("citations"),
-        F.when(F.min("work_type") == F.max("work_type"), F.min("work_type")).otherwise("conflict").alias("work_type"),
     )
+    kinds = types_of_groups(evidence, grouped, "group_id")
+    merged_items = merged_items.join(kinds, "group_id", "left").withColumn("work_type", F.coalesce("work_type", F.lit("unknown")))
     members = one.select(F.col("group_id").alias("item_id"), F.explode("category_ids").alias("category_id")).distinct()
     scope = taxonomy.match_groups(members, groups, n_groups, mode).select(F.col("item_id").alias("group_id"), "in_scope")
     barred = members.join(excluded.select("category_id").distinct(), "category_id", "left_semi").select(
