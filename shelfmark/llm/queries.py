@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfmark.llm import packing, pieces
+from shelfmark.llm import packing, pieces, quality
 from shelfmark.session import configure
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -37,3 +37,8 @@ def op1_pack_documents(table) -> DataFrame:
 @query()
 def op4_sentence_pieces(table) -> DataFrame:
     return pieces.encoding_digests(table("documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query()
+def op7_quality_forest(table) -> DataFrame:
+    return quality.quality_verdicts(table("documents"), table("labels"))
