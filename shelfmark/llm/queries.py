@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfmark.llm import packing, pieces, quality
+from shelfmark.llm import near_dups, packing, pieces, quality
 from shelfmark.session import configure
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -42,3 +42,8 @@ def op4_sentence_pieces(table) -> DataFrame:
 @query()
 def op7_quality_forest(table) -> DataFrame:
     return quality.quality_verdicts(table("documents"), table("labels"))
+
+
+@query()
+def op8_near_duplicates(table) -> DataFrame:
+    return near_dups.near_duplicates(table("documents")).drop("node")
