@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfmark.llm import near_dups, packing, pieces, quality
+from shelfmark.llm import near_dups, packing, pieces, quality, substrings
 from shelfmark.session import configure
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -47,3 +47,30 @@ def op7_quality_forest(table) -> DataFrame:
 @query()
 def op8_near_duplicates(table) -> DataFrame:
     return near_dups.near_duplicates(table("documents")).drop("node")
+
+
+REPEATED_WINDOWS = r"""
+WITH words AS (
+    SELECT doc_id, text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w, row_number() OVER () AS r FROM documents
+), windows AS (
+    SELECT r, i, array_to_string(w[i:i + 34], ' ') AS seq
+    FROM (SELECT r, w, unnest(range(1, len(w) - 33)) AS i FROM words WHERE len(w) >= 35)
+), repeated AS (
+    SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY md5(seq), length(seq)) AS n FROM windows) WHERE n > 1
+), flat AS (
+    SELECT doc_id, r, len(w) AS n, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM words WHERE len(w) > 0
+), judged AS (
+    SELECT f.doc_id, f.r, f.i, f.word, EXISTS (SELECT 1 FROM repeated p WHERE p.r = f.r AND p.i BETWEEN f.i - 34 AND f.i) AS gone
+    FROM flat f
+), kept AS (
+    SELECT r, count(*) FILTER (gone) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (NOT gone) AS kept FROM judged GROUP BY r
+)
+SELECT w.doc_id, CAST(len(w.w) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(kept, '')) AS kept_sha256
+FROM words w LEFT JOIN kept USING (r)
+"""
+
+
+@query(REPEATED_WINDOWS)
+def op2_repeated_passages(table) -> DataFrame:
+    return substrings.removal_digests(table("documents"))
