@@ -1,9 +1,9 @@
 """Removal of repeated passages by super-k-mer partitioning.
 
 A window is ``window`` consecutive words.  Its minimiser is the least hash among its
-``GRAM``-word grams; consecutive windows with one minimiser form a super-k-mer.  Equal
-windows have equal minimisers, so a super-k-mer whose minimiser occurs once holds no
-repeat and stays home.  The others travel as one packed string of words to the bucket of
+``GRAM``-word grams; consecutive windows that share its leftmost place form a
+super-k-mer.  Equal windows have equal minimisers at different places, so a super-k-mer
+whose minimiser occurs once holds no repeat and stays home.  The others travel as one packed string of words to the bucket of
 their minimiser.  Equal strings are counted before they are shuffled; in the bucket,
 sorting the windows of all its strings by a 128-bit hash of their words counts each.
 Strings get back one flag per window, documents the flags of their strings, and words
@@ -61,8 +61,10 @@ def super_kmers(words: list[bytes], window: int = WINDOW, gram: int = GRAM) -> t
     if len(words) < window:
         return np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int32), np.empty(0, dtype=np.int32)
     gram = min(gram, window)
-    least = minimisers(gram_hashes(word_hashes(words), gram), window - gram + 1)
-    starts = np.flatnonzero(np.append(True, least[1:] != least[:-1]))
+    grams = gram_hashes(word_hashes(words), gram)
+    least = minimisers(grams, window - gram + 1)
+    # a new place of the minimiser starts a new one, even if the hash is the same
+    starts = np.flatnonzero(np.append(True, (least[1:] != least[:-1]) | (grams[: len(least) - 1] == least[:-1])))
     return least[starts], starts.astype(np.int32), np.diff(np.append(starts, len(least))).astype(np.int32)
 
 
