@@ -112,7 +112,7 @@ def band_keys(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """``(doc_id, node, bands)`` per document row; no node for texts without words."""
+    """``(doc_id, text_hash, node, bands)`` per document row; no node for texts without words."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
@@ -122,13 +122,14 @@ def sketches(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),
+                    batch.column("text_hash"),
                     pa.array([text_key(w) if w else None for w in split], pa.binary()),
                     pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.ravel())),
                 ],
-                names=["doc_id", "node", "bands"],
+                names=["doc_id", "text_hash", "node", "bands"],
             )
 
-    return docs.mapInArrow(run, "doc_id long, node binary, bands array<long>")
+    return docs.mapInArrow(run, "doc_id long, text_hash long, node binary, bands array<long>")
 
 
 def keyed_texts(docs: DataFrame) -> DataFrame:
@@ -238,11 +239,13 @@ def near_duplicates(
     docs: DataFrame, threshold: float = THRESHOLD, doc_id: str = "doc_id", text: str = "text",
     bands: int = BANDS, rows: int = ROWS,
 ) -> DataFrame:
-    """``(doc_id, class_id, class_rows, node)`` for every document row."""
-    docs = text_rows(docs, doc_id, text)
+    """``(doc_id, text_hash, class_id, class_rows, head)`` for every document row; ``head`` marks
+    the rows of the class's least document (id, then hash of the text; null ids last)."""
+    docs = text_rows(docs, doc_id, text).withColumn("text_hash", F.xxhash64("text"))
     sketch = cut(sketches(docs, bands, rows))
+    first_row = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash")
     nodes = sketch.where("node IS NOT NULL").groupBy("node").agg(
-        F.min("doc_id").alias("least_id"), F.count("*").alias("copies"), F.first("bands").alias("bands")
+        F.min("doc_id").alias("least_id"), F.min(first_row).alias("head"), F.count("*").alias("copies"), F.first("bands").alias("bands")
     )
     nodes = cut(nodes)
     spread = nodes.select("node", F.explode("bands").alias("band"))
@@ -278,11 +281,24 @@ def near_duplicates(
     links = links.unionByName(cut(verified(third, texts, threshold)))
 
     roots = components(links)
-    classes = nodes.select("node", "least_id", "copies").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    totals = classes.groupBy("root").agg(F.min("least_id").alias("class_id"), F.sum("copies").alias("class_rows"))
-    by_node = classes.select("node", "root").join(totals, "root").select("node", "class_id", "class_rows")
-    return sketch.select("doc_id", "node").join(by_node, "node", "left").select(
-        "doc_id",
-        F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
-        F.coalesce("class_rows", F.lit(1)).alias("class_rows"), "node",
+    classes = nodes.select("node", "head", "copies").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    totals = classes.groupBy("root").agg(F.min("head").alias("head"), F.sum("copies").alias("class_rows"))
+    by_node = classes.select("node", "root").join(totals, "root").select("node", F.col("head").alias("first"), "class_rows")
+    alone = F.col("node").isNull()
+    return sketch.select("doc_id", "text_hash", "node").join(by_node, "node", "left").select(
+        "doc_id", "text_hash",
+        F.when(alone, F.col("doc_id")).otherwise(F.col("first.doc_id")).alias("class_id"),
+        F.coalesce("class_rows", F.lit(1)).alias("class_rows"),
+        (alone | (F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash")))).alias("head"),
     )
+
+
+def one_of_each(docs: DataFrame, threshold: float = THRESHOLD, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The document rows of ``docs`` without near duplicates of an earlier id; of rows with the
+    same id and text one stays.  Texts without words all stay."""
+    heads = near_duplicates(docs, threshold, doc_id, text).where("head").select("doc_id", "text_hash").distinct().alias("h")
+    wordless = F.col(f"`{text}`").isNull() | F.col(f"`{text}`").cast("string").rlike(r"^[ \t-\r]*$")
+    rest = docs.where(~wordless).withColumn("_row_hash", F.xxhash64(F.col(f"`{text}`").cast("string")))
+    same = F.col(f"d.`{doc_id}`").cast("long").eqNullSafe(F.col("h.doc_id")) & (F.col("d._row_hash") == F.col("h.text_hash"))
+    kept = rest.alias("d").join(heads, same, "left_semi").dropDuplicates([doc_id, "_row_hash"]).drop("_row_hash")
+    return kept.unionByName(docs.where(wordless))

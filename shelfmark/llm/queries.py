@@ -46,7 +46,7 @@ def op7_quality_forest(table) -> DataFrame:
 
 @query()
 def op8_near_duplicates(table) -> DataFrame:
-    return near_dups.near_duplicates(table("documents")).drop("node")
+    return near_dups.near_duplicates(table("documents")).drop("text_hash")
 
 
 REPEATED_WINDOWS = r"""
