@@ -1,23 +1,61 @@
-"""The corpus pipeline; its stages are added as their operators land."""
+"""The corpus pipeline: quality rules, near duplicates, repeated passages, packing.
+
+Each stage reads all its predecessor kept, from the table it wrote; all but the last keep
+the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from shelfmark.llm.near_dups import one_of_each
 from shelfmark.llm.packing import pack_documents
-from shelfmark.session import configure
+from shelfmark.llm.quality import kept_documents
+from shelfmark.llm.substrings import without_repeats
+from shelfmark.session import configure, cut
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that break a rule or stand alone among the rules' statistics go."""
+    configure(spark)
+    return kept_documents(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates stays: the one with the least id."""
+    configure(spark)
+    return one_of_each(docs)
 
 
-def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    import public_tokenizers
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Words in windows of 35 words that occur elsewhere go."""
+    configure(spark)
+    return without_repeats(docs)
 
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of what is left, in sequences of at most 2048 tokens."""
+    configure(spark)
     return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
-STAGES = [("packing", pack)]
+STAGES = [
+    ("quality rules", quality_rules),
+    ("MinHash near-dedup", near_duplicates),
+    ("substring dedup", repeated_passages),
+    ("packing", packing),
+]
+# the isolation forest and the tokenizer are not SQL: tests compare with brute force
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; each but the last is written and read again."""
     configure(spark)
-    return pack(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"), sf_dir)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for k, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = cut(docs)
+    return docs
