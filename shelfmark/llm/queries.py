@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfmark.llm import near_dups, packing, pieces, quality, substrings
+from shelfmark.llm import lm, near_dups, packing, pieces, quality, substrings
 from shelfmark.session import configure
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -74,3 +74,8 @@ FROM words w LEFT JOIN kept USING (r)
 @query(REPEATED_WINDOWS)
 def op2_repeated_passages(table) -> DataFrame:
     return substrings.removal_digests(table("documents"))
+
+
+@query()
+def op10_log_bilinear_scores(table) -> DataFrame:
+    return lm.scores(table("documents"))
