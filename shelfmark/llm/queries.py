@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from shelfmark.llm import lm, near_dups, packing, pieces, quality, substrings
+from shelfmark.llm import lm, near_dups, packing, pieces, quality, substrings, vectors, warc
 from shelfmark.session import configure
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -79,3 +80,30 @@ def op2_repeated_passages(table) -> DataFrame:
 @query()
 def op10_log_bilinear_scores(table) -> DataFrame:
     return lm.scores(table("documents"))
+
+
+@query()
+def op9_nearest_vectors(table) -> DataFrame:
+    return vectors.search(table("embeddings"), F.col("vec_id") % 100 == 0)
+
+
+PAGE_RECORDS = """
+WITH p AS (
+    SELECT page_id, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS sha FROM pages
+), f AS (
+    SELECT *, min(page_id) OVER (PARTITION BY sha) AS first FROM p
+), b AS (
+    SELECT *, list_reduce(list_transform(range(0, 8), lambda i: translate(
+        to_base(CAST('0x' || substr(sha, 5 * i + 1, 5) AS BIGINT), 32, 4),
+        '0123456789ABCDEFGHIJKLMNOPQRSTUV', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567')), lambda x, y: x || y) AS digest FROM f
+)
+SELECT page_id, CAST(strlen(body) AS BIGINT) AS payload_bytes, digest AS payload_digest,
+       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id = first THEN NULL ELSE first END AS refers_to
+FROM b
+"""
+
+
+@query(PAGE_RECORDS)
+def op3_warc_round_trip(table) -> DataFrame:
+    return warc.page_records(table("pages"))
