@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.llm import lm, near_dups, packing, pieces, quality, substrings, vectors, warc
+from shelfmark.llm import chat, lm, near_dups, packing, pieces, quality, substrings, url_lists, vectors, warc
 from shelfmark.session import configure
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -107,3 +107,54 @@ FROM b
 @query(PAGE_RECORDS)
 def op3_warc_round_trip(table) -> DataFrame:
     return warc.page_records(table("pages"))
+
+
+LISTED_PAGES = r"""
+WITH captures AS (
+    SELECT page_id, url, DATE '2024-01-01' + CAST(page_id % 366 AS INT) AS fetched_on,
+        nullif(rtrim(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1)), '.'), '') AS host,
+        regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*/([^?#]*)', 1) AS path
+    FROM pages
+), hosts AS (
+    SELECT host, CAST('0x' || substr(md5(host), 1, 6) AS BIGINT) AS n FROM (SELECT DISTINCT host FROM captures WHERE host IS NOT NULL)
+), domains AS (
+    SELECT host, CAST('0x' || substr(md5(host), 1, 6) AS BIGINT) AS n
+    FROM (SELECT DISTINCT regexp_extract(host, '([^.]*\.[^.]*)$', 1) AS host FROM hosts WHERE contains(host, '.'))
+), log AS (
+    SELECT host AS key, 'block' AS verdict, ['ads', 'adult', 'malware', 'spam'][n % 4 + 1] AS category, n % 200 AS day, TRUE AS active FROM hosts WHERE n % 3 = 0
+    UNION ALL SELECT host, 'block', ['ads', 'adult', 'malware', 'spam'][n % 4 + 1], n % 200 + 40, FALSE FROM hosts WHERE n % 6 = 0
+    UNION ALL SELECT host, 'block', ['ads', 'adult', 'malware', 'spam'][n % 4 + 1], n % 200 + 90, TRUE FROM hosts WHERE n % 12 = 0
+    UNION ALL SELECT host || '/en', 'allow', 'exception', n % 150, TRUE FROM hosts WHERE n % 5 = 0
+    UNION ALL SELECT host, 'block', 'parked', 100, TRUE FROM domains WHERE n % 2 = 0
+    UNION ALL SELECT host, 'block', 'parked', 131, FALSE FROM domains WHERE n % 2 = 0
+), spans AS (
+    SELECT key, verdict, category, DATE '2024-01-01' + CAST(day AS INT) AS valid_from,
+        DATE '2024-01-01' + CAST(lead(day) OVER (PARTITION BY key, verdict, category ORDER BY day) AS INT) AS valid_to, active
+    FROM (SELECT key, verdict, category, day, bool_or(active) AS active FROM log GROUP BY ALL)
+), keyed AS (
+    SELECT DISTINCT url, fetched_on, unnest(list_concat(
+        [array_to_string(l[-k:], '.') FOR k IN range(2, len(l) + 1)],
+        [host || '/' || array_to_string(s[1:k], '/') FOR k IN range(1, len(s) + 1)])) AS key
+    FROM (SELECT url, fetched_on, host, string_split(host, '.') AS l, list_filter(string_split(path, '/'), lambda x: x <> '') AS s FROM captures WHERE host IS NOT NULL)
+), hits AS (
+    SELECT url, fetched_on, k.key, min(verdict) AS verdict, array_to_string(list_sort(list(DISTINCT category)), ',') AS categories
+    FROM keyed k JOIN spans s ON k.key = s.key AND active AND fetched_on >= valid_from AND (valid_to IS NULL OR fetched_on < valid_to)
+    GROUP BY ALL
+), best AS (
+    SELECT * FROM hits QUALIFY row_number() OVER (PARTITION BY url, fetched_on ORDER BY length(key) DESC, key DESC) = 1
+)
+SELECT c.page_id, c.host, strftime(c.fetched_on, '%Y-%m-%d') AS fetched_on, coalesce(b.verdict, 'pass') AS verdict, b.key AS matched_key, b.categories
+FROM captures c LEFT JOIN best b ON c.url = b.url AND c.fetched_on = b.fetched_on
+"""
+
+
+@query(LISTED_PAGES)
+def op5_temporal_url_lists(table) -> DataFrame:
+    pages = table("pages")
+    found = url_lists.judged(url_lists.derived_captures(pages), url_lists.derived_entries(pages))
+    return found.withColumn("fetched_on", F.date_format("fetched_on", "yyyy-MM-dd"))
+
+
+@query()
+def op6_repaired_chats(table) -> DataFrame:
+    return chat.formatted(table("conversations"))
