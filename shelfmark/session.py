@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -70,7 +71,20 @@ def cut(df: DataFrame) -> DataFrame:
     """
     path = shared_path(df.sparkSession, "cut")
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._cut_path = path
+    return out
+
+
+def drop_cut(*tables: DataFrame) -> None:
+    """Delete tables written by :func:`cut` that no later step reads, and let Spark drop the
+    shuffle files of finished steps: it does so for plans that the JVM has collected."""
+    session = SparkSession.active()
+    for table in tables:
+        path = session._jvm.org.apache.hadoop.fs.Path(table._cut_path)
+        path.getFileSystem(session.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    gc.collect()
+    session._jvm.System.gc()
 
 
 def cut_in_order(df: DataFrame) -> DataFrame:
