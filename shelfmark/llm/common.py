@@ -7,13 +7,13 @@ these characters, and no byte of a longer UTF-8 sequence is one of them.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
-from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh3_64_intdigest
 
 SLICE_BYTES = 4 << 20
 
@@ -48,7 +48,7 @@ class WordHashes(dict):
         self.most = most
 
     def __missing__(self, word: bytes) -> int:
-        value = int.from_bytes(blake2b(word, digest_size=8).digest(), "little")
+        value = xxh3_64_intdigest(word)
         if len(self) >= self.most:
             self.clear()
         self[word] = value

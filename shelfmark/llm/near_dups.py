@@ -10,11 +10,11 @@ shares no band with a probability below 1e-7.
 
 Texts with equal word sequences are one node.  Candidates are never all pairs of a bucket:
 1. each node is verified against the least node of all its buckets;
-2. in buckets that still span several classes, nodes are verified against the bucket's
-   least node;
-3. in buckets that still do, pairs of different classes are verified: of small buckets all,
-   of large ones those that also share a prefix shingle, which any pair at the threshold
-   does (rarest shingles first), the largest class of a bucket never against itself.
+2. in buckets that still span several classes, nodes outside the largest class are verified
+   against a few of its members drawn by hash, for a few turns, which joins most of them;
+3. in buckets that still do, pairs of different classes are verified: all of them where they
+   are a few per member, else those that also share a prefix shingle, which any pair at the
+   threshold does (rarest shingles first), the largest class of a bucket never against itself.
 So every pair of different classes that shares a band is either verified or proved too
 far apart, however large the bucket.
 
@@ -30,6 +30,7 @@ from hashlib import blake2b
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from shelfmark.llm.common import gram_hashes, mix, sliced, text_rows, word_hashes, words_of
@@ -39,7 +40,8 @@ from shelfmark.session import cut
 SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 32, 4
-SMALL_BUCKET_PAIRS = 256
+SMALL_BUCKET_PAIRS, PAIRS_PER_MEMBER = 256, 16
+TURNS, TRIES = 3, 4
 _STEP = np.uint64(0xD1342543DE82EF95)
 
 
@@ -71,15 +73,15 @@ def bag_minhash(elements: np.ndarray, weights: np.ndarray, owner: np.ndarray, n:
         u = ((mix(state) >> np.uint64(11)).astype(float) + 0.5) * 2.0**-53
         return -np.log(u) / width
 
-    time = wait(state, width)
+    time, turn = wait(state, width), 0
+    at = np.flatnonzero(time < horizon[bag])
     while True:
-        at = np.flatnonzero(time < horizon[bag])
         if not len(at):
-            latest = signature.reshape(n, m).max(axis=1)
-            open_ = np.isinf(latest) & (total > 0)
+            open_ = np.isinf(signature.reshape(n, m).max(axis=1)) & (total > 0)
             if not open_.any():
                 return signature.reshape(n, m)
             horizon[open_] *= 2  # some component has no point yet
+            at = np.flatnonzero(time < horizon[bag])
             continue
         spot = mix(state[at] ^ _STEP)
         component = (spot % np.uint64(m)).astype(np.int64)
@@ -88,8 +90,11 @@ def bag_minhash(elements: np.ndarray, weights: np.ndarray, owner: np.ndarray, n:
         np.minimum.at(signature, bag[at][inside] * m + component[inside], time[at][inside])
         state[at] = mix(state[at] + _STEP)
         time[at] += wait(state[at], width[at])
-        # a full signature needs no point later than its latest one
-        horizon = np.minimum(horizon, np.where(total > 0, np.maximum(signature.reshape(n, m).max(axis=1), 0), -np.inf))
+        if turn < 8 or turn % 16 == 0:
+            # a full signature needs no point later than its latest one
+            horizon = np.minimum(horizon, np.where(total > 0, signature.reshape(n, m).max(axis=1), -np.inf))
+        turn += 1
+        at = at[time[at] < horizon[bag[at]]]
 
 
 def signatures(texts: list[list[bytes]], m: int) -> np.ndarray:
@@ -225,6 +230,19 @@ def cross_pairs(members: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
+def drawn_pairs(members: DataFrame, turn: int) -> DataFrame:
+    """For each node outside the largest class of a bucket, members of that class: one per
+    bucket, drawn by hash, of which a node tries at most ``TRIES`` in a turn."""
+    drawn = F.xxhash64("node", "band", F.lit(turn))
+    per_label = members.groupBy("band", "label").agg(F.count("*").alias("n"), F.min(F.struct(drawn, "node")).alias("pick"))
+    major = per_label.groupBy("band").agg(F.max_by(F.struct("label", "pick"), F.struct("n", "label")).alias("m"))
+    met = members.join(major.select("band", F.col("m.label").alias("major"), F.col("m.pick.node").alias("other")), "band").where("label <> major")
+    met = met.select("node", "other").distinct()
+    order = W.partitionBy("node").orderBy(F.xxhash64("node", "other", F.lit(turn)), "other")
+    chosen = met.withColumn("k", F.row_number().over(order)).where(F.col("k") <= TRIES)
+    return chosen.select(F.least("node", "other").alias("u"), F.greatest("node", "other").alias("v")).distinct()
+
+
 def _labelled(members: DataFrame, links: DataFrame) -> DataFrame:
     roots = components(links).select("node", F.col("root").alias("label"))
     return members.join(roots, "node", "left").withColumn("label", F.coalesce("label", "node"))
@@ -257,28 +275,28 @@ def near_duplicates(
         .select("node", "words").dropDuplicates(["node"])
     )
     # 1. every node against the least node it meets
-    first = members.groupBy("node").agg(F.min("head").alias("u")).where("u < node").select("u", F.col("node").alias("v"))
-    links = cut(verified(first, texts, threshold))
-    # 2. against the heads of the buckets that still hold several classes
-    left = cut(_unresolved(_labelled(members.select("node", "band", "head"), links)))
-    labels = left.select(F.col("node").alias("head"), F.col("label").alias("head_label")).distinct()
-    second = (
-        left.join(labels, "head").where("label <> head_label").select(F.col("head").alias("u"), F.col("node").alias("v"))
-        .distinct().join(first, ["u", "v"], "left_anti")
-    )
-    links = links.unionByName(cut(verified(second, texts, threshold)))
+    tried = members.groupBy("node").agg(F.min("head").alias("u")).where("u < node").select("u", F.col("node").alias("v"))
+    links = cut(verified(tried, texts, threshold))
+    left = members.select("band", "node")
+    # 2. nodes outside the largest class of a bucket against members of it drawn by hash
+    for turn in range(TURNS):
+        left = cut(_unresolved(_labelled(left.select("band", "node"), links)))
+        pairs = cut(drawn_pairs(left, turn).join(tried, ["u", "v"], "left_anti"))
+        tried = tried.unionByName(pairs)
+        links = links.unionByName(cut(verified(pairs, texts, threshold)))
     # 3. whatever pairs of different classes are left
-    left = cut(_unresolved(_labelled(left.select("node", "band", "head"), links)))
+    left = cut(_unresolved(_labelled(left.select("band", "node"), links)))
     sizes = left.groupBy("band", "label").agg(F.count("*").alias("n")).groupBy("band").agg(
-        ((F.pow(F.sum("n"), 2) - F.sum(F.col("n") * F.col("n"))) / 2).alias("pairs")
+        F.sum("n").alias("n"), ((F.pow(F.sum("n"), 2) - F.sum(F.col("n") * F.col("n"))) / 2).alias("pairs")
     )
-    left = left.join(sizes, "band")
-    small = cross_pairs(left.where(F.col("pairs") <= SMALL_BUCKET_PAIRS).select("band", "node", "label"), ["band"])
-    large = cut(left.where(F.col("pairs") > SMALL_BUCKET_PAIRS).select("band", "node", "label"))
-    prefixes = prefix_shingles(large.select("node").distinct(), texts, threshold)
-    third = small.unionByName(cross_pairs(large.join(prefixes, "node"), ["band", "shingle"])).distinct()
-    third = third.join(first, ["u", "v"], "left_anti").join(second, ["u", "v"], "left_anti")
-    links = links.unionByName(cut(verified(third, texts, threshold)))
+    few = F.col("pairs") <= SMALL_BUCKET_PAIRS + PAIRS_PER_MEMBER * F.col("n")
+    left = cut(left.join(sizes.withColumn("few", few).select("band", "few"), "band"))
+    third = cross_pairs(left.where("few").select("band", "node", "label"), ["band"])
+    large = left.where("NOT few").select("band", "node", "label")
+    if not large.isEmpty():
+        prefixes = prefix_shingles(large.select("node").distinct(), texts, threshold)
+        third = third.unionByName(cross_pairs(large.join(prefixes, "node"), ["band", "shingle"])).distinct()
+    links = links.unionByName(cut(verified(third.join(tried, ["u", "v"], "left_anti"), texts, threshold)))
 
     roots = components(links)
     classes = nodes.select("node", "head", "copies").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
