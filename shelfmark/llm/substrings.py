@@ -20,7 +20,6 @@ id and text are occurrences of their own and are treated alike.
 
 from __future__ import annotations
 
-import gc
 import hashlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
@@ -31,21 +30,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.llm.common import gram_hashes, mix, sliced, text_rows, word_hashes, words_of
-from shelfmark.session import cut
+from shelfmark.session import cut, drop_cut
 
 WINDOW = 35
-GRAM = 12
+GRAM = 5
 HOT = 200_000
 RUN_BYTES = 16 << 20
 SAME_ROW = "{a}.doc_id <=> {b}.doc_id AND {a}.text_hash = {b}.text_hash"
 
 
-def release(df: DataFrame) -> None:
-    """Let Spark drop the shuffle files of steps whose results are written."""
-    gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
-
-
 def minimisers(grams: np.ndarray, width: int) -> np.ndarray:
     """Least gram hash of every ``width`` consecutive grams."""
     least, span = grams, 1
@@ -56,16 +49,27 @@ def minimisers(grams: np.ndarray, width: int) -> np.ndarray:
     return least
 
 
-def super_kmers(words: list[bytes], window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Minimiser, first window and number of windows of each super-k-mer of a text."""
-    if len(words) < window:
-        return np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int32), np.empty(0, dtype=np.int32)
+def super_kmers(
+    texts: list[list[bytes]], window: int = WINDOW, gram: int = GRAM
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Text, minimiser, first window and number of windows of each super-k-mer of some texts."""
+    sizes = np.array([len(w) for w in texts], dtype=np.int64)
+    flat = [w for words in texts for w in words]
+    if sizes.max(initial=0) < window:
+        none = np.empty(0, dtype=np.int64)
+        return none, none.astype(np.uint64), none.astype(np.int32), none.astype(np.int32)
     gram = min(gram, window)
-    grams = gram_hashes(word_hashes(words), gram)
+    grams = gram_hashes(word_hashes(flat), gram)
     least = minimisers(grams, window - gram + 1)
+    text = np.repeat(np.arange(len(texts)), np.maximum(sizes - window + 1, 0))
+    first = np.cumsum(np.maximum(sizes - window + 1, 0)) - np.maximum(sizes - window + 1, 0)
+    place = np.arange(len(text)) - first[text]
+    at = (np.cumsum(sizes) - sizes)[text] + place  # of the whole windows among all runs of words
+    low, lead = least[at], grams[at]
     # a new place of the minimiser starts a new one, even if the hash is the same
-    starts = np.flatnonzero(np.append(True, (least[1:] != least[:-1]) | (grams[: len(least) - 1] == least[:-1])))
-    return least[starts], starts.astype(np.int32), np.diff(np.append(starts, len(least))).astype(np.int32)
+    new = np.append(True, (text[1:] != text[:-1]) | (low[1:] != low[:-1]) | (lead[:-1] == low[:-1]))
+    starts = np.flatnonzero(new)
+    return text[starts], low[starts], place[starts].astype(np.int32), np.diff(np.append(starts, len(text))).astype(np.int32)
 
 
 def _scan(docs: DataFrame, window: int) -> DataFrame:
@@ -73,12 +77,11 @@ def _scan(docs: DataFrame, window: int) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
-            found = [super_kmers(words_of(t), window) for t in batch.column("text").to_pylist()]
-            row = pa.array(np.repeat(np.arange(len(found)), [len(f[0]) for f in found]))
-            columns = [np.concatenate([f[k] for f in found]) for k in range(3)]
+            text, mini, first, n = super_kmers([words_of(t) for t in batch.column("text").to_pylist()], window)
+            row = pa.array(text)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id").take(row), batch.column("text_hash").take(row),
-                 pa.array(columns[0].view(np.int64)), pa.array(columns[1]), pa.array(columns[2])],
+                 pa.array(mini.view(np.int64)), pa.array(first), pa.array(n)],
                 names=["doc_id", "text_hash", "mini", "first", "n"],
             )
 
@@ -140,20 +143,21 @@ def _occurrences(held: DataFrame, window: int) -> DataFrame:
 def flagged(packed: list[bytes], times: list[int], window: int) -> Iterator[tuple[bytes, bytes]]:
     """Strings with a window that occurs more than once, and a byte per window saying which."""
     split = [p.split(b" ") for p in packed]
-    hashes = [word_hashes(w) for w in split]
-    low = [gram_hashes(h, window) for h in hashes]
-    high = [gram_hashes(mix(h), window) for h in hashes]
-    sizes = [len(x) for x in low]
-    both = np.empty(sum(sizes), dtype=[("a", np.uint64), ("b", np.uint64)])
-    both["a"], both["b"] = np.concatenate(low), np.concatenate(high)
+    sizes = np.array([len(w) for w in split], dtype=np.int64)
+    hashes = word_hashes([w for words in split for w in words])
+    windows = sizes - window + 1
+    ends = np.cumsum(windows)
+    of = np.repeat(np.arange(len(split)), windows)
+    at = (np.cumsum(sizes) - sizes)[of] + np.arange(len(of)) - (ends - windows)[of]
+    both = np.empty(len(of), dtype=[("a", np.uint64), ("b", np.uint64)])
+    both["a"], both["b"] = gram_hashes(hashes, window)[at], gram_hashes(mix(hashes), window)[at]
     order = np.lexsort((both["b"], both["a"]))
     ordered = both[order]
     group = np.cumsum(np.append(False, ordered[1:] != ordered[:-1]))
-    total = np.bincount(group, weights=np.repeat(times, sizes)[order])
+    total = np.bincount(group, weights=np.asarray(times)[of][order])
     repeated = np.empty(len(both), dtype=bool)
     repeated[order] = total[group] > 1
-    ends = np.cumsum(sizes)
-    for p, lo, hi in zip(packed, ends - sizes, ends):
+    for p, lo, hi in zip(packed, (ends - windows).tolist(), ends.tolist()):
         if repeated[lo:hi].any():
             yield p, repeated[lo:hi].astype(np.uint8).tobytes()
 
@@ -226,15 +230,15 @@ def shortened(docs: DataFrame, window: int = WINDOW, hot: int = HOT) -> DataFram
     )
     copies = docs.groupBy("doc_id", "text_hash").agg(F.count("*").alias("copies"))
     spans = cut(spans.alias("s").join(copies.alias("c"), F.expr(SAME_ROW.format(a="s", b="c"))).select("s.*", "copies"))
-    release(docs)
+    drop_cut(found)
     held = cut(
         docs.alias("d").join(spans.alias("s"), F.expr(SAME_ROW.format(a="d", b="s"))).select("s.*", "text")
         .dropDuplicates(["doc_id", "text_hash"])
     )
-    release(docs)
+    drop_cut(spans)
     strings = _packed(held, window).groupBy("bucket", "packed").agg(F.sum("times").alias("times"))
     flags = cut(_bucket_flags(strings.repartition("bucket").sortWithinPartitions("bucket"), window))
-    release(docs)
+    drop_cut()
     marks = (
         _occurrences(held, window).join(flags, "key").groupBy("doc_id", "text_hash")
         .agg(F.collect_set(F.struct("first", "flags")).alias("flags"))
