@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 
@@ -17,6 +16,8 @@ RUNTIME_SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # a written table needs the shuffle files behind it no longer
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
     # sets have small fixed domains here, so more groups fit in memory before sorting
     "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "32768",
 }
@@ -77,14 +78,11 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def drop_cut(*tables: DataFrame) -> None:
-    """Delete tables written by :func:`cut` that no later step reads, and let Spark drop the
-    shuffle files of finished steps: it does so for plans that the JVM has collected."""
+    """Delete tables written by :func:`cut` that no later step reads."""
     session = SparkSession.active()
     for table in tables:
         path = session._jvm.org.apache.hadoop.fs.Path(table._cut_path)
         path.getFileSystem(session.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-    gc.collect()
-    session._jvm.System.gc()
 
 
 def cut_in_order(df: DataFrame) -> DataFrame:
