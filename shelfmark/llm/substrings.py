@@ -238,7 +238,6 @@ def shortened(docs: DataFrame, window: int = WINDOW, hot: int = HOT) -> DataFram
     drop_cut(spans)
     strings = _packed(held, window).groupBy("bucket", "packed").agg(F.sum("times").alias("times"))
     flags = cut(_bucket_flags(strings.repartition("bucket").sortWithinPartitions("bucket"), window))
-    drop_cut()
     marks = (
         _occurrences(held, window).join(flags, "key").groupBy("doc_id", "text_hash")
         .agg(F.collect_set(F.struct("first", "flags")).alias("flags"))
