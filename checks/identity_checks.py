@@ -6,21 +6,23 @@ from pyspark.sql import functions as F
 
 from checks.registry import check
 from checks.views import Tables, cat, pick
+from shelfmark import vocab
 from shelfmark.functions import normalise as N
 from shelfmark.operators import graph, identity, merge, reviews, types
 from shelfmark.session import cut
 
 TOKENS = (
     "list_sort(list_distinct(list_filter(string_split(title_fold, ' '), lambda x: x <> '' AND NOT list_contains("
-    "['a','an','and','at','das','de','der','des','die','el','en','et','for','in','la','le','les',"
-    "'of','on','the','to','un','und','une'], x))))"
+    + repr(sorted(vocab.TITLE_STOPWORDS)) + ", x))))"
 )
 IDENT = f"""base AS (
-    SELECT doc_id AS record_id, doc_id % 6 AS form, source AS s, left(text, 60) AS title,
-      CASE WHEN doc_id % 3 = 0 THEN '10.1000/' || (doc_id % 100) END AS doi FROM documents WHERE doc_id % 2 = 0
+    SELECT 2 * p_partkey AS record_id, p_partkey % 6 AS form, 'src' || (p_partkey % 200) AS s, p_name || ' of ' || p_brand || ' ' || p_type AS title,
+      CASE WHEN p_partkey % 3 = 0 THEN '10.1000/' || (p_partkey % 100) END AS doi FROM part
     UNION ALL
-    SELECT 2 * doc_id + 1, (doc_id + CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 0 END) % 6, source, left(text, CAST(40 + doc_id % 21 AS BIGINT)),
-      CASE WHEN doc_id % 5 = 0 THEN '10.1000/' || (doc_id % 100) END FROM documents),
+    SELECT 2 * p_partkey + 1, (p_partkey + CASE WHEN p_partkey % 3 = 0 THEN 1 ELSE 0 END) % 6, 'src' || (p_partkey % 200),
+      CASE p_partkey % 4 WHEN 0 THEN p_name || ' of ' || p_brand || ' ' || p_type WHEN 1 THEN p_name || 's of ' || p_brand || ' ' || p_type
+        WHEN 2 THEN p_name || ' and ' || p_type || ' ' || p_size ELSE p_type || ' ' || p_name || ' by ' || p_brand END,
+      CASE WHEN p_partkey % 5 = 0 THEN '10.1000/' || (p_partkey % 100) END FROM part),
     ident AS MATERIALIZED (
     SELECT record_id, nullif(title_fold, '') AS title_fold, doi,
       CASE form WHEN 4 THEN NULL ELSE s END AS surname,
@@ -38,31 +40,50 @@ PAIRS = IDENT + """,
           l.words = r.words OR (l.surname = r.surname AND (l.initial = '' OR r.initial = '' OR l.initial = r.initial)) END AS ac,
         least(len(l.tokens), len(r.tokens)) AS few,
         len(list_intersect(l.tokens, r.tokens)) / nullif(len(list_distinct(list_concat(l.tokens, r.tokens))), 0) AS jac
-      FROM ident l JOIN ident r ON l.record_id % 2 = 0 AND r.record_id % 2 = 1),
+      FROM ident l JOIN ident r ON l.record_id % 2 = 0 AND r.record_id % 2 = 1)"""
+# The share of characters in matching blocks, longest block first, then left and right of it:
+# cells of equal characters, maximal diagonal runs, and a recursion over the open segments.
+RATIOS = """wanted AS MATERIALIZED (SELECT DISTINCT lt, rt FROM pairs WHERE ac AND lt <> rt),
+    cells AS (SELECT lt, rt, i, unnest([j FOR j IN range(1, length(rt) + 1) IF substr(rt, j, 1) = substr(lt, i, 1)]) AS j
+      FROM (SELECT lt, rt, unnest(range(1, length(lt) + 1)) AS i FROM wanted)),
+    diagonals AS MATERIALIZED (SELECT lt, rt, min(i) AS i, min(j) AS j, count(*) AS n
+      FROM (SELECT *, i - row_number() OVER (PARTITION BY lt, rt, i - j ORDER BY i) AS g FROM cells) GROUP BY lt, rt, i - j, g),
+    segments AS (
+      SELECT lt, rt, 1 AS al, length(lt) + 1 AS ah, 1 AS bl, length(rt) + 1 AS bh, 0 AS matched FROM wanted
+      UNION ALL
+      SELECT lt, rt, u.al, u.ah, u.bl, u.bh, u.matched FROM (
+        SELECT lt, rt, unnest([{'al': al, 'ah': m.i, 'bl': bl, 'bh': m.j, 'matched': -m.k}, {'al': m.i - m.k, 'ah': ah, 'bl': m.j - m.k, 'bh': bh, 'matched': 0}]) AS u
+        FROM (SELECT lt, rt, al, ah, bl, bh, min({'k': low - high, 'i': low, 'j': low - d}) AS m FROM (
+          SELECT s.*, r.i - r.j AS d, greatest(r.i, s.al, s.bl + r.i - r.j) AS low, least(r.i + r.n, s.ah, s.bh + r.i - r.j) AS high
+          FROM segments s JOIN diagonals r ON s.lt = r.lt AND s.rt = r.rt) WHERE high > low GROUP BY lt, rt, al, ah, bl, bh))),
+    ratios AS MATERIALIZED (SELECT lt, rt, 2.0 * sum(matched) / (length(lt) + length(rt)) AS ratio FROM segments GROUP BY lt, rt)"""
+PAIRS = PAIRS + ", " + RATIOS + """,
     judged AS (
       SELECT *, CASE WHEN shared OR lt = rt THEN CASE WHEN ac = FALSE THEN 'review_required' ELSE 'equivalent' END
         WHEN lt IS NULL OR rt IS NULL THEN 'distinct'
-        WHEN ac AND few >= 3 AND jac >= 0.84 THEN 'equivalent'
-        WHEN ac AND few >= 3 AND jac >= 0.5 THEN 'review_required' ELSE 'distinct' END AS level
-      FROM pairs)"""
+        WHEN ac AND (ratio >= 0.92 OR few >= 3 AND jac >= 0.84) THEN 'equivalent'
+        WHEN ac AND few >= 3 AND (ratio >= 0.65 OR jac >= 0.5) THEN 'review_required' ELSE 'distinct' END AS level
+      FROM pairs LEFT JOIN ratios USING (lt, rt))"""
 
 
 def ident_records(t: Tables):
-    """Even ids: records; odd ids: shorter-titled versions of every record."""
-    d = F.col("doc_id")
-
-    def shape(df, key, form, width, dois):
-        s = F.col("source")
-        return df.select(
-            key.alias("record_id"), F.left("text", width).alias("title"),
-            F.when(form == 1, cat(s, ", Author")).when(form == 2, s).when(form == 3, cat("Bea ", s))
-            .when(form == 4, F.lit(None)).otherwise(cat("Author ", s)).alias("author"),
-            F.when(d % dois == 0, cat("10.1000/", (d % 100).cast("string"))).alias("doi"),
+    """Even ids: a record per part; odd ids: the same with other spellings of title and author."""
+    k = F.col("p_partkey")
+    source, own = cat("src", (k % 200).cast("string")), cat(F.col("p_name"), " of ", F.col("p_brand"), " ", F.col("p_type"))
+    other = F.when(k % 4 == 0, own).when(k % 4 == 1, cat(F.col("p_name"), "s of ", F.col("p_brand"), " ", F.col("p_type"))).when(
+        k % 4 == 2, cat(F.col("p_name"), " and ", F.col("p_type"), " ", F.col("p_size").cast("string"))
+    ).otherwise(cat(F.col("p_type"), " ", F.col("p_name"), " by ", F.col("p_brand")))
+
+    def shape(key, form, title, dois):
+        return t.part.select(
+            key.alias("record_id"), title.alias("title"),
+            F.when(form == 1, cat(source, ", Author")).when(form == 2, source).when(form == 3, cat("Bea ", source))
+            .when(form == 4, F.lit(None)).otherwise(cat("Author ", source)).alias("author"),
+            F.when(k % dois == 0, cat("10.1000/", (k % 100).cast("string"))).alias("doi"),
         )
 
-    left = shape(t.documents.filter("doc_id % 2 = 0"), d, d % 6, F.lit(60), 3)
-    form = (d + F.when(d % 3 == 0, 1).otherwise(0)) % 6
-    right = shape(t.documents, 2 * d + 1, form, (40 + d % 21).cast("int"), 5)
+    left = shape(2 * k, k % 6, own, 3)
+    right = shape(2 * k + 1, (k + F.when(k % 3 == 0, 1).otherwise(0)) % 6, other, 5)
     return left.unionByName(right)
 
 
@@ -82,7 +103,7 @@ def _(t):
 
 
 @check("d06_exact_matches", f"""
-    WITH {PAIRS}
+    WITH RECURSIVE {PAIRS}
     SELECT i.record_id, count(*) FILTER (WHERE level = 'equivalent') AS n_equivalent,
       count(*) FILTER (WHERE level = 'review_required') AS n_review, min(r) FILTER (WHERE level = 'equivalent') AS match_id
     FROM ident i LEFT JOIN (SELECT * FROM judged WHERE shared OR lt = rt) ON l = record_id
@@ -91,15 +112,16 @@ def _(t):
     return identity.exact_matches(*sides(t))
 
 
-@check("d06_near_pairs_by_words", f"""
-    WITH {PAIRS}
+@check("d06_compare_identity", f"""
+    WITH RECURSIVE {PAIRS}
     SELECT DISTINCT lt AS left_title, lw AS left_words, li AS left_initial, rt AS right_title, rw AS right_words, ri AS right_initial, level,
-      CASE level WHEN 'equivalent' THEN 'compatible_first_author|same_title_content_tokens' ELSE 'compatible_first_author|partial_title_similarity' END AS evidence
-    FROM (SELECT lt, lw, li, rt, rw, ri, CASE WHEN jac >= 0.84 THEN 'equivalent' ELSE 'review_required' END AS level
-          FROM pairs WHERE ac AND lt <> rt AND few >= 3 AND jac >= 0.5)""")
+      'compatible_first_author|' || CASE level WHEN 'equivalent' THEN concat_ws('|', CASE WHEN ratio >= 0.92 THEN 'high_title_sequence_similarity' END,
+        CASE WHEN few >= 3 AND jac >= 0.84 THEN 'same_title_content_tokens' END) ELSE 'partial_title_similarity' END AS evidence
+    FROM (SELECT * EXCLUDE (level), CASE WHEN ratio >= 0.92 OR few >= 3 AND jac >= 0.84 THEN 'equivalent'
+        WHEN few >= 3 AND (ratio >= 0.65 OR jac >= 0.5) THEN 'review_required' END AS level FROM judged WHERE ac AND lt <> rt) WHERE level IS NOT NULL""")
 def _(t):
     left, right = sides(t)
-    near = identity.near_pairs(left, right, use_sequence=False)
+    near = identity.near_pairs(left, right)
     def named(side, name):
         return side.select(
             F.col("profile").alias(f"{name}_profile"), F.col("title_fold").alias(f"{name}_title"),
@@ -110,20 +132,15 @@ def _(t):
     ).distinct()
 
 
-@check("d06_compare_identity")
-def _(t):
-    return identity.near_pairs(*sides(t))
-
-
 @check("d07_pick_unique", f"""
-    WITH {PAIRS}
+    WITH RECURSIVE {PAIRS}
     SELECT i.record_id, count(*) FILTER (WHERE level = 'equivalent') AS n_equivalent,
       count(*) FILTER (WHERE level = 'review_required') AS n_review,
       CASE WHEN count(*) FILTER (WHERE level = 'equivalent') = 1 THEN min(r) FILTER (WHERE level = 'equivalent') END AS match_id,
       CASE count(*) FILTER (WHERE level = 'equivalent') WHEN 0 THEN 'none' WHEN 1 THEN 'accepted' ELSE 'ambiguous' END AS outcome
     FROM ident i LEFT JOIN judged ON l = record_id WHERE i.record_id % 2 = 0 GROUP BY i.record_id""")
 def _(t):
-    return identity.pick_unique(identity.identity_counts(*sides(t), use_sequence=False))
+    return identity.pick_unique(identity.identity_counts(*sides(t)))
 
 
 @check("d08_doi_lookup", f"""
@@ -138,7 +155,7 @@ def _(t):
 
 
 @check("d09_title_lookup", f"""
-    WITH {PAIRS}
+    WITH RECURSIVE {PAIRS}
     SELECT i.record_id, count(l) AS n_same_title, count(*) FILTER (WHERE ac IS NOT FALSE AND l IS NOT NULL) AS n_equivalent,
       CASE WHEN count(*) FILTER (WHERE ac IS NOT FALSE AND l IS NOT NULL) = 1 THEN min(r) FILTER (WHERE ac IS NOT FALSE) END AS match_id,
       CASE WHEN count(*) FILTER (WHERE ac IS NOT FALSE AND l IS NOT NULL) = 1 THEN 'accepted'

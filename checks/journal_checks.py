@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from checks.identity_checks import IDENT, ident_records
+from checks.identity_checks import IDENT, RATIOS, ident_records
 from checks.registry import check
 from checks.views import Tables, cat, pick
 from shelfmark.operators import identity, intervals, journals, merge, summaries
@@ -75,11 +75,12 @@ def _(t):
 
 @check("d22_profile_as_of", """
     SELECT o.l_orderkey AS event_id, p.version, strftime(p.effective_from, '%Y-%m-%d %H:%M:%S') AS effective_from
-    FROM (SELECT l_orderkey, l_partkey % 500 AS profile_id, l_shipdate AS at FROM lineitem WHERE l_linenumber = 1) o
+    FROM (SELECT l_orderkey, CASE WHEN l_partkey % 97 <> 0 THEN l_partkey % 500 END AS profile_id, CASE WHEN l_orderkey % 101 <> 0 THEN l_shipdate END AS at FROM lineitem) o
     ASOF LEFT JOIN v_profiles p ON o.profile_id = p.profile_id AND o.at >= p.effective_from""", ints="version")
 def _(t):
-    events = t.lineitem.filter("l_linenumber = 1").select(
-        F.col("l_orderkey").alias("event_id"), (F.col("l_partkey") % 500).alias("profile_id"), F.col("l_shipdate").alias("at")
+    events = t.lineitem.select(
+        F.col("l_orderkey").alias("event_id"), F.when(F.col("l_partkey") % 97 != 0, F.col("l_partkey") % 500).alias("profile_id"),
+        F.when(F.col("l_orderkey") % 101 != 0, F.col("l_shipdate")).alias("at"),
     )
     return intervals.profile_as_of(events, t.v_profiles).select("event_id", "version", "effective_from")
 
@@ -202,8 +203,8 @@ def _(t):
 
 @check("d18_title_overlap", f"""
     WITH a AS ({_side(1)}), b AS ({_side(2)}),
-    every AS (SELECT title, list_sort(list(DISTINCT peer_url))[1:3] AS links FROM b GROUP BY title),
-    exact AS (SELECT title, first_author, year, list_sort(list(DISTINCT peer_url))[1:3] AS links FROM b WHERE year IS NOT NULL GROUP BY ALL)
+    every AS (SELECT title, list_sort(list(DISTINCT peer_url)) AS links FROM b GROUP BY title),
+    exact AS (SELECT title, first_author, year, list_sort(list(DISTINCT peer_url)) AS links FROM b WHERE year IS NOT NULL GROUP BY ALL)
     SELECT a.url, CASE WHEN x.links IS NOT NULL THEN 'same_bibliography' ELSE 'needs_review' END AS status,
       array_to_string(coalesce(x.links, e.links), '|') AS links
     FROM a JOIN every e USING (title) LEFT JOIN exact x ON a.title = x.title AND a.first_author = x.first_author AND a.year = x.year""")
@@ -212,7 +213,7 @@ def _(t):
 
 
 @check("d19_article_hits", f"""
-    WITH {IDENT}, placed AS (SELECT *, 'V' || (record_id // 2 % 3) AS venue, 2000 + record_id // 4 % 2 AS year, '1' AS issue FROM ident),
+    WITH RECURSIVE {IDENT}, placed AS (SELECT *, 'V' || (record_id // 2 % 3) AS venue, 2000 + record_id // 4 % 2 AS year, '1' AS issue FROM ident),
     pairs AS (
       SELECT l.record_id AS l, coalesce(l.doi = r.doi, FALSE) AS shared, l.title_fold AS lt, r.title_fold AS rt,
         CASE WHEN l.surname IS NOT NULL AND r.surname IS NOT NULL THEN
@@ -220,9 +221,10 @@ def _(t):
         least(len(l.tokens), len(r.tokens)) AS few,
         len(list_intersect(l.tokens, r.tokens)) / nullif(len(list_distinct(list_concat(l.tokens, r.tokens))), 0) AS jac,
         l.venue = r.venue AND l.year = r.year AND l.issue = r.issue AS place
-      FROM placed l JOIN placed r ON l.record_id % 2 = 0 AND r.record_id % 2 = 1),
+      FROM placed l JOIN placed r ON l.record_id % 2 = 0 AND r.record_id % 2 = 1), {RATIOS},
     judged AS (SELECT *, CASE WHEN shared OR lt = rt THEN CASE WHEN ac = FALSE THEN 1 ELSE 2 END WHEN lt IS NULL OR rt IS NULL THEN 0
-        WHEN ac AND few >= 3 AND jac >= 0.84 THEN 2 WHEN ac AND few >= 3 AND jac >= 0.5 THEN 1 ELSE 0 END AS level FROM pairs)
+        WHEN ac AND (few >= 3 AND jac >= 0.84 OR ratio >= 0.92) THEN 2 WHEN ac AND few >= 3 AND (jac >= 0.5 OR ratio >= 0.65) THEN 1 ELSE 0 END AS level
+        FROM pairs LEFT JOIN ratios USING (lt, rt))
     SELECT i.record_id, CASE WHEN bool_or(level = 2 AND place AND ac) THEN 'hit' WHEN max(level) > 0 THEN 'review' ELSE 'miss' END AS status
     FROM ident i LEFT JOIN judged ON l = i.record_id WHERE i.record_id % 2 = 0 GROUP BY i.record_id""")
 def _(t):
@@ -230,7 +232,7 @@ def _(t):
     every = identity.identities(ident_records(t)).withColumn(
         "venue", cat("V", (F.floor(d / 2) % 3).cast("string"))
     ).withColumn("year", (2000 + F.floor(d / 4) % 2).cast("int")).withColumn("issue", F.lit("1"))
-    return journals.article_hits(every.filter("record_id % 2 = 0"), every.filter("record_id % 2 = 1"), use_sequence=False)
+    return journals.article_hits(every.filter("record_id % 2 = 0"), every.filter("record_id % 2 = 1"))
 
 
 def scans(t: Tables):
@@ -483,4 +485,4 @@ def _(t):
     sizes = t.v_catalogue.groupBy("issue").agg(F.count("*").alias("n"))
     one = sizes.filter("n % 4 <> 0").select("issue", F.col("n").alias("declared_count"), F.lit("2024-01-01").cast("date").alias("declared_date"))
     two = sizes.filter("n % 5 = 0").select("issue", (F.col("n") + 1).alias("declared_count"), F.lit("2024-01-02").cast("date").alias("declared_date"))
-    return journals.import_checked_catalogue(t.v_catalogue, one.unionByName(two))
+    return journals.import_checked_catalogue(t.v_catalogue, one.unionByName(two), (5, 30))

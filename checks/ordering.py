@@ -30,7 +30,7 @@ def _(t):
 
 @check("g02_paginate", f"SELECT record_id FROM ({RANKED}) WHERE position > 40 AND position <= 60")
 def _(t):
-    return ranking.paginate(ranked_items(t), None, 40, years_bound=True).select("record_id")
+    return ranking.paginate(ranked_items(t), 20, 40).select("record_id")
 
 
 @check("g02_next_page", f"""
@@ -84,7 +84,7 @@ def _(t):
     l AS (SELECT user_id AS article_id, max(ts) AS last_checked FROM events GROUP BY 1),
     o AS (SELECT a.*, last_checked, row_number() OVER (PARTITION BY journal ORDER BY last_checked ASC NULLS FIRST, article_id) AS rn FROM a LEFT JOIN l USING (article_id)),
     d AS (SELECT *, row_number() OVER (PARTITION BY journal ORDER BY last_checked ASC NULLS FIRST, article_id) AS due_position FROM o
-          WHERE rn <= 30 AND (last_checked IS NULL OR last_checked <= TIMESTAMP '2024-01-30 00:00:00' - INTERVAL 12 HOUR))
+          WHERE (last_checked IS NULL OR last_checked <= TIMESTAMP '2024-01-30 00:00:00' - INTERVAL 12 HOUR))
     SELECT article_id, journal, due_position FROM d WHERE due_position <= 10""")
 def _(t):
     u = F.col("user_id")
@@ -96,6 +96,18 @@ def _(t):
     return ranking.due_checks(articles, checks, "2024-01-30 00:00:00", 12, 10).select("article_id", "journal", "due_position")
 
 
+@check("g02_page_facts", f"SELECT count(*) AS total, count(*) > 60 AS has_more, CASE WHEN count(*) > 60 THEN 60 END AS next_offset FROM ({RANKED})", ints="next_offset")
+def _(t):
+    return ranking.page_facts(ranked_items(t), 20, 40)
+
+
+@check("g07_worklist_facts", """
+    SELECT count(*) AS total, count(*) > 2600 AS has_more, CASE WHEN count(*) > 2600 THEN 2600 END AS next_offset
+    FROM v_queue WHERE status IN ('pending', 'blocked')""", ints="next_offset")
+def _(t):
+    return ranking.page_facts(ranking.worklist_rows(t.v_queue), 100, 2500)
+
+
 @check("g07_worklist", """
     SELECT grp, url, CASE WHEN status = 'blocked' AND blocked_since IS NULL THEN 'blocked_age_unknown'
         WHEN status = 'blocked' AND blocked_since <= TIMESTAMP '2024-01-01' THEN 'long_blocked' ELSE status END AS attention_reason
@@ -137,7 +149,7 @@ PLAN = PLAN.replace("min((c, a, b)) AS place, place.c AS term_class, place.a AS
 
 @check("g08_query_plan_terms", f"SELECT count(*) AS terms, count(*) FILTER (WHERE planned) AS planned FROM ({PLAN})")
 def _(t):
-    return ranking.query_plan(feeds(t), profile_terms(t)).agg(
+    return ranking.query_plan(feeds(t), profile_terms(t), 12).agg(
         F.count("*").alias("terms"), F.count_if("planned").alias("planned")
     )
 
@@ -145,7 +157,7 @@ def _(t):
 @check("g08_query_plan", PLAN.replace("lower(r_name)", "lower(r_name)").replace("r_regionkey % 3, 0", "r_regionkey, 0"), ints="term_class")
 def _(t):
     own = t.region.select(F.col("r_regionkey").alias("pos"), F.lower("r_name").alias("term"))
-    return ranking.query_plan(feeds(t), own)
+    return ranking.query_plan(feeds(t), own, 12)
 
 
 @check("g08_query_plan_counts", f"""
@@ -154,7 +166,7 @@ def _(t):
       (SELECT count(*) FROM plan WHERE NOT planned) AS terms_outside_budget, (SELECT count(*) FROM plan) AS terms""")
 def _(t):
     own = t.region.select(F.col("r_regionkey").alias("pos"), F.lower("r_name").alias("term"))
-    return ranking.query_plan_counts(feeds(t), ranking.query_plan(feeds(t), own))
+    return ranking.query_plan_counts(feeds(t), ranking.query_plan(feeds(t), own, 12))
 
 
 @check("g09_date_review_worklist", """

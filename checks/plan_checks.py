@@ -97,7 +97,7 @@ def resolved_sql(candidates: str, failed: str = "record_url LIKE '%-7'") -> str:
 def _(t):
     candidates = sparse_enriched(t)
     failed = candidates.filter("record_url LIKE '%-7'").select("record_url")
-    out, _evidence = resolve_records(candidates, first_works(t), second_works(t), WINDOW, lookup_failed=failed, use_sequence=False)
+    out, _evidence = resolve_records(candidates, first_works(t), second_works(t), WINDOW, lookup_failed=failed)
     return out.select("record_url", "reason_code", "work_id", "work_type", "freshness", "freshness_event", "publication_date")
 
 
@@ -143,7 +143,6 @@ def weekly(t: Tables):
     log = t.events.limit(0).select(F.lit("").alias("work_id"), F.lit("").alias("kind"), F.col("ts").alias("matched_at"))
     return runs.weekly_run(
         sparse(t), run_events(t), first_works(t), second_works(t), profile_rows(t), WINDOW, seen_rows(t), empty_unresolved(t), log,
-        use_sequence=False,
     )
 
 
@@ -173,7 +172,7 @@ WANTED = f"""
     UNION ALL SELECT record_url, coalesce(reason_code, 'resolved') FROM r""")
 def _(t):
     return runs.on_demand(
-        sparse(t), run_events(t), first_works(t), second_works(t), profile_rows(t), WINDOW, budget=200, use_sequence=False
+        sparse(t), run_events(t), first_works(t), second_works(t), profile_rows(t), WINDOW, budget=200
     )[1]
 
 
@@ -196,7 +195,7 @@ def search(t: Tables):
         "category_id", F.when(rare, "view").otherwise(F.col("category_id"))
     )
     return runs.paper_search(
-        shown, second_works(t), groups, 2, excluded, reviewed, mode="any", years=(2015, 2023), use_sequence=False
+        shown, second_works(t), groups, 2, excluded, reviewed, mode="any", years=(2015, 2023)
     )
 
 

@@ -288,10 +288,10 @@ def _(t):
         generate_subscripts(regexp_extract_all(html, '<a [^>]*href="([^"]*)"[^>]*>(.*?)</a>', 1, 's'), 1) - 1 AS pos FROM pages),
     f AS (SELECT page_id, url, arg_min(trim(regexp_replace(replace(replace(replace(replace(regexp_replace(label, '<[^>]*>', '', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '\\s+', ' ', 'g')), pos) AS label, min(pos) AS position FROM a WHERE url <> '' GROUP BY ALL),
     n AS (SELECT page_id, count(*) AS n FROM f GROUP BY 1)
-    SELECT p.page_id, CASE WHEN n.n IS NULL THEN 'no_links' WHEN n.n > 6 THEN 'link_limit' ELSE 'parsed' END AS page_status, f.url, left(f.label, 160) AS label, f.position
-    FROM pages p LEFT JOIN n USING (page_id) LEFT JOIN f ON f.page_id = p.page_id AND n.n <= 6""")
+    SELECT p.page_id, CASE WHEN n.n IS NULL THEN 'no_links' ELSE 'parsed' END AS page_status, f.url, f.label, f.position
+    FROM pages p LEFT JOIN n USING (page_id) LEFT JOIN f ON f.page_id = p.page_id""")
 def _(t):
-    return pages.page_links(t.pages, lambda c: F.when(c != "", c), most=6)
+    return pages.page_links(t.pages, lambda c: F.when(c != "", c))
 
 
 def taxonomy_payloads(t: Tables):
@@ -375,6 +375,16 @@ def _(t):
     return tables.read_run_table(t.spark, root, "unresolved")
 
 
+@check("a14_latest_version", "SELECT record_url, 'run-1' AS run_id FROM v_unresolved WHERE attempts < 3")
+def _(t):
+    """A later run that did not write the table leaves its state as it was."""
+    root = shared_path(t.spark, "runs")
+    rows = t.v_unresolved.select("record_url", "attempts")
+    tables.write_run({"unresolved": rows.filter("attempts < 3")}, root, "run-1", "weekly", ("2024-01-01", "2024-01-08"))
+    tables.write_run({"report": rows}, root, "run-2", "on-demand", ("2024-01-08", "2024-01-15"))
+    return tables.latest_version(t.spark, root, "unresolved").select("record_url", "run_id")
+
+
 @check("a15_review_queue", """
     SELECT record_url, title, 'year_review_pending' AS reason, '' AS labels, NULL AS evidence_fingerprint FROM v_unresolved WHERE attempts = 0
     UNION ALL SELECT record_url, title, 'identity_unverified', 'a:' || attempts || '|' || reason_code, sha256('a:' || attempts || chr(30) || reason_code) FROM v_unresolved WHERE attempts = 1

@@ -111,6 +111,7 @@ def author_keys(column: Column) -> Column:
     ``Surname, Given`` takes the last word before the comma as surname; other
     forms take the last word.  Blank names give a NULL struct.
     """
+    column = F.translate(column, "，﹐︐", ",,,")  # other forms of the comma
     words = words_of(title_fold(column))
     before = words_of(title_fold(F.substring_index(column, ",", 1)))
     has_comma = column.contains(",")
@@ -134,7 +135,7 @@ def author_keys(column: Column) -> Column:
 def split_display(column: Column) -> Column:
     """``Surname, Given: Title`` -> struct(author, title)."""
     author = F.substring_index(column, ": ", 1)
-    title = F.trim(F.substring(column, F.length(author) + 3, 1_000_000))
+    title = F.trim(F.substr(column, F.length(author) + 3))
     splits = column.contains(": ") & author.contains(",") & (title != "")
     return F.struct(
         F.when(splits, F.trim(author)).alias("author"),
@@ -210,19 +211,19 @@ def utc_ntz(instant: Column) -> Column:
     return F.convert_timezone(F.current_timezone(), F.lit("UTC"), local)
 
 
-def year_hint(column: Column, width: int = 512) -> Column:
-    found = F.regexp_extract(F.left(column, F.lit(width)), vocab.YEAR_SHAPE, 0)
+def year_hint(column: Column) -> Column:
+    found = F.regexp_extract(column, vocab.YEAR_SHAPE, 0)
     return F.when(found != "", found.cast("int"))
 
 
 def doi_hint(column: Column) -> Column:
-    text = F.regexp_replace(F.left(column, F.lit(4096)), "&amp;", "&")
+    text = F.regexp_replace(column, "&amp;", "&")
     text = F.coalesce(F.try_url_decode(F.regexp_replace(text, r"\+", "%2B")), text)
     return doi_norm(F.regexp_extract(text, vocab.DOI_LINK, 0))
 
 
 def type_hint(column: Column) -> Column:
-    text = F.regexp_replace(F.left(column, F.lit(512)), "&#39;|&apos;", "'")
+    text = F.regexp_replace(column, "&#39;|&apos;", "'")
     return F.coalesce(*[F.when(text.rlike(shape), F.lit(kind)) for kind, shape in vocab.TYPE_PHRASES])
 
 
@@ -236,7 +237,7 @@ def safe_raw_type(provider: Column, raw: Column) -> Column:
     value = F.when(
         provider == "change-log", F.regexp_replace(value, "^info:eu-repo/semantics/", "")
     ).otherwise(value)
-    return F.when((F.length(value) <= 64) & value.rlike(vocab.SAFE_TYPE), value)
+    return F.when(value.rlike(vocab.SAFE_TYPE), value)
 
 
 def type_map(spark) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import datetime, timezone
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,10 +12,14 @@ from shelfmark.functions import normalise as N
 
 
 def instant(value: datetime | str | Column) -> Column:
-    """A UTC instant as TIMESTAMP_NTZ."""
+    """A UTC instant as TIMESTAMP_NTZ; a datetime must carry its zone, a text is in UTC."""
     if isinstance(value, Column):
         return value
-    text = value if isinstance(value, str) else value.strftime("%Y-%m-%d %H:%M:%S.%f")
+    if isinstance(value, datetime):
+        if value.tzinfo is None:
+            raise ValueError("a datetime without a zone is no instant")
+        value = value.astimezone(timezone.utc).strftime("%Y-%m-%d %H:%M:%S.%f")
+    text = value
     return F.lit(text).cast("timestamp_ntz")
 
 
@@ -23,8 +27,17 @@ def within(column: Column, start, end) -> Column:
     return (column >= instant(start)) & (column < instant(end))
 
 
-def in_window(events: DataFrame, start, end, at: str = "changed_at") -> DataFrame:
-    """Rows inside ``[start, end)``; a plain range filter, so it reaches the scan."""
+class WindowNotOver(ValueError):
+    """The window ends after the time of asking."""
+
+
+def in_window(events: DataFrame, start, end, at: str = "changed_at", now: datetime | str | None = None) -> DataFrame:
+    """Rows inside ``[start, end)``; a plain range filter, so it reaches the scan.
+
+    With ``now``, a window that ends later is refused: its rows are not all there yet.
+    """
+    if now is not None and events.sparkSession.range(1).select(instant(end) > instant(now)).first()[0]:
+        raise WindowNotOver(f"the window ends at {end}, after {now}")
     return events.filter(within(F.col(at), start, end))
 
 
@@ -48,7 +61,7 @@ def assess_freshness(works: DataFrame, start, end) -> DataFrame:
     exact = F.col("precision").isin("day", "second")
     rules = [
         (F.col("value").isNull(), "uncertain", "no_date"),
-        (~F.col("event").isin(vocab.PUBLICATION_EVENTS), "source_record_updated", "other_event"),
+        (~F.coalesce(F.col("event").isin(vocab.PUBLICATION_EVENTS), F.lit(False)), "source_record_updated", "other_event"),
         (F.col("inferred"), "uncertain", "inferred_date"),
         (F.lower("source").isin(vocab.OBSERVATION_SOURCES), "source_record_updated", "observation_source"),
         (~exact & (hi <= instant(start)), "newly_indexed_old_work", "coarse_date_before_window"),
@@ -131,7 +144,7 @@ def year_hint_gate(candidates: DataFrame, reviews: DataFrame) -> DataFrame:
 
 def supported_type(column: Column) -> Column:
     value = F.regexp_replace(F.lower(F.trim(column)), "_", "-")
-    safe = F.when((F.length(value) <= 64) & value.rlike(vocab.SAFE_TYPE), value)
+    safe = F.when(value.rlike(vocab.SAFE_TYPE), value)
     return F.coalesce(safe.isin(vocab.SUPPORTED_TYPES + vocab.SUPPORTED_LEGACY_TYPES), F.lit(False))
 
 

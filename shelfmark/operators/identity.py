@@ -194,7 +194,7 @@ def _token_table(left, right):
     return np.divide(both, either, out=np.zeros_like(both), where=either > 0)
 
 
-def _judge_block(left: pd.DataFrame, right: pd.DataFrame, use_sequence: bool) -> pd.DataFrame:
+def _judge_block(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
     """Near pairs of one bounded block; cheap tests first, the sequence ratio last."""
     lt, rt = left["title_fold"].tolist(), right["title_fold"].tolist()
     lk, rk = [list(v) for v in left["tokens"]], [list(v) for v in right["tokens"]]
@@ -214,19 +214,19 @@ def _judge_block(left: pd.DataFrame, right: pd.DataFrame, use_sequence: bool) ->
     scripts = np.array([[bool(a) and bool(b) and a.isdisjoint(b) for b in rs] for a in ls], dtype=bool).reshape(open_.shape)
     partial_tokens = enough & (tokens >= np.float32(PARTIAL_TOKENS - 1e-6))
     ratio = np.zeros(open_.shape)
-    if use_sequence:
-        bound = _ratio_bound(lt, rt)
-        wanted = open_ & (
-            (bound >= EQUIVALENT_SEQUENCE) | (enough & ~partial_tokens & ~scripts & (bound >= PARTIAL_SEQUENCE))
-        )
-        matcher = SequenceMatcher(None, autojunk=False)
-        for column in np.flatnonzero(wanted.any(axis=0)):
-            matcher.set_seq2(rt[column])
-            for row in np.flatnonzero(wanted[:, column]):
-                matcher.set_seq1(lt[row])
-                floor = EQUIVALENT_SEQUENCE if (partial_tokens | scripts | ~enough)[row, column] else PARTIAL_SEQUENCE
-                if matcher.quick_ratio() >= floor:
-                    ratio[row, column] = matcher.ratio()
+    bound = _ratio_bound(lt, rt)
+    wanted = open_ & (
+        (bound >= EQUIVALENT_SEQUENCE) | (enough & ~partial_tokens & ~scripts & (bound >= PARTIAL_SEQUENCE))
+    )
+    settled = partial_tokens | scripts | ~enough
+    matcher = SequenceMatcher(None, autojunk=False)
+    for column in np.flatnonzero(wanted.any(axis=0)):
+        matcher.set_seq2(rt[column])
+        for row in np.flatnonzero(wanted[:, column]):
+            matcher.set_seq1(lt[row])
+            floor = EQUIVALENT_SEQUENCE if settled[row, column] else PARTIAL_SEQUENCE
+            if matcher.quick_ratio() >= floor:
+                ratio[row, column] = matcher.ratio()
     sequence_equal = open_ & (ratio >= EQUIVALENT_SEQUENCE)
     equal = token_equal | sequence_equal
     review = open_ & ~equal & (scripts | partial_tokens | (enough & (ratio >= PARTIAL_SEQUENCE)))
@@ -248,8 +248,12 @@ def _judge_block(left: pd.DataFrame, right: pd.DataFrame, use_sequence: bool) ->
     }, dtype=object)
 
 
-def _profiles(records: DataFrame) -> DataFrame:
-    """One row per distinct profile and route; copies of a record do not multiply work."""
+def _profiles(records: DataFrame, side: str) -> DataFrame:
+    """One row per distinct profile, route and block; copies of a record do not multiply work.
+
+    In the surname route profiles with an initial meet only the same initial and the
+    blank ones; a blank initial meets all, in blocks where one side is all blank.
+    """
     distinct = (
         records.filter("surname IS NOT NULL AND title_fold IS NOT NULL").groupBy("profile").agg(
             F.first("title_fold").alias("title_fold"), F.first("name_words").alias("name_words"),
@@ -257,23 +261,30 @@ def _profiles(records: DataFrame) -> DataFrame:
         )
         .withColumn("tokens", N.content_tokens(F.col("title_fold")))
     )
-    routes = F.array(
-        F.struct(F.lit("surname").alias("route"), F.col("surname").alias("block")),
-        F.struct(F.lit("words").alias("route"), F.col("name_words").alias("block")),
-    )
-    return distinct.withColumn("r", F.explode(routes)).select("*", "r.route", "r.block").drop("r")
+    blank = F.col("initial") == ""
+
+    def block(route: str, *parts: Column) -> Column:
+        return F.struct(F.lit(route).alias("route"), F.concat_ws("\0", *parts).alias("block"))
 
+    own = F.when(~blank, block("surname", F.col("surname"), F.lit("="), F.col("initial")))
+    left_blank = block("surname", F.col("surname"), F.lit("left blank"))
+    right_blank = block("surname", F.col("surname"), F.lit("right blank"))
+    if side == "left":
+        across = [F.when(blank, left_blank), F.when(~blank, right_blank)]
+    else:
+        across = [left_blank, F.when(blank, right_blank)]
+    routes = F.array_compact(F.array(own, *across, block("words", F.col("name_words"))))
+    return distinct.withColumn("r", F.explode(routes)).select("*", "r.route", "r.block").drop("r").withColumn("side", F.lit(side))
 
-def near_pairs(left: DataFrame, right: DataFrame, use_sequence: bool = True) -> DataFrame:
+
+def near_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
     """Profile pairs with compatible authors and different titles that are not distinct.
 
-    A block of one author is cut into chunks of about ``BLOCK_ROWS`` profiles by
+    A block of one author and initial is cut into chunks of about ``BLOCK_ROWS`` profiles by
     hash; every chunk meets every chunk of the other side as its own bounded
     group, so a prolific author is spread over many tasks and no pair is missed.
     """
-    both = _profiles(left).withColumn("side", F.lit("left")).unionByName(
-        _profiles(right).withColumn("side", F.lit("right"))
-    )
+    both = _profiles(left, "left").unionByName(_profiles(right, "right"))
     is_left = F.col("side") == "left"
     keys = ["route", "block"]
     sizes = both.groupBy(*keys).agg(
@@ -294,21 +305,21 @@ def near_pairs(left: DataFrame, right: DataFrame, use_sequence: bool = True) ->
         x, y = cell[cell["side"] == "left"], cell[cell["side"] == "right"]
         if x.empty or y.empty:
             return pd.DataFrame(columns=["left_profile", "right_profile", "level", "evidence"], dtype=object)
-        return _judge_block(x, y, use_sequence)
+        return _judge_block(x, y)
 
     return spread.groupBy(*keys, "left_chunk", "right_chunk").applyInPandas(
         judge, "left_profile string, right_profile string, level string, evidence string"
     )
 
 
-def identity_counts(left: DataFrame, right: DataFrame, use_sequence: bool = True) -> DataFrame:
+def identity_counts(left: DataFrame, right: DataFrame) -> DataFrame:
     """Equivalent and review-required right records of each left record, over all routes.
 
     Near pairs are summed per left profile.  Those that also share the record's
     DOI were counted by the exact route and are taken off.  Both sides are read
     by every route, so pass them written out (``session.cut``).
     """
-    near = cut(near_pairs(left, right, use_sequence).select("left_profile", "right_profile", "level"))
+    near = cut(near_pairs(left, right).select("left_profile", "right_profile", "level"))
     totals = right.groupBy(F.col("profile").alias("right_profile")).agg(
         F.count("*").alias("n"), F.min("record_id").alias("least_id")
     )

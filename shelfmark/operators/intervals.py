@@ -99,7 +99,9 @@ def as_of(
         .withColumn("_found", F.coalesce(F.last("_value", ignorenulls=True).over(inside), F.col("_carried")))
         .filter("_side = 1").select(key, F.col("_at").alias(left_time), "_found")
     )
-    return left.join(answered, [key, left_time]).select(*left.columns, "_found.*")
+    answered = answered.withColumnsRenamed({key: "_key", left_time: "_time"})
+    same = F.col(key).eqNullSafe(F.col("_key")) & F.col(left_time).eqNullSafe(F.col("_time"))
+    return left.join(answered, same, "left").select(*left.columns, "_found.*")
 
 
 def covering_interval(cov: DataFrame, windows: DataFrame, key: str = "source_key", bucket: str = "day") -> DataFrame:

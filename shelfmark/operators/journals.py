@@ -159,29 +159,30 @@ def cross_check(records: DataFrame, others: DataFrame) -> DataFrame:
     )
 
 
-def _first_urls(peers: DataFrame, keys: list[str], n: int = 3) -> DataFrame:
-    """The ``n`` least URLs per key; all but ``n`` rows per task go before the shuffle."""
+def _first_urls(peers: DataFrame, keys: list[str], n: int | None) -> DataFrame:
+    """The ``n`` least URLs per key, or all; all but ``n`` rows per task go before the shuffle."""
     w = Window.partitionBy(*keys).orderBy("peer_url")
+    urls = peers.filter("peer_url IS NOT NULL").select(*keys, "peer_url").distinct()
+    if n is not None:
+        urls = urls.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= n)
     return (
-        peers.filter("peer_url IS NOT NULL").select(*keys, "peer_url").distinct()
-        .withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= n)
-        .groupBy(*keys).agg(F.array_sort(F.collect_list("peer_url")).alias("links"))
+        urls.groupBy(*keys).agg(F.array_sort(F.collect_list("peer_url")).alias("links"))
     )
 
 
-def title_overlap(records: DataFrame, peers: DataFrame) -> DataFrame:
+def title_overlap(records: DataFrame, peers: DataFrame, links: int | None = None) -> DataFrame:
     """Records whose exact title another bibliography holds; nothing is merged.
 
     ``same_bibliography`` needs the first author and the year too, else
-    ``needs_review``; up to three links are shown.
+    ``needs_review``; all links are given, or the ``links`` least.
     """
     def keyed(df):
         return df.withColumn("_title", N.compact(F.col("title"))).withColumn("_author", N.compact(F.col("first_author"))).filter("_title <> ''")
 
     p, r = keyed(peers), keyed(records)
     exact_keys = ["_title", "_author", "year"]
-    exact = _first_urls(p.filter("_author <> '' AND year IS NOT NULL"), exact_keys).withColumnRenamed("links", "_exact")
-    every = _first_urls(p, ["_title"])
+    exact = _first_urls(p.filter("_author <> '' AND year IS NOT NULL"), exact_keys, links).withColumnRenamed("links", "_exact")
+    every = _first_urls(p, ["_title"], links)
     return (
         r.join(every, "_title").join(exact, exact_keys, "left")
         .select(
@@ -191,7 +192,7 @@ def title_overlap(records: DataFrame, peers: DataFrame) -> DataFrame:
     )
 
 
-def article_hits(articles: DataFrame, external: DataFrame, use_sequence: bool = True) -> DataFrame:
+def article_hits(articles: DataFrame, external: DataFrame) -> DataFrame:
     """``hit``, ``review`` or ``miss`` of each article in one external source.
 
     Both sides are ``identity.identities`` with ``venue, year, issue``.  A hit is
@@ -199,11 +200,11 @@ def article_hits(articles: DataFrame, external: DataFrame, use_sequence: bool =
     """
     place = ["venue", "year", "issue"]
     articles, external = cut(articles), cut(external)
-    counts = identity.identity_counts(articles, external, use_sequence)
+    counts = identity.identity_counts(articles, external)
     hits = identity.class_counts(articles, external, [
         identity.Route(["title_fold", *place], same=1), identity.Route(["doi", *place], same=1)
     ]).filter("n_same > 0").select("record_id")
-    near = identity.near_pairs(articles, external, use_sequence).filter("level = 'equivalent'")
+    near = identity.near_pairs(articles, external).filter("level = 'equivalent'")
     wanted = articles.select("record_id", F.col("profile").alias("left_profile"), *place)
     offered = external.select(F.col("profile").alias("right_profile"), *place).distinct()
     placed = wanted.join(near, "left_profile").join(offered, ["right_profile", *place], "left_semi").select("record_id")
@@ -242,11 +243,11 @@ def catalogue_search(articles: DataFrame, scans: DataFrame, terms: list[str]) ->
     )
 
 
-def import_checked_catalogue(articles: DataFrame, issues: DataFrame) -> DataFrame:
+def import_checked_catalogue(articles: DataFrame, issues: DataFrame, sizes: tuple[int, int] | None = None) -> DataFrame:
     """Gate of hand-checked catalogues, one row per issue with the reasons against it.
 
     ``issues`` holds ``issue, declared_count, declared_date`` and how it was
-    reviewed; an accepted issue has no reasons.
+    reviewed; an accepted issue has no reasons.  ``sizes`` bounds the articles of an issue.
     """
     held = articles.groupBy("issue").agg(
         F.count("*").alias("n"), F.count_distinct("title").alias("n_titles"),
@@ -264,7 +265,7 @@ def import_checked_catalogue(articles: DataFrame, issues: DataFrame) -> DataFram
         F.when(F.col("declared") != n, "count_mismatch"),
         F.when(F.col("n_titles") != n, "titles_repeat"),
         F.when(F.col("n_blank") > 0, "blank_title"),
-        F.when(~n.between(5, 30), "size_out_of_bounds"),
+        *([F.when(~n.between(*sizes), "size_out_of_bounds")] if sizes else []),
     ))
     return held.join(reviewed, "issue", "full_outer").select("issue", n.alias("n"), reasons.alias("reasons"))
 

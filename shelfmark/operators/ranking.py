@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfmark.operators.gates import instant
-from shelfmark.session import cut_in_order, small_or_plain
+from shelfmark.session import cut_in_order
 
 
 def with_position(df: DataFrame, order: list[Column], groups: list[str] | None = None, name: str = "position") -> DataFrame:
@@ -24,7 +24,7 @@ def with_position(df: DataFrame, order: list[Column], groups: list[str] | None =
     before = Window.partitionBy(*groups).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
     return (
-        placed.join(small_or_plain(offsets), ["_part", *groups])
+        placed.join(offsets, ["_part", *groups])
         .withColumn(name, F.col("_before") + F.col("_seq") - F.col("_first") + 1)
         .drop("_part", "_seq", "_first", "_before")
     )
@@ -44,10 +44,15 @@ def rank_results(items: DataFrame, numbered: bool = True) -> DataFrame:
     return items.orderBy(*result_order())
 
 
-def paginate(items: DataFrame, limit: int | None, offset: int = 0, years_bound: bool = False) -> DataFrame:
-    """One page of the ranked results; 20 rows by default when years are bound."""
-    if limit is None and years_bound:
-        limit = 20
+def page_facts(rows: DataFrame, limit: int | None, offset: int = 0) -> DataFrame:
+    """One row about a page: how many rows match, whether more follow, and where the next page starts."""
+    end = F.lit(offset + (limit or 0)).cast("bigint")
+    more = (F.col("total") > end) if limit is not None else F.lit(False)
+    return rows.agg(F.count("*").alias("total")).select("total", more.alias("has_more"), F.when(more, end).alias("next_offset"))
+
+
+def paginate(items: DataFrame, limit: int | None = None, offset: int = 0) -> DataFrame:
+    """One page of the ranked results, or all; :func:`page_facts` tells the rest."""
     ranked = items.orderBy(*result_order())
     if offset:
         ranked = ranked.offset(offset)
@@ -85,12 +90,17 @@ def report_groups(matches: DataFrame, numbered: bool = True) -> DataFrame:
     return placed.orderBy("report_group", *order)
 
 
-def pick_for_lookup(candidates: DataFrame, attempts: DataFrame, budget: int) -> DataFrame:
+def pick_for_lookup(candidates: DataFrame, attempts: DataFrame, budget: int | None = None) -> DataFrame:
     """Add ``lookup``: ``cached``, ``selected`` or ``deferred``.
 
     Cached rows are free.  The rest are ordered never tried, oldest try,
     eligible, id; only ``budget`` rows are sorted out, by a per-partition top-k.
+    Without a budget all are selected.
     """
+    if budget is None:
+        return candidates.join(
+            attempts.groupBy("record_url").agg(F.max("attempted_at").alias("last_attempt")), "record_url", "left"
+        ).withColumn("lookup", F.when(F.col("cached"), "cached").otherwise("selected"))
     last = attempts.groupBy("record_url").agg(F.max("attempted_at").alias("last_attempt"))
     joined = candidates.join(last, "record_url", "left")
     chosen = (
@@ -100,7 +110,7 @@ def pick_for_lookup(candidates: DataFrame, attempts: DataFrame, budget: int) ->
         ).limit(budget).select("record_url", F.lit(True).alias("_chosen"))
     )
     state = F.when(F.col("cached"), "cached").when(F.col("_chosen"), "selected").otherwise("deferred")
-    return joined.join(small_or_plain(chosen, budget), "record_url", "left").withColumn("lookup", state).drop("_chosen")
+    return joined.join(chosen, "record_url", "left").withColumn("lookup", state).drop("_chosen")
 
 
 def fair_budget(groups: DataFrame, total: int, per_group: int, ordinal: int) -> DataFrame:
@@ -119,20 +129,17 @@ def fair_budget(groups: DataFrame, total: int, per_group: int, ordinal: int) ->
 def due_checks(articles: DataFrame, checks: DataFrame, now, hours: int, n: int) -> DataFrame:
     """The next ``n`` articles per journal: never checked first, then the oldest check;
     those checked within ``hours`` are skipped.
-
-    As in the weekly order, only the first ``3 n`` of a journal are looked at.
     """
     last = checks.groupBy("article_id").agg(F.max("checked_at").alias("last_checked"))
     joined = articles.join(last, "article_id", "left")
     order = [F.col("last_checked").asc_nulls_first(), F.col("article_id")]
     in_journal = Window.partitionBy("journal").orderBy(*order)
-    scanned = joined.withColumn("_row", F.row_number().over(in_journal)).filter(F.col("_row") <= 3 * n)
     rested = F.col("last_checked").isNull() | (
         F.col("last_checked") <= instant(now) - F.make_dt_interval(F.lit(0), F.lit(hours))
     )
     return (
-        scanned.filter(rested).withColumn("due_position", F.row_number().over(in_journal))
-        .filter(F.col("due_position") <= n).drop("_row")
+        joined.filter(rested).withColumn("due_position", F.row_number().over(in_journal))
+        .filter(F.col("due_position") <= n)
     )
 
 
@@ -148,33 +155,33 @@ def worklist_class(cutoff) -> tuple[Column, Column]:
     return reason, rank
 
 
-def worklist(queue: DataFrame, cutoff, status: str = "active", limit: int = 20, offset: int = 0) -> DataFrame:
-    """A bounded page: overdue and undated blocks, then pending newest first, then other blocks."""
-    reason, rank = worklist_class(cutoff)
+def worklist_rows(queue: DataFrame, status: str = "active") -> DataFrame:
+    """The queue rows a worklist chooses from."""
     if status == "active":
-        chosen = queue.filter(F.col("status").isin("pending", "blocked"))
-    elif status == "all":
-        chosen = queue
-    else:
-        chosen = queue.filter(F.col("status") == status)
-    placed = chosen.withColumn("attention_reason", reason).withColumn("_rank", rank)
+        return queue.filter(F.col("status").isin("pending", "blocked"))
+    return queue if status == "all" else queue.filter(F.col("status") == status)
+
+
+def worklist(queue: DataFrame, cutoff, status: str = "active", limit: int | None = None, offset: int = 0) -> DataFrame:
+    """All rows or a page: overdue and undated blocks, then pending newest first, then other blocks.
+
+    ``page_facts(worklist_rows(queue, status), limit, offset)`` gives the count and the next page.
+    """
+    reason, rank = worklist_class(cutoff)
+    placed = worklist_rows(queue, status).withColumn("attention_reason", reason).withColumn("_rank", rank)
     newest = F.when(F.col("status") == "pending", F.col("first_seen"))
     oldest = F.when(F.col("status") == "blocked", F.coalesce("blocked_since", "first_seen"))
     ordered = placed.orderBy("_rank", newest.desc_nulls_last(), oldest.asc_nulls_first(), "grp", "url")
     if offset:
         ordered = ordered.offset(offset)
-    return ordered.limit(limit).drop("_rank")
-
-
-# Fixed value: how many search terms one run may use.
-MAX_TERMS = 12
+    return (ordered if limit is None else ordered.limit(limit)).drop("_rank")
 
 
-def query_plan(feeds: DataFrame, profile_terms: DataFrame, budget: int = MAX_TERMS) -> DataFrame:
+def query_plan(feeds: DataFrame, profile_terms: DataFrame, budget: int | None = None) -> DataFrame:
     """Search terms in order: each feed's first, the profile's, the feeds' others.
 
     ``feeds`` holds ``(feed_pos, terms)``, ``profile_terms`` ``(pos, term)``.
-    Each term keeps its first place; ``planned`` marks those within the budget.
+    Each term keeps its first place; ``planned`` marks those within the budget, all if there is none.
     """
     seeds = feeds.filter(F.size("terms") > 0).select(
         F.lit(0).alias("class"), F.col("feed_pos").alias("a"), F.lit(0).alias("b"), F.element_at("terms", 1).alias("term")
@@ -187,8 +194,9 @@ def query_plan(feeds: DataFrame, profile_terms: DataFrame, budget: int = MAX_TER
         seeds.unionByName(own).unionByName(rest).groupBy("term")
         .agg(F.min(F.struct("class", "a", "b")).alias("place"))
     )
-    planned = first.orderBy("place").limit(budget).select("term", F.lit(True).alias("_in"))
-    return first.join(F.broadcast(planned), "term", "left").select(
+    planned = first if budget is None else first.orderBy("place").limit(budget)
+    planned = planned.select("term", F.lit(True).alias("_in"))
+    return first.join(planned, "term", "left").select(
         "term", F.col("place.class").alias("term_class"), F.coalesce("_in", F.lit(False)).alias("planned")
     )
 

@@ -97,17 +97,17 @@ REVIEW_KINDS = {
 }
 
 
-def review_table(rows: DataFrame, kind: str) -> DataFrame:
+def review_table(rows: DataFrame, kind: str, most_urls: int | None = None) -> DataFrame:
     """Add ``violations``, an array that is empty for usable rows.
 
-    Every kind needs its texts, one to eight https ``evidence_urls`` and a
-    ``reviewed_at``; keys must be unique.
+    Every kind needs its texts, https ``evidence_urls``, one at least and
+    ``most_urls`` at most, and a ``reviewed_at``; keys must be unique.
     """
     keys, texts = REVIEW_KINDS[kind]
     rules = [F.when(F.coalesce(F.trim(c), F.lit("")) == "", f"missing_{c}") for c in keys + texts]
     urls = F.col("evidence_urls")
     rules.append(F.when(
-        urls.isNull() | ~F.size(urls).between(1, 8) | F.exists(urls, lambda u: ~u.rlike(r"^https://[^/@\s]+")),
+        urls.isNull() | (F.size(urls) < 1) | (F.lit(most_urls is not None) & (F.size(urls) > (most_urls or 0))) | F.exists(urls, lambda u: ~u.rlike(r"^https://[^/@\s]+")),
         "invalid_evidence_urls",
     ))
     rules.append(F.when(F.col("reviewed_at").isNull(), "missing_reviewed_at"))

@@ -10,7 +10,7 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfmark.session import cut, small_or_plain
+from shelfmark.session import cut
 
 
 def edges(nodes: DataFrame) -> DataFrame:
@@ -55,7 +55,7 @@ def match_works(works: DataFrame, profile: DataFrame, notified: DataFrame | None
     """
     from shelfmark.operators.gates import supported_type
 
-    roles = small_or_plain(profile.select("role", "category_id").distinct())
+    roles = profile.select("role", "category_id").distinct()
     hits = (
         works.select("work_id", F.explode("category_ids").alias("category_id")).join(roles, "category_id")
         .groupBy("work_id").agg(
@@ -97,7 +97,7 @@ def match_groups(members: DataFrame, groups: DataFrame, n_groups: int, mode: str
     """
     if mode not in ("any", "all"):
         raise ValueError("mode must be 'any' or 'all'")
-    hits = members.join(small_or_plain(groups), "category_id").groupBy("item_id").agg(
+    hits = members.join(groups, "category_id").groupBy("item_id").agg(
         F.count_distinct("root_id").alias("n_hit")
     )
     needed = n_groups if mode == "all" else 1

@@ -25,12 +25,12 @@ def work_identities(works: DataFrame) -> DataFrame:
     ))
 
 
-def best_works(wanted: DataFrame, works: DataFrame, use_sequence: bool = True) -> DataFrame:
+def best_works(wanted: DataFrame, works: DataFrame) -> DataFrame:
     """``record_url`` with outcome and the fields of its unique equivalent work.
 
     ``wanted`` are candidate identities, written out.
     """
-    counts = identity.identity_counts(wanted, cut(work_identities(works)), use_sequence)
+    counts = identity.identity_counts(wanted, cut(work_identities(works)))
     picked = identity.pick_unique(counts)
     fields = ["work_key", "doi", "title", "authors", "raw_type", "value", "precision", "event"]
     found = works.select(F.col("work_key").alias("match_id"), F.struct(*fields).alias("work"))
@@ -78,7 +78,7 @@ def types_of_groups(evidence: DataFrame, members: DataFrame, group: str) -> Data
 
 def resolve_records(
     candidates: DataFrame, first: DataFrame, second: DataFrame, window: tuple, lookup_failed: DataFrame | None = None,
-    held: DataFrame | None = None, type_reviews: DataFrame | None = None, use_sequence: bool = True,
+    held: DataFrame | None = None, type_reviews: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """One row per candidate, a resolved work or a reason code, and the type evidence.
 
@@ -93,10 +93,10 @@ def resolve_records(
     start, end = window
     candidates = cut(candidates)  # read by both look-ups and by the evidence
     wanted = cut(candidate_identities(candidates))
-    one = best_works(wanted, first, use_sequence).select(
+    one = best_works(wanted, first).select(
         "record_url", F.col("outcome").alias("first_outcome"), F.col("n_review").alias("first_review"), F.col("work").alias("w1")
     )
-    two = best_works(wanted, second, use_sequence).select(
+    two = best_works(wanted, second).select(
         "record_url", F.col("outcome").alias("second_outcome"), F.col("n_review").alias("second_review"), F.col("work").alias("w2")
     )
     base = cut(candidates.join(one, "record_url").join(two, "record_url"))

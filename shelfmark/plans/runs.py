@@ -40,7 +40,7 @@ def works_with_categories(resolved: DataFrame, evidence: DataFrame) -> DataFrame
 def weekly_run(
     entries: DataFrame, changes: DataFrame, first: DataFrame, second: DataFrame, profile: DataFrame, window: tuple,
     seen: DataFrame, unresolved: DataFrame, notified: DataFrame, max_attempts: int = 5, retry_days: int = 7,
-    held: DataFrame | None = None, type_reviews: DataFrame | None = None, use_sequence: bool = True,
+    held: DataFrame | None = None, type_reviews: DataFrame | None = None,
 ) -> dict[str, DataFrame]:
     """All tables of one weekly run: report, notifications and the next state.
 
@@ -57,7 +57,7 @@ def weekly_run(
     chosen = state.candidates_to_process(fresh, due, current).select("record_url")
     candidates = current.join(chosen, "record_url", "left_semi")
     outcome, evidence = resolve_records(
-        candidates, first, second, window, held=held, type_reviews=type_reviews, use_sequence=use_sequence
+        candidates, first, second, window, held=held, type_reviews=type_reviews
     )
     resolved = cut(outcome)
     works = works_with_categories(resolved, evidence)
@@ -76,8 +76,7 @@ def weekly_run(
 
 def on_demand(
     entries: DataFrame, changes: DataFrame, first: DataFrame, second: DataFrame, profile: DataFrame, window: tuple,
-    change_feed_ok: bool = True, attempts: DataFrame | None = None, budget: int = 300, most: int | None = None,
-    use_sequence: bool = True,
+    change_feed_ok: bool = True, attempts: DataFrame | None = None, budget: int | None = None, most: int | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Report of one window without any state, and what became of each candidate.
 
@@ -99,7 +98,7 @@ def on_demand(
     tried = attempts if attempts is not None else kept.select("record_url", F.col("observed_at").alias("attempted_at")).limit(0)
     picked = cut(ranking.pick_for_lookup(active, tried, budget))
     candidates = picked.filter("lookup <> 'deferred'")
-    outcome, evidence = resolve_records(candidates, first, second, window, use_sequence=use_sequence)
+    outcome, evidence = resolve_records(candidates, first, second, window)
     resolved = cut(outcome)
     decided = taxonomy.match_works(works_with_categories(resolved, evidence), profile)
     stages = (
@@ -113,7 +112,7 @@ def on_demand(
 def paper_search(
     entries: DataFrame, works: DataFrame, groups: DataFrame, n_groups: int, excluded: DataFrame, bibliography: DataFrame,
     mode: str = "any", work_types: list[str] | None = None, years: tuple[int | None, int | None] = (None, None),
-    type_reviews: DataFrame | None = None, use_sequence: bool = True,
+    type_reviews: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """All matching records (to be ranked and paged), and the records set aside with a reason.
 
@@ -133,7 +132,7 @@ def paper_search(
         "gate", F.when(~bound | passes, "pass").otherwise("year_review_pending")
     ))
     candidates = gated.filter("gate = 'pass'").withColumn("change_type", F.lit(None).cast("string"))
-    matched = cut(best_works(cut(candidate_identities(candidates)), works, use_sequence))
+    matched = cut(best_works(cut(candidate_identities(candidates)), works))
     known = candidates.join(matched, "record_url")
     work_year = F.left("work.value", F.lit(4)).cast("int")
     other_year = F.col("reviewed") & F.coalesce(work_year != F.col("reviewed_year"), F.lit(False))
@@ -182,16 +181,16 @@ class TooManyWindows(ValueError):
 
 
 def catch_up(
-    profiles: DataFrame, runs: DataFrame, as_of, run: Callable[[tuple[str, str], bool], dict[str, DataFrame]], root: str, most: int = 12,
+    profiles: DataFrame, runs: DataFrame, as_of, run: Callable[[tuple[str, str], bool], dict[str, DataFrame]], root: str, most: int | None = None,
 ) -> list[str]:
     """Run every missing week of one profile in order and commit each.
 
     ``run`` gets a window and whether it is the last one (earlier windows leave
-    uncertain rows to later ones).  Only the window bounds, at most ``most``
-    rows, come to the driver.
+    uncertain rows to later ones).  Only the bounds of missing weeks come to the
+    driver; with ``most``, more of them are refused.
     """
-    missing = ranking.missing_windows(profiles, runs, as_of).orderBy("window_start").limit(most + 1).collect()
-    if len(missing) > most:
+    missing = ranking.missing_windows(profiles, runs, as_of).orderBy("window_start").collect()
+    if most is not None and len(missing) > most:
         raise TooManyWindows(f"more than {most} weeks are missing")
     done = []
     for place, row in enumerate(missing):

@@ -1,4 +1,4 @@
-"""Session settings, lineage cuts, bounded broadcasts and shared folders."""
+"""Session settings, lineage cuts and shared folders."""
 
 from __future__ import annotations
 
@@ -6,7 +6,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 # Settings that change at run time; the cluster keeps its own sizes.
 RUNTIME_SETTINGS = {
@@ -44,8 +43,16 @@ def local_session(cpus: int = 8, memory: str = "8g") -> SparkSession:
     return spark
 
 
+class NoSharedFolder(RuntimeError):
+    """A cluster must name a folder that the driver and all executors share."""
+
+
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a temporary one only where none is set."""
+    """The shared folder named by ``spark.checkpoint.dir``.
+
+    Where none is named, one machine alone gets a temporary folder; a cluster is
+    refused, as each executor would write its own disk.
+    """
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
@@ -54,7 +61,9 @@ def checkpoint_folder(spark: SparkSession) -> str:
         return named
     current = context.getCheckpointDir()
     if current is None:
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise NoSharedFolder("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
         current = context.getCheckpointDir()
     return current
 
@@ -89,14 +98,3 @@ def cut_in_order(df: DataFrame) -> DataFrame:
     """A reliable checkpoint: keeps the partitions of ``df`` and the order inside them."""
     checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
-
-
-def small_or_plain(df: DataFrame, max_rows: int = 20_000) -> DataFrame:
-    """Hint a broadcast only after counting that ``df`` has at most ``max_rows`` rows.
-
-    The count reads at most ``max_rows + 1`` rows.  A larger table is returned
-    without a hint and the join is left to the adaptive planner.
-    """
-    if df.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(df)
-    return df

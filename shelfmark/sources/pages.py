@@ -4,20 +4,39 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from html.entities import name2codepoint
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.functions import normalise as N
 
-# Character references that occur in page text.
-ENTITIES = [("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")]
+REFERENCE = r"&(#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});"
+# the named references of HTML, a no-break space read as a space
+NAMED = {name: " " if code == 0xA0 else chr(code) for name, code in name2codepoint.items()} | {"apos": "'"}
+AMPERSANDS = ["amp", "#38", "#x26", "#X26"]
+
+
+def _character(reference: Column) -> Column:
+    """The text of one reference without ``&`` and ``;``; NULL if there is no such character."""
+    hexed = F.when(reference.rlike("^#[xX]"), F.substr(reference, F.lit(3))).otherwise(F.conv(F.substr(reference, F.lit(2)), 10, 16))
+    code = F.conv(hexed, 16, 10).cast("int")
+    valid = (code > 0) & (code <= 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+    text = F.when(code == 0xA0, " ").otherwise(F.decode(F.unhex(F.lpad(hexed, 8, "0")), "UTF-32"))
+    table = F.create_map(*[F.lit(x) for pair in NAMED.items() for x in pair])
+    return F.when(reference.startswith("#"), F.when(valid, text)).otherwise(F.try_element_at(table, reference))
 
 
 def unescape(column: Column) -> Column:
-    for code, text in ENTITIES:
-        column = F.replace(column, F.lit(code), F.lit(text))
-    return column
+    """Character references resolved once, unknown ones kept."""
+    found = F.array_distinct(F.regexp_extract_all(column, F.lit(REFERENCE), F.lit(1)))
+    late = F.array(*[F.lit(a) for a in AMPERSANDS])
+    ordered = F.concat(F.array_except(found, late), F.array_intersect(found, late))  # ``&amp;lt;`` is ``&lt;``
+    resolved = F.aggregate(
+        ordered, column,
+        lambda text, r: F.replace(text, F.concat(F.lit("&"), r, F.lit(";")), F.coalesce(_character(r), F.concat(F.lit("&"), r, F.lit(";")))),
+    )
+    return F.when(column.rlike(REFERENCE), resolved).otherwise(column)
 
 
 def inner_text(column: Column) -> Column:
@@ -26,23 +45,23 @@ def inner_text(column: Column) -> Column:
     return F.trim(F.regexp_replace(bare, r"(?U)\s+", " "))
 
 
-ANCHOR = r"(?is)<a\b[^>]*?\bhref\s*=\s*[\"']([^\"']*)[\"'][^>]*>(.*?)</a\s*>"
-# Fixed value: more links than this on one page is a failure, not a harvest.
-MOST_LINKS = 20
+# an anchor with its link in double, single or no quotes, and its text
+ANCHOR = r"(?is)<a\b[^>]*?\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))[^>]*>(.*?)</a\s*>"
 
 
-def page_links(pages: DataFrame, canonical: Callable[[Column], Column], raw_pattern: str | None = None, most: int = MOST_LINKS) -> DataFrame:
+def page_links(pages: DataFrame, canonical: Callable[[Column], Column], raw_pattern: str | None = None, most: int | None = None) -> DataFrame:
     """Links of each page: anchors first, then bare URLs; the first label of a URL wins.
 
-    ``canonical`` turns a link into the kept URL or NULL.  ``page_status`` is
-    ``link_limit`` on a page with more than ``most`` URLs, which then yields no
-    links; pages without links keep one row.
+    ``canonical`` turns a link into the kept URL or NULL.  With ``most``,
+    ``page_status`` is ``link_limit`` on a page with more URLs, which then yields
+    no links; pages without links keep one row.
     """
-    hrefs = F.regexp_extract_all("html", F.lit(ANCHOR), F.lit(1))
-    labels = F.regexp_extract_all("html", F.lit(ANCHOR), F.lit(2))
+    groups = [F.regexp_extract_all("html", F.lit(ANCHOR), F.lit(k)).alias(f"g{k}") for k in range(1, 5)]
     anchors = F.transform(
-        F.arrays_zip(hrefs.alias("h"), labels.alias("l")),
-        lambda a: F.struct(a["h"].alias("href"), F.left(inner_text(a["l"]), F.lit(160)).alias("label")),
+        F.arrays_zip(*groups),
+        lambda a: F.struct(
+            F.concat(*[F.coalesce(a[f"g{k}"], F.lit("")) for k in (1, 2, 3)]).alias("href"), inner_text(a["g4"]).alias("label")
+        ),
     )
     if raw_pattern:
         bare = F.transform(
@@ -58,9 +77,9 @@ def page_links(pages: DataFrame, canonical: Callable[[Column], Column], raw_patt
     )
     sizes = first.groupBy("page_id").agg(F.count("*").alias("_n"))
     marked = pages.select("page_id").join(sizes, "page_id", "left").withColumn(
-        "page_status", F.when(F.col("_n") > most, "link_limit").when(F.col("_n").isNull(), "no_links").otherwise("parsed")
+        "page_status", F.when(F.lit(most is not None) & (F.col("_n") > (most or 0)), "link_limit").when(F.col("_n").isNull(), "no_links").otherwise("parsed")
     )
-    kept = first.join(sizes.filter(F.col("_n") <= most).select("page_id"), "page_id", "left_semi")
+    kept = first if most is None else first.join(sizes.filter(F.col("_n") <= most).select("page_id"), "page_id", "left_semi")
     return marked.select("page_id", "page_status").join(kept, "page_id", "left")
 
 
@@ -72,9 +91,13 @@ MONTH_LABEL = r"((?:19|20)[0-9]{2})\s*年\s*(0?[1-9]|1[0-2])\s*月"
 ITEM_START = r"(?is)<div\b[^>]*\bclass\s*=\s*[\"'][^\"']*\blist-item\b[^\"']*[\"'][^>]*>"
 
 
-def listing_records(pages: DataFrame, article_url: Callable[[Column], Column], kind_mark: str) -> DataFrame:
+def listing_records(
+    pages: DataFrame, article_url: Callable[[Column], Column], kind_mark: str, title_mark: str | None = None
+) -> DataFrame:
     """Listing pages -> journal records with the page's verdict.
 
+    ``title_mark`` is a pattern of what the site appends to titles, to be cut off.
+
     A challenge page, a missing page count and pages whose count and rows
     disagree fail; they keep one row without a record.
     """
@@ -82,7 +105,11 @@ def listing_records(pages: DataFrame, article_url: Callable[[Column], Column], k
     for mark in CHALLENGE_MARKS:
         blocked = blocked | F.col("html").contains(mark)
     total = F.regexp_extract("html", PAGE_COUNT, 1)
-    blocks = F.slice(F.split("html", ITEM_START), F.lit(2), F.lit(1_000_000))
+    split = F.split("html", ITEM_START)
+    blocks = F.slice(split, F.lit(2), F.size(split))
+    item_title = inner_text(F.regexp_extract(F.col("_title"), r"(?is)<a\b[^>]*>(.*?)</a>", 1))
+    if title_mark:
+        item_title = F.regexp_replace(item_title, rf"\s*(?:{title_mark})$", "")
     items = pages.select(
         "page_id", blocked.alias("_blocked"), F.when(total != "", total.cast("int")).alias("total_pages"),
         F.posexplode_outer(blocks).alias("position", "b"),
@@ -98,10 +125,10 @@ def listing_records(pages: DataFrame, article_url: Callable[[Column], Column], k
     year = F.coalesce(
         F.nullif(F.regexp_extract(label, ISSUE_LABEL, 1), F.lit("")), F.nullif(F.regexp_extract(label, MONTH_LABEL, 1), F.lit(""))
     )
-    records = items.select(
+    records = items.withColumn("_title", title_part).select(
         "page_id", "_blocked", "total_pages", "position",
-        F.regexp_replace(inner_text(F.regexp_extract(title_part, r"(?is)<a\b[^>]*>(.*?)</a>", 1)), r"\s*[A-Z]+(?:阅读|文献)$", "").alias("title"),
-        article_url(F.regexp_extract(title_part, ANCHOR, 1)).alias("url"),
+        item_title.alias("title"),
+        article_url(F.concat(*[F.regexp_extract("_title", ANCHOR, k) for k in (1, 2, 3)])).alias("url"),
         F.array_distinct(F.filter(authors, lambda a: a != "")).alias("authors"),
         F.regexp_replace(inner_text(F.try_element_at(redirects, F.lit(1))), "[《》]", "").alias("venue"),
         year.cast("int").alias("year"),

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.errors import AnalysisException
 
 from shelfmark.functions import normalise as N
 
@@ -15,12 +14,16 @@ class WindowCommitted(ValueError):
     """The window of this run already has a committed run."""
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
+
+
 def ledger(spark: SparkSession, root: str) -> DataFrame:
-    """Committed runs; empty before the first."""
-    try:
-        return spark.read.schema(LEDGER).parquet(f"{root}/ledger")
-    except AnalysisException:
+    """Committed runs; empty before the first.  Any other fault of the ledger is an error."""
+    if not exists(spark, f"{root}/ledger"):
         return spark.createDataFrame([], LEDGER)
+    return spark.read.schema(LEDGER).parquet(f"{root}/ledger")
 
 
 def write_run(tables: dict[str, DataFrame], root: str, run_id: str, run_kind: str, window: tuple[str, str]) -> None:
@@ -48,16 +51,21 @@ def read_run_table(spark: SparkSession, root: str, name: str) -> DataFrame:
     """Rows of committed runs only."""
     runs = ledger(spark, root).select("run_id")
     rows = spark.read.option("basePath", f"{root}/{name}").parquet(f"{root}/{name}")
-    return rows.withColumn("run_id", F.col("run_id").cast("string")).join(F.broadcast(runs) if _few(runs) else runs, "run_id", "left_semi")
-
-
-def _few(runs: DataFrame, most: int = 100_000) -> bool:
-    return runs.limit(most + 1).count() <= most
+    return rows.withColumn("run_id", F.col("run_id").cast("string")).join(runs, "run_id", "left_semi")
 
 
 def latest_version(spark: SparkSession, root: str, name: str) -> DataFrame:
-    """The state table as the newest committed run left it."""
-    newest = ledger(spark, root).agg(F.max_by("run_id", F.struct("window_end", "committed_at")).alias("run_id"))
+    """The state table as the newest committed run that wrote it left it.
+
+    A run is one that wrote the table if it has a folder of it, which an empty table has too.
+    """
+    place = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{name}")
+    files = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    writers = [s.getPath().getName().removeprefix("run_id=") for s in files.listStatus(place)]  # one name per run
+    wrote = spark.createDataFrame([(w,) for w in writers], "run_id string")
+    newest = ledger(spark, root).join(wrote, "run_id", "left_semi").agg(
+        F.max_by("run_id", F.struct("window_end", "committed_at")).alias("run_id")
+    )
     return read_run_table(spark, root, name).join(F.broadcast(newest), "run_id", "left_semi")
 
 

@@ -51,7 +51,7 @@ def taxonomy_nodes(payloads: DataFrame, omitted_root: str = "1") -> tuple[DataFr
         .when(F.col("primary_parent_id").isNotNull() & ~F.array_contains("parent_ids", F.coalesce("primary_parent_id", F.lit(""))), "primary_parent_not_parent")
         .when(unnamed & F.col("_referred").isNotNull(), "unnamed_parent")
         .when(unnamed, "empty_category_name_unreferenced_leaf")
-        .when((F.length("name") > 500) | F.col("name").rlike(r"[<>\x00-\x1f\x7f]"), "unsafe_name")
+        .when(F.col("name").rlike(r"[<>\x00-\x1f\x7f]"), "unsafe_name")
     )
     judged = cleaned.join(referred, ["snapshot_id", "category_id"], "left").join(repeated, ["snapshot_id", "category_id"], "left").withColumn("reason", reason)
     nodes = judged.filter("reason IS NULL").select(

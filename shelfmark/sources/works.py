@@ -115,7 +115,7 @@ def _field_values(fields: Column, name: str) -> Column:
         F.when(~raw.startswith("{"), raw),
     )
     values = F.coalesce(many, F.array(one))
-    return F.filter(F.transform(values, lambda v: F.trim(v)), lambda v: v.isNotNull() & (v != "") & (F.length(v) <= 500))
+    return F.filter(F.transform(values, lambda v: F.trim(v)), lambda v: v.isNotNull() & (v != ""))
 
 
 def records_from_journal_api(raw: DataFrame) -> DataFrame:

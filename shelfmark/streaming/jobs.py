@@ -15,7 +15,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -24,6 +23,7 @@ from shelfmark import vocab
 from shelfmark.functions import normalise as N
 from shelfmark.operators import gates, intervals, merge, state
 from shelfmark.operators.ranking import to_local
+from shelfmark.sources.tables import exists
 
 
 def event_time(column: str) -> Column:
@@ -44,13 +44,10 @@ def _write(df: DataFrame, folder: str, name: str, batch_id: int) -> None:
 
 def _read(spark: SparkSession, folder: str, name: str, like: DataFrame | None = None) -> DataFrame:
     """Rows of all batches with their ``batch_id``; none before the first batch."""
-    try:
-        found = spark.read.option("basePath", f"{folder}/{name}").parquet(f"{folder}/{name}")
-        return found.withColumn("batch_id", F.col("batch_id").cast("bigint"))
-    except AnalysisException:
-        if like is None:
-            raise
+    if like is not None and not exists(spark, f"{folder}/{name}"):
         return like.limit(0).withColumn("batch_id", F.lit(-1).cast("bigint"))
+    found = spark.read.option("basePath", f"{folder}/{name}").parquet(f"{folder}/{name}")
+    return found.withColumn("batch_id", F.col("batch_id").cast("bigint"))
 
 
 def _upserts(stream: DataFrame, folder: str, trigger: dict | None = None) -> StreamingQuery:
