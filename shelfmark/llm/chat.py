@@ -188,31 +188,62 @@ def _sorted_runs(turns: DataFrame, run_turns: int) -> DataFrame:
     return turns.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, TURN)
 
 
-def _states(table: pa.Table) -> pa.Table:
-    rows = sorted(table.to_pylist(), key=lambda r: (r["part"], r["block"]))
-    total, after = best_states([np.array(r["matrix"]).reshape(4, 4) for r in rows])
-    before = [START, *after[:-1]]
-    n = len(rows)
-    return pa.table({
-        "conv_id": pa.array([r["conv_id"] for r in rows], pa.int64()), "part": pa.array([r["part"] for r in rows], pa.int64()),
-        "block": pa.array([r["block"] for r in rows], pa.int64()), "before": pa.array(before, pa.int64()),
-        "after": pa.array(after, pa.int64()), "repair_cost": pa.array([total] * n, pa.int64()),
-        "first": pa.array([k == 0 for k in range(n)]), "last": pa.array([k == n - 1 for k in range(n)]),
-    })
-
-
-def _repaired(table: pa.Table) -> pa.Table:
-    rows = sorted(table.to_pylist(), key=lambda r: r["seq"])
-    plan = repair_run([role_code(r["role"]) for r in rows], rows[0]["before"], rows[0]["after"])
-    pieces = render(plan, [r["text"] or "" for r in rows], rows[0]["first"], rows[0]["last"])
-    return pa.table({
-        "conv_id": pa.array([r["conv_id"] for r in rows], pa.int64()), "turn": pa.array([r["turn"] for r in rows], pa.int64()),
-        "role": pa.array([r["role"] for r in rows], pa.string()), "part": pa.array([r["part"] for r in rows], pa.int64()),
-        "place": pa.array([r["block"] * RUN_TURNS + r["seq"] for r in rows], pa.int64()),
-        "action": pa.array([a for a, _, _ in plan], pa.string()), "out_role": pa.array([ROLES[s - 1] for _, s, _ in plan], pa.string()),
-        "n_inserted": pa.array([len(i) for _, _, i in plan], pa.int64()),
-        "repair_cost": pa.array([r["repair_cost"] for r in rows], pa.int64()), "rendered": pa.array(pieces, pa.string()),
-    })
+def _in_runs(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[list[dict]]:
+    """Consecutive rows with equal keys, from batches sorted by them."""
+    last, held = None, []
+    for batch in batches:
+        for row in batch.to_pylist():
+            key = tuple(row[k] for k in keys)
+            if key != last and held:
+                yield held
+                held = []
+            last = key
+            held.append(row)
+    if held:
+        yield held
+
+
+def _written(rows: list[tuple], schema: str, most: int = 0) -> Iterator[pa.RecordBatch]:
+    """The rows as one batch once there are more than ``most``; they are taken from the list."""
+    if len(rows) > most:
+        kinds = {"long": pa.int64(), "string": pa.string(), "boolean": pa.bool_()}
+        fields = [c.split() for c in schema.split(", ")]
+        yield pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(zip(*rows), fields)], names=[n for n, _ in fields])
+        rows.clear()
+
+
+STATES = "conv_id long, part long, block long, before long, after long, repair_cost long, first boolean, last boolean"
+
+
+def _states(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    out: list[tuple] = []
+    for runs in _in_runs(batches, ["conv_id"]):
+        total, after = best_states([np.array(r["matrix"]).reshape(4, 4) for r in runs])
+        for k, (r, before, then) in enumerate(zip(runs, [START, *after[:-1]], after)):
+            out.append((r["conv_id"], r["part"], r["block"], before, then, total, k == 0, k == len(runs) - 1))
+        yield from _written(out, STATES, 5_000)
+    yield from _written(out, STATES)
+
+
+REPAIRED = (
+    "conv_id long, turn long, role string, part long, place long, action string, out_role string, n_inserted long, "
+    "repair_cost long, rendered string"
+)
+
+
+def _repaired(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    out: list[tuple] = []
+    for rows in _in_runs(batches, ["conv_id", "part", "block"]):
+        head = rows[0]
+        plan = repair_run([role_code(r["role"]) for r in rows], head["before"], head["after"])
+        pieces = render(plan, [r["text"] or "" for r in rows], head["first"], head["last"])
+        for r, (action, role, added), piece in zip(rows, plan, pieces):
+            out.append((
+                r["conv_id"], r["turn"], r["role"], r["part"], r["block"] * RUN_TURNS + r["seq"], action, ROLES[role - 1],
+                len(added), r["repair_cost"], piece,
+            ))
+        yield from _written(out, REPAIRED, 1_000)
+    yield from _written(out, REPAIRED)
 
 
 def formatted(
@@ -227,15 +258,11 @@ def formatted(
         F.col(f"`{role}`").cast("string").alias("role"), F.col(f"`{text}`").cast("string").alias("text"),
     )
     runs = cut(_sorted_runs(turns, min(run_turns, RUN_TURNS)))
+    whole, one = ["conv_id"], ["conv_id", "part", "block"]
     states = (
-        runs.where("matrix IS NOT NULL").select("conv_id", "part", "block", "matrix").groupBy("conv_id")
-        .applyInArrow(_states, "conv_id long, part long, block long, before long, after long, repair_cost long, first boolean, last boolean")
+        runs.where("matrix IS NOT NULL").select(*one, "matrix").repartition(*whole).sortWithinPartitions(*one).mapInArrow(_states, STATES)
     )
     held = runs.where("matrix IS NULL").drop("matrix").alias("t").join(
         states.alias("s"), F.expr("t.conv_id <=> s.conv_id AND t.part = s.part AND t.block = s.block")
     ).select("t.*", "before", "after", "repair_cost", "first", "last")
-    return held.groupBy("conv_id", "part", "block").applyInArrow(
-        _repaired,
-        "conv_id long, turn long, role string, part long, place long, action string, out_role string, n_inserted long, "
-        "repair_cost long, rendered string",
-    )
+    return held.repartition(*one).sortWithinPartitions(*one, "seq").mapInArrow(_repaired, REPAIRED)
