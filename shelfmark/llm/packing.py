@@ -17,6 +17,7 @@ packed as often as they occur.  Every id lies in exactly one piece.
 
 from __future__ import annotations
 
+import gc
 import heapq
 import os
 import re
@@ -52,19 +53,28 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.raw = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size(with_added_tokens=True))]
         self.known: dict[bytes, bytes] = {}
         self.parts: dict[bytes, bytes] = {}
 
     def _learn(self, words: list[bytes]) -> None:
         if len(self.parts) > CACHED_WORDS:
             self.parts.clear()
+        # millions of small lists and no cycles: the collector would only walk them again and again
+        gc.disable()
+        try:
+            self._learn_parts(words)
+        finally:
+            gc.enable()
+
+    def _learn_parts(self, words: list[bytes]) -> None:
         cut = [_PARTS.findall(w.lower()) if w.isascii() and b"<|" not in w else [w] for w in words]
         new = list(set().union(*cut) - self.parts.keys())
         for lo in range(0, len(new), 10_000):
             part = new[lo : lo + 10_000]
             found = self.tokenizer.encode_batch_fast([w.decode("utf-8") for w in part], add_special_tokens=False)
             for word, encoding in zip(part, found):
-                self.parts[word] = b"".join(i.to_bytes(4, "little") for i in encoding.ids)
+                self.parts[word] = b"".join(map(self.raw.__getitem__, encoding.ids))
         get = self.parts.__getitem__
         for word, pieces in zip(words, cut):
             self.known[word] = b"".join(map(get, pieces))
