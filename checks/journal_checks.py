@@ -39,8 +39,9 @@ def _(t):
 
 
 def asked_windows(t: Tables):
-    return t.lineitem.filter("l_linenumber = 2").select(
-        F.col("l_orderkey").alias("request_id"), F.col("l_suppkey").alias("source_key"),
+    return t.lineitem.select(
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("request_id"),
+        F.when(F.col("l_orderkey") % 101 != 0, F.col("l_suppkey")).alias("source_key"),
         F.col("l_shipdate").alias("window_start"),
         (F.col("l_shipdate") + F.make_dt_interval((F.col("l_quantity") % 9 + 1).cast("int"))).alias("window_end"),
     )
@@ -48,8 +49,8 @@ def asked_windows(t: Tables):
 
 @check("e03_covering_interval", f"""
     SELECT w.request_id, strftime(i.window_start, '%Y-%m-%d %H:%M:%S') AS covered_start, strftime(i.window_end, '%Y-%m-%d %H:%M:%S') AS covered_end
-    FROM (SELECT l_orderkey AS request_id, l_suppkey AS source_key, l_shipdate AS s, l_shipdate + to_days(CAST(l_quantity % 9 + 1 AS INTEGER)) AS e
-          FROM lineitem WHERE l_linenumber = 2) w
+    FROM (SELECT l_orderkey * 10 + l_linenumber AS request_id, CASE WHEN l_orderkey % 101 <> 0 THEN l_suppkey END AS source_key, l_shipdate AS s, l_shipdate + to_days(CAST(l_quantity % 9 + 1 AS INTEGER)) AS e
+          FROM lineitem) w
     LEFT JOIN ({ISLANDS}) i ON w.source_key = i.source_key AND i.window_start <= w.s AND i.window_end >= w.e""")
 def _(t):
     return intervals.covering_interval(t.v_coverage, asked_windows(t)).select("request_id", "covered_start", "covered_end")

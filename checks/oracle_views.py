@@ -61,7 +61,7 @@ VIEWS = {
                row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate) AS version
         FROM (SELECT DISTINCT o_custkey, o_orderdate FROM orders)""",
     "v_records": """
-        SELECT doc_id AS record_id, left(text, 60) AS title, 'Author ' || source AS author,
+        SELECT doc_id AS record_id, text AS title, 'Author ' || source AS author,
                CASE WHEN doc_id % 3 = 0 THEN '10.1/' || (doc_id % 400) END AS doi_raw,
                CASE WHEN doc_id % 3 = 0 THEN '10.1000/' || (doc_id % 400) END AS doi,
                2000 + doc_id % 25 AS year,
@@ -87,26 +87,26 @@ VIEWS = {
         FROM documents WHERE doc_id % 5 <> 3
         UNION ALL
         SELECT doc_id, 'openalex', 'book-review', 'document-inspection'
-        FROM labels WHERE quality = 1 AND doc_id % 11 = 0""",
+        FROM labels WHERE quality = 1""",
     "v_date_values": """
-        SELECT l_orderkey AS record_id,
-               CASE l_orderkey % 4 WHEN 0 THEN strftime(l_shipdate, '%Y')
+        SELECT key AS record_id,
+               CASE key % 4 WHEN 0 THEN strftime(l_shipdate, '%Y')
                     WHEN 1 THEN strftime(l_shipdate, '%Y-%m')
                     ELSE strftime(l_shipdate, '%Y-%m-%d') END AS value,
-               CASE l_orderkey % 4 WHEN 0 THEN 'year' WHEN 1 THEN 'month' ELSE 'day' END AS precision,
-               l_orderkey % 10 = 0 AS inferred,
+               CASE key % 4 WHEN 0 THEN 'year' WHEN 1 THEN 'month' ELSE 'day' END AS precision,
+               key % 10 = 0 AS inferred,
                CASE l_returnflag WHEN 'A' THEN 'crossref' WHEN 'N' THEN 'openalex'
                     ELSE 'feed-observed-at' END AS source,
-               CASE WHEN l_orderkey % 9 = 0 THEN 'indexed'
-                    WHEN l_orderkey % 2 = 0 THEN 'recently_published'
+               CASE WHEN key % 14 = 0 THEN NULL WHEN key % 9 = 0 THEN 'indexed'
+                    WHEN key % 2 = 0 THEN 'recently_published'
                     ELSE 'recently_published_online' END AS event,
                l_shipdate
-        FROM lineitem WHERE l_linenumber = 1""",
+        FROM (SELECT *, l_orderkey * 10 + l_linenumber AS key FROM lineitem)""",
     "v_coverage": """
         SELECT l_suppkey AS source_key, l_shipdate AS window_start,
                l_shipdate + to_days(CAST(l_quantity AS INTEGER)) AS window_end,
                l_shipdate + INTERVAL 30 DAY AS checked_at
-        FROM lineitem WHERE l_linenumber = 1""",
+        FROM lineitem""",
     "v_runs": """
         SELECT DISTINCT CAST(date_trunc('week', o_orderdate) AS TIMESTAMP) AS window_start,
                CAST(date_trunc('week', o_orderdate) AS TIMESTAMP) + INTERVAL 7 DAY AS window_end
@@ -132,8 +132,8 @@ VIEWS = {
                      min(l_shipdate) AS first_day, max(l_shipdate) AS last_day, min(l_orderkey) AS key
               FROM lineitem GROUP BY ALL)""",
     "v_catalogue": """
-        SELECT doc_id AS article_id, source || '-' || lang AS issue, left(text, 40) AS title,
-               substring(text, 41, 400) AS abstract, right(text, 40) AS keywords, source AS author,
+        SELECT doc_id AS article_id, source || '-' || lang AS issue, text AS title,
+               lang || ' ' || source AS abstract, source AS keywords, source AS author,
                doc_id % 5 AS last_observed
         FROM documents""",
     "v_article_checks": """

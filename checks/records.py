@@ -134,7 +134,7 @@ def _(t):
 
 
 FRESH = """
-    SELECT record_id, CASE WHEN event = 'indexed' THEN 'source_record_updated' WHEN inferred THEN 'uncertain'
+    SELECT record_id, CASE WHEN event = 'indexed' OR event IS NULL THEN 'source_record_updated' WHEN inferred THEN 'uncertain'
         WHEN source = 'feed-observed-at' THEN 'source_record_updated'
         WHEN precision = 'year' AND date_trunc('year', l_shipdate) + INTERVAL 1 YEAR <= TIMESTAMP '1998-03-02' THEN 'newly_indexed_old_work'
         WHEN precision = 'month' AND date_trunc('month', l_shipdate) + INTERVAL 1 MONTH <= TIMESTAMP '1998-03-02' THEN 'newly_indexed_old_work'

@@ -128,7 +128,7 @@ class Tables:
         d = F.col("doc_id")
         return self.documents.select(
             d.alias("record_id"),
-            F.left("text", F.lit(60)).alias("title"),
+            F.col("text").alias("title"),
             cat("Author ", F.col("source")).alias("author"),
             F.when(d % 3 == 0, cat("10.1/", (d % 400).cast("string"))).alias("doi_raw"),
             F.when(d % 3 == 0, cat("10.1000/", (d % 400).cast("string"))).alias("doi"),
@@ -155,7 +155,7 @@ class Tables:
             self.documents.select("doc_id", F.explode(pairs).alias("e"))
             .select("doc_id", "e.*").filter("raw_type IS NOT NULL")
         )
-        reviewed = self.labels.filter("quality = 1 AND doc_id % 11 = 0").select(
+        reviewed = self.labels.filter("quality = 1").select(
             "doc_id", F.lit("openalex").alias("provider"), F.lit("book-review").alias("raw_type"),
             F.lit("document-inspection").alias("method"),
         )
@@ -163,10 +163,10 @@ class Tables:
 
     @cached_property
     def v_date_values(self) -> DataFrame:
-        key = F.col("l_orderkey")
+        key = F.col("l_orderkey") * 10 + F.col("l_linenumber")
         precision = pick(key % 4, "year", "month", "day", "day")
         day = F.date_format("l_shipdate", "yyyy-MM-dd")
-        return self.lineitem.filter("l_linenumber = 1").select(
+        return self.lineitem.select(
             key.alias("record_id"),
             F.when(precision == "year", F.left(day, F.lit(4)))
             .when(precision == "month", F.left(day, F.lit(7))).otherwise(day).alias("value"),
@@ -174,7 +174,7 @@ class Tables:
             (key % 10 == 0).alias("inferred"),
             F.when(F.col("l_returnflag") == "A", "crossref")
             .when(F.col("l_returnflag") == "N", "openalex").otherwise("feed-observed-at").alias("source"),
-            F.when(key % 9 == 0, "indexed").when(key % 2 == 0, "recently_published")
+            F.when(key % 14 == 0, F.lit(None)).when(key % 9 == 0, "indexed").when(key % 2 == 0, "recently_published")
             .otherwise("recently_published_online").alias("event"),
         )
 
@@ -182,7 +182,7 @@ class Tables:
     def v_coverage(self) -> DataFrame:
         days = F.col("l_quantity").cast("int")
         start = F.col("l_shipdate")
-        return self.lineitem.filter("l_linenumber = 1").select(
+        return self.lineitem.select(
             F.col("l_suppkey").alias("source_key"),
             start.alias("window_start"),
             (start + F.make_dt_interval(days)).alias("window_end"),
@@ -240,9 +240,9 @@ class Tables:
         return self.documents.select(
             d.alias("article_id"),
             cat(F.col("source"), "-", F.col("lang")).alias("issue"),
-            F.left("text", F.lit(40)).alias("title"),
-            F.substring("text", 41, 400).alias("abstract"),
-            F.right("text", F.lit(40)).alias("keywords"),
+            F.col("text").alias("title"),
+            cat(F.col("lang"), " ", F.col("source")).alias("abstract"),
+            F.col("source").alias("keywords"),
             F.col("source").alias("author"),
             (d % 5).cast("int").alias("last_observed"),
             F.lit(0).alias("first_observed"),
