@@ -11,10 +11,10 @@ shares no band with a probability below 1e-7.
 Texts with equal word sequences are one node.  Candidates are never all pairs of a bucket:
 1. each node is verified against the least node of all its buckets;
 2. in buckets that still span several classes, nodes outside the largest class are verified
-   against a few of its members drawn by hash, for a few turns, which joins most of them;
+   against members of it drawn by hash, which joins most of them;
 3. in buckets that still do, pairs of different classes are verified: all of them where they
-   are a few per member, else those that also share a prefix shingle, which any pair at the
-   threshold does (rarest shingles first), the largest class of a bucket never against itself.
+   are a few per member, else those that share a prefix shingle, which any pair at the
+   threshold does, the largest class of a bucket never against itself.
 So every pair of different classes that shares a band is either verified or proved too
 far apart, however large the bucket.
 
@@ -41,7 +41,7 @@ SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 32, 4
 SMALL_BUCKET_PAIRS, PAIRS_PER_MEMBER = 256, 16
-TURNS, TRIES = 3, 4
+TURNS, TRIES = 1, 16
 _STEP = np.uint64(0xD1342543DE82EF95)
 
 
@@ -187,32 +187,29 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
 
 
 def prefix_shingles(nodes: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """``(node, shingle)``: the rarest shingles of each node, enough that any two nodes at the
-    threshold share one.  Rarity is counted over ``nodes``."""
+    """``(node, shingle)``: the first shingles of each node in one order for all, that of a hash.
 
-    def explode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    A shingle counts if what comes before it weighs at most ``1 - threshold`` of the node.
+    Two nodes at the threshold share that much weight that the first shingle they have in
+    common is such a one of both.
+    """
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in sliced([whole], "words"):
-                bags = [shingles_of(w.split()) for w in batch.column("words").to_pylist()]
-                sizes = [len(e) for e, _ in bags]
+                found = []
+                for words in batch.column("words").to_pylist():
+                    elements, counts = shingles_of(words.split())
+                    order = np.argsort(mix(elements ^ _STEP), kind="stable")
+                    passed = np.cumsum(counts[order]) - counts[order]
+                    found.append(elements[order][passed <= (1 - threshold) * counts.sum() + 1e-9])
+                row = pa.array(np.repeat(np.arange(len(found)), [len(f) for f in found]))
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column("node").take(pa.array(np.repeat(np.arange(len(bags)), sizes))),
-                        pa.array(np.concatenate([e for e, _ in bags]).view(np.int64)),
-                        pa.array(np.concatenate([c for _, c in bags])),
-                    ],
-                    names=["node", "shingle", "times"],
+                    [batch.column("node").take(row), pa.array(np.concatenate(found).view(np.int64))], names=["node", "shingle"]
                 )
 
-    flat = cut(texts.join(nodes, "node", "left_semi").select("node", "words").mapInArrow(explode, "node binary, shingle long, times long"))
-    order = "ROW_NUMBER() OVER (PARTITION BY node ORDER BY held, shingle)"
-    before = "SUM(times) OVER (PARTITION BY node ORDER BY held, shingle ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
-    counts = flat.groupBy("shingle").agg(F.count("*").alias("held"))
-    ranked = flat.join(counts.where("held > 1"), "shingle", "left").na.fill({"held": 1})
-    ranked = ranked.selectExpr("node", "shingle", "held", f"{order} AS place", f"COALESCE({before}, 0) AS passed",
-                               "SUM(times) OVER (PARTITION BY node) AS total")
-    # missing more than (1 - threshold) of its weight, a node cannot reach the threshold
-    return ranked.where(F.col("passed") <= (1 - threshold) * F.col("total") + 1e-9).where("held > 1").select("node", "shingle")
+    held = texts.join(nodes, "node", "left_semi").select("node", "words")
+    return held.mapInArrow(run, "node binary, shingle long")
 
 
 def cross_pairs(members: DataFrame, keys: list[str]) -> DataFrame:
@@ -294,8 +291,9 @@ def near_duplicates(
     third = cross_pairs(left.where("few").select("band", "node", "label"), ["band"])
     large = left.where("NOT few").select("band", "node", "label")
     if not large.isEmpty():
-        prefixes = prefix_shingles(large.select("node").distinct(), texts, threshold)
-        third = third.unionByName(cross_pairs(large.join(prefixes, "node"), ["band", "shingle"])).distinct()
+        nodes_left = cut(large.select("node", "label").distinct())
+        prefixes = prefix_shingles(nodes_left, texts, threshold)
+        third = third.unionByName(cross_pairs(nodes_left.join(prefixes, "node"), ["shingle"])).distinct()
     links = links.unionByName(cut(verified(third.join(tried, ["u", "v"], "left_anti"), texts, threshold)))
 
     roots = components(links)
