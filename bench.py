@@ -9,7 +9,7 @@ import time
 
 HEADLINE = [
     "flagship_report", "f01_merge_feeds", "f02_latest_active", "d01_enrich_with_changes", "d02_match_works",
-    "d06_exact_matches", "d07_pick_unique", "d09_title_lookup", "d17_cross_check", "d22_profile_as_of",
+    "d06_exact_matches", "d06_compare_identity", "d07_pick_unique", "d09_title_lookup", "d17_cross_check", "d22_profile_as_of",
     "e01_coalesce_intervals", "e02_coverage_gaps", "e05_connected_records", "e06_expand_categories",
     "f03_group_issues", "f06_resolve_type", "f08_resolve_records", "f11_issue_coverage", "g01_rank_results",
     "g10_missing_windows", "i02_upsert_seen", "i05_paper_search", "j02_stream_latest",
