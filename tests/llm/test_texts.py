@@ -1,6 +1,7 @@
 """Operators on whole texts against brute force or the library itself."""
 
 import collections
+import itertools
 import hashlib
 import math
 import random
@@ -280,3 +281,41 @@ def test_probabilities_sum_to_one_and_training_helps():
     every = np.arange(21)
     for k in (1, 50, 900):
         assert abs(np.exp(model.log_probabilities(np.repeat(contexts[k : k + 1], 21, axis=0), every)).sum() - 1) < 1e-4
+
+
+def test_language_model_tells_rare_tokens_apart(spark, monkeypatch):
+    """Word pairs beyond the 512 most frequent tokens: own head tokens, and hashed ones of a short head."""
+    r = random.Random(6)
+    filler = [f"filler{k}" for k in range(600)]
+    pairs = [(f"left{k}", f"right{k}") for k in range(24)]
+    train = (k for k in itertools.count() if not lm.is_held_out(k))
+    held = (k for k in itertools.count() if lm.is_held_out(k))
+    rows = [(next(train), " ".join(r.sample(filler, 600))) for _ in range(600)]
+    rows += [(next(train), " ".join(w for p in r.sample(pairs, 24) for w in p)) for _ in range(500)]
+    r.shuffle(rows)
+    matched = [(next(held), " ".join(p)) for p in pairs]
+    crossed = [(next(held), f"{pairs[k][0]} {pairs[(k + 7) % 24][1]}") for k in range(24)]
+    docs = spark.createDataFrame(rows + matched + crossed, "doc_id long, text string").coalesce(1)
+    monkeypatch.setattr(lm, "REST_PER_CLASS", 1)
+    for head_size in (lm.HEAD, 610):
+        score = {g.doc_id: g.score for g in lm.scores(docs, head_size=head_size).collect()}
+        assert sum(score[k] for k, _ in matched) > sum(score[k] for k, _ in crossed) + 1
+
+
+def test_every_class_has_rows_and_a_share():
+    """Three levels of a tree: probabilities sum to one, and rows grow with the distinct tokens."""
+    counts = np.arange(3000, 0, -1)
+    model = lm.Model(counts)
+    assert len(model.context) == 3001 and model.level_sizes[2] == 3000 - model.short
+    r = np.random.default_rng(2)
+    classes = r.integers(0, 3000, 20_000)
+    contexts = lm.contexts_of(classes, np.array([len(classes)]), model.classes)
+    model.learn(contexts, classes, r)
+    every = np.arange(3000)
+    for k in (0, 1, 77):
+        assert abs(np.exp(model.log_probabilities(np.repeat(contexts[k : k + 1], 3000, axis=0), every)).sum() - 1) < 1e-4
+    again = lm.Model(counts)
+    rows, _, values = model.used_rows()
+    again.load(rows, values)
+    assert all((a == b).all() for a, b in zip(again.parameters(), model.parameters()))
+    assert lm.Head([b"a"], [5], 10_000).shared > lm.Head([b"a"], [5], 1_000).shared > 1
