@@ -210,7 +210,10 @@ def _(t):
       array_to_string(coalesce(x.links, e.links), '|') AS links
     FROM a JOIN every e USING (title) LEFT JOIN exact x ON a.title = x.title AND a.first_author = x.first_author AND a.year = x.year""")
 def _(t):
-    return journals.title_overlap(*checked_sides(t))
+    records, peers = checked_sides(t)
+    # the twin's text of all links per record needs them gathered; the operator itself does not
+    links = journals.title_links(peers).groupBy("class_key").agg(F.array_sort(F.collect_list("peer_url")).alias("links"))
+    return journals.title_overlap(records, peers).join(links, "class_key").select("url", "status", "links")
 
 
 @check("d19_article_hits", f"""

@@ -159,36 +159,37 @@ def cross_check(records: DataFrame, others: DataFrame) -> DataFrame:
     )
 
 
-def _first_urls(peers: DataFrame, keys: list[str], n: int | None) -> DataFrame:
-    """The ``n`` least URLs per key, or all; all but ``n`` rows per task go before the shuffle."""
-    w = Window.partitionBy(*keys).orderBy("peer_url")
-    urls = peers.filter("peer_url IS NOT NULL").select(*keys, "peer_url").distinct()
-    if n is not None:
-        urls = urls.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= n)
-    return (
-        urls.groupBy(*keys).agg(F.array_sort(F.collect_list("peer_url")).alias("links"))
-    )
+def _title_classes(df: DataFrame) -> DataFrame:
+    """Add ``_title_key`` and, with an author and a year, ``_exact_key`` to rows with a title."""
+    title, author = N.compact(F.col("title")), N.compact(F.col("first_author"))
+    keyed = df.withColumn("_title_key", title).filter("_title_key <> ''")
+    return keyed.withColumn("_exact_key", F.when(
+        (author != "") & F.col("year").isNotNull(),
+        F.concat(F.col("_title_key"), F.lit("\x1f"), author, F.lit("\x1f"), F.col("year").cast("string")),
+    ))
+
 
+def title_links(peers: DataFrame) -> DataFrame:
+    """Distinct ``(class_key, peer_url)``: the URLs of each title, and of each title, first author and year."""
+    keys = F.array_compact(F.array("_title_key", "_exact_key"))
+    return _title_classes(peers).filter("peer_url IS NOT NULL").select(F.explode(keys).alias("class_key"), "peer_url").distinct()
 
-def title_overlap(records: DataFrame, peers: DataFrame, links: int | None = None) -> DataFrame:
+
+def title_overlap(records: DataFrame, peers: DataFrame) -> DataFrame:
     """Records whose exact title another bibliography holds; nothing is merged.
 
     ``same_bibliography`` needs the first author and the year too, else
-    ``needs_review``; all links are given, or the ``links`` least.
+    ``needs_review``.  The ``n_links`` links are the rows of :func:`title_links`
+    under ``class_key``, so a hot title is one count, not its URLs on every record.
     """
-    def keyed(df):
-        return df.withColumn("_title", N.compact(F.col("title"))).withColumn("_author", N.compact(F.col("first_author"))).filter("_title <> ''")
-
-    p, r = keyed(peers), keyed(records)
-    exact_keys = ["_title", "_author", "year"]
-    exact = _first_urls(p.filter("_author <> '' AND year IS NOT NULL"), exact_keys, links).withColumnRenamed("links", "_exact")
-    every = _first_urls(p, ["_title"], links)
-    return (
-        r.join(every, "_title").join(exact, exact_keys, "left")
-        .select(
-            "url", F.when(F.col("_exact").isNotNull(), "same_bibliography").otherwise("needs_review").alias("status"),
-            F.coalesce("_exact", "links").alias("links"),
-        )
+    counts = title_links(peers).groupBy("class_key").agg(F.count("*").alias("n_links"))
+    every = counts.select(F.col("class_key").alias("_title_key"), F.col("n_links").alias("_n_title"))
+    exact = counts.select(F.col("class_key").alias("_exact_key"), F.col("n_links").alias("_n_exact"))
+    found = F.col("_n_exact").isNotNull()
+    return _title_classes(records).join(every, "_title_key").join(exact, "_exact_key", "left").select(
+        "url", F.when(found, "same_bibliography").otherwise("needs_review").alias("status"),
+        F.when(found, F.col("_exact_key")).otherwise(F.col("_title_key")).alias("class_key"),
+        F.coalesce("_n_exact", "_n_title").alias("n_links"),
     )
 
 

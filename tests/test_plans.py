@@ -51,3 +51,16 @@ def test_pages_are_taken_without_a_full_sort(spark, folder):
 def test_no_plan_pairs_rows_without_a_key(spark, folder, name):
     text = plan(QUERIES[name](spark, folder))
     assert "CartesianProduct" not in text and "NestedLoopJoin" not in text
+
+
+def test_hot_titles_are_counted_not_gathered(spark):
+    """A title of 3,000 records and 2,000 peer URLs: a row per record and a row per class and URL."""
+    columns = "url string, title string, first_author string, year int"
+    records = spark.createDataFrame([(f"r{k}", "Editorial", f"A{k % 3}", 2000 if k % 2 else None) for k in range(3000)] + [("x", "Other", "A0", 2000)], columns)
+    peers = spark.createDataFrame([(f"p{k % 2000}", "Editorial", "A0" if k % 2000 < 50 else "", 2000) for k in range(4000)], columns).withColumnRenamed("url", "peer_url")
+    overlap, links = journals.title_overlap(records, peers), journals.title_links(peers)
+    assert "collect_list" not in plan(overlap) and "array" not in {kind for _, kind in overlap.dtypes}
+    got = {(r.status, r.class_key, r.n_links): r.n for r in overlap.groupBy("status", "class_key", "n_links").agg(F.count("*").alias("n")).collect()}
+    exact = "editorial\x1fa0\x1f2000"
+    assert got == {("same_bibliography", exact, 50): 500, ("needs_review", "editorial", 2000): 2500}
+    assert links.count() == 2050 and links.filter(F.col("class_key") == exact).count() == 50
