@@ -252,7 +252,8 @@ def page_records(pages: DataFrame, path: str | None = None, least_bytes: int = 0
     """Write ``pages`` to archives, read them back, and give each page its record."""
     spark = pages.sparkSession
     path = path or shared_path(spark, "warc")
-    write_archives(pages, path, least_bytes=least_bytes)
+    # plain and a file per task, so that readers split long files into ranges
+    write_archives(pages, path, least_bytes=least_bytes, compression="none", records_per_file=0)
     number = r"<urn:page:(-?\d+)>"
     read = read_archives(spark, path).select(
         F.regexp_extract("record_id", number, 1).try_cast("long").alias("page_id"),

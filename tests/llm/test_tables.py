@@ -67,6 +67,23 @@ def test_page_records(spark):
     assert warc.page_records(df.limit(0)).count() == 0
 
 
+def test_page_records_reads_files_in_ranges(spark, tmp_path):
+    pages = hostile_pages()
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1)
+    want = collections.Counter(tuple(r) for r in warc.page_records(df).collect())
+    path = str(tmp_path / "w")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 2_000)
+    spark.conf.set("spark.sql.files.openCostInBytes", 0)
+    try:
+        got = collections.Counter(tuple(r) for r in warc.page_records(df, path).collect())
+        ranges = warc._chunks(spark, path).select("path", "block").distinct().count()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert got == want and sum(got.values()) == len(pages)
+    assert ranges > 5 * len(list((tmp_path / "w").glob("part-*")))
+
+
 def day(n):
     return datetime.date(2024, 1, 1) + datetime.timedelta(days=n)
 
