@@ -106,7 +106,7 @@ def enrich_with_changes(candidates: DataFrame, latest: DataFrame) -> DataFrame:
     changes = latest.select(
         "record_key", "changed_at", F.col("identifier").alias("change_record_id"),
         F.col("dc_type").alias("change_type"),
-        F.array_compact(F.array(N.year_hint(F.col("dc_date"), 128))).alias("change_year_hints"),
+        F.array_compact(F.array(N.year_hint(F.col("dc_date")))).alias("change_year_hints"),
     )
     keyed = candidates.withColumn("record_key", N.record_key(F.col("record_url")))
     return keyed.join(changes, "record_key", "left")

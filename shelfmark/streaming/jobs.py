@@ -127,13 +127,13 @@ def stream_window_close(events: DataFrame, folder: str, days: int, delay_hours:
         marks = _read(spark, folder, "marks", rows.select(F.col("changed_at").alias("closed_until"))).filter(F.col("batch_id") < batch_id)
         before = marks.agg(F.max("closed_until")).first()[0]
         newest = rows.agg(F.max("changed_at")).first()[0]
-        closed = F.lit(None).cast("timestamp_ntz") if before is None else gates.instant(before)
+        closed = F.lit(None).cast("timestamp_ntz") if before is None else gates.instant(str(before))
         late = F.coalesce(F.col("window_end") <= closed, F.lit(False))
         rows.filter(late).write.mode("overwrite").parquet(f"{folder}/late/batch_id={batch_id}")
         rows.filter(~late).write.mode("overwrite").partitionBy("window_start").parquet(f"{folder}/open/batch_id={batch_id}")
         if newest is None:
             return
-        until = F.greatest(closed, gates.instant(newest) - F.expr(f"INTERVAL {delay_hours} HOUR"))
+        until = F.greatest(closed, gates.instant(str(newest)) - F.expr(f"INTERVAL {delay_hours} HOUR"))
         held = _read(spark, folder, "open", rows).filter(F.col("batch_id") <= batch_id).withColumn(
             "window_start", F.col("window_start").cast("timestamp_ntz")
         )
