@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.llm import chat, lm, near_dups, packing, pieces, quality, spellings, substrings, turns, url_lists, vectors, warc
+from shelfmark.llm import chat, cover, lm, near_dups, packing, pieces, quality, spellings, substrings, turns, url_lists, vectors, warc
 from shelfmark.session import configure
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -160,6 +160,11 @@ def op6_repaired_chats(table) -> DataFrame:
     return chat.formatted(table("conversations"))
 
 
+@query()
+def op11_embedding_classes(table) -> DataFrame:
+    return cover.near_vectors(table("embeddings"))
+
+
 @query()
 def op12_spelling_variants(table) -> DataFrame:
     return spellings.spelling_groups(table("documents"))

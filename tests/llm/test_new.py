@@ -7,10 +7,10 @@ import random
 import re
 import zlib
 
+import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
-from shelfmark.llm import spellings, turns
+from shelfmark.llm import cover, spellings, turns
 
 
 def edit_one(a, b):
@@ -197,3 +197,97 @@ def test_repaired_turns_are_legal(spark):
     for e in sorted(edits, key=lambda e: (e.part, e.block, e.seq)):
         shown[e.conv_id].append(e.role[:1])
     assert shown and all(re.fullmatch("(s?(ua)+)?", "".join(v)) for v in shown.values())
+
+
+def classes_by_hand(rows, least=0.93):
+    """``rows`` are ``(vec_id, vector, label)``."""
+    def fine(v):
+        return v is not None and len(v) and all(c is not None and np.isfinite(c) for c in v) and any(v)
+
+    units = [None if i is None or tag is None or not fine(v) else np.array(v) / np.abs(v).max() for i, v, tag in rows]
+    units = [None if u is None else u / np.linalg.norm(u) for u in units]
+    n, links, root = len(rows), [0] * len(rows), list(range(len(rows)))
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    for i in range(n):
+        for j in range(i):
+            if units[i] is not None and units[j] is not None and rows[i][2] == rows[j][2] and len(units[i]) == len(units[j]) and units[i] @ units[j] >= least:
+                links[i] += 1
+                links[j] += 1
+                root[find(i)] = find(j)
+    ids = collections.defaultdict(list)
+    for i in range(n):
+        ids[find(i)].append(rows[i][0])
+    out = collections.Counter()
+    for i, (vec_id, _, _) in enumerate(rows):
+        component = None if vec_id is None else min(ids[find(i)])
+        out[vec_id, links[i], component, vec_id is None or vec_id == component] += 1
+    return out
+
+
+VECTORS = "vec_id long, embedding array<double>, label string, key string, rows long"
+
+
+def classes(spark, rows, **options):
+    df = spark.createDataFrame([(*row, "clash", 1) for row in rows], VECTORS).repartition(3)
+    return collections.Counter(tuple(r) for r in cover.near_vectors(df, **options).collect())
+
+
+def odd_vectors(count, dims=8, seed=1):
+    r = np.random.default_rng(seed)
+    centres = r.normal(size=(6, dims))
+    rows = []
+    for k in range(count):
+        v = centres[k % 6] * r.choice([1e-3, 1, 1e200]) + 0
+        v = v / np.abs(v).max() + r.normal(size=dims) * r.choice([0, 1e-9, 0.05, 0.2])
+        rows.append((k, v.tolist(), "ab/1"[: 1 + k % 2] if k % 3 else "a"))
+    rows += [(9000 + k, v, tag) for k, (v, tag) in enumerate([
+        (None, "a"), ([], "a"), ([0.0] * dims, "a"), ([float("nan")] * dims, "a"), ([None] + [1.0] * (dims - 1), "a"), ([1.0] * dims, None),
+        ([1e300] * dims, "z"), ([1e-300] * dims, "z"), ([1.0, 2.0], "a"), ([2.0, 4.1], "a"), ([float("inf")] * dims, "b"), (rows[0][1], "a/1"),
+    ])]
+    return rows + rows[:20] + [(5, rows[40][1], "a"), (None, rows[0][1], "a"), (8_001, rows[0][1], "a"), (8_002, rows[0][1], "b")]
+
+
+@pytest.mark.parametrize("leaf_rows", [cover.LEAF_ROWS, 40, 7])
+def test_vector_classes_equal_all_pairs(spark, leaf_rows):
+    rows = odd_vectors(400)
+    assert classes(spark, rows, leaf_rows=leaf_rows) == classes_by_hand(rows)
+
+
+def test_vector_classes_of_the_table(spark, folder):
+    rows = [(r.vec_id, [float(c) for c in r.embedding], str(r.label)) for r in spark.read.parquet(f"{folder}/embeddings.parquet").collect()]
+    want = classes_by_hand(rows)
+    assert classes(spark, rows) == want and classes(spark, rows, leaf_rows=16) == want
+
+
+def test_crowded_vectors_link_as_nodes(spark):
+    """3,000 vectors within the threshold of each other and 200 away: links are counts, no table of pairs."""
+    r = np.random.default_rng(5)
+    crowd, rest = np.ones(16), r.normal(size=(200, 16))
+    rows = [(k, (crowd + r.normal(size=16) * 1e-4).tolist(), "a") for k in range(3_000)] + [(5_000 + k, v.tolist(), "a") for k, v in enumerate(rest)]
+    got = classes(spark, rows, leaf_rows=100)
+    assert sum(n for (vec_id, links, component, _), n in got.items() if vec_id < 3_000 and links >= 2_999 and component == 0) == 3_000
+    assert classes(spark, []) == collections.Counter()
+
+
+@pytest.mark.parametrize("least", [0.5, 0.93, 0.9999])
+def test_dual_traversal_equals_a_matrix(least):
+    r = np.random.default_rng(9)
+    x = cover.unit(np.concatenate([r.normal(size=(300, 5)), r.normal(size=(4, 5))[r.integers(0, 4, 500)] + r.normal(size=(500, 5)) * 0.02]))
+    weights = r.integers(1, 4, len(x))
+    links = cover.Links(weights)
+    a, b = cover.CoverTree(x[:400], 16, 4), cover.CoverTree(x[400:], 16, 4)
+    cover.traverse(links, a, b, a.order, 400 + b.order, least)
+    for tree, at in ((a, a.order), (b, 400 + b.order)):
+        cover.traverse(links, tree, tree, at, at, least)
+    linked = x @ x.T >= least
+    np.fill_diagonal(linked, False)
+    assert (links.counts == linked @ weights).all()
+    reached = linked | np.eye(len(x), dtype=bool)
+    for _ in range(10):
+        reached = (reached.astype(np.int64) @ reached) > 0
+    assert ((links.part[:, None] == links.part[None, :]) == reached).all()
