@@ -223,14 +223,15 @@ def usable(vectors: DataFrame, vec_id: str, vector: str, label: str) -> DataFram
     return rows.mapInArrow(run, "vec_id long, key string, grp string, vec binary")
 
 
-def centres_of(rows: DataFrame, own: DataFrame, level: int) -> DataFrame:
-    """``(node, packed, n)``: up to ``FAN`` centres of each node, from a sample of as many vectors by hash.
+def centres_of(rows: DataFrame, own: DataFrame, fans: DataFrame, level: int) -> DataFrame:
+    """``(node, packed, n)``: centres of each node, from a sample of ``FAN`` vectors by hash.
 
-    ``rows`` hold ``(node, key, vec)``; the node's own centre, from ``own``, comes first.
+    ``rows`` hold ``(node, key, vec)``; the node's own centre, from ``own``, comes first, and
+    ``fans`` says how many are wanted, so that children come out not far below a leaf's size.
     """
     place = F.row_number().over(W.partitionBy("node").orderBy(F.xxhash64("key", F.lit(level)), "key"))
     sample = rows.withColumn("_place", place).where(F.col("_place") <= FAN)
-    packed = sample.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("_place", "vec"))).alias("sample")).join(own.select("node", "centre"), "node", "left")
+    packed = sample.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("_place", "vec"))).alias("sample")).join(own.select("node", "centre"), "node", "left").join(fans, "node")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -238,14 +239,14 @@ def centres_of(rows: DataFrame, own: DataFrame, level: int) -> DataFrame:
             for row in batch.to_pylist():
                 raw = ([row["centre"]] if row["centre"] else []) + [s["vec"] for s in row["sample"]]
                 x, radius = unit(rows_of(raw)), 2.0**-level
-                chosen, _ = spread(x, radius, FAN)
+                chosen, _ = spread(x, radius, row["fan"])
                 while len(chosen) < 2 and radius > MARGIN:
                     radius /= 2
-                    chosen, _ = spread(x, radius, FAN)
+                    chosen, _ = spread(x, radius, row["fan"])
                 nodes.append(row["node"]), kept.append(b"".join(raw[c] for c in chosen)), counts.append(len(chosen))
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.string()), pa.array(kept, pa.binary()), pa.array(counts, pa.int64())], names=["node", "packed", "n"])
 
-    return packed.select("node", "sample", "centre").mapInArrow(run, "node string, packed binary, n long")
+    return packed.select("node", "sample", "centre", "fan").mapInArrow(run, "node string, packed binary, n long")
 
 
 def _divided(rows: DataFrame, centres: DataFrame, sizes: DataFrame) -> DataFrame:
@@ -288,7 +289,8 @@ def grow(entries: DataFrame, leaf_rows: int) -> tuple[DataFrame, list[DataFrame]
     columns = ["key", "grp", "vec", "rows", "path", "node"]
     own = large.select("node", F.lit(None).cast("binary").alias("centre"))
     while len(levels) < LEVELS and large.limit(1).count():
-        centres = cut(centres_of(at, own, len(levels) + 1))
+        fans = large.select("node", F.least(F.lit(FAN), F.ceil(2 * F.col("size") / leaf_rows)).cast("long").alias("fan"))
+        centres = cut(centres_of(at, own, fans, len(levels) + 1))
         placed = cut(_divided(at, centres, large))
         nodes = cut(placed.groupBy("node").agg(
             F.regexp_replace(F.first("node"), "/[0-9]+$", "").alias("parent"), F.min("centre").alias("centre"), F.max("chord").alias("radius"),

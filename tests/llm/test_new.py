@@ -252,9 +252,9 @@ def odd_vectors(count, dims=8, seed=1):
     return rows + rows[:20] + [(5, rows[40][1], "a"), (None, rows[0][1], "a"), (8_001, rows[0][1], "a"), (8_002, rows[0][1], "b")]
 
 
-@pytest.mark.parametrize("leaf_rows", [cover.LEAF_ROWS, 40, 7])
+@pytest.mark.parametrize("leaf_rows", [cover.LEAF_ROWS, 20])
 def test_vector_classes_equal_all_pairs(spark, leaf_rows):
-    rows = odd_vectors(400)
+    rows = odd_vectors(240)
     assert classes(spark, rows, leaf_rows=leaf_rows) == classes_by_hand(rows)
 
 
@@ -265,12 +265,12 @@ def test_vector_classes_of_the_table(spark, folder):
 
 
 def test_crowded_vectors_link_as_nodes(spark):
-    """3,000 vectors within the threshold of each other and 200 away: links are counts, no table of pairs."""
+    """1,500 vectors within the threshold of each other and 200 away: links are counts, no table of pairs."""
     r = np.random.default_rng(5)
     crowd, rest = np.ones(16), r.normal(size=(200, 16))
-    rows = [(k, (crowd + r.normal(size=16) * 1e-4).tolist(), "a") for k in range(3_000)] + [(5_000 + k, v.tolist(), "a") for k, v in enumerate(rest)]
+    rows = [(k, (crowd + r.normal(size=16) * 1e-4).tolist(), "a") for k in range(1_500)] + [(5_000 + k, v.tolist(), "a") for k, v in enumerate(rest)]
     got = classes(spark, rows, leaf_rows=100)
-    assert sum(n for (vec_id, links, component, _), n in got.items() if vec_id < 3_000 and links >= 2_999 and component == 0) == 3_000
+    assert sum(n for (vec_id, links, component, _), n in got.items() if vec_id < 1_500 and links >= 1_499 and component == 0) == 1_500
     assert classes(spark, []) == collections.Counter()
 
 
