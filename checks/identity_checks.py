@@ -188,7 +188,7 @@ def _(t):
 def open_pairs(t: Tables):
     """Record pairs to review, one per event, bound to their facts."""
     k, u = F.col("k"), F.col("user_id").cast("string")
-    return t.v_k.filter(k % 3 == 0).select(
+    return t.v_k.select(
         cat("https://feed.example.org/rec/U", u).alias("record_url"),
         F.when(F.col("event_type") == "click", "openalex").otherwise("crossref").alias("source"),
         cat("X", F.col("event_id").cast("string")).alias("external_id"),
@@ -209,7 +209,7 @@ OPEN_PAIRS = """
     SELECT 'https://feed.example.org/rec/U' || user_id AS record_url,
       CASE WHEN event_type = 'click' THEN 'openalex' ELSE 'crossref' END AS source, 'X' || event_id AS external_id,
       CASE WHEN k % 5 <> 0 AND k % 7 <> 0 THEN CASE WHEN k % 2 = 0 THEN 'equivalent' ELSE 'distinct' END END AS applied, k
-    FROM v_k WHERE k % 3 = 0"""
+    FROM v_k"""
 
 
 @check("d11_apply_identity_reviews", f"""

@@ -161,14 +161,14 @@ def _(t):
 
 
 def checked_sides(t: Tables):
-    """Two tables of titled records with many shared titles and missing fields."""
+    """Two tables of titled records, from odd and even order lines, with many shared titles and missing fields."""
     p, n = F.col("l_partkey"), F.col("l_orderkey")
 
     def side(line):
-        return t.lineitem.filter(F.col("l_linenumber") == line).select(
-            n.alias("record_id"),
-            cat("https://x.example.org/", n.cast("string"), "/", p.cast("string"), "/", F.col("l_suppkey").cast("string"),
-                "/", F.date_format("l_shipdate", "yyyyMMdd")).alias("url"),
+        return t.lineitem.filter(F.col("l_linenumber") % 2 == line % 2).select(
+            (n * 10 + F.col("l_linenumber")).alias("record_id"),
+            cat("https://x.example.org/", n.cast("string"), "/", F.col("l_linenumber").cast("string"), "/", p.cast("string"), "/",
+                F.col("l_suppkey").cast("string"), "/", F.date_format("l_shipdate", "yyyyMMdd")).alias("url"),
             F.when(n % 3 == 0, "Editorial").otherwise(cat("T", (p % 900).cast("string"))).alias("title"),
             F.when(n % 5 != line % 5, cat("V", (F.col("l_suppkey") % 3).cast("string"))).alias("venue"),
             F.when(n % 7 != line % 7, F.year("l_shipdate")).alias("year"),
@@ -181,17 +181,17 @@ def checked_sides(t: Tables):
 
 
 def _side(line: int) -> str:
-    return f"""SELECT l_orderkey AS record_id, 'https://x.example.org/' || l_orderkey || '/' || l_partkey || '/' || l_suppkey || '/' || strftime(l_shipdate, '%Y%m%d') AS url,
+    return f"""SELECT l_orderkey * 10 + l_linenumber AS record_id, 'https://x.example.org/' || l_orderkey || '/' || l_linenumber || '/' || l_partkey || '/' || l_suppkey || '/' || strftime(l_shipdate, '%Y%m%d') AS url,
         CASE WHEN l_orderkey % 3 = 0 THEN 'Editorial' ELSE 'T' || (l_partkey % 900) END AS title,
         CASE WHEN l_orderkey % 5 <> {line % 5} THEN 'V' || (l_suppkey % 3) END AS venue,
         CASE WHEN l_orderkey % 7 <> {line % 7} THEN year(l_shipdate) END AS year,
         CASE WHEN l_orderkey % 11 <> {line % 11} THEN CAST(month(l_shipdate) % 3 AS VARCHAR) END AS issue,
         CASE WHEN l_orderkey % 4 <> {line % 4} THEN 'A' || (l_partkey % 2) END AS authors, 'A' || (l_partkey % 4) AS first_author,
-        'https://p.example.org/' || l_orderkey AS peer_url FROM lineitem WHERE l_linenumber = {line}"""
+        'https://p.example.org/' || l_orderkey AS peer_url FROM lineitem WHERE l_linenumber % 2 = {line % 2}"""
 
 
 @check("d17_cross_check", f"""
-    WITH a AS ({_side(1)}), b AS ({_side(2)}),
+    WITH a AS ({_side(1)}), b AS (SELECT title, venue, year, issue, authors, min(record_id) AS record_id FROM ({_side(2)}) GROUP BY ALL),
     p AS (SELECT a.url, b.record_id AS other_id, CASE WHEN a.venue <> b.venue OR a.year <> b.year OR a.issue <> b.issue OR a.authors <> b.authors THEN 2
         WHEN a.venue IS NULL OR b.venue IS NULL OR a.year IS NULL OR b.year IS NULL OR a.issue IS NULL OR b.issue IS NULL OR a.authors IS NULL OR b.authors IS NULL THEN 1 ELSE 0 END AS rank
       FROM a JOIN b ON a.title = b.title)
@@ -202,18 +202,25 @@ def _(t):
     return journals.cross_check(*checked_sides(t))
 
 
+EXACT_TITLE = "lower(title) || chr(31) || lower(first_author) || chr(31) || year"
+
+
 @check("d18_title_overlap", f"""
     WITH a AS ({_side(1)}), b AS ({_side(2)}),
-    every AS (SELECT title, list_sort(list(DISTINCT peer_url)) AS links FROM b GROUP BY title),
-    exact AS (SELECT title, first_author, year, list_sort(list(DISTINCT peer_url)) AS links FROM b WHERE year IS NOT NULL GROUP BY ALL)
-    SELECT a.url, CASE WHEN x.links IS NOT NULL THEN 'same_bibliography' ELSE 'needs_review' END AS status,
-      array_to_string(coalesce(x.links, e.links), '|') AS links
-    FROM a JOIN every e USING (title) LEFT JOIN exact x ON a.title = x.title AND a.first_author = x.first_author AND a.year = x.year""")
+    every AS (SELECT lower(title) AS class_key, count(DISTINCT peer_url) AS n_links FROM b GROUP BY 1),
+    exact AS (SELECT {EXACT_TITLE} AS class_key, count(DISTINCT peer_url) AS n_links FROM b WHERE year IS NOT NULL GROUP BY 1)
+    SELECT a.url, CASE WHEN x.n_links IS NOT NULL THEN 'same_bibliography' ELSE 'needs_review' END AS status,
+      coalesce(x.class_key, e.class_key) AS class_key, coalesce(x.n_links, e.n_links) AS n_links
+    FROM a JOIN every e ON lower(title) = e.class_key LEFT JOIN exact x ON {EXACT_TITLE} = x.class_key""", ints="n_links")
+def _(t):
+    return journals.title_overlap(*checked_sides(t))
+
+
+@check("d18_title_links", f"""
+    WITH b AS ({_side(2)})
+    SELECT DISTINCT lower(title) AS class_key, peer_url FROM b UNION ALL SELECT DISTINCT {EXACT_TITLE}, peer_url FROM b WHERE year IS NOT NULL""")
 def _(t):
-    records, peers = checked_sides(t)
-    # the twin's text of all links per record needs them gathered; the operator itself does not
-    links = journals.title_links(peers).groupBy("class_key").agg(F.array_sort(F.collect_list("peer_url")).alias("links"))
-    return journals.title_overlap(records, peers).join(links, "class_key").select("url", "status", "links")
+    return journals.title_links(checked_sides(t)[1])
 
 
 @check("d19_article_hits", f"""
@@ -269,18 +276,19 @@ def _(t):
 
 @check("d24_locate_targets", """
     WITH lists AS (
-      SELECT link AS url, 1 AS priority, 'feed' AS list_name, min(event_id) AS position FROM v_feed_entries WHERE category_id = 'click' AND event_id % 50 = 0 GROUP BY 1
-      UNION ALL SELECT link, 2, 'wide', min(event_id) FROM v_feed_entries WHERE event_id % 20 = 0 GROUP BY 1)
+      SELECT link AS url, 1 AS priority, 'feed' AS list_name, min(event_id) AS position FROM v_feed_entries WHERE category_id = 'click' GROUP BY 1
+      UNION ALL SELECT link, 2, 'wide', min(event_id) FROM v_feed_entries GROUP BY 1)
     SELECT url, coalesce(arg_min(list_name, priority), 'not_located') AS list_name, arg_min(position, priority) AS position
-    FROM (SELECT DISTINCT link AS url FROM v_feed_entries) LEFT JOIN lists USING (url) GROUP BY url""")
+    FROM (SELECT link AS url FROM v_feed_entries UNION SELECT 'https://feed.example.org/rec/U' || (user_id * 2) FROM events) LEFT JOIN lists USING (url) GROUP BY url""")
 def _(t):
     e = t.v_feed_entries
-    lists = e.filter("category_id = 'click' AND event_id % 50 = 0").select(
+    lists = e.filter("category_id = 'click'").select(
         F.lit(1).alias("priority"), F.lit("feed").alias("list_name"), F.col("event_id").alias("position"), F.col("link").alias("url")
-    ).unionByName(e.filter("event_id % 20 = 0").select(
+    ).unionByName(e.select(
         F.lit(2).alias("priority"), F.lit("wide").alias("list_name"), F.col("event_id").alias("position"), F.col("link").alias("url")
     ))
-    return journals.locate_targets(e.select(F.col("link").alias("url")), lists)
+    others = t.events.select(cat("https://feed.example.org/rec/U", (F.col("user_id") * 2).cast("string")).alias("url"))
+    return journals.locate_targets(e.select(F.col("link").alias("url")).unionByName(others), lists)
 
 
 @check("f09_arrival_intervals", """

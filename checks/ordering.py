@@ -51,7 +51,7 @@ def _(t):
 
 @check("g04_pick_for_lookup", f"""
     WITH c AS (SELECT record_url, CAST(replace(split_part(record_url, '-', 2), '/', '') AS INTEGER) AS n, date_in_window AS eligible FROM ({_sparse_sql()})),
-    a AS (SELECT link || '-' || (event_id % 61) AS record_url, max(published_at) AS last FROM v_feed_entries WHERE event_id % 3 = 0 AND published_at IS NOT NULL GROUP BY 1),
+    a AS (SELECT link || '-' || (event_id % 61) AS record_url, max(published_at) AS last FROM v_feed_entries WHERE published_at IS NOT NULL GROUP BY 1),
     j AS (SELECT c.*, n % 10 = 0 AS cached, a.last FROM c LEFT JOIN a USING (record_url))
     SELECT record_url, CASE WHEN cached THEN 'cached' WHEN rn <= 300 THEN 'selected' ELSE 'deferred' END AS lookup
     FROM (SELECT *, row_number() OVER (PARTITION BY cached ORDER BY last ASC NULLS FIRST, eligible DESC, record_url) AS rn FROM j)""")
@@ -63,7 +63,7 @@ def _(t):
         "record_url", (F.split_part("record_url", F.lit("-"), F.lit(2)).cast("int") % 10 == 0).alias("cached"),
         F.col("date_in_window").alias("eligible"),
     )
-    attempts = sparse(t).filter("event_id % 3 = 0 AND published_at IS NOT NULL").select(
+    attempts = sparse(t).filter("published_at IS NOT NULL").select(
         "record_url", F.col("published_at").alias("attempted_at")
     )
     return ranking.pick_for_lookup(candidates, attempts, 300).select("record_url", "lookup")
@@ -192,7 +192,7 @@ def week_profiles(t: Tables):
 
 def week_runs(t: Tables):
     """Committed local weeks of each profile that ordered in them."""
-    held = t.orders.filter("o_orderpriority LIKE '1-%'").select(
+    held = t.orders.select(
         (F.col("o_custkey") % 60).alias("profile_id"), F.to_date("o_orderdate").alias("d")
     ).join(week_profiles(t).filter("profile_id % 10 <> 9"), "profile_id")
     end = F.date_sub(F.col("d"), F.pmod(F.weekday("d") - F.col("weekday"), F.lit(7)))
@@ -205,7 +205,7 @@ def week_runs(t: Tables):
 G10 = f"""
     WITH p AS (SELECT profile_id, {ZONES} AS zone, profile_id % 7 AS weekday, profile_id % 24 AS hour FROM (SELECT DISTINCT o_custkey % 60 AS profile_id FROM orders)),
     r AS (SELECT DISTINCT p.profile_id, zone, d - CAST(((isodow(d) - 1 - weekday) % 7 + 7) % 7 AS INTEGER) AS end_day
-      FROM (SELECT o_custkey % 60 AS profile_id, CAST(o_orderdate AS DATE) AS d FROM orders WHERE o_orderpriority LIKE '1-%') o JOIN p USING (profile_id) WHERE p.profile_id % 10 <> 9),
+      FROM (SELECT o_custkey % 60 AS profile_id, CAST(o_orderdate AS DATE) AS d FROM orders) o JOIN p USING (profile_id) WHERE p.profile_id % 10 <> 9),
     due AS (SELECT p.*, local, CAST(local AS DATE) AS d FROM (SELECT *, TIMESTAMP '2000-07-12 06:00:00' AT TIME ZONE 'UTC' AT TIME ZONE zone AS local FROM p) p),
     latest AS (SELECT profile_id, zone, e - CASE WHEN local < CAST(e AS TIMESTAMP) + to_hours(hour) THEN 7 ELSE 0 END AS end_day
       FROM (SELECT *, d - CAST(((isodow(d) - 1 - weekday) % 7 + 7) % 7 AS INTEGER) AS e FROM due)),

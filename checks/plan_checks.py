@@ -123,7 +123,7 @@ def matched_sql(resolved: str) -> str:
 
 
 def seen_rows(t: Tables):
-    m = merge.merge_feeds(sparse(t).filter("event_id < 4000"))
+    m = merge.merge_feeds(sparse(t).filter("published_at < TIMESTAMP_NTZ '2024-01-05 00:00:00'"))
     return m.select("record_url", "title", "row_hash", "category_ids", F.col("observed_at").alias("first_seen"), F.col("observed_at").alias("last_seen"))
 
 
@@ -135,7 +135,7 @@ def empty_unresolved(t: Tables):
     )
 
 
-NEW_OR_DUE = f"""SELECT e.* FROM ({IN_WINDOW}) e WHERE record_url NOT IN (SELECT record_url || '-' || (event_id % 61) FROM v_feed_entries WHERE event_id < 4000)
+NEW_OR_DUE = f"""SELECT e.* FROM ({IN_WINDOW}) e WHERE record_url NOT IN (SELECT record_url || '-' || (event_id % 61) FROM v_feed_entries WHERE published_at < TIMESTAMP '2024-01-05')
     OR record_url IN (SELECT record_url || '-' || (length(title) % 3 + 58) FROM v_unresolved WHERE attempts < 3 AND next_retry_at - INTERVAL 40 DAY <= TIMESTAMP '{END}')"""
 
 

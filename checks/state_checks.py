@@ -24,23 +24,23 @@ def _(t):
 
 
 def seen_state(t: Tables):
-    early = t.v_feed_entries.filter((F.col("published_at") < at("2024-01-10 00:00:00")) & (F.col("event_id") % 3 == 0))
+    early = t.v_feed_entries.filter(F.col("published_at") < at("2024-01-10 00:00:00"))
     keyed = early.withColumn("record_url", cat(F.col("record_url"), "-", (F.col("event_id") % 7).cast("string")))
     m = merge.merge_feeds(keyed)
     return m.select("record_url", "title", "row_hash", "category_ids", F.col("observed_at").alias("first_seen"), F.col("observed_at").alias("last_seen"))
 
 
 def seen_current(t: Tables):
-    late = t.v_feed_entries.filter((F.col("published_at") >= at("2024-01-10 00:00:00")) & (F.col("event_id") % 4 == 0))
+    late = t.v_feed_entries.filter(F.col("published_at") >= at("2024-01-10 00:00:00"))
     keyed = late.withColumn("record_url", cat(F.col("record_url"), "-", (F.col("event_id") % 7).cast("string"))).withColumn("title", cat(F.col("title"), " II"))
     return merge.merge_feeds(keyed)
 
 
 SEEN = """
     WITH o AS (SELECT record_url || '-' || (event_id % 7) AS record_url, min(title) AS title, list_sort(list(DISTINCT category_id)) AS cats, max(checked_at) AS seen_ts
-               FROM v_feed_entries WHERE published_at < TIMESTAMP '2024-01-10' AND event_id % 3 = 0 GROUP BY 1),
+               FROM v_feed_entries WHERE published_at < TIMESTAMP '2024-01-10' GROUP BY 1),
     n AS (SELECT record_url || '-' || (event_id % 7) AS record_url, min(title) || ' II' AS title, list_sort(list(DISTINCT category_id)) AS cats, max(checked_at) AS seen_ts
-          FROM v_feed_entries WHERE published_at >= TIMESTAMP '2024-01-10' AND event_id % 4 = 0 GROUP BY 1)"""
+          FROM v_feed_entries WHERE published_at >= TIMESTAMP '2024-01-10' GROUP BY 1)"""
 
 
 @check("i02_upsert_seen", SEEN + """
@@ -114,7 +114,7 @@ def _(t):
 def quarantine_inputs(t: Tables):
     k = F.col("k")
     candidates = t.v_unresolved.select("record_url", (F.col("attempts") % 2 == 0).alias("undated"))
-    store = t.v_k.filter(k % 3 == 0).groupBy(cat("https://feed.example.org/rec/U", ((F.col("user_id") * 2) % 170).cast("string")).alias("record_url")).agg(
+    store = t.v_k.groupBy(cat("https://feed.example.org/rec/U", ((F.col("user_id") * 2) % 170).cast("string")).alias("record_url")).agg(
         F.min("ts").alias("first_quarantined"), (F.min("ts") - F.expr("INTERVAL 365 DAY")).alias("_old"), F.max("ts").alias("_new"), F.min("k").alias("k")
     ).select("record_url", "first_quarantined", F.when(k % 2 == 0, F.col("_old")).otherwise(F.col("_new")).alias("last_seen"))
     return candidates, store
@@ -122,7 +122,7 @@ def quarantine_inputs(t: Tables):
 
 QUARANTINE = """
     WITH s AS (SELECT record_url, first_at, CASE WHEN k % 2 = 0 THEN first_at - INTERVAL 365 DAY ELSE last_at END AS last_seen
-      FROM (SELECT 'https://feed.example.org/rec/U' || ((user_id * 2) % 170) AS record_url, min(ts) AS first_at, max(ts) AS last_at, min(k) AS k FROM v_k WHERE k % 3 = 0 GROUP BY 1)),
+      FROM (SELECT 'https://feed.example.org/rec/U' || ((user_id * 2) % 170) AS record_url, min(ts) AS first_at, max(ts) AS last_at, min(k) AS k FROM v_k GROUP BY 1)),
     held AS (SELECT * FROM s WHERE last_seen >= TIMESTAMP '2024-01-20' - INTERVAL 365 DAY),
     c AS (SELECT record_url, attempts % 2 = 0 AS undated FROM v_unresolved)"""
 
@@ -145,10 +145,10 @@ def _(t):
 
 @check("i11_attempt_rotation", """
     SELECT record_url, strftime(date_trunc('second', max(seen_ts)), '%Y-%m-%d %H:%M:%S') AS attempted_at FROM (
-      SELECT link AS record_url, published_at AS seen_ts FROM v_feed_entries WHERE published_at >= TIMESTAMP '2024-02-15' - INTERVAL 31 DAY AND event_id % 10 = 0
+      SELECT link AS record_url, published_at AS seen_ts FROM v_feed_entries WHERE published_at >= TIMESTAMP '2024-02-15' - INTERVAL 31 DAY
       UNION ALL SELECT record_url, TIMESTAMP '2024-02-15' FROM v_unresolved WHERE reason_code <> 'old_work_check_incomplete' AND attempts = 1) GROUP BY record_url""")
 def _(t):
-    log = t.v_feed_entries.filter("event_id % 10 = 0 AND published_at IS NOT NULL").select("record_url", F.col("published_at").alias("attempted_at"))
+    log = t.v_feed_entries.filter("published_at IS NOT NULL").select("record_url", F.col("published_at").alias("attempted_at"))
     return state.attempt_rotation(log, t.v_unresolved.filter("attempts = 1"), "2024-02-15 00:00:00")
 
 

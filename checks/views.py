@@ -193,7 +193,7 @@ class Tables:
     def v_runs(self) -> DataFrame:
         week = F.date_trunc("week", "o_orderdate").cast("timestamp_ntz")
         return (
-            self.orders.filter("o_custkey % 7 = 0 AND o_orderpriority LIKE '1-%'")
+            self.orders
             .select(week.alias("window_start")).distinct()
             .withColumn("window_end", F.col("window_start") + F.expr("INTERVAL 7 DAY"))
         )
