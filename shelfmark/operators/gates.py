@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime, timezone
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfmark import vocab
@@ -31,13 +31,19 @@ class WindowNotOver(ValueError):
     """The window ends after the time of asking."""
 
 
+def refuse_open_window(spark: SparkSession, end, now) -> None:
+    """An error, before any table is read, for a window that is not over at ``now``."""
+    if spark.range(1).select(instant(end) > instant(now)).first()[0]:
+        raise WindowNotOver(f"the window ends at {end}, after {now}")
+
+
 def in_window(events: DataFrame, start, end, at: str = "changed_at", now: datetime | str | None = None) -> DataFrame:
     """Rows inside ``[start, end)``; a plain range filter, so it reaches the scan.
 
     With ``now``, a window that ends later is refused: its rows are not all there yet.
     """
-    if now is not None and events.sparkSession.range(1).select(instant(end) > instant(now)).first()[0]:
-        raise WindowNotOver(f"the window ends at {end}, after {now}")
+    if now is not None:
+        refuse_open_window(events.sparkSession, end, now)
     return events.filter(within(F.col(at), start, end))
 
 

@@ -312,14 +312,16 @@ def near_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
     )
 
 
-def identity_counts(left: DataFrame, right: DataFrame) -> DataFrame:
+def identity_counts(left: DataFrame, right: DataFrame, near: DataFrame | None = None) -> DataFrame:
     """Equivalent and review-required right records of each left record, over all routes.
 
     Near pairs are summed per left profile.  Those that also share the record's
     DOI were counted by the exact route and are taken off.  Both sides are read
-    by every route, so pass them written out (``session.cut``).
+    by every route, so pass them written out (``session.cut``); ``near`` are their
+    :func:`near_pairs`, where the caller has them written out already.
     """
-    near = cut(near_pairs(left, right).select("left_profile", "right_profile", "level"))
+    if near is None:
+        near = cut(near_pairs(left, right).select("left_profile", "right_profile", "level"))
     totals = right.groupBy(F.col("profile").alias("right_profile")).agg(
         F.count("*").alias("n"), F.min("record_id").alias("least_id")
     )

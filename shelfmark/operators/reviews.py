@@ -44,6 +44,70 @@ def apply_identity_reviews(pairs: DataFrame, reviews: DataFrame) -> DataFrame:
     ).withColumn("external_id", F.when(F.col("state") == "equivalent", F.col("_one"))).drop("_one")
 
 
+DECIDED_FACTS = ["record_id", "title", "author", "doi"]
+
+
+def identity_fingerprint(left: str, right: str) -> Column:
+    """Binds an identity decision to all that was shown of both records, whose columns carry a prefix."""
+    return pair_fingerprint([f"{left}{c}" for c in DECIDED_FACTS] + [f"{right}{c}" for c in [*DECIDED_FACTS, "value"]])
+
+
+def decided_pairs(left: DataFrame, right: DataFrame, near: DataFrame, decisions: DataFrame) -> DataFrame:
+    """``(record_id, external_id, decision, value)``: the decisions that count, one row per pair.
+
+    ``left`` and ``right`` are ``identity.identities`` (``right`` with its date ``value``),
+    ``near`` their near pairs by profile, ``decisions`` hold ``record_url, external_id,
+    fingerprint, decision``.  Only decided pairs are judged, by joins on their ids, so the
+    work grows with the decisions and not with the pairs that could be decided.  A decision
+    counts while the pair still needs one and still shows the facts it was made on; two
+    that contradict each other count as none.
+    """
+    fields = [*DECIDED_FACTS, "title_fold", "name_words", "surname", "initial", "profile"]
+    told = decisions.select("record_url", "external_id", "fingerprint", "decision").distinct()
+    pairs = (
+        told.join(left.select(*(F.col(c).alias(f"l_{c}") for c in fields)), F.col("record_url") == F.col("l_record_id"))
+        .join(right.select(*(F.col(c).alias(f"r_{c}") for c in [*fields, "value"])), F.col("external_id") == F.col("r_record_id"))
+        .filter(F.col("fingerprint") == identity_fingerprint("l_", "r_"))
+    )
+    def author(side: str) -> Column:
+        return F.struct(*(F.col(f"{side}{c}").alias(c) for c in ("name_words", "surname", "initial")))
+
+    exact = F.coalesce(F.col("l_doi") == F.col("r_doi"), F.lit(False)) | F.coalesce(F.col("l_title_fold") == F.col("r_title_fold"), F.lit(False))
+    conflict = F.coalesce(~authors_compatible(author("l_"), author("r_")), F.lit(False))
+    levels = near.filter("level = 'review_required'").select(
+        F.col("left_profile").alias("l_profile"), F.col("right_profile").alias("r_profile"), F.lit(True).alias("_near")
+    ).distinct()
+    judged = pairs.join(levels, ["l_profile", "r_profile"], "left")
+    open_ = F.when(exact, conflict).otherwise(F.coalesce("_near", F.lit(False)))
+    return judged.filter(open_).groupBy(F.col("record_url").alias("record_id"), "external_id").agg(
+        F.min("decision").alias("decision"), F.max("decision").alias("_other"), F.min("r_value").alias("value")
+    ).filter("decision = _other").drop("_other")
+
+
+def with_decisions(picked: DataFrame, decided: DataFrame) -> DataFrame:
+    """``identity.pick_unique`` rows after the decisions on their review pairs.
+
+    A record is released when every pair that needs a decision has one: to the earliest
+    dated equivalent, to an undated one only if it is alone, or to no work at all.
+    ``n_review`` then counts the pairs still open; equivalents found without a decision
+    beside decided ones stay ambiguous.
+    """
+    same = F.col("decision") == "equivalent"
+    per_record = decided.groupBy("record_id").agg(
+        F.count("*").alias("_decided"), F.count_if(same).alias("_same"),
+        F.min(F.when(same & F.col("value").isNotNull(), F.struct("value", "external_id"))).alias("_dated"),
+        F.min(F.when(same, F.col("external_id"))).alias("_any"),
+    ).withColumn("_chosen", F.coalesce("_dated.external_id", F.when(F.col("_same") == 1, F.col("_any"))))
+    left = F.col("n_review") - F.coalesce("_decided", F.lit(0))
+    free = F.coalesce((F.col("_decided") > 0) & (left == 0) & (F.col("n_equivalent") == 0), F.lit(False))
+    clash = F.coalesce((F.col("_same") > 0) & (F.col("n_equivalent") > 0), F.lit(False))
+    return picked.join(per_record, "record_id", "left").withColumns({
+        "outcome": F.when(free, F.when(F.col("_chosen").isNotNull(), "accepted").otherwise("none")).when(clash, "ambiguous").otherwise(F.col("outcome")),
+        "match_id": F.when(free, F.col("_chosen")).when(~clash, F.col("match_id")),
+        "n_review": left,
+    }).drop("_decided", "_same", "_dated", "_any", "_chosen")
+
+
 def review_decision_overlap(pairs: DataFrame, reviews: DataFrame) -> DataFrame:
     """Open pairs per source that a decision with the same fingerprint already covers."""
     keys = ["record_url", "source", "external_id", "fingerprint"]

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.functions import normalise as N
-from shelfmark.operators import gates, identity, types
+from shelfmark.operators import gates, identity, reviews, types
 from shelfmark.session import cut
 
 
@@ -21,17 +21,21 @@ def candidate_identities(candidates: DataFrame) -> DataFrame:
 def work_identities(works: DataFrame) -> DataFrame:
     """Bibliography rows as identity rows keyed by ``work_key``."""
     return identity.identities(works.select(
-        F.col("work_key").alias("record_id"), "title", F.try_element_at("authors", F.lit(1)).alias("author"), "doi"
+        F.col("work_key").alias("record_id"), "title", F.try_element_at("authors", F.lit(1)).alias("author"), "doi", "value"
     ))
 
 
-def best_works(wanted: DataFrame, works: DataFrame) -> DataFrame:
+def best_works(wanted: DataFrame, works: DataFrame, decisions: DataFrame | None = None) -> DataFrame:
     """``record_url`` with outcome and the fields of its unique equivalent work.
 
-    ``wanted`` are candidate identities, written out.
+    ``wanted`` are candidate identities, written out; ``decisions`` are those on pairs with
+    this bibliography (see ``reviews.decided_pairs``).
     """
-    counts = identity.identity_counts(wanted, cut(work_identities(works)))
-    picked = identity.pick_unique(counts)
+    offered = cut(work_identities(works))
+    near = cut(identity.near_pairs(wanted, offered).select("left_profile", "right_profile", "level"))
+    picked = identity.pick_unique(identity.identity_counts(wanted, offered, near))
+    if decisions is not None:
+        picked = reviews.with_decisions(picked, reviews.decided_pairs(wanted, offered, near, decisions))
     fields = ["work_key", "doi", "title", "authors", "raw_type", "value", "precision", "event"]
     found = works.select(F.col("work_key").alias("match_id"), F.struct(*fields).alias("work"))
     return picked.join(found, "match_id", "left").select(F.col("record_id").alias("record_url"), "outcome", "n_review", "work")
@@ -78,33 +82,39 @@ def types_of_groups(evidence: DataFrame, members: DataFrame, group: str) -> Data
 
 def resolve_records(
     candidates: DataFrame, first: DataFrame, second: DataFrame, window: tuple, lookup_failed: DataFrame | None = None,
-    held: DataFrame | None = None, type_reviews: DataFrame | None = None,
+    held: DataFrame | None = None, type_reviews: DataFrame | None = None, decisions: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """One row per candidate, a resolved work or a reason code, and the type evidence.
 
     ``first`` and ``second`` are the two bibliographies in order of precedence.
-    Evidence is weighed in a fixed order: explicit review label, open identity
+    Evidence is weighed in a fixed order: disagreeing titles, explicit review label, open identity
     review, failed look-up, DOI conflict, type failure, dated publication (first
     source, then second), and last the feed's own arrival evidence.  ``held``
     lists records with open identity pairs, ``lookup_failed`` those whose look-up
     did not finish; ``type_reviews`` are document inspections (see
-    ``types.apply_type_reviews``).
+    ``types.apply_type_reviews``), ``decisions`` identity decisions with their ``source``
+    (``crossref`` or ``openalex``).  The second bibliography is only searched for records
+    that the first gives no exactly dated event.
     """
     start, end = window
     candidates = cut(candidates)  # read by both look-ups and by the evidence
     wanted = cut(candidate_identities(candidates))
-    one = best_works(wanted, first).select(
+    def told(source: str) -> DataFrame | None:
+        return None if decisions is None else decisions.filter(F.col("source") == source)
+
+    one = best_works(wanted, first, told("crossref")).select(
         "record_url", F.col("outcome").alias("first_outcome"), F.col("n_review").alias("first_review"), F.col("work").alias("w1")
     )
-    two = best_works(wanted, second).select(
+    one = cut(one)
+    settled = F.coalesce(F.col("w1.event").isNotNull() & F.col("w1.precision").isin("day", "second"), F.lit(False))
+    open_ = one.filter(~settled).select(F.col("record_url").alias("record_id"))
+    two = best_works(cut(wanted.join(open_, "record_id", "left_semi")), second, told("openalex")).select(
         "record_url", F.col("outcome").alias("second_outcome"), F.col("n_review").alias("second_review"), F.col("work").alias("w2")
     )
-    base = cut(candidates.join(one, "record_url").join(two, "record_url"))
-    # the second source only counts where the first gives no exact dated event
-    settled = F.col("w1.event").isNotNull() & F.col("w1.precision").isin("day", "second")
-    base = base.withColumn("w2", F.when(~F.coalesce(settled, F.lit(False)), F.col("w2"))).withColumn(
-        "second_review", F.when(F.coalesce(settled, F.lit(False)), 0).otherwise(F.col("second_review"))
-    ).withColumn("second_outcome", F.when(F.coalesce(settled, F.lit(False)), "none").otherwise(F.col("second_outcome")))
+    base = cut(
+        candidates.join(one, "record_url").join(two, "record_url", "left")
+        .withColumn("second_review", F.coalesce("second_review", F.lit(0))).withColumn("second_outcome", F.coalesce("second_outcome", F.lit("none")))
+    )
     evidence = weighed_evidence(candidates, {
         "crossref": base.select("record_url", F.col("first_outcome").alias("outcome"), F.col("w1").alias("work")),
         "openalex": base.select("record_url", F.col("second_outcome").alias("outcome"), F.col("w2").alias("work")),
@@ -125,7 +135,7 @@ def resolve_records(
         | (F.col("w1").isNull() & (F.col("first_review") > 0)) | (F.col("w2").isNull() & (F.col("second_review") > 0))
     )
     reason = (
-        F.when(explicit, None).when(ambiguous, "semantic_identity_review_required")
+        F.when(F.col("title_conflict"), "conflicting_titles").when(explicit, None).when(ambiguous, "semantic_identity_review_required")
         .when(none_found & F.col("_failed"), "old_work_check_incomplete")
         .when(F.col("w1.doi") != F.col("w2.doi"), "identifier_conflict")
         .when(F.col("type_status") == "conflict", "structured_work_type_conflict")

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfmark.functions import normalise as N
-from shelfmark.operators import gates, graph, merge, ranking, reviews, state, taxonomy
+from shelfmark.operators import gates, graph, intervals, merge, ranking, reviews, state, taxonomy
 from shelfmark.plans.resolve import best_works, candidate_identities, resolve_records, types_of_groups, weighed_evidence
 from shelfmark.session import cut
 from shelfmark.sources import tables
@@ -37,46 +37,102 @@ def works_with_categories(resolved: DataFrame, evidence: DataFrame) -> DataFrame
     )
 
 
+class BaselineRequired(ValueError):
+    """A configured feed has no baseline, so all it holds would count as new."""
+
+
+def baseline_run(entries: DataFrame, feeds: DataFrame, baselines: DataFrame, at, seen: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Stores what feeds without a baseline hold now as seen, unreported; the state a first run starts from.
+
+    ``feeds`` and ``baselines`` hold ``category_id``.  Feeds that have a baseline are not read.
+    """
+    fresh = feeds.select("category_id").distinct().join(baselines.select("category_id"), "category_id", "left_anti")
+    merged = cut(state.establish_baseline(entries.join(fresh, "category_id", "left_semi"), baselines))
+    spark = entries.sparkSession
+    stored = seen if seen is not None else spark.createDataFrame([], SEEN)
+    stamped = fresh.withColumn("established_at", gates.instant(at))
+    known = baselines.select("category_id", "established_at") if "established_at" in baselines.columns else baselines.select(
+        "category_id", F.lit(None).cast("timestamp_ntz").alias("established_at"))
+    return {"seen": state.upsert_seen(stored, merged), "baselines": known.unionByName(stamped)}
+
+
+SEEN = "record_url string, title string, row_hash string, category_ids array<string>, first_seen timestamp_ntz, last_seen timestamp_ntz"
+UNRESOLVED = "record_url string, title string, reason_code string, attempts int, last_attempt timestamp_ntz, next_retry_at timestamp_ntz"
+NOTIFIED = "work_id string, kind string, matched_at timestamp_ntz"
+TYPE_FAILURES = {"conflict": "structured_work_type_conflict", "unknown": "unknown_structured_work_type"}
+
+
+def set_aside_works() -> Column:
+    """Why a merged work is not reported: its rows name different DOIs, or their types disagree."""
+    several = F.col("n_rows") > 1
+    reason = F.when(F.col("doi_conflict"), "identifier_conflict")
+    for kind, why in TYPE_FAILURES.items():
+        reason = reason.when(several & (F.col("work_type") == kind), why)
+    return reason
+
+
 def weekly_run(
     entries: DataFrame, changes: DataFrame, first: DataFrame, second: DataFrame, profile: DataFrame, window: tuple,
     seen: DataFrame, unresolved: DataFrame, notified: DataFrame, max_attempts: int = 5, retry_days: int = 7,
-    held: DataFrame | None = None, type_reviews: DataFrame | None = None,
+    held: DataFrame | None = None, type_reviews: DataFrame | None = None, *, now=None, feeds: DataFrame | None = None,
+    baselines: DataFrame | None = None, lookup_failed: DataFrame | None = None, decisions: DataFrame | None = None, defer: bool = False,
 ) -> dict[str, DataFrame]:
     """All tables of one weekly run: report, notifications and the next state.
 
     New records and due retries are resolved, merged by work, matched to the
     profile and reported once; the resolved table is written out once and every
-    branch reads it from there.
+    branch reads it from there.  Works whose rows disagree on DOI or type leave the report,
+    and their records are retried with the reason.
+
+    With ``now``, a window that is not over is refused before any table is read; with ``feeds``
+    and ``baselines``, so is a run over a feed without a baseline.  ``lookup_failed`` and
+    ``decisions`` are those of :func:`resolve_records`.  With ``defer``, records without a
+    work or with uncertain freshness are left to a later window: they are neither seen nor
+    tried, and listed in ``deferred``.
     """
     start, end = window
+    if now is not None:
+        gates.refuse_open_window(entries.sparkSession, end, now)
+    if feeds is not None and baselines is not None:
+        bare = feeds.select("category_id").distinct().join(baselines, "category_id", "left_anti").orderBy("category_id").limit(20).collect()
+        if bare:
+            raise BaselineRequired(f"baseline required for feeds: {[r.category_id for r in bare]}")
+    asked = end if now is None else now
     current = cut(merge.enrich_with_changes(
         merge.merge_feeds(entries, window), merge.latest_active(gates.in_window(changes, start, end))
     ))
     fresh = merge.new_records(current, seen)
-    due = state.due_retries(unresolved, end, max_attempts)
+    due = state.due_retries(unresolved, asked, max_attempts)
     chosen = state.candidates_to_process(fresh, due, current).select("record_url")
     candidates = current.join(chosen, "record_url", "left_semi")
     outcome, evidence = resolve_records(
-        candidates, first, second, window, held=held, type_reviews=type_reviews
+        candidates, first, second, window, lookup_failed=lookup_failed, held=held, type_reviews=type_reviews, decisions=decisions
     )
-    resolved = cut(outcome)
-    works = works_with_categories(resolved, evidence)
+    later = F.col("work_id").isNull() | (F.col("freshness") == "uncertain") if defer else F.lit(False)
+    resolved = cut(outcome.withColumn("deferred", later))
+    deferred = resolved.filter("deferred").select("record_url", "reason_code")
+    resolved = resolved.filter("NOT deferred").drop("deferred")
+    merged = cut(works_with_categories(resolved, evidence).withColumn("set_aside", set_aside_works()))
+    works = merged.filter("set_aside IS NULL").drop("set_aside")
+    aside = merged.filter("set_aside IS NOT NULL").select("work_id", "set_aside")
     decided = cut(taxonomy.match_works(works, profile, notified))
     matches = decided.filter("decision = 'notify'").select("work_id", F.lit("weekly_new_papers").alias("kind"), F.col("observed_at").alias("matched_at"))
     notifications = state.notify_once(matches, notified)
-    attempted = resolved.select("record_url", "title", "reason_code").join(
+    told = resolved.join(aside, "work_id", "left").withColumn("reason_code", F.coalesce("reason_code", "set_aside"))
+    attempted = told.select("record_url", "title", "reason_code").join(
         candidates.select("record_url", F.col("title").alias("_shown")), "record_url"
     ).select("record_url", F.coalesce("title", "_shown").alias("title"), "reason_code")
     return {
         "report": decided, "notifications": notifications,
-        "unresolved": state.bump_retries(unresolved, attempted, end, retry_days, max_attempts),
-        "seen": state.upsert_seen(seen, current), "resolved": resolved,
+        "unresolved": state.bump_retries(unresolved, attempted, asked, retry_days, max_attempts),
+        "seen": state.upsert_seen(seen, current.join(deferred, "record_url", "left_anti")), "resolved": resolved, "deferred": deferred,
     }
 
 
 def on_demand(
     entries: DataFrame, changes: DataFrame, first: DataFrame, second: DataFrame, profile: DataFrame, window: tuple,
     change_feed_ok: bool = True, attempts: DataFrame | None = None, budget: int | None = None, most: int | None = None,
+    lookup_failed: DataFrame | None = None, type_reviews: DataFrame | None = None, decisions: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Report of one window without any state, and what became of each candidate.
 
@@ -98,7 +154,9 @@ def on_demand(
     tried = attempts if attempts is not None else kept.select("record_url", F.col("observed_at").alias("attempted_at")).limit(0)
     picked = cut(ranking.pick_for_lookup(active, tried, budget))
     candidates = picked.filter("lookup <> 'deferred'")
-    outcome, evidence = resolve_records(candidates, first, second, window)
+    outcome, evidence = resolve_records(
+        candidates, first, second, window, lookup_failed=lookup_failed, type_reviews=type_reviews, decisions=decisions
+    )
     resolved = cut(outcome)
     decided = taxonomy.match_works(works_with_categories(resolved, evidence), profile)
     stages = (
@@ -112,7 +170,7 @@ def on_demand(
 def paper_search(
     entries: DataFrame, works: DataFrame, groups: DataFrame, n_groups: int, excluded: DataFrame, bibliography: DataFrame,
     mode: str = "any", work_types: list[str] | None = None, years: tuple[int | None, int | None] = (None, None),
-    type_reviews: DataFrame | None = None,
+    type_reviews: DataFrame | None = None, decisions: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """All matching records (to be ranked and paged), and the records set aside with a reason.
 
@@ -132,7 +190,7 @@ def paper_search(
         "gate", F.when(~bound | passes, "pass").otherwise("year_review_pending")
     ))
     candidates = gated.filter("gate = 'pass'").withColumn("change_type", F.lit(None).cast("string"))
-    matched = cut(best_works(cut(candidate_identities(candidates)), works))
+    matched = cut(best_works(cut(candidate_identities(candidates)), works, decisions))
     known = candidates.join(matched, "record_url")
     work_year = F.left("work.value", F.lit(4)).cast("int")
     other_year = F.col("reviewed") & F.coalesce(work_year != F.col("reviewed_year"), F.lit(False))
@@ -180,23 +238,65 @@ class TooManyWindows(ValueError):
     """More weeks are missing than one catch-up may run."""
 
 
+class ProfileBoundary(ValueError):
+    """A missing window fell due before the first stored version of the profile."""
+
+
+def run_state(spark: SparkSession, root: str) -> dict[str, DataFrame]:
+    """The state that the newest committed run left: ``seen``, ``unresolved``, ``notified``, ``baselines``."""
+    def newest(name: str, schema: str) -> DataFrame:
+        if not tables.exists(spark, f"{root}/{name}"):
+            return spark.createDataFrame([], schema)
+        return tables.latest_version(spark, root, name).drop("run_id")
+
+    sent = tables.read_run_table(spark, root, "notifications").drop("run_id") if tables.exists(spark, f"{root}/notifications") else spark.createDataFrame([], NOTIFIED)
+    return {
+        "seen": newest("seen", SEEN), "unresolved": newest("unresolved", UNRESOLVED), "notified": sent,
+        "baselines": newest("baselines", "category_id string, established_at timestamp_ntz"),
+    }
+
+
+def due_windows(schedule: DataFrame, versions: DataFrame, runs: DataFrame, as_of) -> DataFrame:
+    """Missing weeks with the instant each fell due and the profile version in force then (or NULL)."""
+    keyed = schedule.select("profile_id", "zone", "report_hour")
+    due = ranking.missing_windows(schedule, runs, as_of).join(keyed, "profile_id")
+    local = ranking.to_local(F.col("window_end"), F.col("zone")) + F.make_dt_interval(F.lit(0), F.col("report_hour"))
+    timed = due.withColumn("at", ranking.to_utc(local, F.col("zone")))
+    stamps = versions.select("profile_id", "version", "effective_from").distinct()
+    return intervals.profile_as_of(timed, stamps)
+
+
 def catch_up(
-    profiles: DataFrame, runs: DataFrame, as_of, run: Callable[[tuple[str, str], bool], dict[str, DataFrame]], root: str, most: int | None = None,
+    schedule: DataFrame, versions: DataFrame, runs: DataFrame, as_of,
+    run: Callable[[tuple[str, str], DataFrame, dict[str, DataFrame], bool], dict[str, DataFrame]], root: str, most: int | None = None,
 ) -> list[str]:
-    """Run every missing week of one profile in order and commit each.
+    """Run every missing week of one profile in order, each on the state the last one committed.
+
+    ``schedule`` is the profile's ``(profile_id, zone, weekday, report_hour)``, ``versions`` its
+    snapshots as ``(profile_id, version, effective_from, role, category_id)``; ``runs`` are
+    weeks committed elsewhere, those of ``root`` are found in its ledger, so a catch-up that
+    stopped goes on after its last committed week.  ``run`` gets a window, the profile rows
+    in force when it fell due, the state and whether to defer (all windows but the last
+    leave uncertain records to later ones), and returns the tables of :func:`weekly_run`.
 
-    ``run`` gets a window and whether it is the last one (earlier windows leave
-    uncertain rows to later ones).  Only the bounds of missing weeks come to the
-    driver; with ``most``, more of them are refused.
+    Only the bounds of missing weeks come to the driver; with ``most``, more of them are
+    refused.  A week that fell due before any stored version is refused before the first run.
     """
-    missing = ranking.missing_windows(profiles, runs, as_of).orderBy("window_start").collect()
+    spark = schedule.sparkSession
+    columns = ["profile_id", "window_start", "window_end"]
+    done = tables.ledger(spark, root).filter("run_kind = 'weekly'").select(*(F.col(c).cast("timestamp_ntz") for c in columns[1:]))
+    done = schedule.select("profile_id").join(done, how="cross").unionByName(runs.select(*columns)).distinct()
+    missing = due_windows(schedule, versions, done, as_of).orderBy("window_start").collect()
     if most is not None and len(missing) > most:
         raise TooManyWindows(f"more than {most} weeks are missing")
-    done = []
+    if any(row.version is None for row in missing):
+        raise ProfileBoundary("a week fell due before the first stored version of the profile")
+    ran = []
     for place, row in enumerate(missing):
         window = (str(row.window_start), str(row.window_end))
         run_id = f"week-{row.window_end:%Y%m%dT%H%M%S}"
-        outputs = run(window, place == len(missing) - 1)
+        profile = versions.filter((F.col("profile_id") == row.profile_id) & (F.col("version") == row.version)).select("role", "category_id")
+        outputs = run(window, profile, run_state(spark, root), place < len(missing) - 1)
         tables.write_run(outputs, root, run_id, "weekly", window)
-        done.append(run_id)
-    return done
+        ran.append(run_id)
+    return ran
