@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from checks.records import END, SPARSE_ENRICHED, START, WINDOW, _sparse_sql, profile_rows, sparse, sparse_enriched
+from checks.records import END, MERGED, SPARSE_ENRICHED, START, WINDOW, _sparse_sql, profile_rows, sparse, sparse_enriched
 from checks.registry import check, plain
 from checks.views import Tables, cat, pick
 from shelfmark import vocab
-from shelfmark.operators import merge, ranking, taxonomy
+from shelfmark.operators import merge, ranking, reviews, taxonomy
 from shelfmark.plans import runs
-from shelfmark.plans.resolve import resolve_records
+from shelfmark.plans.resolve import candidate_identities, resolve_records, work_identities
 from shelfmark.session import configure, shared_path
 from shelfmark.sources import tables
 
@@ -63,14 +63,14 @@ def resolved_types(evidence: str) -> str:
             LEFT JOIN (VALUES {TYPE_ROWS}) m(p, r, kind) ON e.provider = m.p AND lower(e.raw_type) = m.r) GROUP BY id)"""
 
 
-def resolved_sql(candidates: str, failed: str = "record_url LIKE '%-7'") -> str:
+def resolved_sql(candidates: str, failed: str = "record_url LIKE '%-7'", has1: str = "u % 2 = 0", unclear1: str = "FALSE", window: tuple = WINDOW) -> str:
     return f"""
     WITH c AS (SELECT *, CAST(split_part(title, ' ', 2) AS INTEGER) AS u FROM ({candidates})),
-    w AS (SELECT *, u % 2 = 0 AS has1, CASE WHEN u % 2 = 0 THEN CASE WHEN u % 14 = 0 THEN '10.1000/x' || u ELSE '10.1000/u' || u END END AS doi1,
+    w AS (SELECT *, {has1} AS has1, CASE WHEN {has1} THEN CASE WHEN u % 14 = 0 THEN '10.1000/x' || u ELSE '10.1000/u' || u END END AS doi1,
         CASE u // 2 % 8 WHEN 2 THEN 'book' WHEN 3 THEN 'posted-content' WHEN 5 THEN 'Odd Type!' WHEN 6 THEN 'monograph' ELSE 'journal-article' END AS raw1,
-        CASE u // 2 % 4 WHEN 0 THEN '2024-01-10' WHEN 1 THEN '2023-06' WHEN 2 THEN '2022' END AS value1, u // 2 % 4 AS form1, u % 2 = 0 AND u // 2 % 4 = 0 AS settled,
+        CASE u // 2 % 4 WHEN 0 THEN '2024-01-10' WHEN 1 THEN '2023-06' WHEN 2 THEN '2022' END AS value1, u // 2 % 4 AS form1, {has1} AND u // 2 % 4 = 0 AS settled,
         CASE u // 3 % 4 WHEN 1 THEN 'preprint' WHEN 3 THEN 'book' ELSE 'article' END AS raw2, CASE u // 3 % 3 WHEN 0 THEN '2024-01-12' WHEN 1 THEN '2020-05-05' END AS value2 FROM c),
-    x AS (SELECT *, u % 3 = 0 AND u % 15 <> 0 AND NOT settled AS has2, u % 15 = 0 AND NOT settled AS unclear FROM w),
+    x AS (SELECT *, u % 3 = 0 AND u % 15 <> 0 AND NOT settled AS has2, u % 15 = 0 AND NOT settled OR {unclear1} AS unclear FROM w),
     ev AS (SELECT record_url AS id, 'feed-description' AS provider, unnest(types) AS raw_type FROM x
       UNION ALL SELECT record_url, 'change-log', change_type FROM x WHERE change_type IS NOT NULL
       UNION ALL SELECT record_url, 'crossref', raw1 FROM x WHERE has1 UNION ALL SELECT record_url, 'openalex', raw2 FROM x WHERE has2),
@@ -83,7 +83,8 @@ def resolved_sql(candidates: str, failed: str = "record_url LIKE '%-7'") -> str:
     z AS (SELECT *, CASE WHEN unclear THEN 'semantic_identity_review_required' WHEN NOT has1 AND NOT has2 AND {failed} THEN 'old_work_check_incomplete'
         WHEN has1 AND has2 AND doi1 <> '10.1000/u' || u THEN 'identifier_conflict' WHEN kind = 'conflict' THEN 'structured_work_type_conflict'
         WHEN kind = 'unknown' THEN 'unknown_structured_work_type' END AS reason_code,
-        CASE WHEN value IS NULL THEN 'uncertain' WHEN value = '2023-06' THEN 'newly_indexed_old_work' WHEN value IN ('2024-01-10', '2024-01-12') THEN 'confirmed_new' ELSE 'newly_indexed_old_work' END AS fresh,
+        CASE WHEN value IS NULL THEN 'uncertain' WHEN value = '2023-06' THEN 'newly_indexed_old_work' WHEN CAST(value AS TIMESTAMP) < TIMESTAMP '{window[0]}' THEN 'newly_indexed_old_work'
+          WHEN CAST(value AS TIMESTAMP) < TIMESTAMP '{window[1]}' THEN 'confirmed_new' ELSE 'uncertain' END AS fresh,
         len(all_years) > 0 AND list_max(all_years) < 2024 AS stale FROM y)
     SELECT record_url, reason_code, CASE WHEN reason_code IS NULL THEN coalesce('work:doi:' || wdoi, 'work:record:' || sha256(record_url)) END AS work_id,
       CASE WHEN reason_code IS NULL THEN kind END AS work_type,
@@ -101,25 +102,66 @@ def _(t):
     return out.select("record_url", "reason_code", "work_id", "work_type", "freshness", "freshness_event", "publication_date")
 
 
+def named_works(t: Tables) -> DataFrame:
+    """The first bibliography with authors: a quarter of its works name someone else, so that
+    their records need a decision, and a quarter have a title that is only near."""
+    u = F.split_part("title", F.lit(" "), F.lit(2))
+    author = F.when(u.cast("int") % 8 == 2, "Bob Ray").otherwise(cat("Ann Lee", u))
+    return first_works(t).withColumn("authors", F.array(author)).withColumn(
+        "title", F.when(u.cast("int") % 8 == 4, cat("Records ", u)).otherwise(F.col("title")))
+
+
+def signed(records: DataFrame) -> DataFrame:
+    return records.withColumn("title", cat("Lee", F.split_part("title", F.lit(" "), F.lit(2)), ", Ann: ", F.col("title")))
+
+
+def identity_decisions(candidates: DataFrame, works: DataFrame) -> DataFrame:
+    """Equivalent, distinct and stale decisions in turn; every fourth pair has none."""
+    left = candidate_identities(candidates).select(*(F.col(c).alias(f"l_{c}") for c in reviews.DECIDED_FACTS))
+    right = work_identities(works).select(*(F.col(c).alias(f"r_{c}") for c in [*reviews.DECIDED_FACTS, "value"]))
+    u = F.split_part("l_title", F.lit(" "), F.lit(2)).cast("int")
+    turn = F.floor(u / 8) % 4
+    mark = reviews.identity_fingerprint("l_", "r_")
+    return left.join(right, F.col("l_title") == F.col("r_title")).filter((u % 8 == 2) & (turn < 3)).select(
+        F.col("l_record_id").alias("record_url"), F.lit("crossref").alias("source"), F.col("r_record_id").alias("external_id"),
+        F.when(turn == 2, F.sha2(mark, 256)).otherwise(mark).alias("fingerprint"), F.when(turn == 1, "distinct").otherwise("equivalent").alias("decision"),
+    )
+
+
+@check("f08_decided_records", f"""SELECT * EXCLUDE (cats, title, evl) FROM ({resolved_sql(
+    SPARSE_ENRICHED, has1="(u % 2 = 0 AND (u % 8 <> 2 OR u // 8 % 4 = 0))", unclear1="(u % 8 = 2 AND u // 8 % 4 >= 2)")})""")
+def _(t):
+    candidates, works = signed(sparse_enriched(t)), named_works(t)
+    failed = candidates.filter("record_url LIKE '%-7'").select("record_url")
+    out, _evidence = resolve_records(candidates, works, second_works(t), WINDOW, lookup_failed=failed, decisions=identity_decisions(candidates, works))
+    return out.select("record_url", "reason_code", "work_id", "work_type", "freshness", "freshness_event", "publication_date")
+
+
 def run_events(t: Tables):
     """Change events on the keys of the sparse records."""
     return t.v_change_events.withColumn("record_key", F.concat("record_key", F.lit("-"), (F.col("event_id") % 67).cast("string")))
 
 
-IN_WINDOW = SPARSE_ENRICHED.replace(
-    "(event_id % 67) AS record_key) FROM v_change_events)",
-    f"(event_id % 67) AS record_key) FROM v_change_events WHERE changed_at >= TIMESTAMP '{START}' AND changed_at < TIMESTAMP '{END}')",
-)
+def enriched_sql(start: str, end: str) -> str:
+    """Merged records with the latest change inside a window."""
+    return SPARSE_ENRICHED.replace(
+        "(event_id % 67) AS record_key) FROM v_change_events)",
+        f"(event_id % 67) AS record_key) FROM v_change_events WHERE changed_at >= TIMESTAMP '{start}' AND changed_at < TIMESTAMP '{end}')",
+    )
+
 
+IN_WINDOW = enriched_sql(START, END)
 
-def matched_sql(resolved: str) -> str:
+
+def matched_sql(resolved: str, interest: tuple = ("click", "view"), notified: str = "FALSE") -> str:
     return f"""
     WITH r AS ({resolved}), ev2 AS (SELECT work_id AS id, e.p AS provider, e.r AS raw_type FROM (SELECT work_id, unnest(evl) AS e FROM r WHERE work_id IS NOT NULL)), m AS (
       SELECT work_id, CASE WHEN count(DISTINCT freshness) = 1 AND count(DISTINCT freshness_event) = 1 AND count(DISTINCT coalesce(publication_date, '')) = 1 THEN min(freshness) ELSE 'uncertain' END AS freshness,
-        CASE WHEN count(*) = 1 THEN min(work_type) ELSE coalesce(min(ty2.again), min(work_type)) END AS work_type, list_distinct(flatten(list(cats))) AS cats
+        CASE WHEN count(*) = 1 THEN min(work_type) ELSE coalesce(min(ty2.again), min(work_type)) END AS work_type, list_distinct(flatten(list(cats))) AS cats, count(*) AS n
       FROM r LEFT JOIN (SELECT id, work_type AS again FROM ({resolved_types('FROM ev2')})) ty2 ON ty2.id = work_id WHERE work_id IS NOT NULL GROUP BY work_id)
     SELECT work_id, freshness, CASE WHEN work_type NOT IN ({sql_list(vocab.SUPPORTED_TYPES)}) THEN 'unsupported_work_type' WHEN freshness NOT IN ('confirmed_new', 'confirmed_source_arrival') THEN 'not_confirmed_new'
-      WHEN list_contains(cats, 'error') THEN 'excluded_category_match' WHEN NOT (list_contains(cats, 'click') OR list_contains(cats, 'view')) THEN 'no_category_overlap' ELSE 'notify' END AS decision FROM m"""
+      WHEN list_contains(cats, 'error') THEN 'excluded_category_match' WHEN NOT list_has_any(cats, [{sql_list(interest)}]) THEN 'no_category_overlap' WHEN {notified} THEN 'already_notified' ELSE 'notify' END AS decision
+    FROM m WHERE NOT (n > 1 AND work_type IN ('conflict', 'unknown'))"""
 
 
 def seen_rows(t: Tables):
@@ -234,26 +276,65 @@ def _(t):
     return search(t)[1].groupBy("reason").agg(F.count("*").alias("n"))
 
 
-@check("i06_catch_up")
+EARLY = "published_at < {0}'2024-01-03 00:00:00'"
+WEEKS = [("2024-01-01 00:00:00", "2024-01-08 00:00:00"), ("2024-01-08 00:00:00", "2024-01-15 00:00:00"), ("2024-01-15 00:00:00", "2024-01-22 00:00:00")]
+# the profile of the first week, and the one in force from 10 January on
+INTERESTS = [("click", "view"), ("purchase", "view")]
+
+
+def profile_versions(t: Tables) -> DataFrame:
+    rows = [(1, v, at, "interest", c) for v, at in ((1, "2023-12-01 00:00:00"), (2, "2024-01-10 00:00:00")) for c in INTERESTS[v - 1]]
+    rows += [(1, v, at, "excluded", "error") for v, at in ((1, "2023-12-01 00:00:00"), (2, "2024-01-10 00:00:00"))]
+    return t.spark.createDataFrame(rows, "profile_id int, version int, effective_from string, role string, category_id string").withColumn(
+        "effective_from", F.col("effective_from").cast("timestamp_ntz"))
+
+
+def caught_up(t: Tables) -> str:
+    """A baseline of what was there early, then three missing weeks on the state each leaves; the folder of the runs."""
+    schedule = t.region.filter("r_regionkey = 0").select(F.lit(1).alias("profile_id"), F.lit("UTC").alias("zone"), F.lit(0).alias("weekday"), F.lit(6).alias("report_hour"))
+    elsewhere = t.spark.createDataFrame([(1, "2023-12-25 00:00:00", "2024-01-01 00:00:00")], "profile_id int, window_start string, window_end string").select(
+        "profile_id", F.col("window_start").cast("timestamp_ntz").alias("window_start"), F.col("window_end").cast("timestamp_ntz").alias("window_end"))
+    root, entries, changes = shared_path(t.spark, "catch-up"), sparse(t), run_events(t)
+    feeds = entries.select("category_id").distinct()
+    none = t.spark.createDataFrame([], "category_id string")
+    failed = entries.filter("record_url LIKE '%-7'").select("record_url")
+    start = runs.baseline_run(entries.filter(EARLY.format("TIMESTAMP_NTZ ")), feeds, none, "2024-01-01 00:00:00")
+    tables.write_run(start, root, "baseline", "baseline", ("2024-01-01 00:00:00", "2024-01-01 00:00:00"))
+
+    def week(window, profile, held, defer):
+        return runs.weekly_run(
+            entries, changes, first_works(t), second_works(t), profile, window, held["seen"], held["unresolved"], held["notified"],
+            now="2024-01-23 00:00:00", feeds=feeds, baselines=held["baselines"], lookup_failed=failed, defer=defer,
+        )
+
+    runs.catch_up(schedule, profile_versions(t), elsewhere, "2024-01-23 00:00:00", week, root)
+    return root
+
+
+def catch_up_sql(wanted: str) -> str:
+    early = MERGED.replace("FROM v_feed_entries", f"FROM (SELECT * REPLACE (record_url || '-' || (event_id % 61) AS record_url) FROM v_feed_entries WHERE {EARLY.format('TIMESTAMP ')})")
+    parts = [f"known AS MATERIALIZED (SELECT record_url FROM ({early}))"]
+    for k, week in enumerate(WEEKS):
+        pool = "record_url NOT IN (SELECT record_url FROM known)" if k == 0 else f"record_url IN (SELECT record_url FROM r{k - 1} WHERE reason_code IS NOT NULL)"
+        resolved = resolved_sql(f"SELECT * FROM ({enriched_sql(*week)}) WHERE {pool}", window=week)
+        before = " OR ".join(f"work_id IN (SELECT work_id FROM n{j} WHERE decision = 'notify')" for j in range(k)) or "FALSE"
+        parts.append(f"r{k} AS MATERIALIZED ({resolved})")
+        parts.append(f"n{k} AS MATERIALIZED ({matched_sql(f'SELECT * FROM r{k}', INTERESTS[min(k, 1)], f'({before})')})")
+    return f"WITH {', '.join(parts)} {wanted}"
+
+
+@check("i06_catch_up", catch_up_sql(" UNION ALL ".join(
+    f"SELECT 'week-{end[:10].replace('-', '')}T000000' AS run_id, work_id, freshness, decision FROM n{k}" for k, (_, end) in enumerate(WEEKS))))
 def _(t):
-    """Three missing weeks of one profile, each committed in turn."""
-    profile = t.region.filter("r_regionkey = 0").select(
-        F.lit(1).alias("profile_id"), F.lit("Europe/Berlin").alias("zone"), F.lit(0).alias("weekday"), F.lit(6).alias("report_hour")
-    )
-    to_utc = ranking.to_utc
-    done = profile.select(
-        "profile_id", to_utc(F.lit("2023-12-25 00:00:00").cast("timestamp_ntz"), F.col("zone")).alias("window_start"),
-        to_utc(F.lit("2024-01-01 00:00:00").cast("timestamp_ntz"), F.col("zone")).alias("window_end"),
-    )
-    root = shared_path(t.spark, "catch-up")
+    """Reports of three missing weeks of one profile, across a change of the profile."""
+    return tables.read_run_table(t.spark, caught_up(t), "report").select("run_id", "work_id", "freshness", "decision")
 
-    def run(window, last):
-        entries = sparse(t).filter((F.col("published_at") >= F.lit(window[0]).cast("timestamp_ntz")) & (F.col("published_at") < F.lit(window[1]).cast("timestamp_ntz")))
-        merged = merge.merge_feeds(entries, window)
-        return {"report": merged.select("record_url", F.lit(last).alias("last_window"), F.lit(window[1]).alias("window_end"))}
 
-    runs.catch_up(profile, done, "2024-01-23 00:00:00", run, root)
-    return tables.read_run_table(t.spark, root, "report").groupBy("run_id", "window_end", "last_window").agg(F.count("*").alias("n"))
+@check("i06_deferred_records", catch_up_sql(" UNION ALL ".join(
+    f"SELECT 'week-{WEEKS[k][1][:10].replace('-', '')}T000000' AS run_id, record_url, reason_code FROM r{k} WHERE reason_code IS NOT NULL" for k in (0, 1))))
+def _(t):
+    """Records that all weeks but the last left to a later one."""
+    return tables.read_run_table(t.spark, caught_up(t), "deferred").select("run_id", "record_url", "reason_code")
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
