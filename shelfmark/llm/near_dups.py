@@ -12,9 +12,10 @@ Texts with equal word sequences are one node.  Candidates are never all pairs of
 1. each node is verified against the least node of all its buckets;
 2. in buckets that still span several classes, nodes outside the largest class are verified
    against members of it drawn by hash, which joins most of them;
-3. in buckets that still do, pairs of different classes are verified: all of them where they
-   are a few per member, else those that share a prefix shingle, which any pair at the
-   threshold does, the largest class of a bucket never against itself.
+3. nodes of buckets that still do are verified against those of other classes they share a
+   prefix shingle with, where their sizes and the weight their prefixes share allow the
+   threshold, which holds for any pair at the threshold.  Prefixes are in order of rising
+   frequency, so common shingles are in few of them.
 So every pair of different classes that shares a band is either verified or proved too
 far apart, however large the bucket.
 
@@ -25,11 +26,12 @@ class id is the least document id of its texts (null if they have none).
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -40,7 +42,7 @@ from shelfmark.session import cut
 SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 32, 4
-SMALL_BUCKET_PAIRS, PAIRS_PER_MEMBER = 256, 16
+FREQUENCY_BITS, TEXTS_PER_BATCH = 20, 128
 TURNS, TRIES = 1, 16
 _STEP = np.uint64(0xD1342543DE82EF95)
 
@@ -186,45 +188,103 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     return joined.select("u", "v", "wu", "wv").mapInArrow(run, "u binary, v binary")
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Arrow batches of few rows: rows hold whole texts, of any length."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    usual = spark.conf.get(name)
+    spark.conf.set(name, str(TEXTS_PER_BATCH))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, usual)
+
+
+def verified_links(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    with small_batches(pairs.sparkSession):
+        return cut(verified(pairs, texts, threshold))
+
+
+def places(shingles: np.ndarray) -> np.ndarray:
+    """The place of each shingle in the frequency table."""
+    return (mix(shingles ^ _STEP) >> np.uint64(64 - FREQUENCY_BITS)).astype(np.int64)
+
+
+def shingle_frequency(held: DataFrame) -> np.ndarray:
+    """How many of the texts ``(node, words)`` hold a shingle of each place: a table of fixed size."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << FREQUENCY_BITS, dtype=np.int64)
+        for whole in batches:
+            for batch in sliced([whole], "words"):
+                for words in batch.column("words").to_pylist():
+                    np.add.at(total, places(shingles_of(words.split())[0]), 1)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["place", "n"])
+
+    rows = held.mapInArrow(run, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).toPandas()
+    table = np.zeros(1 << FREQUENCY_BITS, dtype=np.int64)
+    table[rows["place"].to_numpy(dtype=np.int64)] = rows["n"].to_numpy(dtype=np.int64)
+    return np.minimum(table, np.iinfo(np.int32).max).astype(np.int32)
+
+
 def prefix_shingles(nodes: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """``(node, shingle)``: the first shingles of each node in one order for all, that of a hash.
+    """``(node, shingle, uses, size, rest)``: the first shingles of each node in one order for all, rare ones first.
 
     A shingle counts if what comes before it weighs at most ``1 - threshold`` of the node.
     Two nodes at the threshold share that much weight that the first shingle they have in
-    common is such a one of both.
+    common is such a one of both.  Any order that is the same for all nodes gives that; the
+    frequencies, of places that several shingles may share, only decide how few meet.
+    ``size`` is the weight of the node and ``rest`` what of it is not in the prefix.
     """
+    held = cut(texts.join(nodes, "node", "left_semi").select("node", "words"))
+    frequency = shingle_frequency(held)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in sliced([whole], "words"):
-                found = []
+                found, uses, sizes, rests = [], [], [], []
                 for words in batch.column("words").to_pylist():
                     elements, counts = shingles_of(words.split())
-                    order = np.argsort(mix(elements ^ _STEP), kind="stable")
+                    order = np.lexsort((mix(elements ^ _STEP), frequency[places(elements)]))
+                    size = int(counts.sum())
                     passed = np.cumsum(counts[order]) - counts[order]
-                    found.append(elements[order][passed <= (1 - threshold) * counts.sum() + 1e-9])
+                    first = order[passed <= (1 - threshold) * size + 1e-9]
+                    found.append(elements[first])
+                    uses.append(counts[first])
+                    sizes.append(size)
+                    rests.append(size - int(counts[first].sum()))
                 row = pa.array(np.repeat(np.arange(len(found)), [len(f) for f in found]))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("node").take(row), pa.array(np.concatenate(found).view(np.int64))], names=["node", "shingle"]
+                    [batch.column("node").take(row), pa.array(np.concatenate(found).view(np.int64)), pa.array(np.concatenate(uses)),
+                     pa.array(np.array(sizes)).take(row), pa.array(np.array(rests)).take(row)],
+                    names=["node", "shingle", "uses", "size", "rest"],
                 )
 
-    held = texts.join(nodes, "node", "left_semi").select("node", "words")
-    return held.mapInArrow(run, "node binary, shingle long")
+    return held.mapInArrow(run, "node binary, shingle long, uses long, size long, rest long")
+
 
+def cross_pairs(members: DataFrame, keys: list[str], threshold: float) -> DataFrame:
+    """Pairs of nodes with a common prefix shingle, different labels and a shared weight that allows
+    the threshold; the largest label of a key is only paired with the others.
 
-def cross_pairs(members: DataFrame, keys: list[str]) -> DataFrame:
-    """Pairs of nodes with a common key and different labels; the largest label of a key is
-    only paired with the others."""
+    Up to where the earlier of two prefixes ends, they show all that the nodes have in common,
+    so the nodes share no more than that and the rest of one of them.
+    """
     per_label = members.groupBy(*keys, "label").agg(F.count("*").alias("n"))
     major = per_label.groupBy(*keys).agg(F.max_by("label", F.struct("n", "label")).alias("major"), F.count("*").alias("labels"))
     held = members.join(major.where("labels > 1"), keys)
-    minor = held.where("label <> major").select(*keys, F.col("node").alias("a"), F.col("label").alias("la"), "major")
-    other = held.select(*keys, F.col("node").alias("b"), F.col("label").alias("lb"))
+    minor = held.where("label <> major").select(*keys, F.col("node").alias("a"), F.col("label").alias("la"), F.col("size").alias("sa"), F.col("uses").alias("ca"), F.col("rest").alias("ra"), "major")
+    other = held.select(*keys, F.col("node").alias("b"), F.col("label").alias("lb"), F.col("size").alias("sb"), F.col("uses").alias("cb"), F.col("rest").alias("rb"))
+    near = (F.col("sa") >= threshold * F.col("sb")) & (F.col("sb") >= threshold * F.col("sa"))
     # a pair of two minor labels is met from both sides: keep one of them
-    return (
-        minor.join(other, keys).where("la <> lb AND (lb = major OR a < b)")
-        .select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct()
+    met = minor.join(other, keys).where("la <> lb AND (lb = major OR a < b)").where(near).select(
+        F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v"), F.least("ca", "cb").alias("shared"),
+        F.greatest("ra", "rb").alias("rest"), (F.col("sa") + F.col("sb")).alias("both"),
     )
+    summed = met.groupBy("u", "v").agg(F.sum("shared").alias("shared"), F.max("rest").alias("rest"), F.max("both").alias("both"))
+    enough = F.col("shared") + F.col("rest") >= threshold / (1 + threshold) * F.col("both") - 1e-6
+    return summed.where(enough).select("u", "v")
 
 
 def drawn_pairs(members: DataFrame, turn: int) -> DataFrame:
@@ -273,28 +333,20 @@ def near_duplicates(
     )
     # 1. every node against the least node it meets
     tried = members.groupBy("node").agg(F.min("head").alias("u")).where("u < node").select("u", F.col("node").alias("v"))
-    links = cut(verified(tried, texts, threshold))
+    links = verified_links(tried, texts, threshold)
     left = members.select("band", "node")
     # 2. nodes outside the largest class of a bucket against members of it drawn by hash
     for turn in range(TURNS):
         left = cut(_unresolved(_labelled(left.select("band", "node"), links)))
         pairs = cut(drawn_pairs(left, turn).join(tried, ["u", "v"], "left_anti"))
         tried = tried.unionByName(pairs)
-        links = links.unionByName(cut(verified(pairs, texts, threshold)))
+        links = links.unionByName(verified_links(pairs, texts, threshold))
     # 3. whatever pairs of different classes are left
     left = cut(_unresolved(_labelled(left.select("band", "node"), links)))
-    sizes = left.groupBy("band", "label").agg(F.count("*").alias("n")).groupBy("band").agg(
-        F.sum("n").alias("n"), ((F.pow(F.sum("n"), 2) - F.sum(F.col("n") * F.col("n"))) / 2).alias("pairs")
-    )
-    few = F.col("pairs") <= SMALL_BUCKET_PAIRS + PAIRS_PER_MEMBER * F.col("n")
-    left = cut(left.join(sizes.withColumn("few", few).select("band", "few"), "band"))
-    third = cross_pairs(left.where("few").select("band", "node", "label"), ["band"])
-    large = left.where("NOT few").select("band", "node", "label")
-    if not large.isEmpty():
-        nodes_left = cut(large.select("node", "label").distinct())
-        prefixes = prefix_shingles(nodes_left, texts, threshold)
-        third = third.unionByName(cross_pairs(nodes_left.join(prefixes, "node"), ["shingle"])).distinct()
-    links = links.unionByName(cut(verified(third.join(tried, ["u", "v"], "left_anti"), texts, threshold)))
+    nodes_left = cut(left.select("node", "label").distinct())
+    prefixes = cut(nodes_left.join(prefix_shingles(nodes_left, texts, threshold), "node"))
+    third = cut(cross_pairs(prefixes, ["shingle"], threshold).join(tried, ["u", "v"], "left_anti"))
+    links = links.unionByName(verified_links(third, texts, threshold))
 
     roots = components(links)
     classes = nodes.select("node", "head", "copies").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -314,7 +366,8 @@ def one_of_each(docs: DataFrame, threshold: float = THRESHOLD, doc_id: str = "do
     same id and text one stays.  Texts without words all stay."""
     heads = near_duplicates(docs, threshold, doc_id, text).where("head").select("doc_id", "text_hash").distinct().alias("h")
     wordless = F.col(f"`{text}`").isNull() | F.col(f"`{text}`").cast("string").rlike(r"^[ \t-\r]*$")
-    rest = docs.where(~wordless).withColumn("_row_hash", F.xxhash64(F.col(f"`{text}`").cast("string")))
-    same = F.col(f"d.`{doc_id}`").cast("long").eqNullSafe(F.col("h.doc_id")) & (F.col("d._row_hash") == F.col("h.text_hash"))
-    kept = rest.alias("d").join(heads, same, "left_semi").dropDuplicates([doc_id, "_row_hash"]).drop("_row_hash")
+    mark = "_row_hash" + "_" * max(len(c) for c in docs.columns)  # no column has that name
+    rest = docs.where(~wordless).withColumn(mark, F.xxhash64(F.col(f"`{text}`").cast("string")))
+    same = F.col(f"d.`{doc_id}`").cast("long").eqNullSafe(F.col("h.doc_id")) & (F.col(f"d.{mark}") == F.col("h.text_hash"))
+    kept = rest.alias("d").join(heads, same, "left_semi").dropDuplicates([doc_id, mark]).drop(mark)
     return kept.unionByName(docs.where(wordless))

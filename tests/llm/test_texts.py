@@ -175,10 +175,10 @@ def classes_by_brute_force(rows, threshold=0.8):
     )
 
 
-@pytest.mark.parametrize("small", [256, 0])
-def test_near_duplicate_classes(spark, edges, monkeypatch, small):
-    """Also with every bucket treated as a large one."""
-    monkeypatch.setattr(near_dups, "SMALL_BUCKET_PAIRS", small)
+@pytest.mark.parametrize("bits", [20, 2])
+def test_near_duplicate_classes(spark, edges, monkeypatch, bits):
+    """Also with a frequency table so small that it tells shingles hardly apart."""
+    monkeypatch.setattr(near_dups, "FREQUENCY_BITS", bits)
     r = random.Random(8)
     rows = edge_rows()
     for group in range(4):  # chains and rings around the threshold
