@@ -205,25 +205,25 @@ def verified_links(pairs: DataFrame, texts: DataFrame, threshold: float) -> Data
         return cut(verified(pairs, texts, threshold))
 
 
-def places(shingles: np.ndarray) -> np.ndarray:
+def places(shingles: np.ndarray, bits: int) -> np.ndarray:
     """The place of each shingle in the frequency table."""
-    return (mix(shingles ^ _STEP) >> np.uint64(64 - FREQUENCY_BITS)).astype(np.int64)
+    return (mix(shingles ^ _STEP) >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def shingle_frequency(held: DataFrame) -> np.ndarray:
+def shingle_frequency(held: DataFrame, bits: int) -> np.ndarray:
     """How many of the texts ``(node, words)`` hold a shingle of each place: a table of fixed size."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << FREQUENCY_BITS, dtype=np.int64)
+        total = np.zeros(1 << bits, dtype=np.int64)
         for whole in batches:
             for batch in sliced([whole], "words"):
                 for words in batch.column("words").to_pylist():
-                    np.add.at(total, places(shingles_of(words.split())[0]), 1)
+                    np.add.at(total, places(shingles_of(words.split())[0], bits), 1)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["place", "n"])
 
     rows = held.mapInArrow(run, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).toPandas()
-    table = np.zeros(1 << FREQUENCY_BITS, dtype=np.int64)
+    table = np.zeros(1 << bits, dtype=np.int64)
     table[rows["place"].to_numpy(dtype=np.int64)] = rows["n"].to_numpy(dtype=np.int64)
     return np.minimum(table, np.iinfo(np.int32).max).astype(np.int32)
 
@@ -238,7 +238,8 @@ def prefix_shingles(nodes: DataFrame, texts: DataFrame, threshold: float) -> Dat
     ``size`` is the weight of the node and ``rest`` what of it is not in the prefix.
     """
     held = cut(texts.join(nodes, "node", "left_semi").select("node", "words"))
-    frequency = shingle_frequency(held)
+    bits = FREQUENCY_BITS
+    frequency = shingle_frequency(held, bits)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -246,7 +247,7 @@ def prefix_shingles(nodes: DataFrame, texts: DataFrame, threshold: float) -> Dat
                 found, uses, sizes, rests = [], [], [], []
                 for words in batch.column("words").to_pylist():
                     elements, counts = shingles_of(words.split())
-                    order = np.lexsort((mix(elements ^ _STEP), frequency[places(elements)]))
+                    order = np.lexsort((mix(elements ^ _STEP), frequency[places(elements, bits)]))
                     size = int(counts.sum())
                     passed = np.cumsum(counts[order]) - counts[order]
                     first = order[passed <= (1 - threshold) * size + 1e-9]
