@@ -223,15 +223,14 @@ def _(t):
 
 
 @check("g11_rolling_windows", """
-    SELECT o_orderkey AS request_id, strftime((requested_at AT TIME ZONE 'UTC' AT TIME ZONE zone - to_days(days)) AT TIME ZONE zone AT TIME ZONE 'UTC', '%Y-%m-%d %H:%M:%S') AS window_start,
-      strftime(requested_at, '%Y-%m-%d %H:%M:%S') AS window_end
+    SELECT o_orderkey AS request_id, CASE WHEN days BETWEEN 1 AND 31 THEN 'accepted' ELSE 'refused' END AS status, CASE WHEN days BETWEEN 1 AND 31 THEN strftime((requested_at AT TIME ZONE 'UTC' AT TIME ZONE zone - to_days(days)) AT TIME ZONE zone AT TIME ZONE 'UTC', '%Y-%m-%d %H:%M:%S') END AS window_start,
+      CASE WHEN days BETWEEN 1 AND 31 THEN strftime(requested_at, '%Y-%m-%d %H:%M:%S') END AS window_end
     FROM (SELECT o_orderkey, o_orderdate + INTERVAL 15 HOUR AS requested_at, CAST(o_orderkey % 33 AS INTEGER) AS days,
-        CASE o_custkey % 3 WHEN 0 THEN 'America/New_York' WHEN 1 THEN 'Europe/Berlin' ELSE 'Asia/Shanghai' END AS zone FROM orders)
-    WHERE days BETWEEN 1 AND 31""")
+        CASE o_custkey % 3 WHEN 0 THEN 'America/New_York' WHEN 1 THEN 'Europe/Berlin' ELSE 'Asia/Shanghai' END AS zone FROM orders)""")
 def _(t):
     requests = t.orders.select(
         F.col("o_orderkey").alias("request_id"), (F.col("o_orderdate") + F.expr("INTERVAL 15 HOUR")).alias("requested_at"),
         (F.col("o_orderkey") % 33).cast("int").alias("days"),
         pick(F.col("o_custkey") % 3, "America/New_York", "Europe/Berlin", "Asia/Shanghai").alias("zone"),
     )
-    return ranking.rolling_windows(requests).select("request_id", "window_start", "window_end")
+    return ranking.rolling_windows(requests).select("request_id", "status", "window_start", "window_end")

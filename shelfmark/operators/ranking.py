@@ -262,9 +262,13 @@ def missing_windows(profiles: DataFrame, runs: DataFrame, as_of) -> DataFrame:
 
 
 def rolling_windows(requests: DataFrame) -> DataFrame:
-    """UTC bounds of the last ``days`` (1 to 31) local days of each request."""
+    """UTC bounds of the last ``days`` (1 to 31) local days of each request.
+
+    Other requests are ``refused`` and have no bounds; ``status`` says which.
+    """
     local_end = to_local(F.col("requested_at"), F.col("zone"))
     start = to_utc(local_end - F.make_dt_interval(F.col("days")), F.col("zone"))
-    return requests.filter("days BETWEEN 1 AND 31").withColumn("window_start", start).withColumn(
-        "window_end", F.col("requested_at")
-    )
+    fine = F.coalesce(F.col("days").between(1, 31), F.lit(False))
+    return requests.withColumns({
+        "status": F.when(fine, "accepted").otherwise("refused"), "window_start": F.when(fine, start), "window_end": F.when(fine, F.col("requested_at")),
+    })

@@ -245,12 +245,13 @@ def catalogue_upsert(articles: DataFrame, scanned: DataFrame, pages: DataFrame,
     """Articles after a scan, and its completed-scan rows.
 
     ``pages`` holds ``issue, complete`` from the page sequence check; articles of an
-    issue with an incomplete page set commit nothing.
+    issue with an incomplete page set commit nothing.  Of several rows of one title, the least
+    known author stands.
     """
     from shelfmark.operators.journals import title_digest
 
     ready = pages.groupBy("issue").agg(F.bool_and("complete").alias("_ok")).filter("_ok").select("issue")
-    fresh = scanned.join(ready, "issue", "left_semi").dropDuplicates(["issue", "title"])
+    fresh = scanned.join(ready, "issue", "left_semi").groupBy("issue", "title").agg(F.min("author").alias("author"))
     old = articles.select("issue", "title", F.struct("author", "first_observed", "last_observed").alias("o"))
     new = fresh.select("issue", "title", F.struct("author").alias("n"))
     after = old.join(new, ["issue", "title"], "full_outer").select(

@@ -222,10 +222,12 @@ def stream_coverage(pages: DataFrame, folder: str, trigger: dict | None = None)
 
     def each(batch: DataFrame, batch_id: int) -> None:
         carried = _read(spark, folder, "open", batch).filter(F.col("batch_id") == batch_id - 1).drop("batch_id")
-        every = carried.unionByName(batch).dropDuplicates(["request_id", "page_no"])
+        # of a page that arrives twice the greater facts count, in whatever order they came
+        kept = [c for c in batch.columns if c not in ("request_id", "page_no")]
+        every = carried.unionByName(batch).groupBy("request_id", "page_no").agg(F.max(F.struct(*kept)).alias("p")).select("request_id", "page_no", "p.*")
         sums = every.groupBy("request_id").agg(
             F.count("*").alias("_n"), F.min("n_pages").alias("_low"), F.max("n_pages").alias("_high"),
-            F.first("source_key").alias("source_key"), F.min("window_start").alias("window_start"),
+            F.min("source_key").alias("source_key"), F.min("window_start").alias("window_start"),
             F.max("window_end").alias("window_end"), F.max("checked_at").alias("checked_at"),
         )
         whole = (F.col("_n") == F.col("_low")) & (F.col("_low") == F.col("_high"))
