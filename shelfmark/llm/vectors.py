@@ -66,6 +66,9 @@ def matrix(raw: Iterable[bytes]) -> np.ndarray:
 
 
 def squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Squared distances, taken around the mean of ``b`` so that a common offset costs no digits."""
+    centre = b.mean(axis=0)
+    a, b = a - centre, b - centre
     return np.maximum((a * a).sum(axis=1)[:, None] + (b * b).sum(axis=1)[None, :] - 2 * a @ b.T, 0)
 
 
@@ -138,16 +141,32 @@ class Tree:
 
 
 def nearest(queries: np.ndarray, vectors: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Per query, the places of its ``k`` nearest vectors (more on ties) and exact distances."""
+    """Per query, the places of its ``k`` nearest vectors (more on ties) and exact distances.
+
+    The expanded square errs by a few units of rounding of the squared norms around the
+    mean.  All vectors within twice that of the k-th are measured exactly.
+    """
+    if not len(vectors):
+        return
+    centre = vectors.mean(axis=0)
+    around = vectors - centre
+    norms = (around * around).sum(axis=1)
+    unit = 4 * (vectors.shape[1] + 8) * np.finfo(np.float64).eps
     for lo in range(0, len(queries), 256):
-        near = squared(queries[lo : lo + 256], vectors)
-        scale = 1e-9 * (1 + near.max(initial=0))
+        asked = queries[lo : lo + 256] - centre
+        own = (asked * asked).sum(axis=1)
+        near = own[:, None] + norms[None, :] - 2 * asked @ around.T
         for i, row in enumerate(near):
-            if len(row) > k:
-                at = np.flatnonzero(row <= np.partition(row, k - 1)[k - 1] + scale)
+            error = unit * (own[i] + norms.max())
+            if len(row) > k and np.isfinite(error):
+                at = np.flatnonzero(row <= np.partition(row, k - 1)[k - 1] + 2 * error)
             else:
                 at = np.arange(len(row))
-            yield lo + i, at, np.sqrt(((vectors[at] - queries[lo + i]) ** 2).sum(axis=1))
+            apart = np.sqrt(((vectors[at] - queries[lo + i]) ** 2).sum(axis=1))
+            if len(at) > k:
+                kept = apart <= np.partition(apart, k - 1)[k - 1]
+                at, apart = at[kept], apart[kept]
+            yield lo + i, at, apart
 
 
 def _best(rows: DataFrame, per: str, k: int) -> DataFrame:

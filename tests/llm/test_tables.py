@@ -211,6 +211,26 @@ def test_nearest_vectors(spark):
     assert hits >= 0.9 * 10 * len(asked)
 
 
+def test_nearest_vectors_far_from_the_origin(spark):
+    """An offset of 1e6 on all components and a spread of 0.01: squares of whole vectors would lose the distances."""
+    x = 1e6 + 0.01 * np.random.default_rng(12).standard_normal((3000, 16))
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>").coalesce(2)
+    got = collections.defaultdict(set)
+    for r in vectors.search(df, F.col("vec_id") % 100 == 0).collect():
+        got[r.query_id].add(r.vec_id)
+    hits = 0
+    for q in range(0, 3000, 100):
+        near = np.sqrt(((x - x[q]) ** 2).sum(axis=1))
+        hits += len(got[q] & set([int(k) for k in np.lexsort((np.arange(3000), near)) if k != q][:10]))
+    assert hits >= 0.9 * 300
+    for offset in (0.0, 1e6, -1e9):
+        points = x - 1e6 + offset
+        for i, at, apart in vectors.nearest(points[:40], points, 11):
+            exact = np.sqrt(((points - points[i]) ** 2).sum(axis=1))
+            want = np.flatnonzero(exact <= np.partition(exact, 10)[10])
+            assert sorted(at) == want.tolist() and np.array_equal(apart, exact[at])
+
+
 def test_few_or_no_vectors(spark):
     schema = "vec_id long, embedding array<float>"
     few = spark.createDataFrame([(0, [1.0, 2.0]), (1, [1.0, 2.0]), (2, [0.0, 1.0])], schema)
