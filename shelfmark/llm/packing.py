@@ -25,6 +25,7 @@ import zlib
 from collections import deque
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -38,10 +39,26 @@ SCHEMA = (
 CACHED_WORDS = 400_000
 # Fixed value: the tokenizer's own split of lower-case ASCII words
 _PARTS = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
+_LATIN_AND_SIGNS = re.compile(r"([A-Za-z\u00AA-\u024F]+)([!-&(-/:-@\[-`{-~]*)")
+
+
+def _parts(word: bytes) -> list[bytes]:
+    """The parts of a word, each for itself; a word whose parts are not sure stays whole."""
+    if b"<|" in word:
+        return [word]
+    if word.isascii():
+        return _PARTS.findall(word.lower())
+    found = _LATIN_AND_SIGNS.fullmatch(word.decode("utf-8"))
+    # letters whose lower case is not letters alone would share a part with the signs
+    return [part.encode() for part in found.groups() if part] if found and found[1].isalpha() and found[1].lower().isalpha() else [word]
+
+
+def _is_part(word: bytes) -> bool:
+    return b"<|" not in word and (word.isascii() or word.decode("utf-8").isalpha())
 
 
 class WordTokenizer:
-    """Ids of texts as little-endian 32-bit bytes, one tokenizer call per new part of a word.
+    """Ids of texts as little-endian 32-bit bytes; each part of a word meets the tokenizer once, many parts a call.
 
     The tokenizer drops white space and never joins across it, so a text's ids are those
     of its words in a row.  ASCII words are cut as the tokenizer cuts them, so that "end",
@@ -53,7 +70,8 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.raw = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size(with_added_tokens=True))]
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(with_added_tokens=True), dtype=bool)
+        self.ends[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
         self.known: dict[bytes, bytes] = {}
         self.parts: dict[bytes, bytes] = {}
 
@@ -68,16 +86,38 @@ class WordTokenizer:
             gc.enable()
 
     def _learn_parts(self, words: list[bytes]) -> None:
-        cut = [_PARTS.findall(w.lower()) if w.isascii() and b"<|" not in w else [w] for w in words]
-        new = list(set().union(*cut) - self.parts.keys())
+        plain = [w for w in words if w.isalpha()]  # of bytes: ASCII letters only, so one part
+        lower = list(map(bytes.lower, plain))
+        rest = [w for w in words if not w.isalpha()]
+        cut = list(map(_parts, rest))
+        new = set(lower).union(*cut) - self.parts.keys()
+        alone = {pieces[0] for pieces in cut if len(pieces) == 1 and not _is_part(pieces[0])} & new
+        self._encode_parts(list(new - alone))
+        self._encode_each(list(alone))
+        get = self.parts.__getitem__
+        self.known.update(zip(plain, map(get, lower)))
+        for word, pieces in zip(rest, cut):
+            self.known[word] = get(pieces[0]) if len(pieces) == 1 else b"".join(map(get, pieces))
+
+    def _encode_each(self, new: list[bytes]) -> None:
         for lo in range(0, len(new), 10_000):
             part = new[lo : lo + 10_000]
             found = self.tokenizer.encode_batch_fast([w.decode("utf-8") for w in part], add_special_tokens=False)
             for word, encoding in zip(part, found):
-                self.parts[word] = b"".join(map(self.raw.__getitem__, encoding.ids))
-        get = self.parts.__getitem__
-        for word, pieces in zip(words, cut):
-            self.known[word] = b"".join(map(get, pieces))
+                self.parts[word] = np.array(encoding.ids, dtype="<u4").tobytes()
+
+    def _encode_parts(self, new: list[bytes]) -> None:
+        """Many parts in one text.  Each holds at least one word end, so with as many ends as parts each has one, its last id."""
+        for lo in range(0, len(new), 500):
+            part = new[lo : lo + 500]
+            text = b" ".join(part).decode("utf-8")
+            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
+            ends = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            if len(ends) != len(part):
+                self._encode_each(part)
+                continue
+            raw = ids.tobytes()
+            self.parts.update(zip(part, [raw[i:j] for i, j in zip([0, *ends], ends)]))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         split = [words_of(text) for text in texts]

@@ -87,6 +87,18 @@ def test_words_of_tokenizer():
         assert np.frombuffer(found, dtype="<u4").tolist() == theirs.encode(text, add_special_tokens=False).ids
 
 
+def test_words_that_cut_in_doubt():
+    """Letters whose lower case or normal form is no letter, digits beyond ASCII, signs, added tokens inside words."""
+    ours, theirs = packing.WordTokenizer(WORD_MODEL), Tokenizer.from_file(WORD_MODEL)
+    r = random.Random(8)
+    letters = ["a", "Z", "\u00c9", "\u00df", "'", "'s", "\u2019", "1", "\u0663", "\u00bd", "!", "<|", "\u0308", "\ufb01", "\u0130", "\u017f", "\u212a",
+               "\u212b", "\u4e2d", "\u2177", "\U0001f642", "_", "\x00", "don't", "</w>", ".", "-", "\u01c5", "\u00aa", "\u02b0", "\u093e", "\u0958", "\u0085"]
+    words = list(dict.fromkeys("".join(r.choices(letters, k=r.randint(1, 7))) for _ in range(1500)))
+    found = ours.encode(words)
+    for word, ids in zip(words, found):
+        assert np.frombuffer(ids, dtype="<u4").tolist() == theirs.encode(word, add_special_tokens=False).ids, word
+
+
 def test_pieces_are_the_librarys():
     ours, theirs = pieces.PieceModel(PIECE_MODEL), sentencepiece.SentencePieceProcessor(model_file=PIECE_MODEL)
     for text in fuzz():
