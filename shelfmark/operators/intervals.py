@@ -1,8 +1,10 @@
 """Interval algebra and as-of look-ups that do not put a whole key in one task.
 
-Ordered work per key is split by time bucket.  Inside a bucket a window sees the
-distinct instants of that bucket only; across buckets a second window sees one
-row per bucket.  Both are bounded by the clock, not by the number of rows.
+Ordered work per key is a prefix scan in two levels.  Inside a bucket a window sees
+the distinct instants of that bucket only; across buckets a second window sees one
+row per bucket and hands each the state it starts from.  A bucket is a day of a key,
+or, where a day holds more than ``BLOCK`` instants, one of about ``PARTS`` ranges of
+instants of that day.
 """
 
 from __future__ import annotations
@@ -11,19 +13,48 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfmark.operators.gates import instant
+from shelfmark.session import cut
+
+BLOCK, PARTS = 20_000, 512
 
 
 def _before(keys: list[str], order: str):
     return Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
 
 
+def _blocked(rows: DataFrame, key: str, at: str, bucket: str, block: int | None = None) -> DataFrame:
+    """``rows``, written out, with ``_bucket``: a day, and a range of instants of that day where it is crowded.
+
+    The ranges of a crowded day begin at instants of its own, chosen by hash, about
+    ``PARTS`` of them however many there are.  ``rows`` has few rows of one instant.
+    """
+    day = F.date_trunc(bucket, at).cast("timestamp_ntz").alias("_day")
+    rows = rows.select("*", day)
+    placed = rows.select(key, "_day", F.col(at).alias("_at"))
+    crowded = placed.groupBy(key, "_day").agg(F.count("*").alias("_n")).filter(F.col("_n") > (block or BLOCK))
+    chosen = F.pmod(F.xxhash64("_at"), F.ceil(F.col("_n") / PARTS)) == 0
+    starts = (
+        placed.join(crowded, [key, "_day"]).filter(chosen).groupBy(key, "_day").agg(F.sort_array(F.collect_set("_at")).alias("_starts"))
+    )
+    # how many starts lie at or before the instant, by halving steps
+    passed = F.aggregate(
+        F.array(*[F.lit(2**k) for k in range(10, -1, -1)]), F.lit(0),
+        lambda found, step: F.when(F.get("_starts", found + step - 1) <= F.col(at), found + step).otherwise(found),
+    )
+    part = F.when(F.col("_starts").isNull(), 0).otherwise(passed)
+    return cut(
+        rows.join(starts, [key, "_day"], "left").withColumn("_bucket", F.struct("_day", part.alias("_part")))
+        .drop("_day", "_starts")
+    )
+
+
 def coalesce_intervals(cov: DataFrame, key: str = "source_key", bucket: str = "day") -> DataFrame:
     """Clamp ends to ``checked_at``, drop empty intervals, merge touching ones per key."""
     clamped = (
         cov.withColumn("window_end", F.least("window_end", "checked_at")).filter("window_start < window_end")
         .groupBy(key, "window_start").agg(F.max("window_end").alias("window_end"), F.max("checked_at").alias("checked_at"))
-        .withColumn("_bucket", F.date_trunc(bucket, "window_start").cast("timestamp_ntz"))
     )
+    clamped = _blocked(clamped, key, "window_start", bucket)
     carried = (
         clamped.groupBy(key, "_bucket").agg(F.max("window_end").alias("_end"))
         .withColumn("_carried", F.max("_end").over(_before([key], "_bucket"))).drop("_end")
@@ -50,7 +81,7 @@ def coalesce_intervals(cov: DataFrame, key: str = "source_key", bucket: str = "d
 
 
 def _with_next(islands: DataFrame, key: str, bucket: str) -> DataFrame:
-    placed = islands.withColumn("_bucket", F.date_trunc(bucket, "window_start").cast("timestamp_ntz"))
+    placed = _blocked(islands, key, "window_start", bucket)
     firsts = placed.groupBy(key, "_bucket").agg(F.min("window_start").alias("_first")).withColumn(
         "_later", F.lead("_first").over(Window.partitionBy(key).orderBy("_bucket"))
     ).drop("_first")
@@ -89,7 +120,8 @@ def as_of(
     # a fact at an instant sorts before the question at that instant
     rows = facts.select(key, "_at", F.lit(0).alias("_side"), "_value").unionByName(
         asks.select(key, "_at", F.lit(1).alias("_side")), allowMissingColumns=True
-    ).withColumn("_bucket", F.date_trunc(bucket, "_at").cast("timestamp_ntz"))
+    )
+    rows = _blocked(rows, key, "_at", bucket)
     latest = rows.groupBy(key, "_bucket").agg(
         F.max_by("_value", F.when(F.col("_value").isNotNull(), F.col("_at"))).alias("_last")
     ).withColumn("_carried", F.last("_last", ignorenulls=True).over(_before([key], "_bucket"))).drop("_last")

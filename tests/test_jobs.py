@@ -138,6 +138,27 @@ def test_intervals_of_one_hot_key(spark):
     assert gaps == holes
 
 
+def test_a_million_instants_in_one_key_and_day(spark):
+    """Key 1 fills a day evenly, key 2 puts 60,000 instants into a fifteenth of a second; no window sees more than a block."""
+    step = F.when(F.col("k") == 1, 86_000).otherwise(1)
+    ids = spark.range(1_000_000).withColumn("k", F.lit(1)).unionByName(spark.range(60_000).withColumn("k", F.lit(2)))
+    at = lambda micros: F.timestamp_micros(F.lit(1_704_067_200_000_000) + micros).cast("timestamp_ntz")
+    df = ids.select(F.col("k").alias("source_key"), "id", at(F.col("id") * step).alias("window_start"), at((F.col("id") + 1) * step).alias("window_end"))
+    df = df.withColumn("window_end", F.when(F.col("id") % 1000 == 999, F.col("window_start")).otherwise(F.col("window_end")))
+    cov = df.withColumn("checked_at", F.lit("2024-02-01").cast(NTZ)).drop("id")
+    blocks = intervals._blocked(df.select("source_key", "window_start"), "source_key", "window_start", "day").groupBy("source_key", "_bucket").count()
+    sizes = blocks.groupBy("source_key").agg(F.max("count").alias("most"), F.sum("count").alias("n")).orderBy("source_key").collect()
+    assert [r.n for r in sizes] == [1_000_000, 60_000] and all(r.most <= intervals.BLOCK for r in sizes)
+    length = F.expr("window_end - window_start")
+    found = intervals.coalesce_intervals(cov).groupBy("source_key").agg(F.count("*").alias("n"), F.min(length).alias("least"), F.max(length).alias("most"))
+    got = {r.source_key: (r.n, r.least, r.most) for r in found.collect()}
+    whole = {k: timedelta(microseconds=999 * micros) for k, micros in ((1, 86_000), (2, 1))}
+    assert got == {1: (1000, whole[1], whole[1]), 2: (60, whole[2], whole[2])}
+    facts = df.filter("id % 7 = 0").select("source_key", F.col("id").alias("version"), F.col("window_start").alias("since"))
+    asked = intervals.as_of(df.select("source_key", "id", F.col("window_start").alias("at")), facts, "source_key", "at", "since")
+    assert asked.agg(F.count("*"), F.count_if(F.col("version") == F.col("id") - F.col("id") % 7)).first() == (1_060_000, 1_060_000)
+
+
 def test_as_of_takes_the_later_version_at_a_tie(spark):
     profiles = spark.createDataFrame([(1, 1, ts("2024-01-01")), (1, 2, ts("2024-01-05")), (1, 3, ts("2024-01-05"))], f"profile_id int, version int, effective_from {NTZ}")
     events = spark.createDataFrame([(1, ts("2023-12-31")), (1, ts("2024-01-04")), (1, ts("2024-01-05")), (1, ts("2024-03-01")), (2, ts("2024-03-01"))], f"profile_id int, at {NTZ}")
