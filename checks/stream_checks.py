@@ -68,7 +68,7 @@ def _(t):
     attempts = streamed(t).events.select(
         cat("r", F.col("user_id").cast("string")).alias("record_url"), F.col("ts").alias("attempted_at"), F.col("event_id").alias("seq"), F.col("event_type").alias("reason_code")
     )
-    return jobs.read_retry(t.spark, finished(jobs.stream_retry, attempts, t, "retry", after_days=7, max_attempts=70))
+    return jobs.read_retry(t.spark, finished(jobs.stream_retry, attempts, t, "retry"), after_days=7, max_attempts=70)
 
 
 @check("j06_stream_ttl_cache", """

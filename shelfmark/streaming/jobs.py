@@ -6,29 +6,31 @@ micro-batch writes its own ``batch_id=`` folder with overwrite, so a batch that
 is run again after a failure leaves the same result.  ``read_*`` gives the table
 that the batch form of the job would give on the same input.
 
-Keyed totals use built-in streaming aggregation: partial sums are combined
-before the shuffle, so a key with a large share of the rows stays cheap, and the
-state store holds one row per key.
+Totals per key are logs of parts with snapshots (``totals``).  "Ever seen" is a
+streaming aggregation in the RocksDB state store: a micro-batch looks up and
+changes its own keys only, however many are known.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from shelfmark import vocab
-from shelfmark.functions import normalise as N
-from shelfmark.operators import gates, intervals, merge, state
+from shelfmark.operators import gates, intervals
 from shelfmark.operators.ranking import to_local
 from shelfmark.sources.tables import exists
+from shelfmark.streaming import totals
+from shelfmark.streaming.totals import Totals
 
-
-def event_time(column: str) -> Column:
-    """A UTC TIMESTAMP_NTZ column as the TIMESTAMP that watermarks need."""
-    return F.convert_timezone(F.lit("UTC"), F.current_timezone(), F.col(column)).cast("timestamp")
+# the state store keeps keys on disk and checkpoints what a micro-batch changed
+STATE_SETTINGS = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
 
 
 def _start(
@@ -50,64 +52,88 @@ def _read(spark: SparkSession, folder: str, name: str, like: DataFrame | None =
     return found.withColumn("batch_id", F.col("batch_id").cast("bigint"))
 
 
-def _upserts(stream: DataFrame, folder: str, trigger: dict | None = None) -> StreamingQuery:
-    """Log the rows an update-mode aggregation changed in each batch."""
-    return _start(stream, lambda df, batch_id: _write(df, folder, "log", batch_id), folder, "update", trigger)
+def _totals(stream: DataFrame, spec: Totals, folder: str, trigger: dict | None, every: int) -> StreamingQuery:
+    return _start(stream, lambda df, batch_id: totals.write_batch(spec, df, batch_id, folder, every), folder, "append", trigger)
 
 
-def read_upserts(spark: SparkSession, folder: str, keys: list[str]) -> DataFrame:
-    """Newest logged row per key."""
-    log = _read(spark, folder, "log")
-    body = F.struct(*[c for c in log.columns if c not in (*keys, "batch_id")])
-    return log.groupBy(*keys).agg(F.max_by(body, "batch_id").alias("b")).select(*keys, "b.*")
+def _first_batch_only(rows: DataFrame, keys: list[str], *columns, unless: str = "false") -> DataFrame:
+    """Update-mode aggregation of ``keys`` with ``_new``: TRUE in the batch that first brings a key.
 
+    All rows of a micro-batch arrive at its one instant, kept in the checkpoint; a key
+    is new as long as its least and greatest arrival are equal.
+    """
+    arrived = rows.withColumn("_arrived", F.current_timestamp())
+    new = (F.min("_arrived") == F.max("_arrived")) & ~F.bool_or(F.expr(unless))
+    return arrived.groupBy(*keys).agg(new.alias("_new"), *columns)
 
-def compact_upserts(spark: SparkSession, folder: str, keys: list[str], target: str) -> None:
-    """Write the current table elsewhere, so that readers need not scan the whole log."""
-    read_upserts(spark, folder, keys).write.mode("overwrite").parquet(target)
 
+def _news(stream: DataFrame, folder: str, trigger: dict | None) -> StreamingQuery:
+    """Log the new keys of each batch."""
+    spark = stream.sparkSession
+    before = {name: spark.conf.get(name, None) for name in STATE_SETTINGS}
+    for name, value in STATE_SETTINGS.items():
+        spark.conf.set(name, value)
+    try:  # a query takes the settings of its start
+        return _start(stream, lambda df, batch_id: _write(df.filter("_new").drop("_new"), folder, "log", batch_id), folder, "update", trigger)
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
 
-def stream_first_seen(entries: DataFrame, folder: str, baseline: DataFrame | None = None, trigger: dict | None = None) -> StreamingQuery:
-    """Records never seen before.  Memory is a table, not operator state: "ever" has no watermark."""
-    spark = entries.sparkSession
 
-    def each(batch: DataFrame, batch_id: int) -> None:
-        merged = merge.merge_feeds(batch)
-        known = _read(spark, folder, "log", merged).filter(F.col("batch_id") != batch_id).select("record_url")
-        if baseline is not None:
-            known = known.unionByName(baseline.select("record_url"))
-        _write(merge.new_records(merged, known).select("record_url", "title"), folder, "log", batch_id)
+def stream_first_seen(entries: DataFrame, folder: str, baseline: DataFrame | None = None, trigger: dict | None = None) -> StreamingQuery:
+    """Records never seen before, with their least title in the batch that brought them.
 
-    return _start(entries, each, folder, "append", trigger)
+    ``baseline`` is written once and read by the first micro-batch, so its records are known
+    from then on and no later batch reads it.
+    """
+    spark = entries.sparkSession
+    rows = entries.filter("record_url IS NOT NULL").select("record_url", "title", F.lit(False).alias("_known"))
+    if baseline is not None:
+        path = f"{folder}/baseline"
+        if not exists(spark, f"{path}/_SUCCESS"):
+            baseline.filter("record_url IS NOT NULL").select("record_url").write.mode("overwrite").parquet(path)
+        known = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+        rows = rows.unionByName(known.select("record_url", F.lit(None).cast("string").alias("title"), F.lit(True).alias("_known")))
+    return _news(_first_batch_only(rows, ["record_url"], F.min("title").alias("title"), unless="_known"), folder, trigger)
 
 
 def read_first_seen(spark: SparkSession, folder: str) -> DataFrame:
     return _read(spark, folder, "log").select("record_url", "title")
 
 
-def stream_latest(events: DataFrame, folder: str, trigger: dict | None = None) -> StreamingQuery:
-    """Latest event per record key; a deleted key stays in the log as a tombstone."""
-    body = F.struct("identifier", "event_id", "changed_at", "deleted", "dc_type", "dc_date")
-    latest = (
-        events.filter("record_key IS NOT NULL").groupBy("record_key")
-        .agg(F.max_by(body, F.struct("changed_at", "identifier", "event_id")).alias("e")).select("record_key", "e.*")
-    )
-    return _upserts(latest, folder, trigger)
+LATEST = Totals(("record_key",), {"e": ("max(struct(changed_at, identifier, event_id, deleted, dc_type, dc_date))", "max")})
+
+
+def stream_latest(events: DataFrame, folder: str, trigger: dict | None = None, snapshot_every: int = totals.SNAPSHOT_EVERY) -> StreamingQuery:
+    """Latest event per record key; a deleted key stays as a tombstone."""
+    return _totals(events.filter("record_key IS NOT NULL"), LATEST, folder, trigger, snapshot_every)
 
 
 def read_latest(spark: SparkSession, folder: str) -> DataFrame:
-    return read_upserts(spark, folder, ["record_key"]).filter("NOT deleted")
+    return totals.read(LATEST, spark, folder).select(
+        "record_key", "e.identifier", "e.event_id", "e.changed_at", "e.deleted", "e.dc_type", "e.dc_date"
+    ).filter("NOT deleted")
+
 
+WEEKS = Totals(("week_start",), {"n_changes": ("count(*)", "sum"), "n_deleted": ("count_if(deleted)", "sum")})
 
-def stream_week_counts(events: DataFrame, folder: str, zone: str, trigger: dict | None = None) -> StreamingQuery:
+
+def stream_week_counts(
+    events: DataFrame, folder: str, zone: str, trigger: dict | None = None, snapshot_every: int = totals.SNAPSHOT_EVERY
+) -> StreamingQuery:
     """Changes per local week; weeks start on local Mondays, whatever daylight saving does."""
     week = F.date_trunc("week", to_local(F.col("changed_at"), zone)).cast("timestamp_ntz")
-    counts = events.groupBy(week.alias("week_start")).agg(F.count("*").alias("n_changes"), F.count_if("deleted").alias("n_deleted"))
-    return _upserts(counts, folder, trigger)
+    return _totals(events.withColumn("week_start", week), WEEKS, folder, trigger, snapshot_every)
 
 
 def read_week_counts(spark: SparkSession, folder: str) -> DataFrame:
-    return read_upserts(spark, folder, ["week_start"])
+    return totals.read(WEEKS, spark, folder)
+
+
+def _mark(spark: SparkSession, folder: str, batch_id: int) -> DataFrame | None:
+    """One row ``closed_until``: the instant up to which windows were over before this batch."""
+    earlier = [n for n in totals.finished(spark, f"{folder}/marks", "batch_id") if n < batch_id]
+    return spark.read.parquet(f"{folder}/marks/batch_id={earlier[-1]}") if earlier else None
 
 
 def stream_window_close(events: DataFrame, folder: str, days: int, delay_hours: int, trigger: dict | None = None) -> StreamingQuery:
@@ -124,8 +150,8 @@ def stream_window_close(events: DataFrame, folder: str, days: int, delay_hours:
 
     def each(batch: DataFrame, batch_id: int) -> None:
         rows = batch.withColumn("window_start", start).withColumn("window_end", F.col("window_start") + span)
-        marks = _read(spark, folder, "marks", rows.select(F.col("changed_at").alias("closed_until"))).filter(F.col("batch_id") < batch_id)
-        before = marks.agg(F.max("closed_until")).first()[0]
+        mark = _mark(spark, folder, batch_id)
+        before = mark.first()[0] if mark is not None else None
         newest = rows.agg(F.max("changed_at")).first()[0]
         closed = F.lit(None).cast("timestamp_ntz") if before is None else gates.instant(str(before))
         late = F.coalesce(F.col("window_end") <= closed, F.lit(False))
@@ -149,63 +175,82 @@ def read_window_close(spark: SparkSession, folder: str) -> DataFrame:
     return _read(spark, folder, "log").drop("batch_id")
 
 
-def stream_retry(attempts: DataFrame, folder: str, after_days: int, max_attempts: int, trigger: dict | None = None) -> StreamingQuery:
-    """Attempts per unresolved record, when the next is due, and whether none is left."""
-    sums = attempts.groupBy("record_url").agg(
-        F.count("*").alias("attempts"), F.max("attempted_at").alias("last_attempt"),
-        F.max_by("reason_code", F.struct("attempted_at", "seq")).alias("reason_code"),
-    )
+RETRY = Totals(("record_url",), {"attempts": ("count(*)", "sum"), "last": ("max(struct(attempted_at, seq, reason_code))", "max")})
+
+
+def stream_retry(attempts: DataFrame, folder: str, trigger: dict | None = None, snapshot_every: int = totals.SNAPSHOT_EVERY) -> StreamingQuery:
+    """Attempts per unresolved record and the last of them."""
+    return _totals(attempts, RETRY, folder, trigger, snapshot_every)
+
+
+def read_retry(spark: SparkSession, folder: str, after_days: int, max_attempts: int) -> DataFrame:
+    """Attempts, when the next is due, and whether none is left."""
     spent = F.col("attempts") >= max_attempts
-    planned = sums.withColumn("exhausted", spent).withColumn(
-        "next_retry_at", F.when(~spent, F.col("last_attempt") + F.make_dt_interval(F.lit(after_days)))
+    return totals.read(RETRY, spark, folder).select(
+        "record_url", "attempts", F.col("last.attempted_at").alias("last_attempt"), "last.reason_code", spent.alias("exhausted"),
+        F.when(~spent, F.col("last.attempted_at") + F.make_dt_interval(F.lit(after_days))).alias("next_retry_at"),
     )
-    return _upserts(planned, folder, trigger)
 
 
-def read_retry(spark: SparkSession, folder: str) -> DataFrame:
-    return read_upserts(spark, folder, ["record_url"])
+def _younger(column: str, age: str) -> Callable[[DataFrame], DataFrame]:
+    """Rows no older than ``age`` before the newest row."""
+
+    def keep(table: DataFrame) -> DataFrame:
+        newest = table.agg(F.max(column)).first()[0]
+        return table if newest is None else table.filter(F.col(column) >= gates.instant(str(newest)) - F.expr(f"INTERVAL {age}"))
+
+    return keep
 
 
-def stream_ttl_cache(lookups: DataFrame, folder: str, trigger: dict | None = None) -> StreamingQuery:
-    """Newest look-up per source and query, kept per day so that days past the
-    longest life leave the state store with the watermark."""
-    timed = lookups.withColumn("_time", event_time("cached_at")).withWatermark("_time", f"{vocab.HIT_HOURS} hours")
-    newest = timed.groupBy(F.window("_time", "1 day").alias("day"), "source", "query").agg(
-        F.max_by(F.struct("status", "cached_at", "expires_at", "seq"), F.struct("cached_at", "seq")).alias("c")
-    ).select(F.date_format("day.start", "yyyy-MM-dd").alias("day"), "source", "query", "c.*")
-    return _upserts(newest, folder, trigger)
+# no look-up lives longer than a hit, so an entry that old cannot hide or reveal another
+CACHE = Totals(
+    ("source", "query"), {"c": ("max(struct(cached_at, seq, status, expires_at))", "max")}, _younger("c.cached_at", f"{vocab.HIT_HOURS} HOUR")
+)
+
+
+def stream_ttl_cache(lookups: DataFrame, folder: str, trigger: dict | None = None, snapshot_every: int = totals.SNAPSHOT_EVERY) -> StreamingQuery:
+    """Newest look-up per source and query; snapshots leave out what is past the longest life.
+
+    A look-up that arrives late counts by its own instant.
+    """
+    return _totals(lookups, CACHE, folder, trigger, snapshot_every)
 
 
 def read_ttl_cache(spark: SparkSession, folder: str, now) -> DataFrame:
-    """Entries alive at ``now``."""
-    rows = read_upserts(spark, folder, ["day", "source", "query"])
-    newest = rows.groupBy("source", "query").agg(F.max_by(F.struct("status", "cached_at", "expires_at"), F.struct("cached_at", "seq")).alias("c"))
-    return newest.select("source", "query", "c.*").filter(F.col("expires_at") > gates.instant(now))
+    """Entries alive at ``now``, which is not before the newest entry."""
+    newest = totals.read(CACHE, spark, folder).select("source", "query", "c.status", "c.cached_at", "c.expires_at")
+    return newest.filter(F.col("expires_at") > gates.instant(now))
 
 
-def stream_quarantine(candidates: DataFrame, folder: str, trigger: dict | None = None) -> StreamingQuery:
-    """First and last time each undated record was seen; evidence seen later releases it."""
-    seen = candidates.groupBy("record_url").agg(
-        F.min(F.when(F.col("undated"), F.col("seen_at"))).alias("first_quarantined"),
-        F.max("seen_at").alias("last_seen"), F.max_by("undated", F.struct("seen_at", "undated")).alias("undated"),
-    )
-    return _upserts(seen, folder, trigger)
+UNDATED = Totals(
+    ("record_url",),
+    {"first_quarantined": ("min(CASE WHEN undated THEN seen_at END)", "min"), "newest": ("max(struct(seen_at, undated))", "max")},
+    _younger("newest.seen_at", f"{vocab.QUARANTINE_DAYS} DAY"),
+)
+
+
+def stream_quarantine(candidates: DataFrame, folder: str, trigger: dict | None = None, snapshot_every: int = totals.SNAPSHOT_EVERY) -> StreamingQuery:
+    """First and last time each undated record was seen; evidence seen later releases it.
+
+    Snapshots forget records that were not seen for the retention time.
+    """
+    return _totals(candidates, UNDATED, folder, trigger, snapshot_every)
 
 
 def read_quarantine(spark: SparkSession, folder: str, now) -> DataFrame:
     keep = gates.instant(now) - F.expr(f"INTERVAL {vocab.QUARANTINE_DAYS} DAY")
-    return read_upserts(spark, folder, ["record_url"]).filter(F.col("undated") & (F.col("last_seen") >= keep)).drop("undated")
+    seen = totals.read(UNDATED, spark, folder).filter(F.col("newest.undated") & (F.col("newest.seen_at") >= keep))
+    return seen.select("record_url", "first_quarantined", F.col("newest.seen_at").alias("last_seen"))
 
 
 def stream_notify_once(matches: DataFrame, folder: str, trigger: dict | None = None) -> StreamingQuery:
-    """At most one notification per work and kind over the whole stream."""
-    spark = matches.sparkSession
-
-    def each(batch: DataFrame, batch_id: int) -> None:
-        log = _read(spark, folder, "log", batch).filter(F.col("batch_id") != batch_id)
-        _write(state.notify_once(batch, log), folder, "log", batch_id)
-
-    return _start(matches, each, folder, "append", trigger)
+    """At most one notification per work and kind over the whole stream: the earliest match of
+    the batch that first brings them."""
+    keys = ["work_id", "kind"]
+    rest = [c for c in matches.columns if c not in keys]
+    earliest = F.min(F.struct("matched_at", *[c for c in rest if c != "matched_at"])).alias("_first")
+    first = _first_batch_only(matches, keys, earliest)
+    return _news(first.select(*keys, "_new", *[F.col("_first")[c].alias(c) for c in rest]), folder, trigger)
 
 
 def read_notifications(spark: SparkSession, folder: str) -> DataFrame:
@@ -242,16 +287,44 @@ def read_coverage(spark: SparkSession, folder: str) -> DataFrame:
     return intervals.coalesce_intervals(_read(spark, folder, "log").drop("batch_id", "request_id"))
 
 
-def stream_telemetry(requests: DataFrame, folder: str, width: str = "1 day", delay: str = "1 day", trigger: dict | None = None) -> StreamingQuery:
-    """Request counters per source and event-time window."""
-    ok = F.col("outcome") == "success"
-    timed = requests.withColumn("_time", event_time("ts")).withWatermark("_time", delay)
-    sums = timed.groupBy(F.window("_time", width).alias("w"), "source").agg(
-        F.count("*").alias("logical_requests"), F.count_if(ok & (F.col("attempts") == 1)).alias("first_attempt_successes"),
-        F.count_if(~ok).alias("failed_requests"), F.sum("attempts").alias("attempts"), F.sum("wait_centis").alias("wait_centis"),
-    ).select(N.utc_ntz(F.col("w.start")).alias("window_start"), "source", "logical_requests", "first_attempt_successes", "failed_requests", "attempts", "wait_centis")
-    return _upserts(sums, folder, trigger)
+REQUESTS = Totals(("window_start", "source", "late"), {
+    "logical_requests": ("count(*)", "sum"),
+    "first_attempt_successes": ("count_if(outcome = 'success' AND attempts = 1)", "sum"),
+    "failed_requests": ("count_if(NOT outcome = 'success')", "sum"),
+    "attempts": ("sum(attempts)", "sum"), "wait_centis": ("sum(wait_centis)", "sum"),
+})
+
+
+def stream_telemetry(
+    requests: DataFrame, folder: str, width: str = "1 day", delay: str = "1 day", trigger: dict | None = None,
+    snapshot_every: int = totals.SNAPSHOT_EVERY,
+) -> StreamingQuery:
+    """Request counters per source and event-time window.
+
+    A window is over when a request ``delay`` past its end was seen in an earlier batch.
+    Requests of windows that are over are added up apart, so what was reported of a
+    window stays as it was and what came later is known.
+    """
+    spark = requests.sparkSession
+
+    def each(batch: DataFrame, batch_id: int) -> None:
+        mark = _mark(spark, folder, batch_id)
+        before = mark.first()[0] if mark is not None else None
+        closed = F.lit(None).cast("timestamp_ntz") if before is None else gates.instant(str(before))
+        timed = batch.withColumn("_w", F.window("ts", width))
+        late = F.coalesce(F.col("_w.end") <= closed, F.lit(False))
+        totals.write_batch(
+            REQUESTS, timed.withColumn("window_start", F.col("_w.start")).withColumn("late", late), batch_id, folder, snapshot_every
+        )
+        until = F.greatest(closed, F.max("ts") - F.expr(f"INTERVAL {delay}"))
+        _write(batch.agg(until.alias("closed_until")), folder, "marks", batch_id)
+
+    return _start(requests, each, folder, "append", trigger)
 
 
-def read_telemetry(spark: SparkSession, folder: str) -> DataFrame:
-    return read_upserts(spark, folder, ["window_start", "source"])
+def read_telemetry(spark: SparkSession, folder: str, late: bool | None = None) -> DataFrame:
+    """Counters of all requests, or of those in time (``late=False``) or late (``late=True``)."""
+    rows = totals.read(REQUESTS, spark, folder)
+    if late is not None:
+        rows = rows.filter(F.col("late") == late)
+    return rows.groupBy("window_start", "source").agg(*[F.sum(c).alias(c) for c in REQUESTS.columns])

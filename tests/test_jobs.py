@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from shelfmark.operators import gates, graph, intervals, journals, merge, ranking, state, taxonomy, types
 from shelfmark.session import shared_path
 from shelfmark.sources import feeds, tables
-from shelfmark.streaming import jobs
+from shelfmark.streaming import jobs, totals
 
 NTZ = "timestamp_ntz"
 
@@ -281,6 +281,100 @@ def test_late_rows_wait_aside(spark):
     assert [r.event_id for r in spark.read.parquet(f"{out}/late").collect()] == [3]
 
 
+def shuffled(rows, parts):
+    """``rows`` with a ``part`` that does not follow their order."""
+    return rows.withColumn("part", F.pmod(F.xxhash64(*rows.columns), F.lit(parts)).cast("int"))
+
+
+def as_rows(df):
+    return sorted(map(str, df.select(*sorted(df.columns)).collect()))
+
+
+def test_totals_of_a_stream_do_not_depend_on_order(spark, folder):
+    from checks.views import Tables
+
+    t = Tables(spark, folder)
+    held, one = shared_path(spark, "telemetry"), shared_path(spark, "telemetry")
+    finish(jobs.stream_telemetry(landed(spark, shuffled(t.v_requests, 5), 5), held, delay="1 hour", snapshot_every=2))
+    finish(jobs.stream_telemetry(landed(spark, t.v_requests.withColumn("part", F.lit(0)), 1), one))
+    assert jobs.read_telemetry(spark, held, late=True).count() > 0
+    assert jobs.read_telemetry(spark, one, late=True).count() == 0
+    assert as_rows(jobs.read_telemetry(spark, held)) == as_rows(jobs.read_telemetry(spark, one))
+
+    held, now = shared_path(spark, "cache"), "2024-01-30 06:00:00"
+    finish(jobs.stream_ttl_cache(landed(spark, shuffled(t.v_lookup_cache.filter(F.col("cached_at") <= now), 5), 5), held, snapshot_every=2))
+    newest = t.v_lookup_cache.filter(F.col("cached_at") <= now).groupBy("source", "query").agg(
+        F.max_by(F.struct("status", "cached_at", "expires_at"), F.struct("cached_at", "seq")).alias("c")
+    ).select("source", "query", "c.*").filter(F.col("expires_at") > ts(now))
+    assert newest.count() > 0
+    assert as_rows(jobs.read_ttl_cache(spark, held, now)) == as_rows(newest)
+
+
+def test_snapshots_survive_a_stop_half_way(spark):
+    rows = [("a", ts("2024-01-01"), 1, "x", 0), ("b", ts("2024-01-01"), 2, "x", 1), ("a", ts("2024-01-03"), 3, "y", 2), ("a", ts("2024-01-02"), 4, "z", 3)]
+    df = spark.createDataFrame(rows, f"record_url string, attempted_at {NTZ}, seq int, reason_code string, part int")
+    out = shared_path(spark, "retry")
+    path = shared_path(spark, "landed")
+
+    def land(n):
+        df.filter(F.col("part") == n).drop("part").coalesce(1).write.mode("append").parquet(path)
+        finish(jobs.stream_retry(spark.readStream.schema(df.drop("part").schema).parquet(path), out, snapshot_every=2))
+
+    def read():
+        return {r.record_url: (r.attempts, r.reason_code, str(r.last_attempt), r.exhausted) for r in jobs.read_retry(spark, out, 7, 3).collect()}
+
+    land(0)
+    land(1)
+    assert totals.finished(spark, f"{out}/snapshot", "upto") == [0]
+    land(2)
+    before = {"a": (2, "y", "2024-01-03 00:00:00", False), "b": (1, "x", "2024-01-01 00:00:00", False)}
+    assert read() == before
+    # a snapshot that stopped before its mark, with rows that are not to be read
+    spark.range(3).withColumn("record_url", F.lit("half")).write.parquet(f"{out}/snapshot/upto=2")
+    totals._delete(spark, f"{out}/snapshot/upto=2/_SUCCESS")
+    assert read() == before
+    land(3)
+    assert totals.finished(spark, f"{out}/snapshot", "upto") == [0, 2]
+    assert totals.finished(spark, f"{out}/log", "batch_id") == [1, 2, 3]
+    assert read() == {"a": (3, "y", "2024-01-03 00:00:00", True), "b": (1, "x", "2024-01-01 00:00:00", False)}
+    # the snapshot that readers may still hold stays, the one before goes
+    totals.snapshot(jobs.RETRY, spark, out, 3)
+    assert totals.finished(spark, f"{out}/snapshot", "upto") == [2, 3]
+    assert totals.finished(spark, f"{out}/log", "batch_id") == [3]
+    assert read()["a"] == (3, "y", "2024-01-03 00:00:00", True)
+
+
+def test_quarantine_snapshots_forget_what_is_past_retention(spark):
+    rows = [("old", True, ts("2023-01-01"), 0), ("new", True, ts("2024-06-01"), 1), ("new", False, ts("2024-07-01"), 2), ("kept", True, ts("2024-07-01"), 2)]
+    df = spark.createDataFrame(rows, f"record_url string, undated boolean, seen_at {NTZ}, part int")
+    out = shared_path(spark, "quarantine")
+    finish(jobs.stream_quarantine(landed(spark, df, 3), out, snapshot_every=3))
+    assert {r.record_url for r in spark.read.parquet(f"{out}/snapshot/upto=1").collect()} == {"new"}
+    assert [r.record_url for r in jobs.read_quarantine(spark, out, "2024-07-02 00:00:00").collect()] == ["kept"]
+
+
+def test_memory_of_a_stream_is_not_its_log(spark):
+    """Known keys are looked up in the state store: the log may be moved away, nothing is told twice."""
+    rows = [("w1", "k", ts("2024-01-02"), 0), ("w1", "k", ts("2024-01-01"), 0), (None, "k", ts("2024-01-01"), 0), ("w1", "k", ts("2023-01-01"), 1), ("w2", "k", ts("2024-01-05"), 1), (None, "k", ts("2024-01-01"), 1)]
+    df = spark.createDataFrame(rows, f"work_id string, kind string, matched_at {NTZ}, part int")
+    out, path = shared_path(spark, "notify"), shared_path(spark, "landed")
+    told = []
+    for n in range(2):
+        df.filter(F.col("part") == n).drop("part").write.mode("append").parquet(path)
+        finish(jobs.stream_notify_once(spark.readStream.schema(df.drop("part").schema).parquet(path), out))
+        told.append(sorted((str(r.work_id), str(r.matched_at)) for r in jobs.read_notifications(spark, out).collect()))
+        totals._delete(spark, f"{out}/log")
+    assert told == [[("None", "2024-01-01 00:00:00"), ("w1", "2024-01-01 00:00:00")], [("w2", "2024-01-05 00:00:00")]]
+
+    feed = spark.createDataFrame([("u1", "T", 0), ("u2", "B", 0), ("u2", "A", 0), ("u0", "known", 1), ("u1", "Later", 1), ("u3", None, 1)], "record_url string, title string, part int")
+    baseline = spark.createDataFrame([("u0",), ("u9",), (None,)], "record_url string")
+    out, path = shared_path(spark, "first"), shared_path(spark, "landed")
+    for n in range(2):
+        feed.filter(F.col("part") == n).drop("part").write.mode("append").parquet(path)
+        finish(jobs.stream_first_seen(spark.readStream.schema("record_url string, title string").parquet(path), out, baseline=baseline))
+    assert {r.record_url: r.title for r in jobs.read_first_seen(spark, out).collect()} == {"u1": "T", "u2": "A", "u3": None}
+
+
 def test_coverage_waits_for_every_page(spark):
     day = ts("2024-01-01")
     rows = [("a", 1, 2, 0), ("b", 1, 1, 0), ("a", 2, 2, 1), ("c", 1, 2, 1)]
