@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from itertools import combinations
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -99,6 +97,9 @@ def cross_check(records: DataFrame, others: DataFrame) -> DataFrame:
     equal keys over the fields both sides know, so a title borne by many records
     (every issue's editorial) yields no pairs.  Authors agree when the other
     record's list begins with this one's: it offers a key per prefix of its list.
+
+    Equal rows are one class before any key is made, and keys are only made for the sets of known
+    fields that occur on both sides; of these at most 16 of each side reach the driver.
     """
     def prepared(df, keep):
         compacted = df.withColumn("_title", N.compact(F.col("title"))).withColumn("_v_venue", N.compact(F.col("venue")))
@@ -107,51 +108,51 @@ def cross_check(records: DataFrame, others: DataFrame) -> DataFrame:
             F.when(F.col("_v_venue") != "", F.col("_v_venue")).alias("venue"), F.col("year").cast("string").alias("year"),
             N.issue_no(F.when(F.col("issue") != "", F.col("issue"))).alias("issue"),
             _names(df, "authors").alias("names"),
-        )
+        ).filter("_title IS NOT NULL").withColumn("authors", F.array_join("names", "\x1e"))
 
+    fields = ["_title", *CHECK_FIELDS, "names"]
     known = F.array_join(F.array_compact(F.array(*[F.when(F.col(f).isNotNull(), F.lit(f)) for f in CHECK_FIELDS])), ",")
-    subsets = [c for n in range(len(CHECK_FIELDS) + 1) for c in combinations(CHECK_FIELDS, n)]
+    theirs = cut(prepared(others, F.col("record_id").alias("other_id")).groupBy(*fields).agg(
+        F.min("other_id").alias("other_id")
+    ).withColumn("known", known))
+    # one text per class, in which a missing field differs from every value
+    mark = F.sha2(F.to_json(F.struct("_title", *CHECK_FIELDS)), 256)
+    rows = cut(prepared(records, F.col("url")).withColumn("class", mark).withColumn("known", known))
+    ours = cut(rows.drop("url").distinct())
+
+    def sets(df):
+        return [tuple(f for f in r.known.split(",") if f) for r in df.select("known").distinct().collect()]
 
-    def key(fields, has: Column) -> Column:
-        return F.concat_ws("\x1f", F.col("_title"), has, F.lit(",".join(fields)), *[F.col(f) for f in fields])
+    our_sets, their_sets = sets(ours), sets(theirs)
 
-    def holds(fields) -> Column:
-        test = F.lit(True)
-        for f in fields:
-            test = test & F.col(f).isNotNull()
-        return test
+    def key(theirs_know: Column, fields) -> Column:
+        """Title and the values of those of ``fields`` that this side knows; missing ones are skipped."""
+        shared = F.concat_ws(",", *[F.when(F.col(f).isNotNull(), F.lit(f)) for f in fields])
+        return F.concat_ws("\x1f", F.col("_title"), theirs_know, shared, *[F.col(f) for f in fields])
 
-    listed = prepared(others, F.col("record_id").alias("other_id")).filter("_title IS NOT NULL")
+    any_of_title = F.concat_ws("\x1f", F.col("_title"), F.lit("*"))
     lengths = F.sequence(F.lit(1), F.size("names"))
-    theirs = listed.select("*", F.posexplode_outer(F.when(F.col("names").isNotNull(), lengths)).alias("_place", "_length")).withColumn(
+    placed = theirs.select("*", F.posexplode_outer(F.when(F.col("names").isNotNull(), lengths)).alias("_place", "_length")).withColumn(
         "authors", F.array_join(F.slice("names", F.lit(1), F.col("_length")), "\x1e")
     )
     once = F.coalesce(F.col("_place"), F.lit(0)) == 0
-    any_of_title = F.concat_ws("\x1f", F.col("_title"), F.lit("*"))
-    offered = F.array_compact(F.array(F.when(once, any_of_title), *[
-        F.when(holds(s) if "authors" in s else holds(s) & once, key(s, known)) for s in subsets
-    ]))
-    index = theirs.select("other_id", F.explode(offered).alias("probe")).groupBy("probe").agg(F.min("other_id").alias("other_id"))
-    ours = prepared(records, F.col("url").alias("url")).withColumn("authors", F.array_join("names", "\x1e"))
-    asks = [F.struct(any_of_title.alias("probe"), F.lit(2).alias("rank"))]
-    for has in subsets:  # the fields a counterpart may know
-        shared = F.lit(None).cast("string")
-        for s in subsets:
-            if set(s) <= set(has):
-                exact = holds(s)
-                for f in has:
-                    if f not in s:
-                        exact = exact & F.col(f).isNull()
-                shared = F.when(exact, key(s, F.lit(",".join(has)))).otherwise(shared)
-        complete = F.lit(len(has) == len(CHECK_FIELDS)) & holds(CHECK_FIELDS)
-        asks.append(F.struct(shared.alias("probe"), F.when(complete, 0).otherwise(1).alias("rank")))
-    best = (
-        ours.filter("_title IS NOT NULL").select("url", F.explode(F.array(*asks)).alias("q")).select("url", "q.*")
-        .join(index, "probe").groupBy("url").agg(
+    offered = [F.when(once, any_of_title), *[F.when(once | F.lit("authors" in mine), key(F.col("known"), mine)) for mine in our_sets]]
+    asked = [F.struct(any_of_title.alias("probe"), F.lit(2).alias("rank"))]
+    for has in their_sets:
+        complete = (F.col("known") == ",".join(CHECK_FIELDS)) & F.lit(len(has) == len(CHECK_FIELDS))
+        asked.append(F.struct(key(F.lit(",".join(has)), has).alias("probe"), F.when(complete, 0).otherwise(1).alias("rank")))
+    index = placed.select("other_id", F.explode(F.array_distinct(F.array_compact(F.array(*offered)))).alias("probe")).groupBy("probe").agg(
+        F.min("other_id").alias("other_id")
+    )
+    judged = (
+        ours.select("class", F.explode(F.array(*asked)).alias("q")).select("class", "q.*").join(index, "probe").groupBy("class").agg(
             F.min("rank").alias("rank"), F.min(F.when(F.col("rank") == 0, F.col("other_id"))).alias("exact_id"),
             F.min(F.when(F.col("rank") == 1, F.col("other_id"))).alias("partial_id"),
         )
     )
+    best = rows.select("url", "class").join(judged, "class").groupBy("url").agg(
+        *[F.min(c).alias(c) for c in ("rank", "exact_id", "partial_id")]
+    )
     rank = F.col("rank")
     status = F.when(rank == 0, "corroborated").when(rank == 1, "partial").when(rank == 2, "conflict").otherwise("unverified")
     return records.select("url").join(best, "url", "left").select(
