@@ -15,6 +15,7 @@ from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import StringType
 
 from shelfmark import vocab
+from shelfmark.functions.references import unescape
 
 ASCII_ONLY = r"^[\x00-\x7F]*$"
 
@@ -217,13 +218,13 @@ def year_hint(column: Column) -> Column:
 
 
 def doi_hint(column: Column) -> Column:
-    text = F.regexp_replace(column, "&amp;", "&")
+    text = unescape(column)
     text = F.coalesce(F.try_url_decode(F.regexp_replace(text, r"\+", "%2B")), text)
     return doi_norm(F.regexp_extract(text, vocab.DOI_LINK, 0))
 
 
 def type_hint(column: Column) -> Column:
-    text = F.regexp_replace(column, "&#39;|&apos;", "'")
+    text = unescape(column)
     return F.coalesce(*[F.when(text.rlike(shape), F.lit(kind)) for kind, shape in vocab.TYPE_PHRASES])
 
 

@@ -4,40 +4,12 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
-from html.entities import name2codepoint
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.functions import normalise as N
-
-REFERENCE = r"&(#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});"
-# the named references of HTML, a no-break space read as a space
-NAMED = {name: " " if code == 0xA0 else chr(code) for name, code in name2codepoint.items()} | {"apos": "'"}
-AMPERSANDS = ["amp", "#38", "#x26", "#X26"]
-
-
-def _character(reference: Column) -> Column:
-    """The text of one reference without ``&`` and ``;``; NULL if there is no such character."""
-    hexed = F.when(reference.rlike("^#[xX]"), F.substr(reference, F.lit(3))).otherwise(F.conv(F.substr(reference, F.lit(2)), 10, 16))
-    code = F.conv(hexed, 16, 10).cast("int")
-    valid = (code > 0) & (code <= 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
-    text = F.when(code == 0xA0, " ").otherwise(F.decode(F.unhex(F.lpad(hexed, 8, "0")), "UTF-32"))
-    table = F.create_map(*[F.lit(x) for pair in NAMED.items() for x in pair])
-    return F.when(reference.startswith("#"), F.when(valid, text)).otherwise(F.try_element_at(table, reference))
-
-
-def unescape(column: Column) -> Column:
-    """Character references resolved once, unknown ones kept."""
-    found = F.array_distinct(F.regexp_extract_all(column, F.lit(REFERENCE), F.lit(1)))
-    late = F.array(*[F.lit(a) for a in AMPERSANDS])
-    ordered = F.concat(F.array_except(found, late), F.array_intersect(found, late))  # ``&amp;lt;`` is ``&lt;``
-    resolved = F.aggregate(
-        ordered, column,
-        lambda text, r: F.replace(text, F.concat(F.lit("&"), r, F.lit(";")), F.coalesce(_character(r), F.concat(F.lit("&"), r, F.lit(";")))),
-    )
-    return F.when(column.rlike(REFERENCE), resolved).otherwise(column)
-
+from shelfmark.functions.references import unescape
 
 def inner_text(column: Column) -> Column:
     """Text of an HTML fragment, references resolved and spaces squeezed."""
@@ -65,7 +37,7 @@ def page_links(pages: DataFrame, canonical: Callable[[Column], Column], raw_patt
     )
     if raw_pattern:
         bare = F.transform(
-            F.regexp_extract_all(unescape(F.col("html")), F.lit(f"({raw_pattern})"), F.lit(1)),
+            F.regexp_extract_all(F.translate(unescape(F.col("html")), "\u00a0", " "), F.lit(f"({raw_pattern})"), F.lit(1)),
             lambda u: F.struct(u.alias("href"), F.lit("").alias("label")),
         )
         anchors = F.concat(anchors, bare)
