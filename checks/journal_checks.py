@@ -208,12 +208,15 @@ EXACT_TITLE = "lower(title) || chr(31) || lower(first_author) || chr(31) || year
 @check("d18_title_overlap", f"""
     WITH a AS ({_side(1)}), b AS ({_side(2)}),
     every AS (SELECT lower(title) AS class_key, count(DISTINCT peer_url) AS n_links FROM b GROUP BY 1),
-    exact AS (SELECT {EXACT_TITLE} AS class_key, count(DISTINCT peer_url) AS n_links FROM b WHERE year IS NOT NULL GROUP BY 1)
-    SELECT a.url, CASE WHEN x.n_links IS NOT NULL THEN 'same_bibliography' ELSE 'needs_review' END AS status,
-      coalesce(x.class_key, e.class_key) AS class_key, coalesce(x.n_links, e.n_links) AS n_links
-    FROM a JOIN every e ON lower(title) = e.class_key LEFT JOIN exact x ON {EXACT_TITLE} = x.class_key""", ints="n_links")
-def _(t):
-    return journals.title_overlap(*checked_sides(t))
+    exact AS (SELECT {EXACT_TITLE} AS class_key, count(DISTINCT peer_url) AS n_links FROM b WHERE year IS NOT NULL GROUP BY 1),
+    found AS (SELECT a.url, CASE WHEN x.n_links IS NOT NULL THEN 'same_bibliography' ELSE 'needs_review' END AS status,
+        coalesce(x.class_key, e.class_key) AS class_key, coalesce(x.n_links, e.n_links) AS n_links
+      FROM a JOIN every e ON lower(title) = e.class_key LEFT JOIN exact x ON {EXACT_TITLE} = x.class_key),
+    links AS (SELECT DISTINCT lower(title) AS class_key, peer_url FROM b UNION ALL SELECT DISTINCT {EXACT_TITLE}, peer_url FROM b WHERE year IS NOT NULL)
+    SELECT url, status, class_key, n_links, NULL::VARCHAR AS peer_url FROM found
+    UNION ALL SELECT NULL, NULL, class_key, NULL, peer_url FROM links WHERE class_key IN (SELECT class_key FROM found)""", ints="n_links")
+def _(t):
+    return journals.title_overlap_with_links(*checked_sides(t))
 
 
 @check("d18_title_links", f"""

@@ -194,6 +194,17 @@ def title_overlap(records: DataFrame, peers: DataFrame) -> DataFrame:
     )
 
 
+def title_overlap_with_links(records: DataFrame, peers: DataFrame) -> DataFrame:
+    """The rows of :func:`title_overlap`, and under them every link of the classes they name.
+
+    Rows with a ``url`` are records, rows with a ``peer_url`` are links: a record's links are those
+    of its ``class_key``, each written once however many records share them.
+    """
+    overlap = cut(title_overlap(records, peers))
+    links = title_links(peers).join(overlap.select("class_key").distinct(), "class_key", "left_semi")
+    return overlap.unionByName(links, allowMissingColumns=True)
+
+
 def article_hits(articles: DataFrame, external: DataFrame) -> DataFrame:
     """``hit``, ``review`` or ``miss`` of each article in one external source.
 

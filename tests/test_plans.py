@@ -61,3 +61,17 @@ def test_hot_titles_are_counted_not_gathered(spark):
     exact = "editorial\x1fa0\x1f2000"
     assert got == {("same_bibliography", exact, 50): 500, ("needs_review", "editorial", 2000): 2500}
     assert links.count() == 2050 and links.filter(F.col("class_key") == exact).count() == 50
+
+
+def test_registered_title_overlap_has_every_link(spark):
+    """Each record's links follow from its class, and classes that no record names are left out."""
+    records = spark.createDataFrame([("r1", "Editorial", "A0", 2000), ("r2", "Editorial", "A1", None), ("r3", "None", "A0", 2000)], "url string, title string, first_author string, year int")
+    peers = spark.createDataFrame([("p1", "EDITORIAL", "A0", 2000), ("p2", "Editorial", "A1", None), ("p3", "Other", "A0", 2000)], "peer_url string, title string, first_author string, year int")
+    rows = journals.title_overlap_with_links(records, peers).collect()
+    links = {r.url: {x.peer_url for x in rows if x.peer_url and x.class_key == r.class_key} for r in rows if r.url}
+    assert links == {"r1": {"p1"}, "r2": {"p1", "p2"}} and {r.url: r.n_links for r in rows if r.url} == {"r1": 1, "r2": 2}
+    assert len(rows) == 2 + 3
+
+
+def test_the_query_of_title_overlap_returns_links(spark, folder):
+    assert QUERIES["d18_title_overlap"](spark, folder).filter("peer_url IS NOT NULL").count() > 0
