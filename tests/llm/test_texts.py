@@ -12,6 +12,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from shelfmark.llm import lm, near_dups, packing, pieces, quality, substrings
@@ -254,6 +255,28 @@ def test_quality_edges(spark, edges, nothing):
     assert quality.kept_documents(nothing, labels.limit(0)).count() == 0
 
 
+def test_the_fit_uses_every_labelled_row(spark):
+    """Far more labelled rows than trees of 256 can hold: all are counted, each is in a tree, and the cut-off keeps its share of all good ones."""
+    docs = spark.range(60_000).selectExpr(
+        "id AS doc_id", "array_join(transform(sequence(1, 60), x -> concat('w', pmod(xxhash64(id, x), 5000), if(id % 40 = 0, '#', ''))), ' ') AS text"
+    )
+    labels = docs.selectExpr("doc_id", "CAST(doc_id % 40 > 0 AS INT) AS quality")
+    forest, last = quality.fitted(quality.rule_statistics(docs), labels)
+    good, bad = 58_500, 1_500
+    of_good, of_bad, size = quality.copies(good, bad)
+    assert of_good >= 1 and of_bad >= 1 and len(forest.feature) == quality.TREES and size >= 256
+    judged = quality.quality_verdicts(docs, labels).groupBy((F.col("doc_id") % 40 > 0).alias("good")).agg(F.count_if("kept").alias("kept"), F.count("*").alias("n")).collect()
+    kept = {r.good: r.kept for r in judged}
+    assert kept[True] >= 0.998 * good - 1 and kept[False] <= 0.75 * bad
+
+
+def test_rows_are_dealt_to_trees():
+    for good, bad in [(1, 1), (3, 400), (3409, 571), (50_000, 20_000), (5_000_000, 900_000), (10, 1_000_000)]:
+        of_good, of_bad, size = quality.copies(good, bad)
+        assert 1 <= of_good <= quality.TREES and 1 <= of_bad <= quality.TREES
+        assert good * of_good >= min(good, 256) * quality.TREES
+
+
 def test_isolation_forest_finds_outliers():
     r = np.random.default_rng(1)
     rows = np.vstack([r.normal(0, 1, (500, 4)), r.normal(9, 1, (10, 4))])
