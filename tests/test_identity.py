@@ -1,5 +1,9 @@
 """Identity: records with outcomes decided by hand; the SQL twins compare every pair."""
 
+import itertools
+import random
+from difflib import SequenceMatcher
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -93,3 +97,40 @@ def test_folds_follow_unicode(spark, text, norm, fold):
         N.title_norm(F.col("v")).alias("norm"), N.title_fold(F.col("v")).alias("fold")
     ).first()
     assert (row.norm, row.fold) == (norm, fold)
+
+
+def test_bounds_and_classes_of_the_sequence_ratio():
+    """No pair is lost to the bound in order, over one and several words of bits, and each floor is decided as by the full ratio."""
+    r = random.Random(3)
+    texts = ["", "a", "é" * 70, "ab" * 64, "abc" * 50]
+    texts += ["".join(r.choices("abcde é", k=r.choice([3, 20, 63, 64, 65, 130]))) for _ in range(40)]
+    texts += [t[: len(t) // 2] + "x" + t[len(t) // 2 :] for t in texts[5:25]]
+    bound = identity._in_order_bound(texts, texts)
+    for i, a in enumerate(texts):
+        for j, b in enumerate(texts):
+            matcher = SequenceMatcher(None, a, b, autojunk=False)
+            ratio = matcher.ratio()
+            if not a and not b:
+                continue
+            assert ratio <= bound[i, j] <= identity._ratio_bound([a], [b])[0, 0]
+            for floors in ((0.92,), (0.92, 0.65)):
+                found = identity._ratio_class(matcher, bound[i, j], floors)
+                assert [found >= f for f in floors] == [ratio >= f for f in floors]
+
+
+def test_few_pairs_are_compared_in_full(monkeypatch):
+    """Titles of the same letters in other orders: the bound in order leaves few of them to the matcher."""
+    words = "large small hot cold standard economy".split()
+    titles = [" ".join(p) for p in itertools.permutations(words, 4)][:200]
+    frame = pd.DataFrame({"profile": titles, "title_fold": titles, "name_words": "a x", "surname": "x", "initial": "a", "route": "surname"})
+    frame["scripts"], frame["tokens"] = [["latin"]] * len(titles), [[str(k), "p", str(-k)] for k in range(len(titles))]
+    seen = []
+    class Counted(SequenceMatcher):
+        def set_seq1(self, a):
+            seen.append(a)
+            super().set_seq1(a)
+    monkeypatch.setattr(identity, "SequenceMatcher", Counted)
+    got = identity._judge_block(frame, frame)
+    want = {(a, b) for a in titles for b in titles if a != b and SequenceMatcher(None, a, b, autojunk=False).ratio() >= 0.65}
+    assert set(zip(got["left_profile"], got["right_profile"])) == want
+    assert len(seen) < 0.75 * len(titles) ** 2 and len(seen) < 2 * len(want)
