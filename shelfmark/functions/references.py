@@ -20,9 +20,13 @@ WINDOWS = bytes(range(0x80, 0xA0)).decode("cp1252", "replace")
 WINDOWS = "".join(chr(0x80 + k) if c == "�" else c for k, c in enumerate(WINDOWS))
 
 
-def _names() -> Column:
-    text = ENTRY.join(f"{name}{VALUE}{value}" for name, value in html5.items())
-    return F.str_to_map(F.lit(text), F.lit(ENTRY), F.lit(VALUE))
+def _value(name: Column) -> Column:
+    """What ``name`` stands for, or NULL.  Maps are searched key by key, so each first letter has its own."""
+    maps = []
+    for code in range(ord("A"), ord("z") + 1):
+        own = [f"{n}{VALUE}{value}" for n, value in html5.items() if n[0] == chr(code)]
+        maps.append(F.str_to_map(F.lit(ENTRY.join(own)), F.lit(ENTRY), F.lit(VALUE)))
+    return F.try_element_at(F.get(F.array(*maps), F.ascii(name) - ord("A")), name)
 
 
 def _numbered(digits: Column, base: int, width: int) -> Column:
@@ -47,12 +51,12 @@ def _resolved(part: Column) -> Column:
     number, hexed = F.regexp_extract(part, "^#[0-9]+;?", 0), F.regexp_extract(part, "^#[xX][0-9a-fA-F]+;?", 0)
     name = F.regexp_extract(part, r"^[^\t\n\f <&#;]{1,32};?", 0)
     old = F.regexp_extract(part, f"^(?:{'|'.join(OLD_NAMES)})", 0)
-    of_name = F.try_element_at(_names(), name)
+    of_name = _value(name)
     return (
         F.when(number != "", F.concat(_numbered(F.regexp_extract(part, "^#0*([0-9]*)", 1), 10, 7), rest(number)))
         .when(hexed != "", F.concat(_numbered(F.regexp_extract(part, "^#[xX]0*([0-9a-fA-F]*)", 1), 16, 6), rest(hexed)))
         .when(of_name.isNotNull(), F.concat(of_name, rest(name)))
-        .when(old != "", F.concat(F.try_element_at(_names(), old), rest(old)))
+        .when(old != "", F.concat(_value(old), rest(old)))
         .otherwise(F.concat(F.lit("&"), part))
     )
 

@@ -82,37 +82,38 @@ def listing_records(
     item_title = inner_text(F.regexp_extract(F.col("_title"), r"(?is)<a\b[^>]*>(.*?)</a>", 1))
     if title_mark:
         item_title = F.regexp_replace(item_title, rf"\s*(?:{title_mark})$", "")
-    items = pages.select(
-        "page_id", blocked.alias("_blocked"), F.when(total != "", total.cast("int")).alias("total_pages"),
-        F.posexplode_outer(blocks).alias("position", "b"),
-    )
+    heads = pages.select("page_id", blocked.alias("_blocked"), F.when(total != "", total.cast("int")).alias("total_pages"))
+    items = pages.select("page_id", F.posexplode_outer(blocks).alias("position", "b"))
     title_part = F.regexp_extract("b", r"(?is)<p\b[^>]*\bclass\s*=\s*[\"'][^\"']*\btit\b[^\"']*[\"'][^>]*>(.*?)</p>", 1)
     source_part = F.regexp_extract("b", r"(?is)<p\b[^>]*\bclass\s*=\s*[\"'][^\"']*\bsource\b[^\"']*[\"'][^>]*>(.*?)</p>", 1)
-    redirects = F.regexp_extract_all(source_part, F.lit(r"(?is)<a\b[^>]*href\s*=\s*[\"'][^\"']*Redirect[^\"']*[\"'][^>]*>(.*?)</a>"), F.lit(1))
+    # parts that several columns need are columns themselves, so each is found once
+    source = F.col("_source")
+    redirects = F.regexp_extract_all(source, F.lit(r"(?is)<a\b[^>]*href\s*=\s*[\"'][^\"']*Redirect[^\"']*[\"'][^>]*>(.*?)</a>"), F.lit(1))
     authors = F.transform(
-        F.regexp_extract_all(source_part, F.lit(r"(?is)<a\b[^>]*data-key[^>]*author=[^>]*>(.*?)</a>"), F.lit(1)), inner_text
+        F.regexp_extract_all(source, F.lit(r"(?is)<a\b[^>]*data-key[^>]*author=[^>]*>(.*?)</a>"), F.lit(1)), inner_text
     )
-    label = inner_text(F.try_element_at(redirects, F.lit(2)))
+    label = F.col("_label")
     issue, month = F.regexp_extract(label, ISSUE_LABEL, 2), F.regexp_extract(label, MONTH_LABEL, 2)
     year = F.coalesce(
         F.nullif(F.regexp_extract(label, ISSUE_LABEL, 1), F.lit("")), F.nullif(F.regexp_extract(label, MONTH_LABEL, 1), F.lit(""))
     )
-    records = items.withColumn("_title", title_part).select(
-        "page_id", "_blocked", "total_pages", "position",
+    parts = items.withColumn("_title", title_part).withColumn("_source", source_part).withColumn("_redirects", redirects)
+    records = parts.withColumn("_label", inner_text(F.try_element_at("_redirects", F.lit(2)))).select(
+        "page_id", "position",
         item_title.alias("title"),
         article_url(F.concat(*[F.regexp_extract("_title", ANCHOR, k) for k in (1, 2, 3)])).alias("url"),
         F.array_distinct(F.filter(authors, lambda a: a != "")).alias("authors"),
-        F.regexp_replace(inner_text(F.try_element_at(redirects, F.lit(1))), "[《》]", "").alias("venue"),
+        F.regexp_replace(inner_text(F.try_element_at("_redirects", F.lit(1))), "[《》]", "").alias("venue"),
         year.cast("int").alias("year"),
         F.when(issue != "", F.regexp_replace(F.upper(issue), "^0+", "")).when(month != "", F.concat(month.cast("int").cast("string"), F.lit("月"))).alias("issue"),
         F.when(month != "", month.cast("int")).alias("label_month"),
-        inner_text(source_part).contains(kind_mark).alias("_kind"),
+        inner_text(source).contains(kind_mark).alias("_kind"),
     )
     usable = records.filter("title <> '' AND url IS NOT NULL AND venue <> '' AND _kind")
     body = F.struct("title", "authors", "venue", "year", "issue", "label_month")
     kept = usable.groupBy("page_id", "url").agg(F.max_by(body, "position").alias("r")).select("page_id", "url", "r.*")
     sizes = kept.groupBy("page_id").agg(F.count("*").alias("_n"))
-    verdict = items.groupBy("page_id").agg(F.first("_blocked").alias("_blocked"), F.first("total_pages").alias("total_pages")).join(
+    verdict = heads.groupBy("page_id").agg(F.first("_blocked").alias("_blocked"), F.first("total_pages").alias("total_pages")).join(
         sizes, "page_id", "left"
     )
     n = F.coalesce("_n", F.lit(0))

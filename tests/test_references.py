@@ -27,3 +27,13 @@ def test_hints_and_text_resolve_all_references(spark):
     df = spark.createDataFrame([(1, "doi: <a href='https&colon;&sol;&sol;doi.org&#x2F;10.1000&#47;ab12'>", "<b>Caf&eacute&nbsp;&CounterClockwiseContourIntegral; &copy2024</b>")], "k int, d string, h string")
     row = df.select(N.doi_hint(F.col("d")).alias("doi"), inner_text(F.col("h")).alias("text")).first()
     assert (row.doi, row.text) == ("10.1000/ab12", "Café ∳ ©2024")
+
+
+def test_every_name_is_found_under_its_first_letter(spark):
+    from html.entities import html5
+
+    from shelfmark.functions.references import unescape
+
+    names = spark.createDataFrame([(n, f"a&{n} b") for n in html5 if n.endswith(";")] + [("1x;", "a&1x; b"), ("é;", "a&é; b"), ("", "a& b")], "name string, text string")
+    for r in names.withColumn("got", unescape(names.text)).collect():
+        assert r.got == (f"a{html5[r.name]} b" if r.name in html5 else r.text)
