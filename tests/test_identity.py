@@ -67,6 +67,31 @@ def test_chunks_of_an_author_lose_no_pair(spark, folder, monkeypatch):
     assert sorted(map(tuple, identity.near_pairs(left, right).collect())) == whole and whole
 
 
+def test_small_blocks_are_judged_as_large_ones(spark, folder, monkeypatch):
+    from checks.identity_checks import sides
+    from checks.views import Tables
+
+    right = identity.identities(spark.createDataFrame(RIGHT, SCHEMA))
+    pairs = [sides(Tables(spark, folder)), (identity.identities(spark.createDataFrame(LEFT, SCHEMA)), right), (right, right)]
+    for left, right in pairs:
+        found = []
+        for few in (0, identity.FEW_PAIRS, 10**9):
+            monkeypatch.setattr(identity, "FEW_PAIRS", few)
+            found.append(sorted(map(tuple, identity.near_pairs(left, right).collect())))
+            monkeypatch.undo()
+        assert found[0] and found[0] == found[1] == found[2]
+
+
+def test_copies_are_asked_once(spark, monkeypatch):
+    """Left records of one profile and DOI are one row of the exact routes."""
+    copies = spark.createDataFrame([(k, "Some title here", "Ann Lee", d) for k, d in enumerate(["10.1/a", "10.1/a", "10.1/b", None, None])], SCHEMA)
+    seen, exact = [], identity.exact_matches
+    monkeypatch.setattr(identity, "exact_matches", lambda left, right: seen.append(left.count()) or exact(left, right))
+    records = identity.identities(copies)
+    out = {r.record_id: (r.n_equivalent, r.n_review, r.match_id) for r in identity.identity_counts(records, records).collect()}
+    assert seen == [3] and out == {k: (5, 0, 0) for k in range(5)}
+
+
 def test_one_title_and_author_for_most_rows(spark):
     """A third of all rows share one profile: counts stay exact and no pairs appear."""
     left = spark.range(3000).select(
