@@ -1,5 +1,6 @@
 """Shapes of physical plans that decide how a job scales."""
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -75,3 +76,14 @@ def test_registered_title_overlap_has_every_link(spark):
 
 def test_the_query_of_title_overlap_returns_links(spark, folder):
     assert QUERIES["d18_title_overlap"](spark, folder).filter("peer_url IS NOT NULL").count() > 0
+
+
+def test_batches_of_long_texts_are_bounded_by_bytes(spark):
+    """A Python worker holds a few MB of texts at a time, however long they are."""
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"bytes": [batch.nbytes]})
+
+    texts = spark.range(0, 400, 1, 1).select(F.repeat(F.lit("é"), 50_000).alias("text"))
+    held = [r.bytes for r in texts.mapInArrow(sizes, "bytes long").collect()]
+    assert len(held) > 5 and max(held) < 8_000_000
