@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from shelfmark.functions import normalise as N
 from shelfmark.operators import gates, graph, intervals, merge, ranking, reviews, state, taxonomy
-from shelfmark.plans.resolve import best_works, candidate_identities, resolve_records, types_of_groups, weighed_evidence
+from shelfmark.plans.resolve import asked_identities, best_works, resolve_records, types_of_groups, weighed_evidence, with_asked
 from shelfmark.session import cut
 from shelfmark.sources import tables
 
@@ -27,7 +27,7 @@ def works_with_categories(resolved: DataFrame, evidence: DataFrame) -> DataFrame
     again = types_of_groups(
         evidence, works.select(F.col("record_url").alias("record_id"), "work_id"), "work_id"
     ).withColumnRenamed("work_type", "_again")
-    members = works.select("work_id", F.explode("category_ids").alias("category_id")).distinct().groupBy("work_id").agg(
+    members = works.select("work_id", F.explode("category_ids").alias("category_id")).groupBy("work_id").agg(
         F.array_sort(F.collect_set("category_id")).alias("category_ids")
     )
     return (
@@ -76,6 +76,7 @@ def weekly_run(
     seen: DataFrame, unresolved: DataFrame, notified: DataFrame, max_attempts: int = 5, retry_days: int = 7,
     held: DataFrame | None = None, type_reviews: DataFrame | None = None, *, now=None, feeds: DataFrame | None = None,
     baselines: DataFrame | None = None, lookup_failed: DataFrame | None = None, decisions: DataFrame | None = None, defer: bool = False,
+    merged_feeds: DataFrame | None = None,
 ) -> dict[str, DataFrame]:
     """All tables of one weekly run: report, notifications and the next state.
 
@@ -88,7 +89,9 @@ def weekly_run(
     and ``baselines``, so is a run over a feed without a baseline.  ``lookup_failed`` and
     ``decisions`` are those of :func:`resolve_records`.  With ``defer``, records without a
     work or with uncertain freshness are left to a later window: they are neither seen nor
-    tried, and listed in ``deferred``.
+    tried, and listed in ``deferred``.  ``merged_feeds`` is ``merge.merge_feeds(entries)``, where the
+    caller has it written out: nothing here asks which feed dates lie in the window, so
+    several weeks over the same entries merge them once.
     """
     start, end = window
     if now is not None:
@@ -98,13 +101,14 @@ def weekly_run(
         if bare:
             raise BaselineRequired(f"baseline required for feeds: {[r.category_id for r in bare]}")
     asked = end if now is None else now
-    current = cut(merge.enrich_with_changes(
-        merge.merge_feeds(entries, window), merge.latest_active(gates.in_window(changes, start, end))
-    ))
-    fresh = merge.new_records(current, seen)
-    due = state.due_retries(unresolved, asked, max_attempts)
-    chosen = state.candidates_to_process(fresh, due, current).select("record_url")
-    candidates = current.join(chosen, "record_url", "left_semi")
+    current = merge.merge_feeds(entries) if merged_feeds is None else merged_feeds
+    if merged_feeds is None:
+        current = cut(current)  # read by the candidates and by the next state
+    due = state.due_retries(unresolved, asked, max_attempts).select("record_url", F.lit(True).alias("due"))
+    held_back = seen.select("record_url", F.lit(False).alias("due")).unionByName(due).groupBy("record_url").agg(F.bool_or("due").alias("_due"))
+    # new records and due retries, by one join: what is seen and not due stays out
+    chosen = current.join(held_back, "record_url", "left").filter("_due IS NULL OR _due").drop("_due")
+    candidates = merge.enrich_with_changes(chosen, merge.latest_active(gates.in_window(changes, start, end)))
     outcome, evidence = resolve_records(
         candidates, first, second, window, lookup_failed=lookup_failed, held=held, type_reviews=type_reviews, decisions=decisions
     )
@@ -120,7 +124,7 @@ def weekly_run(
     notifications = state.notify_once(matches, notified)
     told = resolved.join(aside, "work_id", "left").withColumn("reason_code", F.coalesce("reason_code", "set_aside"))
     attempted = told.select("record_url", "title", "reason_code").join(
-        candidates.select("record_url", F.col("title").alias("_shown")), "record_url"
+        current.select("record_url", F.col("title").alias("_shown")), "record_url"
     ).select("record_url", F.coalesce("title", "_shown").alias("title"), "reason_code")
     return {
         "report": decided, "notifications": notifications,
@@ -186,17 +190,17 @@ def paper_search(
     )
     passes = (F.size("year_hints") > 0) | F.col("reviewed_year").isNotNull()
     bound = F.lit(years != (None, None))
-    gated = cut(merged.join(corrected, "record_url").withColumn(
+    gated = cut(with_asked(merged.join(corrected, "record_url"), decisions).withColumn(
         "gate", F.when(~bound | passes, "pass").otherwise("year_review_pending")
     ))
     candidates = gated.filter("gate = 'pass'").withColumn("change_type", F.lit(None).cast("string"))
-    matched = cut(best_works(cut(candidate_identities(candidates)), works, decisions))
-    known = candidates.join(matched, "record_url")
+    matched = best_works(cut(asked_identities(candidates)), works, decisions).withColumnRenamed("record_url", "asked")
+    known = cut(candidates.join(matched, "asked").drop("asked"))
     work_year = F.left("work.value", F.lit(4)).cast("int")
     other_year = F.col("reviewed") & F.coalesce(work_year != F.col("reviewed_year"), F.lit(False))
     unclear = (F.col("outcome") == "ambiguous") | (F.col("n_dois") > 1) | (F.col("n_review") > 0) | other_year
     identified = known.filter(~unclear)
-    evidence = weighed_evidence(candidates, {"openalex": matched}, type_reviews)
+    evidence = weighed_evidence(candidates, {"openalex": known.select("record_url", "outcome", "work")}, type_reviews)
     citations = works.select(F.col("work_key").alias("_key"), "citations")
     items = (
         identified.join(citations, F.col("work.work_key") == F.col("_key"), "left")

@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 from checks.plan_checks import first_works, run_events, second_works
 from checks.records import profile_rows
 from checks.views import Tables
-from shelfmark.operators import gates
-from shelfmark.plans import runs
+from shelfmark.operators import gates, merge
+from shelfmark.plans import resolve, runs
 from shelfmark.sources import tables
 
 WINDOW = ("2024-01-08 00:00:00", "2024-01-15 00:00:00")
@@ -111,3 +111,34 @@ def test_catch_up_refuses_before_the_first_run(spark, schedule, tmp_path):
         runs.catch_up(plan, versions(spark, "2024-01-09 00:00:00"), before, "2024-01-23 00:00:00", run, str(tmp_path / "a"))
     with pytest.raises(runs.TooManyWindows):
         runs.catch_up(plan, versions(spark, "2023-12-01 00:00:00"), before, "2024-01-23 00:00:00", run, str(tmp_path / "b"), most=2)
+
+
+def test_records_of_one_title_and_doi_are_looked_up_once(spark, folder, monkeypatch):
+    asked = []
+    best = resolve.best_works
+
+    def counting(wanted, *rest):
+        asked.append(wanted.count())
+        return best(wanted, *rest)
+
+    monkeypatch.setattr(resolve, "best_works", counting)
+    rows = [(f"https://feed.example.org/rec/U{k}", title, "click", None) for k, title in enumerate(["Record 2"] * 5 + ["Record 3", None, None])]
+    found = {r.record_url[-2:]: (r.reason_code, r.title) for r in week(spark, folder, rows)["resolved"].collect()}
+    assert asked == [3, 3]  # three titles, in both bibliographies
+    assert found == {f"U{k}": (None, title) for k, (_, title, _, _) in enumerate(rows)}
+
+
+def test_a_week_over_merged_feeds_reports_the_same(spark, folder):
+    def broken(frame):
+        return frame.withColumn("title", F.raise_error(F.lit("merged again")).cast("string"))
+
+    rows = [("https://feed.example.org/rec/U1", "Record 1", "click", None), ("https://feed.example.org/rec/U1", "Record 1", "view", "preprint")]
+    t = Tables(spark, folder)
+    state = {"seen": spark.createDataFrame([], runs.SEEN), "unresolved": spark.createDataFrame([], runs.UNRESOLVED), "notified": spark.createDataFrame([], runs.NOTIFIED)}
+    again = runs.weekly_run(
+        broken(entries(spark, rows)), run_events(t).limit(0), first_works(t).limit(0), second_works(t).limit(0), profile_rows(t), WINDOW, **state,
+        merged_feeds=merge.merge_feeds(entries(spark, rows)),
+    )
+    once = week(spark, folder, rows)
+    for name in ("report", "seen", "unresolved"):
+        assert sorted(map(str, again[name].collect())) == sorted(map(str, once[name].collect()))
