@@ -149,7 +149,8 @@ def _(t):
       CASE WHEN low = high THEN low END AS work_key
     FROM ident l LEFT JOIN w ON l.doi = w.doi WHERE record_id % 2 = 0""")
 def _(t):
-    left, right = sides(t)
+    records = ident_records(t)  # only ids and DOIs are asked for, so no title is folded
+    left, right = records.filter("record_id % 2 = 0"), records.filter("record_id % 2 = 1")
     works = right.withColumn("work_key", F.col("record_id") % 83)
     return identity.doi_lookup(left, works).select("record_id", "doi_state", "work_key")
 

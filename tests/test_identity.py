@@ -7,6 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from checks.catalog import QUERIES
 from shelfmark.functions import normalise as N
 from shelfmark.operators import identity
 
@@ -159,3 +160,16 @@ def test_few_pairs_are_compared_in_full(monkeypatch):
     want = {(a, b) for a in titles for b in titles if a != b and SequenceMatcher(None, a, b, autojunk=False).ratio() >= 0.65}
     assert set(zip(got["left_profile"], got["right_profile"])) == want
     assert len(seen) < 0.75 * len(titles) ** 2 and len(seen) < 2 * len(want)
+
+
+def test_folding_is_dealt_to_all_tasks(spark):
+    one_file = spark.range(50).select(F.col("id").alias("record_id"), F.lit("A title").alias("title"), F.lit("A Name").alias("author"), F.lit(None).cast("string").alias("doi")).coalesce(1)
+    assert identity.identities(one_file).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_doi_lookup_folds_no_title(spark, folder, monkeypatch):
+    def folded(*_):
+        raise AssertionError("titles are folded")
+
+    monkeypatch.setattr(identity, "identities", folded)
+    assert QUERIES["d08_doi_lookup"](spark, folder).count() > 0
