@@ -173,3 +173,12 @@ def test_doi_lookup_folds_no_title(spark, folder, monkeypatch):
 
     monkeypatch.setattr(identity, "identities", folded)
     assert QUERIES["d08_doi_lookup"](spark, folder).count() > 0
+
+
+def test_dedupe_writes_its_works_once_for_both_counts(spark, monkeypatch):
+    written, real = [], identity.cut
+    monkeypatch.setattr(identity, "cut", lambda table: written.append(table.columns) or real(table))
+    works = identity.identities(spark.createDataFrame([(1, "On virtue", "Ann Lee", None), (2, "On virtue", "Lee, A.", None)], "record_id long, title string, author string, doi string"))
+    found = identity.dedupe_decisions(works.withColumns({"source_id": F.lit(None).cast("string"), "work_type": F.lit("article")}))
+    assert sorted(tuple(r) for r in found.collect()) == [(1, 0, 1), (2, 0, 1)]
+    assert len(written) == 1 and "title" not in written[0]
