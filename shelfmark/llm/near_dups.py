@@ -13,9 +13,9 @@ Texts with equal word sequences are one node.  Candidates are never all pairs of
 2. in buckets that still span several classes, nodes outside the largest class are verified
    against members of it drawn by hash, which joins most of them;
 3. nodes of buckets that still do are verified against those of other classes they share a
-   prefix shingle with, where their sizes and the weight their prefixes share allow the
-   threshold, which holds for any pair at the threshold.  Prefixes are in order of rising
-   frequency, so common shingles are in few of them.
+   prefix shingle with, where what stands before it in either leaves enough weight for the
+   threshold, which holds for the first common shingle of any pair at the threshold.  Prefixes
+   are in order of rising frequency, so common shingles are in few of them and come late.
 So every pair of different classes that shares a band is either verified or proved too
 far apart, however large the bucket.
 
@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from shelfmark.llm.common import gram_hashes, mix, sliced, text_rows, word_hashes, words_of
 from shelfmark.operators.graph import components
-from shelfmark.session import cut
+from shelfmark.session import cut, drop_cut
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -228,23 +228,23 @@ def shingle_frequency(held: DataFrame, bits: int) -> np.ndarray:
     return np.minimum(table, np.iinfo(np.int32).max).astype(np.int32)
 
 
-def prefix_shingles(nodes: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """``(node, shingle, uses, size, rest)``: the first shingles of each node in one order for all, rare ones first.
+def prefix_shingles(held: DataFrame, threshold: float) -> DataFrame:
+    """``(node, shingle, before, size)``: the first shingles of each node in one order for all, rare ones first.
 
     A shingle counts if what comes before it weighs at most ``1 - threshold`` of the node.
     Two nodes at the threshold share that much weight that the first shingle they have in
     common is such a one of both.  Any order that is the same for all nodes gives that; the
     frequencies, of places that several shingles may share, only decide how few meet.
-    ``size`` is the weight of the node and ``rest`` what of it is not in the prefix.
+    ``held`` are the texts ``(node, words)``, written out.
+    ``size`` is the weight of the node and ``before`` what of it stands before the shingle.
     """
-    held = cut(texts.join(nodes, "node", "left_semi").select("node", "words"))
     bits = FREQUENCY_BITS
     frequency = shingle_frequency(held, bits)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in sliced([whole], "words"):
-                found, uses, sizes, rests = [], [], [], []
+                found, before, sizes = [], [], []
                 for words in batch.column("words").to_pylist():
                     elements, counts = shingles_of(words.split())
                     order = np.lexsort((mix(elements ^ _STEP), frequency[places(elements, bits)]))
@@ -252,40 +252,36 @@ def prefix_shingles(nodes: DataFrame, texts: DataFrame, threshold: float) -> Dat
                     passed = np.cumsum(counts[order]) - counts[order]
                     first = order[passed <= (1 - threshold) * size + 1e-9]
                     found.append(elements[first])
-                    uses.append(counts[first])
+                    before.append(passed[: len(first)])
                     sizes.append(size)
-                    rests.append(size - int(counts[first].sum()))
                 row = pa.array(np.repeat(np.arange(len(found)), [len(f) for f in found]))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("node").take(row), pa.array(np.concatenate(found).view(np.int64)), pa.array(np.concatenate(uses)),
-                     pa.array(np.array(sizes)).take(row), pa.array(np.array(rests)).take(row)],
-                    names=["node", "shingle", "uses", "size", "rest"],
+                    [batch.column("node").take(row), pa.array(np.concatenate(found).view(np.int64)), pa.array(np.concatenate(before)),
+                     pa.array(np.array(sizes)).take(row)],
+                    names=["node", "shingle", "before", "size"],
                 )
 
-    return held.mapInArrow(run, "node binary, shingle long, uses long, size long, rest long")
+    return held.mapInArrow(run, "node binary, shingle long, before long, size long")
 
 
 def cross_pairs(members: DataFrame, keys: list[str], threshold: float) -> DataFrame:
-    """Pairs of nodes with a common prefix shingle, different labels and a shared weight that allows
+    """Pairs of nodes with different labels and a common prefix shingle that may be their first at
     the threshold; the largest label of a key is only paired with the others.
 
-    Up to where the earlier of two prefixes ends, they show all that the nodes have in common,
-    so the nodes share no more than that and the rest of one of them.
+    Two nodes at the threshold share at least ``threshold / (1 + threshold)`` of their sizes' sum.
+    What stands before the first shingle they have in common is in one of them only, so the rest of
+    either must weigh that much.  A shingle so common that it comes late fails this, however many hold it.
     """
     per_label = members.groupBy(*keys, "label").agg(F.count("*").alias("n"))
     major = per_label.groupBy(*keys).agg(F.max_by("label", F.struct("n", "label")).alias("major"), F.count("*").alias("labels"))
     held = members.join(major.where("labels > 1"), keys)
-    minor = held.where("label <> major").select(*keys, F.col("node").alias("a"), F.col("label").alias("la"), F.col("size").alias("sa"), F.col("uses").alias("ca"), F.col("rest").alias("ra"), "major")
-    other = held.select(*keys, F.col("node").alias("b"), F.col("label").alias("lb"), F.col("size").alias("sb"), F.col("uses").alias("cb"), F.col("rest").alias("rb"))
-    near = (F.col("sa") >= threshold * F.col("sb")) & (F.col("sb") >= threshold * F.col("sa"))
+    minor = held.where("label <> major").select(*keys, F.col("node").alias("a"), F.col("label").alias("la"), F.col("size").alias("sa"), F.col("before").alias("pa"), "major")
+    other = held.select(*keys, F.col("node").alias("b"), F.col("label").alias("lb"), F.col("size").alias("sb"), F.col("before").alias("pb"))
+    common = threshold / (1 + threshold) * (F.col("sa") + F.col("sb")) - 1e-6
+    enough = (F.col("sa") - F.col("pa") >= common) & (F.col("sb") - F.col("pb") >= common)
     # a pair of two minor labels is met from both sides: keep one of them
-    met = minor.join(other, keys).where("la <> lb AND (lb = major OR a < b)").where(near).select(
-        F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v"), F.least("ca", "cb").alias("shared"),
-        F.greatest("ra", "rb").alias("rest"), (F.col("sa") + F.col("sb")).alias("both"),
-    )
-    summed = met.groupBy("u", "v").agg(F.sum("shared").alias("shared"), F.max("rest").alias("rest"), F.max("both").alias("both"))
-    enough = F.col("shared") + F.col("rest") >= threshold / (1 + threshold) * F.col("both") - 1e-6
-    return summed.where(enough).select("u", "v")
+    met = minor.join(other, keys).where("la <> lb AND (lb = major OR a < b)").where(enough)
+    return met.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct()
 
 
 def drawn_pairs(members: DataFrame, turn: int) -> DataFrame:
@@ -311,6 +307,13 @@ def _unresolved(members: DataFrame) -> DataFrame:
     return members.join(open_, "band", "left_semi")
 
 
+def narrowed(members: DataFrame, links: DataFrame) -> DataFrame:
+    """Members of buckets that span several classes under ``links``; the table before is dropped."""
+    out = cut(_unresolved(_labelled(members.select("band", "node"), links)))
+    drop_cut(members)
+    return out
+
+
 def near_duplicates(
     docs: DataFrame, threshold: float = THRESHOLD, doc_id: str = "doc_id", text: str = "text",
     bands: int = BANDS, rows: int = ROWS,
@@ -324,37 +327,45 @@ def near_duplicates(
         F.min("doc_id").alias("least_id"), F.min(first_row).alias("head"), F.count("*").alias("copies"), F.first("bands").alias("bands")
     )
     nodes = cut(nodes)
+    owners = cut(sketch.select("doc_id", "text_hash", "node"))
+    drop_cut(sketch)  # bands are wide: what is read no more goes before the next table is written
     spread = nodes.select("node", F.explode("bands").alias("band"))
     heads = spread.groupBy("band").agg(F.min("node").alias("head"), F.count("*").alias("n")).where("n > 1").drop("n")
     members = cut(spread.join(heads, "band"))
+    signed, nodes = nodes, cut(nodes.drop("bands"))
+    drop_cut(signed)
     held = members.select("node").distinct().join(nodes.select("node", "least_id"), "node")
     texts = cut(
         keyed_texts(docs).alias("t").join(held.alias("h"), F.expr("t.node = h.node AND t.doc_id <=> h.least_id"), "left_semi")
         .select("node", "words").dropDuplicates(["node"])
     )
     # 1. every node against the least node it meets
-    tried = members.groupBy("node").agg(F.min("head").alias("u")).where("u < node").select("u", F.col("node").alias("v"))
+    tried = cut(members.groupBy("node").agg(F.min("head").alias("u")).where("u < node").select("u", F.col("node").alias("v")))
     links = verified_links(tried, texts, threshold)
-    left = members.select("band", "node")
+    left = members
     # 2. nodes outside the largest class of a bucket against members of it drawn by hash
     for turn in range(TURNS):
-        left = cut(_unresolved(_labelled(left.select("band", "node"), links)))
+        left = narrowed(left, links)
         pairs = cut(drawn_pairs(left, turn).join(tried, ["u", "v"], "left_anti"))
         tried = tried.unionByName(pairs)
         links = links.unionByName(verified_links(pairs, texts, threshold))
     # 3. whatever pairs of different classes are left
-    left = cut(_unresolved(_labelled(left.select("band", "node"), links)))
+    left = narrowed(left, links)
     nodes_left = cut(left.select("node", "label").distinct())
-    prefixes = cut(nodes_left.join(prefix_shingles(nodes_left, texts, threshold), "node"))
+    open_texts = cut(texts.join(nodes_left, "node", "left_semi").select("node", "words"))
+    drop_cut(left, texts)
+    prefixes = cut(nodes_left.join(prefix_shingles(open_texts, threshold), "node"))
     third = cut(cross_pairs(prefixes, ["shingle"], threshold).join(tried, ["u", "v"], "left_anti"))
-    links = links.unionByName(verified_links(third, texts, threshold))
+    drop_cut(prefixes)
+    links = links.unionByName(verified_links(third, open_texts, threshold))
+    drop_cut(open_texts)
 
     roots = components(links)
     classes = nodes.select("node", "head", "copies").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     totals = classes.groupBy("root").agg(F.min("head").alias("head"), F.sum("copies").alias("class_rows"))
     by_node = classes.select("node", "root").join(totals, "root").select("node", F.col("head").alias("first"), "class_rows")
     alone = F.col("node").isNull()
-    return sketch.select("doc_id", "text_hash", "node").join(by_node, "node", "left").select(
+    return owners.join(by_node, "node", "left").select(
         "doc_id", "text_hash",
         F.when(alone, F.col("doc_id")).otherwise(F.col("first.doc_id")).alias("class_id"),
         F.coalesce("class_rows", F.lit(1)).alias("class_rows"),

@@ -354,3 +354,55 @@ def test_every_class_has_rows_and_a_share():
     again.load(rows, values)
     assert all((a == b).all() for a, b in zip(again.parameters(), model.parameters()))
     assert lm.Head([b"a"], [5], 10_000).shared > lm.Head([b"a"], [5], 1_000).shared > 1
+
+
+def join_rows(df):
+    """Rows that each join of ``df`` makes."""
+    conf = df.sparkSession.conf
+    conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        df = df.select("*")  # planned again
+        df.collect()
+        todo, rows = [df._jdf.queryExecution().executedPlan()], []
+        while todo:
+            node = todo.pop()
+            todo += [node.children().apply(k) for k in range(node.children().size())]
+            if "Join" in node.nodeName():
+                rows.append(node.metrics().apply("numOutputRows").value())
+        return rows
+    finally:
+        conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def prefix_members(spark, texts):
+    held = spark.createDataFrame([(near_dups.text_key(w), b" ".join(w)) for w in texts], "node binary, words binary")
+    return near_dups.prefix_shingles(held, 0.8).withColumn("label", F.col("node"))
+
+
+def test_a_passage_that_many_texts_share_makes_no_pairs(spark):
+    """Texts below the threshold that share 80 of 96 shingles meet at no row of the join."""
+    passage = [b"p%d" % k for k in range(84)]
+    members = prefix_members(spark, [[b"own%d-%d" % (t, k) for k in range(16)] + passage for t in range(60)]).cache()
+    assert members.groupBy("shingle").count().agg(F.max("count")).first()[0] == 60  # the passage is in all prefixes
+    pairs = near_dups.cross_pairs(members, ["shingle"], 0.8)
+    assert pairs.count() == 0
+    assert max(join_rows(pairs)) <= members.count()
+
+
+def test_cross_pairs_lose_no_pair_at_the_threshold(spark):
+    """Repeated shingles, sizes apart by up to the threshold, copies shortened and changed."""
+    r = random.Random(21)
+    texts = []
+    for group in range(8):
+        text = [b"g%dw%d" % (group, r.randrange(60)) for _ in range(r.choice([7, 40, 120]))]
+        for _ in range(14):
+            copy = text[: len(text) - r.randrange(1 + len(text) // 10)]
+            for _ in range(r.randrange(3)):
+                copy[r.randrange(len(copy))] = b"new%d" % r.randrange(10**6)
+            texts.append(copy + copy[: r.choice([0, 0, 0, 9])])
+    texts = list({near_dups.text_key(t): t for t in texts}.values())
+    bags = {near_dups.text_key(t): near_dups.shingles_of(t) for t in texts}
+    alike = {(u, v) for u in bags for v in bags if u < v and near_dups.weighted_jaccard(bags[u], bags[v]) >= 0.8}
+    members = prefix_members(spark, texts)
+    got = {(bytes(x.u), bytes(x.v)) for x in near_dups.cross_pairs(members, ["shingle"], 0.8).collect()}
+    assert len(alike) > 50 and alike <= got
