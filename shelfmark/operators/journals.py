@@ -51,10 +51,6 @@ def date_evidence(issues: DataFrame, reviewed: DataFrame) -> DataFrame:
     )
 
 
-def _same(left: str, right: str) -> Column:
-    return F.coalesce(N.same_text(N.compact(F.col(left)), N.compact(F.col(right))), F.lit(False))
-
-
 def _names(df: DataFrame, column: str) -> Column:
     """Compact author names of a text or an array column, in order; NULL if there are none."""
     value = F.col(column)
@@ -68,15 +64,30 @@ def _names(df: DataFrame, column: str) -> Column:
 
 def corroborate(records: DataFrame, evidence: DataFrame) -> DataFrame:
     """Field-by-field comparison with the reviewed evidence of the same URL."""
-    e = evidence.select(
-        "url", *[F.col(c).alias(f"e_{c}") for c in ("title", "venue", "year", "issue")], _names(evidence, "authors").alias("e_names")
-    )
-    joined = records.withColumn("_names", _names(records, "authors")).join(e, "url")
+    fields = ["title", "venue", "authors"]
+
+    def text(df: DataFrame, field: str) -> Column:
+        value = F.array_join(field, "\x1f") if dict(df.dtypes)[field].startswith("array") else F.col(field)
+        return F.coalesce(F.translate(value, "\x1e", ""), F.lit(""))
+
+    e = evidence.select("url", *[text(evidence, c).alias(f"e_{c}") for c in fields], *[F.col(c).alias(f"e_{c}") for c in ("year", "issue")])
+    joined = records.select("url", *[text(records, c).alias(c) for c in fields], "year", "issue").join(e, "url")
+    # all texts of a row are folded as one: each call of a Python function would carry a column of its own
+    folded = F.split(N.casefold(F.concat_ws("\x1e", *fields, *[f"e_{c}" for c in fields])), "\x1e", -1)
+    joined = joined.withColumn("_folded", folded)
+
+    def bare(k: int) -> Column:
+        return F.regexp_replace(F.col("_folded")[k], r"[^\p{L}\p{N}]", "")
+
+    def names(k: int) -> Column:
+        found = F.transform(F.split(F.col("_folded")[k], "\x1f"), lambda v: F.regexp_replace(v, r"[^\p{L}\p{N}]", ""))
+        return F.filter(found, lambda v: v != "")
+
     known = F.col("year").isNotNull() & F.col("issue").isNotNull()
     conflicts = F.array_compact(F.array(
-        F.when(~_same("title", "e_title"), "title"),
-        F.when(~F.coalesce(F.col("_names") == F.col("e_names"), F.lit(False)), "authors"),
-        F.when(~_same("venue", "e_venue"), "venue"),
+        F.when(~N.same_text(bare(0), bare(3)), "title"),
+        F.when(~((F.size(names(2)) > 0) & (names(2) == names(5))), "authors"),
+        F.when(~N.same_text(bare(1), bare(4)), "venue"),
         F.when(F.col("year") != F.col("e_year"), "year"),
         F.when(N.issue_no(F.col("issue")) != N.issue_no(F.col("e_issue")), "issue"),
     ))

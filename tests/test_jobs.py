@@ -411,3 +411,18 @@ def test_cross_check_takes_longer_author_lists(spark):
     assert got == {
         "u1": ("corroborated", 1), "u2": ("corroborated", 2), "u3": ("partial", 3), "u4": ("conflict", None), "u5": ("partial", 1), "u6": ("unverified", None),
     }
+
+
+def test_corroborate_folds_all_texts_of_a_row_at_once(spark):
+    """Width, case, separators in the text, missing and empty fields; one call of a Python function per row."""
+    columns = "url string, title string, authors array<string>, venue string, year int, issue string"
+    ours = [("u1", "ＡＢ Straße", ["Ann É", "Bo\x1e"], "V 1", 2020, "1"), ("u2", "T", ["A"], None, 2020, "1"), ("u3", "T", [], "", 2020, None),
+            ("u4", "T\x1e2", ["A", "B"], "V", 2020, "2"), ("u5", "T", ["A"], "V", 2020, None)]
+    theirs = [("u1", "ab STRASSE", ["ann é", "bo"], "v-1", 2020, "01"), ("u2", "t", ["a"], None, 2020, "1"), ("u3", "t", [], "", 2020, "1"),
+              ("u4", "T2", ["B", "A"], "V", 2021, "3"), ("u5", "t", ["a"], "v", 2020, "4")]
+    found = journals.corroborate(spark.createDataFrame(ours, columns), spark.createDataFrame(theirs, columns))
+    assert {r.url: (r.conflicts, r.status) for r in found.collect()} == {
+        "u1": ([], "corroborated"), "u2": (["venue"], "conflict"), "u3": (["authors", "venue"], "conflict"),
+        "u4": (["authors", "year", "issue"], "conflict"), "u5": ([], "partial"),
+    }
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("_compatible_lower(") == 1
