@@ -120,16 +120,7 @@ def _(t):
     FROM (SELECT * EXCLUDE (level), CASE WHEN ratio >= 0.92 OR few >= 3 AND jac >= 0.84 THEN 'equivalent'
         WHEN few >= 3 AND (ratio >= 0.65 OR jac >= 0.5) THEN 'review_required' END AS level FROM judged WHERE ac AND lt <> rt) WHERE level IS NOT NULL""")
 def _(t):
-    left, right = sides(t)
-    near = identity.near_pairs(left, right)
-    def named(side, name):
-        return side.select(
-            F.col("profile").alias(f"{name}_profile"), F.col("title_fold").alias(f"{name}_title"),
-            F.col("name_words").alias(f"{name}_words"), F.col("initial").alias(f"{name}_initial"),
-        ).distinct()
-    return near.join(named(left, "left"), "left_profile").join(named(right, "right"), "right_profile").drop(
-        "left_profile", "right_profile"
-    ).distinct()
+    return identity.near_names(*sides(t))
 
 
 @check("d07_pick_unique", f"""

@@ -3,6 +3,7 @@
 import itertools
 import random
 from difflib import SequenceMatcher
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -182,3 +183,77 @@ def test_dedupe_writes_its_works_once_for_both_counts(spark, monkeypatch):
     found = identity.dedupe_decisions(works.withColumns({"source_id": F.lit(None).cast("string"), "work_type": F.lit("article")}))
     assert sorted(tuple(r) for r in found.collect()) == [(1, 0, 1), (2, 0, 1)]
     assert len(written) == 1 and "title" not in written[0]
+
+
+def test_pairs_of_a_block_are_matched_together(monkeypatch):
+    """Values of many pairs lie on the same side of both floors as their ratios; only very long pairs are matched one by one."""
+    r = random.Random(5)
+    texts = ["a", "ab" * 64, "é" * 70, "x y", "\U0001f600 and ab"]
+    texts += ["".join(r.choices("abc é", k=r.choice([1, 3, 15, 16, 17, 40, 63, 64, 65, 130]))) for _ in range(40)]
+    texts += [t[: len(t) // 2] + "xb" + t[len(t) // 2 :] for t in texts[5:40]] + [" ".join(reversed(t.split())) or "b" for t in texts[5:20]]
+    rows, columns = (v.ravel() for v in np.indices((len(texts), len(texts))))
+    bound = identity._in_order_bound(texts, texts)[rows, columns]
+    wanted = np.array([SequenceMatcher(None, texts[i], texts[j], autojunk=False).ratio() for i, j in zip(rows, columns)])
+    def single(*_):
+        raise AssertionError("matched one by one")
+    for long in (identity.LONG_PAIR, 300):
+        with monkeypatch.context() as m:
+            m.setattr(identity, "LONG_PAIR", long)
+            if long > 300:
+                m.setattr(identity, "_ratio_class", single)
+            for low in (0.65, 0.92):
+                found = identity._sequence_classes(texts, texts, rows, columns, bound, np.full(len(rows), low))
+                for floor in (0.92, low):
+                    assert ((found >= floor) == (wanted >= floor)).all()
+
+
+def profiles(spark, rows):
+    """Identity rows ``record_id, doi, title, words, surname, initial, scripts`` as :func:`identity.identities` gives them."""
+    shape = "record_id long, doi string, title_fold string, name_words string, surname string, initial string, scripts array<string>"
+    table = spark.createDataFrame(rows, shape)
+    return table.withColumn("profile", F.sha2(F.concat_ws("|", "title_fold", "name_words", "surname", "initial", F.array_join("scripts", ",")), 256))
+
+
+def similar(start, titles=30):
+    """Records of one author with much alike titles, some with DOIs, copies and a second surname or script."""
+    rows = [
+        (start + k, f"10.1/{k % 3}" if k % 2 else None, f"long study of virtue and method part {k % titles} of many", "ann lee", "lee", "a" if k % 4 else "", ["latin"])
+        for k in range(2 * titles)
+    ]
+    rows += [(start + 500 + k, "10.1/1", f"long study of virtue and method part {k} of more", "ann lee", "ann" if k % 2 else "lee", "a", ["latin"]) for k in range(6)]
+    return rows + [(start + 600 + k, None, f"long study of virtue and method part {k} of more", "ann lee", "lee", "a", ["greek"]) for k in range(6)]
+
+
+@pytest.mark.parametrize("few", [0, 64])
+def test_near_records_are_added_up_where_pairs_are_judged(spark, monkeypatch, few):
+    """The counts are those of the pairs, but no row is written per pair without a DOI on both sides."""
+    monkeypatch.setattr(identity, "FEW_PAIRS", few)
+    monkeypatch.setattr(identity, "BLOCK_ROWS", 20)
+    left, right = identity.cut(profiles(spark, similar(0))), identity.cut(profiles(spark, similar(10_000)))
+    near = identity.cut(identity.near_pairs(left, right))
+    by_pairs = sorted(map(tuple, identity.identity_counts(left, right, near).collect()))
+    assert sorted(map(tuple, identity.identity_counts(left, right).collect())) == by_pairs
+    assert max(r[1] for r in by_pairs) > 20 and max(r[2] for r in by_pairs) > 0
+    bare = right.withColumn("doi", F.lit(None).cast("string"))
+    assert identity.near_counts(left, bare).filter("right_profile IS NOT NULL").count() == 0
+    if not few:
+        # a row per left profile and cell: one in ten pairs at most
+        assert 10 * identity.near_counts(left, bare).count() < near.count()
+
+
+def test_words_under_one_surname_are_left_to_the_surname_route(spark, monkeypatch):
+    monkeypatch.setattr(identity, "FEW_PAIRS", 0)
+    one = [row for row in similar(0) if row[4] == "lee"]
+    for rows, routes in ((one, {"surname"}), (similar(0), {"surname", "words"})):
+        table = profiles(spark, rows)
+        cells = identity._near(table, table, ["profile"])[1]
+        assert {r.route for r in cells.agg(F.count("*")).select("route").collect()} == routes
+
+
+def test_names_that_profiles_share_are_told_once(spark):
+    """Names under two surnames or scripts meet pairs twice; each is one row, and no other pair is lost."""
+    left, right = profiles(spark, similar(0, 8)), profiles(spark, similar(10_000, 8))
+    facts = ("title_fold", "name_words", "initial")
+    every = sorted(map(tuple, identity.near_pairs(left, right, facts).collect()))
+    named = sorted(map(tuple, identity.near_names(left, right).collect()))
+    assert named == sorted(set(every)) and len(named) < len(every)
