@@ -224,15 +224,16 @@ def article_hits(articles: DataFrame, external: DataFrame) -> DataFrame:
     """
     place = ["venue", "year", "issue"]
     articles, external = cut(articles), cut(external)
-    near = cut(identity.near_pairs(articles, external).select("left_profile", "right_profile", "level"))
-    counts = identity.identity_counts(articles, external, near)
+    near = cut(identity.near_counts(articles, external, equal_pairs=True))
+    counts = identity.identity_counts(articles, external, counted=near)
     hits = identity.class_counts(articles, external, [
         identity.Route(["title_fold", *place], same=1), identity.Route(["doi", *place], same=1)
     ]).filter("n_same > 0").select("record_id")
-    equal = near.filter("level = 'equivalent'")
+    equal = near.filter("equal AND right_profile IS NOT NULL").select("left_profile", "right_profile")
     wanted = articles.select("record_id", F.col("profile").alias("left_profile"), *place)
     offered = external.select(F.col("profile").alias("right_profile"), *place).distinct()
-    placed = wanted.join(equal, "left_profile").join(offered, ["right_profile", *place], "left_semi").select("record_id")
+    met = wanted.drop("record_id").distinct().join(equal, "left_profile").join(offered, ["right_profile", *place], "left_semi")
+    placed = wanted.join(met, ["left_profile", *place], "left_semi").select("record_id")
     hit = hits.unionByName(placed).distinct().withColumn("_hit", F.lit(True))
     found = (F.col("n_equivalent") + F.col("n_review")) > 0
     return counts.join(hit, "record_id", "left").select(
