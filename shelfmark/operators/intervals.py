@@ -23,18 +23,20 @@ def _before(keys: list[str], order: str):
 
 
 def _blocked(rows: DataFrame, key: str, at: str, bucket: str, block: int | None = None) -> DataFrame:
-    """``rows``, written out, with ``_bucket``: a day, and a range of instants of that day where it is crowded.
+    """``rows``, written out, with ``_bucket``: a day of a key, and a range of instants of that day where it is crowded.
+
+    The bucket holds its key in a struct, so a join on it finds the rows without a key, as a grouping does.
 
     The ranges of a crowded day begin at instants of its own, chosen by hash, about
     ``PARTS`` of them however many there are.  ``rows`` has few rows of one instant.
     """
-    day = F.date_trunc(bucket, at).cast("timestamp_ntz").alias("_day")
+    day = F.struct(key, F.date_trunc(bucket, at).cast("timestamp_ntz").alias("_day")).alias("_day")
     rows = rows.select("*", day)
-    placed = rows.select(key, "_day", F.col(at).alias("_at"))
-    crowded = placed.groupBy(key, "_day").agg(F.count("*").alias("_n")).filter(F.col("_n") > (block or BLOCK))
+    placed = rows.select("_day", F.col(at).alias("_at"))
+    crowded = placed.groupBy("_day").agg(F.count("*").alias("_n")).filter(F.col("_n") > (block or BLOCK))
     chosen = F.pmod(F.xxhash64("_at"), F.ceil(F.col("_n") / PARTS)) == 0
     starts = (
-        placed.join(crowded, [key, "_day"]).filter(chosen).groupBy(key, "_day").agg(F.sort_array(F.collect_set("_at")).alias("_starts"))
+        placed.join(crowded, "_day").filter(chosen).groupBy("_day").agg(F.sort_array(F.collect_set("_at")).alias("_starts"))
     )
     # how many starts lie at or before the instant, by halving steps
     passed = F.aggregate(
@@ -43,7 +45,7 @@ def _blocked(rows: DataFrame, key: str, at: str, bucket: str, block: int | None
     )
     part = F.when(F.col("_starts").isNull(), 0).otherwise(passed)
     return cut(
-        rows.join(starts, [key, "_day"], "left").withColumn("_bucket", F.struct("_day", part.alias("_part")))
+        rows.join(starts, "_day", "left").withColumn("_bucket", F.struct("_day", part.alias("_part")))
         .drop("_day", "_starts")
     )
 
@@ -63,7 +65,7 @@ def coalesce_intervals(cov: DataFrame, key: str = "source_key", bucket: str = "d
     reach = F.greatest(
         F.col("_carried"), F.max("window_end").over(inside.rowsBetween(Window.unboundedPreceding, -1))
     )
-    marked = clamped.join(carried, [key, "_bucket"]).withColumn("_reach", reach).withColumn(
+    marked = clamped.join(carried.drop(key), "_bucket").withColumn("_reach", reach).withColumn(
         "_new", F.when(F.col("_reach").isNull() | (F.col("window_start") > F.col("_reach")), 1).otherwise(0)
     )
     earlier = (
@@ -72,7 +74,7 @@ def coalesce_intervals(cov: DataFrame, key: str = "source_key", bucket: str = "d
     )
     running = F.sum("_new").over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     return (
-        marked.join(earlier, [key, "_bucket"]).withColumn("_island", F.col("_base") + running)
+        marked.join(earlier.drop(key), "_bucket").withColumn("_island", F.col("_base") + running)
         .groupBy(key, "_island").agg(
             F.min("window_start").alias("window_start"), F.max("window_end").alias("window_end"),
             F.max("checked_at").alias("checked_at"),
@@ -86,7 +88,7 @@ def _with_next(islands: DataFrame, key: str, bucket: str) -> DataFrame:
         "_later", F.lead("_first").over(Window.partitionBy(key).orderBy("_bucket"))
     ).drop("_first")
     following = F.lead("window_start").over(Window.partitionBy(key, "_bucket").orderBy("window_start"))
-    return placed.join(firsts, [key, "_bucket"]).withColumn("_next", F.coalesce(following, F.col("_later")))
+    return placed.join(firsts.drop(key), "_bucket").withColumn("_next", F.coalesce(following, F.col("_later")))
 
 
 def coverage_gaps(cov: DataFrame, start, end, key: str = "source_key", bucket: str = "day") -> DataFrame:

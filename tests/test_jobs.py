@@ -115,6 +115,26 @@ def merge_spans(rows):
     return out
 
 
+def test_rows_without_a_key_are_a_key_of_their_own(spark, monkeypatch):
+    """As a grouping does; a window without a key is still held by nothing.  Also where their day is crowded."""
+    shape = "source_key string, window_start timestamp_ntz, window_end timestamp_ntz, checked_at timestamp_ntz"
+    start = datetime(2024, 1, 5)
+    rows = [(key, start + timedelta(hours=2 * k), start + timedelta(hours=2 * k + 1 + k % 2), datetime(2024, 2, 1)) for key in (None, "a") for k in range(8)]
+    df = spark.createDataFrame(rows, shape)
+    for block in (intervals.BLOCK, 2):
+        monkeypatch.setattr(intervals, "BLOCK", block)
+        found = {}
+        for r in intervals.coalesce_intervals(df).collect():
+            found.setdefault(r.source_key, []).append((r.window_start, r.window_end))
+        assert len(found["a"]) == 5 and sorted(found[None]) == sorted(found["a"])
+        gaps = {}
+        for r in intervals.coverage_gaps(df, "2024-01-05 00:00:00", "2024-01-06 00:00:00").collect():
+            gaps.setdefault(r.source_key, []).append((r.gap_start, r.gap_end))
+        assert len(gaps["a"]) == 5 and sorted(gaps[None]) == sorted(gaps["a"])
+        held = intervals.covering_interval(df, df.select("source_key", "window_start", "window_end"))
+        assert {(r.source_key, r.covered_start is not None) for r in held.collect()} == {(None, False), ("a", True)}
+
+
 def test_intervals_of_one_hot_key(spark):
     base = ts("2024-01-01")
     rows = []
